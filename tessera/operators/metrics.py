@@ -9,15 +9,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.config import TrainConfig
 from tessera.operators.prefix import global_rank, key_range, range_bucket
 
 
+def epoch_micros(df: DataFrame, ts_col: str) -> Column:
+    """Microseconds since the epoch for TIMESTAMP and TIMESTAMP_NTZ alike (no time-zone shift for NTZ)."""
+    c = F.col(ts_col)
+    if isinstance(df.schema[ts_col].dataType, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, c)
+    return F.unix_micros(c)
+
+
 def micro_index(df: DataFrame, run_col: str, ts_col: str, id_col: str, max_buckets: int = 4096,
                 out: str = "micro_idx") -> DataFrame:
     """0-based micro-step number within each run, in ``(ts, id)`` order."""
-    t = F.unix_micros(F.col(ts_col))
+    t = epoch_micros(df, ts_col)
     lo, hi = key_range(df, t)
     return global_rank(df, [ts_col, id_col], range_bucket(t, lo, hi, max_buckets), [run_col], out=out)
 

@@ -119,8 +119,8 @@ def _masked_nll() -> str:
         "cc AS (SELECT label, count(*) AS c FROM cn GROUP BY label), tot AS (SELECT count(*) AS total FROM cn), "
         f"sc AS (SELECT r.label, -ln((coalesce(cc.c, 0) + 1)::DOUBLE / (tot.total + {v})::DOUBLE) AS nll "
         f"FROM (SELECT CAST(range AS INTEGER) AS label FROM range({v})) r LEFT JOIN cc ON r.label = cc.label, tot), "
-        "tr AS (SELECT split, unnest(labels) AS label, unnest(generate_series(0, len(labels) - 1)) AS pos FROM kept), "
-        "vv AS (SELECT tr.split, sc.nll FROM tr JOIN sc ON tr.label = sc.label WHERE tr.pos > 0 AND tr.label <> -100) "
+        "tkr AS (SELECT split, unnest(labels) AS label, unnest(generate_series(0, len(labels) - 1)) AS pos FROM kept), "
+        "vv AS (SELECT tkr.split, sc.nll FROM tkr JOIN sc ON tkr.label = sc.label WHERE tkr.pos > 0 AND tkr.label <> -100) "
         "SELECT split, round(avg(nll), 6) AS mean_nll, count(*) AS n_tokens, round(exp(avg(nll)), 6) AS perplexity "
         "FROM vv GROUP BY split"
     )

@@ -39,6 +39,10 @@ def read_corpus(spark: SparkSession, path: str, text_col: str = "text", order_co
         reader = spark.readStream.schema(sch)
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+        if os.path.isfile(path):
+            # A file source watches a folder; a single file is picked out of its folder by name.
+            reader = reader.option("pathGlobFilter", os.path.basename(path))
+            path = os.path.dirname(path)
         df = reader.parquet(path)
     else:
         df = spark.read.parquet(path)
