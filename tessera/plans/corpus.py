@@ -8,6 +8,7 @@ reason.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,16 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hash-partition by ``key`` only when the input has fewer splits than the cluster has cores.
 
     A corpus stored as one large row group is read by a single task; at scale the
-    input already has many splits and this adds no shuffle.
+    input already has many splits and this adds no shuffle. The ``observe`` node
+    (a row count, reported to listeners) keeps Catalyst from pushing the caller's
+    filters below the repartition, which would put the per-row work back into the
+    single input task.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key).observe(f"spread_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
 
 
 @dataclass

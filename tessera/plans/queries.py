@@ -70,7 +70,7 @@ def corpus_split(spark, sf) -> DataFrame:
 
 
 def instructions(spark, sf) -> DataFrame:
-    return S.turns_to_instructions(table(spark, sf, "conversations"))
+    return S.turns_to_instructions(spread(table(spark, sf, "conversations"), "conv_id"))
 
 
 def sft_split_rows(spark, sf) -> DataFrame:
@@ -96,28 +96,33 @@ def step_rows(spark, sf) -> DataFrame:
 
 # --- 2.2 / 2.3 quality ------------------------------------------------------
 
+def documents(spark, sf, *cols: str) -> DataFrame:
+    """The documents table, spread over the cores when it is stored as too few splits."""
+    return spread(table(spark, sf, "documents").select(*cols))
+
+
 def q_quality_signals(spark, sf):
-    s = quality_signals(table(spark, sf, "documents").select("doc_id", "text"), cfg=PROSE)
+    s = quality_signals(documents(spark, sf, "doc_id", "text"), cfg=PROSE)
     return s.select("doc_id", F.col("n_chars_cp").alias("n_chars"), "n_lines", "avg_line", "alnum_ratio",
                     "has_autogen_marker", "has_structure", "has_nul")
 
 
 def q_reject_reason(spark, sf):
-    return reject_reason(table(spark, sf, "documents").select("doc_id", "text"), PROSE).select("doc_id", "reason")
+    return reject_reason(documents(spark, sf, "doc_id", "text"), PROSE).select("doc_id", "reason")
 
 
 def q_reject_funnel(spark, sf):
-    return reject_funnel(table(spark, sf, "documents").select("lang", "text"), PROSE, by=("lang",))
+    return reject_funnel(documents(spark, sf, "doc_id", "lang", "text"), PROSE, by=("lang",))
 
 
 def q_quality_filter_prose(spark, sf):
-    return quality_filter(table(spark, sf, "documents"), PROSE).select("doc_id", "n_chars")
+    return quality_filter(documents(spark, sf, "doc_id", "text", "n_chars"), PROSE).select("doc_id", "n_chars")
 
 
 # --- 2.4 tokens and packing -------------------------------------------------
 
 def q_token_stats(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text").where(F.col("text").isNotNull()))
+    docs = documents(spark, sf, "doc_id", "lang", "text").where(F.col("text").isNotNull())
     return token_stats(tokenize(docs), by=("lang",))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,11 +65,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing ``df`` to the reliable checkpoint folder.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder and reading it back.
 
     Used where a plan would otherwise evaluate an expensive subtree twice (for
-    example tokenising once for bucket totals and once for the rows themselves).
+    example tokenising once for bucket totals and once for the rows). Compared with
+    ``DataFrame.checkpoint`` the written table is columnar, so a later branch that
+    needs two small columns reads only those, with min/max statistics per file.
+    A lost executor costs nothing: the table is on shared storage.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
