@@ -8,6 +8,7 @@ reason.
 
 from __future__ import annotations
 
+import os
 import uuid
 from dataclasses import dataclass
 
@@ -15,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import PackConfig, QualityConfig
-from tessera.operators.packing import pack
+from tessera.operators.packing import budget_chunks, pack
+from tessera.operators.prefix import key_range
 from tessera.operators.quality import quality_filter
 from tessera.operators.splits import dataset_summary, split_exact
 from tessera.operators.tokenize import tokenize
-from tessera.session import materialize
+from tessera.session import ensure_checkpoint_dir, materialize
 from tessera.sources.io import is_built, read_corpus, write_splits
 
 
@@ -53,9 +55,43 @@ def filtered_tokens(docs: DataFrame, qcfg: QualityConfig, tokenizer=None) -> Dat
     return materialize(tokenize(kept, tokenizer))
 
 
+def budgeted_tokens(docs: DataFrame, qcfg: QualityConfig, pcfg: PackConfig, tokenizer=None,
+                    order_col: str = "doc_id", first_width: int | None = None) -> DataFrame:
+    """K6 pushed upstream: filter and tokenise only as far into the order as the budget needs.
+
+    The reference stops reading its stream once the token target is reached. Here
+    ascending ranges of the order key are processed in doubling widths; each range
+    is filtered, tokenised and appended to one token table, and the loop stops once
+    the kept tokens cover ``ceil(target / block)`` blocks. Range predicates on the
+    order key reach the Parquet scan, so later row groups are not read. The number
+    of jobs is logarithmic in the corpus size and at most about twice the needed
+    documents are processed. Packing the result with the same budget gives exactly
+    the chunks of packing the whole corpus.
+    """
+    limit = budget_chunks(pcfg.target_tokens, pcfg.block)
+    if limit is None:
+        return filtered_tokens(docs, qcfg, tokenizer)
+    need = limit * pcfg.block
+    lo, hi = key_range(docs, order_col)
+    spark = docs.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"budget-tokens-{uuid.uuid4().hex}")
+    width = first_width or max(1, (hi - lo + 1) // 1024)
+    start, have = lo, 0
+    while start <= hi and have < need:
+        end = start + width
+        part = docs.where((F.col(order_col) >= start) & (F.col(order_col) < end))
+        kept = quality_filter(spread(part.select(order_col, "text"), order_col), qcfg)
+        tokenize(kept, tokenizer).write.mode("append").parquet(path)
+        have = spark.read.parquet(path).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+        start, width = end, width * 2
+    if start == lo:  # empty corpus
+        return filtered_tokens(docs, qcfg, tokenizer)
+    return spark.read.parquet(path)
+
+
 def corpus_tables(docs: DataFrame, qcfg: QualityConfig = QualityConfig(), pcfg: PackConfig = PackConfig(),
                   tokenizer=None) -> CorpusTables:
-    tokens = filtered_tokens(docs, qcfg, tokenizer)
+    tokens = budgeted_tokens(docs, qcfg, pcfg, tokenizer)
     chunks = materialize(pack(tokens, pcfg))
     split = split_exact(chunks, ["chunk_id"], pcfg.val_fraction, pcfg.seed)
     return CorpusTables(tokens, chunks, split, dataset_summary(tokens, split, pcfg.block))

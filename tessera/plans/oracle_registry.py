@@ -94,6 +94,26 @@ def _completions() -> str:
     )
 
 
+def _prompt_registry() -> str:
+    rows = [(i, "code", i + 1, f"Code Prompt {i + 1}", p) for i, p in enumerate(C.CODE_PROMPTS)]
+    rows += [(i + 5, "instruction", i + 1, f"Instruction Prompt {i + 1}", p) for i, p in enumerate(C.INSTRUCTION_PROMPTS)]
+    values = ", ".join(f"({s}, {q(k)}, {o}, {q(l)}, {q(p)})" for s, k, o, l, p in rows)
+    slot = f"(('0x' || substr(md5(concat_ws(':', 'prompt', i.conv_id, i.turn)), 1, 8))::BIGINT % {Q.N_PROMPTS})"
+    return (
+        f"WITH {INSTR}, reg(slot, kind, ordinal, label, prompt) AS (VALUES {values}), "
+        "nx AS (SELECT conv_id, turn - 2 AS turn, text AS next_user FROM conversations WHERE role = 'user'), "
+        f"c AS (SELECT r.label, r.kind, r.ordinal, r.prompt, r.prompt || {strip_sql('i.output')} || CASE WHEN nx.next_user IS NULL "
+        f"THEN '' ELSE {NL} || {NL} || '### Instruction:' || {NL} || nx.next_user END AS text FROM inst i "
+        "LEFT JOIN nx ON i.conv_id = nx.conv_id AND i.turn = nx.turn "
+        f"JOIN reg r ON r.slot = {slot}), "
+        "t AS (SELECT *, substr(text, length(prompt) + 1) AS rest FROM c WHERE kind = 'code'), "
+        "tc AS (SELECT *, CASE WHEN strpos(rest, '### Instruction:') > 0 THEN substr(text, 1, length(prompt)) || "
+        f"{strip_sql(BEFORE_CUT)} ELSE text END AS trimmed FROM t) "
+        "SELECT label, CAST(ordinal AS INTEGER) AS ordinal, count(*) AS n_completions, "
+        "CAST(sum(length(trimmed)) AS BIGINT) AS trimmed_chars FROM tc GROUP BY label, ordinal"
+    )
+
+
 def _steps(cfg=Q.METRIC_RUN) -> str:
     return f"WITH {EVENTS_MICRO}, {steps_cte(cfg.grad_accum, cfg.effective_batch, cfg.context)}"
 
@@ -126,16 +146,17 @@ def _masked_nll() -> str:
     )
 
 
-def _stream_pack(block: int = C.BLOCK) -> str:
+def _stream_pack(block: int = C.BLOCK, salt: int = Q.STREAM_SALT) -> str:
+    sub = f"CAST((('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % {salt}) AS INTEGER)"
     return (
-        f"WITH kept AS (SELECT doc_id, source, text FROM documents WHERE {R} = 'keep'), "
-        f"tok AS (SELECT doc_id, source, list_append({Q_IDS}, 0) AS ids FROM kept), "
-        "st AS (SELECT source, doc_id, ids, len(ids) AS n, sum(len(ids)) OVER (PARTITION BY source ORDER BY doc_id "
-        "ROWS UNBOUNDED PRECEDING) - len(ids) AS start FROM tok), "
-        "flat AS (SELECT source, start + unnest(generate_series(0, n - 1)) AS gpos, unnest(ids) AS id FROM st), "
-        f"ch AS (SELECT source, gpos // {block} AS chunk_idx, string_agg(id::VARCHAR, ' ' ORDER BY gpos) AS ids_text "
-        f"FROM flat GROUP BY 1, 2 HAVING count(*) = {block}) "
-        "SELECT source, CAST(chunk_idx AS BIGINT) AS chunk_idx, md5(ids_text) AS ids_md5 FROM ch"
+        f"WITH kept AS (SELECT doc_id, source, {sub} AS sub, text FROM documents WHERE {R} = 'keep'), "
+        f"tok AS (SELECT doc_id, source, sub, list_append({Q_IDS}, 0) AS ids FROM kept), "
+        "st AS (SELECT source, sub, doc_id, ids, len(ids) AS n, sum(len(ids)) OVER (PARTITION BY source, sub "
+        "ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - len(ids) AS start FROM tok), "
+        "flat AS (SELECT source, sub, start + unnest(generate_series(0, n - 1)) AS gpos, unnest(ids) AS id FROM st), "
+        f"ch AS (SELECT source, sub, gpos // {block} AS chunk_idx, string_agg(id::VARCHAR, ' ' ORDER BY gpos) AS ids_text "
+        f"FROM flat GROUP BY 1, 2, 3 HAVING count(*) = {block}) "
+        "SELECT source, sub, CAST(chunk_idx AS BIGINT) AS chunk_idx, md5(ids_text) AS ids_md5 FROM ch"
     )
 
 
@@ -239,6 +260,7 @@ def oracles() -> dict[str, str]:
             f"WITH {_completions()} SELECT conv_id, turn, CAST(length(prompt) AS INTEGER) AS prompt_chars, "
             "trimmed <> text AS was_cut, trimmed AS text FROM tc"
         ),
+        "prompt_registry": _prompt_registry(),
         "step_loss": f"{_steps()} SELECT run_id, step, train_loss, grad_norm, tokens_seen FROM s",
         "step_sample": f"{_steps()} SELECT run_id, step, train_loss, grad_norm, tokens_seen FROM s "
                        f"WHERE step % {Q.SAMPLE_EVERY} = 0",

@@ -25,7 +25,7 @@ from tessera.operators.packing import pack, pack_progress, running_offset
 from tessera.operators.quality import quality_filter, quality_signals, reject_funnel, reject_reason
 from tessera.operators.splits import dataset_summary, seeded_order, split_exact, val_count
 from tessera.operators.tokenize import token_stats, tokenize
-from tessera.plans.corpus import filtered_tokens, spread
+from tessera.plans.corpus import budgeted_tokens, filtered_tokens, spread
 from tessera.session import ensure_checkpoint_dir, materialize
 
 PROSE = QualityConfig(profile="prose")
@@ -39,6 +39,7 @@ METRIC_RUN = TrainConfig(grad_accum=4)
 SAMPLE_EVERY = 5
 SFT = SftConfig()
 SFT_SHORT = SftConfig(max_len=64)
+STREAM_SALT = 4
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -139,7 +140,8 @@ def q_packed_chunks(spark, sf):
 
 def q_token_budget(spark, sf):
     cfg = PackConfig(target_tokens=BUDGET_TOKENS)
-    return kept_chunks(spark, sf, cfg).select("chunk_id", arr_md5("input_ids").alias("ids_md5"))
+    tokens = budgeted_tokens(table(spark, sf, "documents"), PROSE, cfg)
+    return materialize(pack(tokens, cfg)).select("chunk_id", arr_md5("input_ids").alias("ids_md5"))
 
 
 def q_pack_progress(spark, sf):
@@ -300,6 +302,41 @@ def q_eval_report(spark, sf):
     return E.eval_report(v, p)
 
 
+N_PROMPTS = 10
+
+
+def registry_completions(spark, sf) -> DataFrame:
+    """Stand-in generations for the registry prompts: each instruction row of the turn table is
+    assigned to one prompt by an md5 slot, and its answer (plus the next instruction block,
+    as a model that runs on would write it) becomes that prompt's completion."""
+    prompts = E.prompt_table(spark)
+    slots = prompts.select(
+        "label", "prompt",
+        F.when(F.col("kind") == "code", F.col("ordinal") - 1).otherwise(F.col("ordinal") + 4).alias("slot"),
+    )
+    nxt = table(spark, sf, "conversations").where(F.col("role") == "user").select(
+        "conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("next_user")
+    )
+    key = F.md5(F.concat_ws(":", F.lit("prompt"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    slot = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint"), F.lit(N_PROMPTS))
+    tail = F.when(F.col("next_user").isNull(), F.lit("")).otherwise(
+        F.concat(F.lit("\n\n### Instruction:\n"), F.col("next_user"))
+    )
+    inst = instructions(spark, sf).join(nxt, ["conv_id", "turn"], "left").withColumn("slot", slot.cast("int"))
+    return inst.join(F.broadcast(slots), "slot").select(
+        "label", "prompt", F.concat("prompt", py_strip("output"), tail).alias("text")
+    )
+
+
+def q_prompt_registry(spark, sf):
+    prompts = E.prompt_table(spark)
+    scored = E.scored_completions(registry_completions(spark, sf), prompts)
+    return scored.groupBy("label", "ordinal").agg(
+        F.count(F.lit(1)).alias("n_completions"),
+        F.sum(F.length("text")).cast("long").alias("trimmed_chars"),
+    )
+
+
 def q_step_loss(spark, sf):
     return step_rows(spark, sf)
 
@@ -326,12 +363,12 @@ def q_stream_pack(spark, sf):
 
     base = _stream_dir(spark, "stream_pack")
     toks = stream_tokens(spark, os.path.join(sf, "documents.parquet"), PROSE, shard_col="source")
-    packed = pack_stream(toks, "source", BLOCK, "doc_id", "ids")
+    packed = pack_stream(toks, "source", BLOCK, "doc_id", "ids", salt=STREAM_SALT)
     q = run(packed, "stream_pack", sink="parquet", path=os.path.join(base, "out"),
             checkpoint=os.path.join(base, "ckpt"))
     q.awaitTermination()
     out = spark.read.parquet(os.path.join(base, "out"))
-    return out.select(F.col("source"), "chunk_idx", arr_md5("input_ids").alias("ids_md5"))
+    return out.select(F.col("source"), "sub", "chunk_idx", arr_md5("input_ids").alias("ids_md5"))
 
 
 def q_stream_funnel(spark, sf):
@@ -377,6 +414,7 @@ QUERIES = {
     "val_loss_perplexity": q_val_loss_perplexity,
     "masked_nll": q_masked_nll,
     "completion_trim": q_completion_trim,
+    "prompt_registry": q_prompt_registry,
     "syntax_pass_rate": q_syntax_pass_rate,
     "eval_report": q_eval_report,
     "step_loss": q_step_loss,

@@ -17,6 +17,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -27,12 +28,28 @@ STATE_SCHEMA = T.StructType([
 ])
 
 
+SUB_COL = "sub"
+
+
+def sub_shard(order_col: str, salt: int):
+    """Deterministic sub-shard of a document: ``md5(doc key)[:8] mod salt``."""
+    key = F.md5(F.col(order_col).cast("string"))
+    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint"), F.lit(salt)).cast("int")
+
+
 def pack_stream(df: DataFrame, shard_col: str = "shard", block: int = 1024, order_col: str = "doc_id",
-                ids_col: str = "ids", target_tokens_per_shard: int | None = None) -> DataFrame:
-    """R2 (+R3): ``(shard, chunk_idx, input_ids)`` from a stream of tokenised documents."""
+                ids_col: str = "ids", target_tokens_per_shard: int | None = None, salt: int = 1) -> DataFrame:
+    """R2 (+R3): ``(shard, sub, chunk_idx, input_ids)`` from a stream of tokenised documents.
+
+    ``salt > 1`` splits every shard into that many sub-shards by a hash of the
+    document key, each with its own buffer, so a shard holding a large share of
+    the stream is packed by ``salt`` tasks instead of one. Each sub-shard strands
+    fewer than ``block`` tokens; the budget applies per sub-shard.
+    """
     shard_type = df.schema[shard_col].dataType
     out_schema = T.StructType([
         T.StructField(shard_col, shard_type),
+        T.StructField(SUB_COL, T.IntegerType()),
         T.StructField("chunk_idx", T.LongType()),
         T.StructField("input_ids", T.ArrayType(T.IntegerType())),
     ])
@@ -64,10 +81,12 @@ def pack_stream(df: DataFrame, shard_col: str = "shard", block: int = 1024, orde
             blocks = stream[: n_full * block].reshape(n_full, block)
             yield pd.DataFrame({
                 shard_col: [key[0]] * n_full,
+                SUB_COL: np.full(n_full, key[1], dtype=np.int32),
                 "chunk_idx": np.arange(first, first + n_full, dtype=np.int64),
                 "input_ids": list(blocks),
             })
 
-    return df.select(shard_col, order_col, ids_col).groupBy(shard_col).applyInPandasWithState(
+    keyed = df.select(shard_col, order_col, ids_col).withColumn(SUB_COL, sub_shard(order_col, max(1, salt)))
+    return keyed.groupBy(shard_col, SUB_COL).applyInPandasWithState(
         step, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )

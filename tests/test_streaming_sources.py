@@ -16,57 +16,55 @@ PROSE = QualityConfig(profile="prose")
 BLOCK = 64
 
 
-def write_parts(spark, folder, n_parts=4):
+def write_parts(spark, folder, n_parts=4, only=None):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     n = docs.count()
     bounds = [round(i * n / n_parts) for i in range(n_parts + 1)]
-    for i in range(n_parts):
+    for i in (range(n_parts) if only is None else only):
         part = docs.where((F.col("doc_id") >= bounds[i]) & (F.col("doc_id") < bounds[i + 1]))
         part.coalesce(1).write.parquet(os.path.join(folder, f"part{i}"))
     return docs
 
 
-def brute_per_shard(spark, docs, limit_chunks=None):
+def brute_per_shard(spark, docs, limit_chunks=None, salt=1):
+    import hashlib
+
     toks = tokenize(quality_filter(docs.select("doc_id", "text", "source"), PROSE)).collect()
     by = {}
     for r in sorted(toks, key=lambda r: r.doc_id):
-        by.setdefault(r.source, []).extend(r.ids)
+        sub = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:8], 16) % salt
+        by.setdefault((r.source, sub), []).extend(r.ids)
     out = set()
     for shard, stream in by.items():
         chunks = [stream[i:i + BLOCK] for i in range(0, len(stream) - BLOCK + 1, BLOCK)]
         if limit_chunks is not None:
             chunks = chunks[:limit_chunks]
-        out |= {(shard, i, tuple(c)) for i, c in enumerate(chunks)}
+        out |= {(*shard, i, tuple(c)) for i, c in enumerate(chunks)}
     return out
 
 
-def stream_parts(spark, src, dst, ckpt, budget=None):
+def stream_parts(spark, src, dst, ckpt, budget=None, salt=1):
     files = sorted(os.listdir(src))
     # one folder per part: the file source reads the parts in arrival order
     toks = stream_tokens(spark, src + "/*", PROSE, shard_col="source", max_files_per_trigger=1)
-    packed = pack_stream(toks, "source", BLOCK, "doc_id", "ids", target_tokens_per_shard=budget)
+    packed = pack_stream(toks, "source", BLOCK, "doc_id", "ids", target_tokens_per_shard=budget, salt=salt)
     q = run(packed, "pack", sink="parquet", path=dst, checkpoint=ckpt)
     q.awaitTermination()
     return files
 
 
 def collected(spark, dst):
-    return {(r.source, r.chunk_idx, tuple(r.input_ids)) for r in spark.read.parquet(dst).collect()}
+    return {(r.source, r.sub, r.chunk_idx, tuple(r.input_ids)) for r in spark.read.parquet(dst).collect()}
 
 
 def test_stream_pack_equals_batch_with_restart(spark, tmp_path):
     src = str(tmp_path / "src")
-    staging = str(tmp_path / "staging")
-    docs = write_parts(spark, staging)
-    os.makedirs(src)
     dst, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
-    # first run sees two parts, the restart sees the other two
-    for name in ["part0", "part1"]:
-        os.rename(os.path.join(staging, name), os.path.join(src, name))
+    # the first run sees two parts; two more arrive and the restarted query picks them up
+    docs = write_parts(spark, src, only=[0, 1])
     stream_parts(spark, src, dst, ckpt)
     first = collected(spark, dst)
-    for name in ["part2", "part3"]:
-        os.rename(os.path.join(staging, name), os.path.join(src, name))
+    write_parts(spark, src, only=[2, 3])
     stream_parts(spark, src, dst, ckpt)
     got = collected(spark, dst)
     assert first < got
@@ -81,6 +79,16 @@ def test_stream_budget_per_shard(spark, tmp_path):
     assert collected(spark, dst) == brute_per_shard(spark, docs, limit_chunks=2)
 
 
+def test_stream_salted_sub_shards(spark, tmp_path):
+    src = str(tmp_path / "src")
+    docs = write_parts(spark, src)
+    dst, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    stream_parts(spark, src, dst, ckpt, salt=3)
+    got = collected(spark, dst)
+    assert {s for _, s, _, _ in got} <= {0, 1, 2}
+    assert got == brute_per_shard(spark, docs, salt=3)
+
+
 def test_stream_funnel_equals_batch(spark, tmp_path):
     path = "/root/testdata/sf0.001/documents.parquet"
     out = str(tmp_path / "funnel")

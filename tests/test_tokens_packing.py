@@ -163,3 +163,18 @@ def test_pack_plan_has_no_row_level_global_window(spark):
     for line in plan.splitlines():
         if "Window [" in line:
             assert "__bucket" in line, line
+
+
+def test_budgeted_tokens_stop_early_and_pack_identically(spark):
+    from tessera.config import QualityConfig
+    from tessera.plans.corpus import budgeted_tokens, filtered_tokens
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prose = QualityConfig(profile="prose")
+    cfg = PackConfig(target_tokens=25_000)
+    part = budgeted_tokens(docs, prose, cfg, first_width=16)
+    full = filtered_tokens(docs, prose)
+    assert part.count() < full.count()
+    a = [r.input_ids for r in pack(part, cfg).orderBy("chunk_id").collect()]
+    b = [r.input_ids for r in pack(full, cfg).orderBy("chunk_id").collect()]
+    assert a == b and len(a) == 25
