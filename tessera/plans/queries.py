@@ -362,7 +362,8 @@ def q_stream_pack(spark, sf):
     from tessera.streaming.packer import pack_stream
 
     base = _stream_dir(spark, "stream_pack")
-    toks = stream_tokens(spark, os.path.join(sf, "documents.parquet"), PROSE, shard_col="source")
+    toks = stream_tokens(spark, os.path.join(sf, "documents.parquet"), PROSE, shard_col="source",
+                         spread_to=spark.sparkContext.defaultParallelism)
     packed = pack_stream(toks, "source", BLOCK, "doc_id", "ids", salt=STREAM_SALT)
     q = run(packed, "stream_pack", sink="parquet", path=os.path.join(base, "out"),
             checkpoint=os.path.join(base, "ckpt"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,20 @@ from tessera.sources.io import read_corpus
 
 
 def stream_tokens(spark: SparkSession, path: str, cfg: QualityConfig = QualityConfig(), tokenizer=None,
-                  shard_col: str | None = "source", max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stateless filter and tokenise over a file stream; the same functions as in batch."""
+                  shard_col: str | None = "source", max_files_per_trigger: int | None = None,
+                  spread_to: int | None = None) -> DataFrame:
+    """Stateless filter and tokenise over a file stream; the same functions as in batch.
+
+    ``spread_to`` hash-partitions each micro-batch by document before the filter,
+    for streams whose files are few and large (one file is read by one task). The
+    ``observe`` node keeps the filter from being pushed back below the repartition.
+    """
     extra = (shard_col,) if shard_col else ()
     docs = read_corpus(spark, path, extra_cols=extra, streaming=True, max_files_per_trigger=max_files_per_trigger)
+    if spread_to:
+        docs = docs.repartition(spread_to, "doc_id").observe(
+            f"stream_spread_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows")
+        )
     return tokenize(quality_filter(docs, cfg), tokenizer)
 
 
