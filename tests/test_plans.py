@@ -1,0 +1,49 @@
+"""Composed jobs: corpus build (skip when built, exact split) and SFT build."""
+
+from pyspark.sql import functions as F
+
+from tessera.config import PackConfig, QualityConfig, SftConfig
+from tessera.plans.corpus import build_corpus, corpus_tables
+from tessera.plans.sft import sft_tables, train_manifest, val_batches
+from tessera.sources.io import read_split
+
+from .conftest import SF0001
+
+
+def test_build_corpus_writes_once_and_splits_exactly(spark, tmp_path):
+    out = str(tmp_path / "data")
+    prose = QualityConfig(profile="prose")
+    summary = build_corpus(spark, f"{SF0001}/documents.parquet", out, prose, PackConfig()).first()
+    assert summary.n_chunks == summary.train_chunks + summary.val_chunks
+    assert summary.val_chunks == max(1, int(summary.n_chunks * 0.005))
+    assert build_corpus(spark, f"{SF0001}/documents.parquet", out, prose) is None  # already built
+    val = read_split(spark, out, "val")
+    assert val.count() == summary.val_chunks
+    assert val.where(F.size("input_ids") != 1024).count() == 0
+
+
+def test_corpus_tables_budget_matches_full(spark):
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    prose = QualityConfig(profile="prose")
+    t = corpus_tables(docs, prose, PackConfig(target_tokens=5 * 1024))
+    assert t.chunks.count() == 5
+    full = corpus_tables(docs, prose, PackConfig(target_tokens=None))
+    a = {r.chunk_id: r.input_ids for r in t.chunks.collect()}
+    b = {r.chunk_id: r.input_ids for r in full.chunks.where("chunk_id < 5").collect()}
+    assert a == b
+
+
+def test_sft_build(spark):
+    turns = spark.read.parquet(f"{SF0001}/conversations.parquet")
+    cfg = SftConfig()
+    t = sft_tables(turns, cfg)
+    summ = {r.split: r for r in t.summary.collect()}
+    assert sum(r.loaded for r in summ.values()) == t.samples.count()
+    val = val_batches(t, cfg).collect()
+    for r in val:
+        assert len(r.input_ids) == len(r.labels) == len(r.attention_mask) == r.batch_len
+    man = train_manifest(t, cfg).collect()
+    n_train = summ["train"].loaded
+    groups = -(-n_train // cfg.batch_size) // cfg.grad_accum
+    assert max((r.step for r in man), default=0) == groups * cfg.epochs
+    assert {r.epoch for r in man} <= set(range(cfg.epochs))
