@@ -114,8 +114,10 @@ class PackConfig:
     progress_every: int = PROGRESS_EVERY_CHUNKS
     # Upper bound on the number of order buckets used by the two-level prefix
     # sum. The bucket-offset table has at most this many rows, which is what
-    # makes broadcasting it safe.
+    # makes broadcasting it safe. Below the bound, buckets are sized to about
+    # ``rows_per_bucket`` rows each (the rows one window task sorts).
     max_buckets: int = 4096
+    rows_per_bucket: int = 1_000_000
 
 
 @dataclass(frozen=True)

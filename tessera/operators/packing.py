@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import PackConfig
-from tessera.operators.prefix import key_range, ordered_offsets, range_bucket
+from tessera.operators.prefix import bucket_count, key_stats, ordered_offsets, range_bucket
 
 
 def running_offset(df: DataFrame, order_col: str = "doc_id", n_col: str = "n_tokens",
@@ -26,8 +26,8 @@ def running_offset(df: DataFrame, order_col: str = "doc_id", n_col: str = "n_tok
     it, at most ``cfg.max_buckets``. Pass ``bucket`` for another order key.
     """
     if bucket is None:
-        lo, hi = key_range(df, order_col)
-        bucket = range_bucket(F.col(order_col), lo, hi, cfg.max_buckets)
+        lo, hi, n = key_stats(df, order_col)
+        bucket = range_bucket(F.col(order_col), lo, hi, bucket_count(n, cfg.max_buckets, cfg.rows_per_bucket))
     return ordered_offsets(df, n_col, [order_col], bucket, out=out)
 
 

@@ -36,6 +36,20 @@ def key_range(df: DataFrame, col: str | Column) -> tuple[int, int]:
     return int(lo), int(hi)
 
 
+def key_stats(df: DataFrame, col: str | Column) -> tuple[int, int, int]:
+    """(min, max, count) of an integral key in one aggregate pass. Empty input gives (0, 0, 0)."""
+    c = F.col(col) if isinstance(col, str) else col
+    row = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("n")).first()
+    if row["lo"] is None:
+        return 0, 0, 0
+    return int(row["lo"]), int(row["hi"]), int(row["n"])
+
+
+def bucket_count(n_rows: int, max_buckets: int, rows_per_bucket: int = 1_000_000) -> int:
+    """Enough buckets that each window sorts about ``rows_per_bucket`` rows, at most ``max_buckets``."""
+    return max(1, min(max_buckets, math.ceil(n_rows / rows_per_bucket)))
+
+
 def range_bucket(key: Column, lo: int, hi: int, max_buckets: int) -> Column:
     """Equal-width buckets over ``[lo, hi]``; at most ``max_buckets`` of them, monotone in key."""
     width = max(1, math.ceil((hi - lo + 1) / max(1, max_buckets)))

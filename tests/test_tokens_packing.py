@@ -31,7 +31,8 @@ def brute_pack(rows, block, limit=None):
 
 
 def packed(df, block, **kw):
-    cfg = PackConfig(block=block, target_tokens=kw.pop("target", None), max_buckets=kw.pop("buckets", 4096))
+    cfg = PackConfig(block=block, target_tokens=kw.pop("target", None), max_buckets=kw.pop("buckets", 4096),
+                     rows_per_bucket=1)
     return [r.input_ids for r in pack(df, cfg, **kw).orderBy("chunk_id").collect()]
 
 
@@ -72,7 +73,8 @@ def test_file_tokenizer_with_mapinarrow(spark, tmp_path):
 @pytest.mark.parametrize("buckets", [1, 3, 4096])
 def test_offsets_invariant_to_bucket_width(spark, buckets):
     df, rows = ids_table(spark, [5, 0, 7, 1, 12, 3, 3], start_id=10)
-    got = {r.doc_id: r.start for r in running_offset(df, cfg=PackConfig(max_buckets=buckets)).collect()}
+    cfg = PackConfig(max_buckets=buckets, rows_per_bucket=1)
+    got = {r.doc_id: r.start for r in running_offset(df, cfg=cfg).collect()}
     acc, want = 0, {}
     for doc_id, _, n in rows:
         want[doc_id] = acc
@@ -159,7 +161,7 @@ def test_dataset_summary(spark):
 
 def test_pack_plan_has_no_row_level_global_window(spark):
     df, _ = ids_table(spark, [50] * 20)
-    plan = pack(df, PackConfig(block=64))._jdf.queryExecution().executedPlan().toString()
+    plan = pack(df, PackConfig(block=64, rows_per_bucket=4))._jdf.queryExecution().executedPlan().toString()
     for line in plan.splitlines():
         if "Window [" in line:
             assert "__bucket" in line, line
