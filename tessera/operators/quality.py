@@ -50,13 +50,25 @@ def _has_structure(t: Column, cfg: QualityConfig) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(t, F.lit(m)) for m in cfg.structure_markers])
 
 
-def _native_rules(t: Column, cfg: QualityConfig) -> list[tuple[str, Column]]:
-    """(reason, failed) pairs of the native rules, in reference order."""
-    n = n_chars(t)
+def _line_rules(t: Column, n: Column, cfg: QualityConfig) -> Column:
+    """'lines', 'avg_line' or NULL, with the line count computed once.
+
+    Filter conditions get no common-subexpression elimination in codegen, so two
+    rules over ``n_lines`` would run the line regex twice; binding it once in a
+    one-element ``aggregate`` halves the cost of these two rules.
+    """
+    def rule(_acc, lines):
+        avg = n / F.greatest(lines, F.lit(1))
+        return F.when(lines < cfg.min_lines, F.lit("lines")).when(
+            ~avg.between(cfg.min_avg_line, cfg.max_avg_line), F.lit("avg_line")
+        )
+
+    return F.aggregate(F.array(n_lines(t)), F.lit(None).cast("string"), rule)
+
+
+def _later_rules(t: Column, n: Column, cfg: QualityConfig) -> list[tuple[str, Column]]:
+    """(reason, failed) pairs after the line rules, in reference order."""
     rules = [
-        ("chars", t.isNull() | (n < cfg.min_chars) | (n > cfg.max_chars)),
-        ("lines", n_lines(t) < cfg.min_lines),
-        ("avg_line", ~avg_line(t).between(cfg.min_avg_line, cfg.max_avg_line)),
         ("alnum", alnum_ratio(t) < cfg.min_alnum_ratio),
         ("autogen", _has_marker(t, cfg)),
     ]
@@ -66,20 +78,28 @@ def _native_rules(t: Column, cfg: QualityConfig) -> list[tuple[str, Column]]:
     return rules
 
 
+def _chars_fail(t: Column, n: Column, cfg: QualityConfig) -> Column:
+    return t.isNull() | (n < cfg.min_chars) | (n > cfg.max_chars)
+
+
 def native_reason(text, cfg: QualityConfig = QualityConfig()) -> Column:
     """First failing native rule, or NULL if all native rules pass (F10 without F8)."""
     t = _c(text)
-    rules = _native_rules(t, cfg)
-    expr = F.when(rules[0][1], F.lit(rules[0][0]))
-    for name, failed in rules[1:]:
-        expr = expr.when(failed, F.lit(name))
-    return expr
+    n = n_chars(t)
+    later = _later_rules(t, n, cfg)
+    rest = F.when(later[0][1], F.lit(later[0][0]))
+    for name, failed in later[1:]:
+        rest = rest.when(failed, F.lit(name))
+    return F.when(_chars_fail(t, n, cfg), F.lit("chars")).otherwise(F.coalesce(_line_rules(t, n, cfg), rest))
 
 
 def passes_native(text, cfg: QualityConfig = QualityConfig()) -> Column:
     t = _c(text)
-    failed = reduce(lambda a, b: a | b, [f for _, f in _native_rules(t, cfg)])
-    return ~failed
+    n = n_chars(t)
+    ok = ~_chars_fail(t, n, cfg) & _line_rules(t, n, cfg).isNull()
+    for _, failed in _later_rules(t, n, cfg):
+        ok = ok & ~failed
+    return ok
 
 
 def reject_reason(df: DataFrame, cfg: QualityConfig = QualityConfig(), text_col: str = "text",
