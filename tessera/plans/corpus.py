@@ -25,20 +25,25 @@ from tessera.session import ensure_checkpoint_dir, materialize
 from tessera.sources.io import is_built, read_corpus, write_splits
 
 
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Hash-partition by ``key`` only when the input has fewer splits than the cluster has cores.
-
-    A corpus stored as one large row group is read by a single task; at scale the
-    input already has many splits and this adds no shuffle. The ``observe`` node
-    (a row count, reported to listeners) keeps Catalyst from pushing the caller's
-    filters below the repartition, which would put the per-row work back into the
+def spread(df: DataFrame, *keys: str, force: bool = False) -> DataFrame:
+    """Hash-partition by ``keys`` (default ``doc_id``) before CPU-heavy per-row work.
+
+    Without ``force`` it only acts when the input has fewer splits than the
+    cluster has cores: a corpus stored as one large row group is read by a single
+    task, while at scale the input already has many splits and this adds no
+    shuffle. ``force`` is for small tables that come out of a shuffle, which AQE
+    coalesces by bytes into a few partitions, too few for tokenising; a
+    repartition with an explicit count is not coalesced. The ``observe`` node (a
+    row count, reported to listeners) keeps Catalyst from pushing the caller's
+    filters below the repartition, which would put the work back into the
     single input task.
     """
+    keys = keys or ("doc_id",)
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if not force and df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key).observe(f"spread_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
+    return df.repartition(cores, *keys).observe(f"spread_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
 
 
 @dataclass

@@ -26,6 +26,7 @@ from tessera.operators.quality import quality_filter, quality_signals, reject_fu
 from tessera.operators.splits import dataset_summary, seeded_order, split_exact, val_count
 from tessera.operators.tokenize import token_stats, tokenize
 from tessera.plans.corpus import budgeted_tokens, filtered_tokens, spread
+from tessera.plans.sft import split_samples
 from tessera.session import ensure_checkpoint_dir, materialize
 
 PROSE = QualityConfig(profile="prose")
@@ -71,16 +72,26 @@ def corpus_split(spark, sf) -> DataFrame:
 
 
 def instructions(spark, sf) -> DataFrame:
-    return S.turns_to_instructions(spread(table(spark, sf, "conversations"), "conv_id"))
+    return S.turns_to_instructions(table(spark, sf, "conversations"))
 
 
 def sft_split_rows(spark, sf) -> DataFrame:
     return S.sft_split(instructions(spark, sf), SFT)
 
 
+def spread_instructions(spark, sf) -> DataFrame:
+    """Instruction rows spread over the cores before tokenising (see ``plans.corpus.spread``)."""
+    return spread(instructions(spark, sf), "conv_id", "turn", force=True)
+
+
+def all_samples(spark, sf) -> DataFrame:
+    """Every instruction row with sample columns, reason and split (tokenised once)."""
+    return split_samples(instructions(spark, sf), SFT)
+
+
 def kept_samples(spark, sf) -> DataFrame:
-    samples = materialize(S.sft_samples(sft_split_rows(spark, sf), cfg=SFT))
-    return S.batch_positions(samples, SFT.seed)
+    kept = all_samples(spark, sf).where(F.col("reason") == "keep")
+    return S.batch_positions(kept, SFT.seed)
 
 
 def micro_steps(spark, sf) -> DataFrame:
@@ -178,15 +189,15 @@ def _sample_report(df: DataFrame) -> DataFrame:
 
 
 def q_sft_masked_labels(spark, sf):
-    return _sample_report(S.sft_samples(instructions(spark, sf), cfg=SFT, keep_all=True))
+    return _sample_report(S.sft_samples(spread_instructions(spark, sf), cfg=SFT, keep_all=True))
 
 
 def q_sft_truncated(spark, sf):
-    return _sample_report(S.sft_samples(instructions(spark, sf), cfg=SFT_SHORT, keep_all=True))
+    return _sample_report(S.sft_samples(spread_instructions(spark, sf), cfg=SFT_SHORT, keep_all=True))
 
 
 def q_sft_summary(spark, sf):
-    return S.sft_summary(S.sft_samples(sft_split_rows(spark, sf), cfg=SFT, keep_all=True))
+    return S.sft_summary(all_samples(spark, sf))
 
 
 def q_sft_split(spark, sf):
@@ -201,7 +212,7 @@ def q_sft_collated(spark, sf):
 
 
 def q_supervised_tokens(spark, sf):
-    s = S.sft_samples(instructions(spark, sf), cfg=SFT)
+    s = S.sft_samples(spread_instructions(spark, sf), cfg=SFT)
     return s.select("conv_id", "turn", S.n_supervised("labels").alias("n_supervised"))
 
 
@@ -246,7 +257,7 @@ E_BATCH = 4
 
 
 def _sft_token_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
-    samples = materialize(S.sft_samples(sft_split_rows(spark, sf), cfg=SFT))
+    samples = all_samples(spark, sf).where(F.col("reason") == "keep")
     scores = E.unigram_nll(samples.where(F.col("split") == "train"))
     rows = E.supervised_token_rows(samples, ("split", "conv_id", "turn"))
     return E.score_tokens(rows, scores), samples
@@ -283,7 +294,7 @@ def q_completion_trim(spark, sf):
 
 
 def q_syntax_pass_rate(spark, sf):
-    c = E.trim_completion(completions(spark, sf))
+    c = spread(E.trim_completion(completions(spark, sf)), "conv_id", "turn", force=True)
     kind = F.when(F.col("input").isNull() | (F.length(py_strip("input")) == 0), "plain").otherwise("with_input")
     return E.syntax_pass_rate(c.withColumn("kind", kind), by=("kind",))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.config import SftConfig, TrainConfig
 from tessera.operators.manifest import manifest
 from tessera.operators.sft import batch_positions, collate, sft_samples, sft_split, sft_summary, turns_to_instructions
+from tessera.plans.corpus import spread
 from tessera.session import materialize
 
 
@@ -20,14 +21,25 @@ class SftTables:
     summary: DataFrame
 
 
+def split_samples(instructions: DataFrame, cfg: SftConfig = SftConfig(), tokenizer=None) -> DataFrame:
+    """Every instruction row with its sample columns, reason and split.
+
+    Samples are built (tokenised) once on all rows, spread over the cores, and
+    materialised; the split is then taken over all rows, rejected ones included.
+    That is the reference's order, split before filtering, so skipped samples
+    shrink each side separately, without tokenising after a shuffle that AQE
+    may have coalesced into one partition.
+    """
+    rows = spread(instructions, "conv_id", "turn", force=True)
+    samples_all = materialize(sft_samples(rows, tokenizer, cfg, keep_all=True))
+    return sft_split(samples_all, cfg)
+
+
 def sft_tables(turns_or_instructions: DataFrame, cfg: SftConfig = SftConfig(), tokenizer=None) -> SftTables:
     df = turns_or_instructions
     if "instruction" not in df.columns:
         df = turns_to_instructions(df)
-    # The split comes before sample filtering, as in the reference: skipped
-    # samples shrink each side separately.
-    split = sft_split(df, cfg)
-    samples_all = materialize(sft_samples(split, tokenizer, cfg, keep_all=True))
+    samples_all = split_samples(df, cfg, tokenizer)
     kept = samples_all.where(F.col("reason") == "keep")
     positioned = batch_positions(kept, cfg.seed)
     return SftTables(samples_all, positioned, sft_summary(samples_all))
