@@ -8,7 +8,6 @@ compared value by value.
 
 from __future__ import annotations
 
-import math
 import os
 from decimal import Decimal
 
@@ -384,7 +383,7 @@ def q_stream_pack(spark, sf):
 
 
 def q_stream_funnel(spark, sf):
-    from tessera.streaming.jobs import checkpoint_location, stream_funnel
+    from tessera.streaming.jobs import stream_funnel
 
     base = _stream_dir(spark, "stream_funnel")
     out_path = os.path.join(base, "out")

@@ -3,7 +3,6 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tessera.config import QualityConfig
 from tessera.functions.syntax import compiles

@@ -1,6 +1,5 @@
 """Tokenizer, two-level offsets, tight packing, budget, split, against brute force."""
 
-import json
 import math
 import random
 
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.config import PackConfig
 from tessera.functions.tokens import FileTokenizer, HashTokenizer
 from tessera.operators.packing import pack, pack_progress, running_offset
-from tessera.operators.prefix import global_rank, hex_bucket, ordered_offsets, range_bucket
+from tessera.operators.prefix import global_rank, range_bucket
 from tessera.operators.splits import dataset_summary, seeded_order, split_exact
 from tessera.operators.tokenize import token_stats, tokenize
 
