@@ -47,3 +47,35 @@ def test_sft_build(spark):
     groups = -(-n_train // cfg.batch_size) // cfg.grad_accum
     assert max((r.step for r in man), default=0) == groups * cfg.epochs
     assert {r.epoch for r in man} <= set(range(cfg.epochs))
+
+
+def _windows(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Window [" in line]
+
+
+def test_rank_plans_have_no_unbucketed_row_window(spark):
+    from tessera.operators import manifest as B
+    from tessera.operators import metrics as M
+    from tessera.operators import sft as S
+    from tessera.operators.splits import split_exact
+
+    chunks = spark.range(500).withColumnRenamed("id", "chunk_id")
+    events = spark.read.parquet(f"{SF0001}/events.parquet").withColumnRenamed("user_id", "run_id")
+    samples = spark.createDataFrame([(i, 1, "train", [1, 2, 3], [-100, 2, 3]) for i in range(50)],
+                                    "conv_id long, turn long, split string, input_ids array<int>, labels array<int>")
+    plans = [
+        split_exact(chunks, ["chunk_id"], 0.01, 42),
+        B.epoch_order(chunks, ["chunk_id"], 42, 2),
+        M.micro_index(events, "run_id", "ts", "event_id"),
+        S.collate(S.batch_positions(samples, 42), 2),
+    ]
+    for df in plans:
+        lines = _windows(df)
+        assert lines
+        for line in lines:
+            if "__pfx_bt" in line:
+                continue  # a window over the bucket totals, at most max_buckets rows per group
+            # every row-level window is partitioned by an order bucket or a micro-batch
+            spec = line.split("windowspecdefinition(", 1)[1]
+            assert "__bucket" in spec or "batch_id" in spec, line

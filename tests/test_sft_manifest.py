@@ -183,3 +183,26 @@ def test_epoch_order_is_permutation_per_epoch(spark):
         assert pos == list(range(40))
     orders = [tuple(r.chunk_id for r in sorted((r for r in out if r.epoch == e), key=lambda r: r.pos)) for e in range(3)]
     assert len(set(orders)) == 3
+
+
+def test_file_tokenizer_in_sft_samples(spark, tmp_path):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    words = ["###", "Instruction", "Response", ":", "write", "code", "now", "please", "ok", "done", "x"]
+    vocab = {"[UNK]": 1, **{w: i + 2 for i, w in enumerate(words)}}
+    tok = Tokenizer(WordLevel(vocab, unk_token="[UNK]"))
+    tok.pre_tokenizer = Whitespace()
+    path = str(tmp_path / "tok.json")
+    tok.save(path)
+    from tessera.functions.tokens import FileTokenizer
+
+    df = inst_df(spark, [("write code now please", None, "ok done x x x")])
+    r = S.sft_samples(df, FileTokenizer(path), SftConfig(min_tokens=1)).first()
+    text = py_format("write code now please", None, "ok done x x x")
+    full = tok.encode(text, add_special_tokens=False).ids + [0]
+    prefix = tok.encode(text[: text.find(MARK) + len(MARK)], add_special_tokens=False).ids
+    assert r.input_ids == full
+    assert r.prompt_len == len(prefix)
+    assert r.labels == [-100] * len(prefix) + full[len(prefix):]
