@@ -31,14 +31,26 @@ def _c(col) -> Column:
 
 
 class HashTokenizer:
-    """Native hashing tokenizer; ids are ``md5(piece)[:8] mod (vocab - 1) + 1``, EOS keeps 0."""
+    """Native hashing tokenizer; ids are ``hash(piece) mod (vocab - 1) + 1``, EOS keeps 0.
 
-    def __init__(self, vocab_size: int = VOCAB_SIZE, eos_id: int = EOS_ID, pattern: str = TOKEN_PATTERN):
+    ``hash_fn="md5"`` (default) takes the first 8 hex digits of md5, which DuckDB
+    computes identically, so results can be checked by an oracle.
+    ``hash_fn="xxhash64"`` uses Spark's native 64-bit hash, about 3.5x faster in the
+    JVM (measured at sf0.1), for runs that need no cross-engine check.
+    """
+
+    HASHES = ("md5", "xxhash64")
+
+    def __init__(self, vocab_size: int = VOCAB_SIZE, eos_id: int = EOS_ID, pattern: str = TOKEN_PATTERN,
+                 hash_fn: str = "md5"):
         if eos_id != 0:
             raise ValueError("the hashing tokenizer reserves id 0 for EOS")
+        if hash_fn not in self.HASHES:
+            raise ValueError(f"hash_fn must be one of {self.HASHES}")
         self.vocab_size = vocab_size
         self.eos_id = eos_id
         self.pattern = pattern
+        self.hash_fn = hash_fn
 
     def pieces(self, text) -> Column:
         return F.regexp_extract_all(_c(text), F.lit(self.pattern), F.lit(0))
@@ -48,7 +60,10 @@ class HashTokenizer:
         m = self.vocab_size - 1
 
         def h(w: Column) -> Column:
-            hi = F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint")
+            if self.hash_fn == "xxhash64":
+                hi = F.xxhash64(w)
+            else:
+                hi = F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint")
             return (F.pmod(hi, F.lit(m)) + 1).cast("int")
 
         return F.transform(self.pieces(text), h)
@@ -61,7 +76,9 @@ class HashTokenizer:
         return df.withColumn(out_col, self.ids(text_col))
 
     def sql_ids(self, text_sql: str) -> str:
-        """The same expression in DuckDB SQL (used by the oracles)."""
+        """The same expression in DuckDB SQL (md5 only)."""
+        if self.hash_fn != "md5":
+            raise ValueError("only the md5 hash has a DuckDB equivalent")
         m = self.vocab_size - 1
         return (
             f"list_transform(regexp_extract_all({text_sql}, '{_duck_pattern(self.pattern)}'), "

@@ -21,7 +21,7 @@ from tessera.operators.prefix import key_range
 from tessera.operators.quality import quality_filter
 from tessera.operators.splits import dataset_summary, split_exact
 from tessera.operators.tokenize import tokenize
-from tessera.session import ensure_checkpoint_dir, materialize
+from tessera.session import ensure_checkpoint_dir, materialize, parallelism
 from tessera.sources.io import is_built, read_corpus, write_splits
 
 
@@ -39,10 +39,13 @@ def spread(df: DataFrame, *keys: str, force: bool = False) -> DataFrame:
     single input task.
     """
     keys = keys or ("doc_id",)
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if not force and df.rdd.getNumPartitions() >= cores:
-        return df
+    cores = parallelism(df.sparkSession)
+    if not force:
+        try:
+            if df.rdd.getNumPartitions() >= cores:
+                return df
+        except Exception:  # no RDD view (Spark Connect): leave the input as it is
+            return df
     return df.repartition(cores, *keys).observe(f"spread_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
 
 

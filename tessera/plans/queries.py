@@ -26,7 +26,7 @@ from tessera.operators.splits import dataset_summary, seeded_order, split_exact,
 from tessera.operators.tokenize import token_stats, tokenize
 from tessera.plans.corpus import budgeted_tokens, filtered_tokens, spread
 from tessera.plans.sft import split_samples
-from tessera.session import ensure_checkpoint_dir, materialize
+from tessera.session import ensure_checkpoint_dir, materialize, parallelism
 
 PROSE = QualityConfig(profile="prose")
 PACK = PackConfig()
@@ -373,7 +373,7 @@ def q_stream_pack(spark, sf):
 
     base = _stream_dir(spark, "stream_pack")
     toks = stream_tokens(spark, os.path.join(sf, "documents.parquet"), PROSE, shard_col="source",
-                         spread_to=spark.sparkContext.defaultParallelism)
+                         spread_to=parallelism(spark))
     packed = pack_stream(toks, "source", BLOCK, "doc_id", "ids", salt=STREAM_SALT)
     q = run(packed, "stream_pack", sink="parquet", path=os.path.join(base, "out"),
             checkpoint=os.path.join(base, "ckpt"))

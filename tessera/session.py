@@ -35,16 +35,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None in a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect has no SparkContext
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names, if any."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
+    sc = _context(spark)
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     d = spark.conf.get(CHECKPOINT_CONF, None)
-    if d:
-        spark.sparkContext.setCheckpointDir(d)
-        return spark.sparkContext.getCheckpointDir()
-    return None
+    if d and sc is not None:
+        sc.setCheckpointDir(d)
+        return sc.getCheckpointDir()
+    return d or None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -56,13 +64,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = checkpoint_dir(spark)
     if d:
         return d
-    master = spark.sparkContext.master
+    sc = _context(spark)
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
     if not master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder before running on {master}")
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder before running on {master or 'a cluster'}")
     d = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set(CHECKPOINT_CONF, d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir()
+    if sc is not None:
+        sc.setCheckpointDir(d)
+        return sc.getCheckpointDir()
+    return d
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Task slots of the cluster (``spark.default.parallelism`` under Spark Connect)."""
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.default.parallelism", "200"))
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -70,8 +70,12 @@ def read_split(spark: SparkSession, root: str, split: str, cols: tuple[str, ...]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Existence through the cluster's Hadoop file system (any scheme); local paths without a JVM."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # Spark Connect: no JVM handle on the client
+        return os.path.exists(path[len("file:"):] if path.startswith("file:") else path)
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(conf).exists(p)
 

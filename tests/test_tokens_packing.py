@@ -179,3 +179,10 @@ def test_budgeted_tokens_stop_early_and_pack_identically(spark):
     a = [r.input_ids for r in pack(part, cfg).orderBy("chunk_id").collect()]
     b = [r.input_ids for r in pack(full, cfg).orderBy("chunk_id").collect()]
     assert a == b and len(a) == 25
+
+
+def test_xxhash_tokenizer_same_pieces(spark, docs_df):
+    fast = tokenize(docs_df(["one two three", "x"]), HashTokenizer(hash_fn="xxhash64")).orderBy("doc_id").collect()
+    slow = tokenize(docs_df(["one two three", "x"]), HashTokenizer()).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in fast] == [r.n_tokens for r in slow] == [4, 2]
+    assert all(1 <= i < 49152 for r in fast for i in r.ids[:-1]) and fast[0].ids[-1] == 0
