@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.config import TrainConfig
-from tessera.operators.prefix import global_rank, key_range, range_bucket
+from tessera.operators.prefix import bucket_count, global_rank, quantile_bounds, quantile_bucket
 
 
 def epoch_micros(df: DataFrame, ts_col: str) -> Column:
@@ -24,12 +24,18 @@ def epoch_micros(df: DataFrame, ts_col: str) -> Column:
     return F.unix_micros(c)
 
 
-def micro_index(df: DataFrame, run_col: str, ts_col: str, id_col: str, max_buckets: int = 4096,
-                out: str = "micro_idx") -> DataFrame:
-    """0-based micro-step number within each run, in ``(ts, id)`` order."""
+def micro_index(df: DataFrame, run_col: str, ts_col: str, id_col: str, max_buckets: int = 1024,
+                rows_per_bucket: int = 1_000_000, out: str = "micro_idx") -> DataFrame:
+    """0-based micro-step number within each run, in ``(ts, id)`` order.
+
+    Buckets are quantiles of the time over all runs, so they are densest where
+    most events are: a run holding a large share of the rows dominates the
+    quantiles and is cut into many (run, bucket) window partitions.
+    """
     t = epoch_micros(df, ts_col)
-    lo, hi = key_range(df, t)
-    return global_rank(df, [ts_col, id_col], range_bucket(t, lo, hi, max_buckets), [run_col], out=out)
+    n = df.count()
+    bucket = quantile_bucket(t, quantile_bounds(df, t, bucket_count(n, max_buckets, rows_per_bucket)))
+    return global_rank(df, [ts_col, id_col], bucket, [run_col], out=out)
 
 
 def step_loss(micro: DataFrame, cfg: TrainConfig = TrainConfig(), run_col: str = "run_id",

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import PackConfig
-from tessera.operators.prefix import bucket_count, key_stats, ordered_offsets, range_bucket
+from tessera.operators.prefix import order_bucket, ordered_offsets
 
 
 def running_offset(df: DataFrame, order_col: str = "doc_id", n_col: str = "n_tokens",
@@ -23,11 +23,11 @@ def running_offset(df: DataFrame, order_col: str = "doc_id", n_col: str = "n_tok
     """K4: ``start`` = tokens of all documents before this one in ``order_col`` order.
 
     ``order_col`` must be a unique integral key; buckets are equal-width ranges of
-    it, at most ``cfg.max_buckets``. Pass ``bucket`` for another order key.
+    it when the keys are dense and quantile ranges otherwise (``order_bucket``), at
+    most ``cfg.max_buckets``. Pass ``bucket`` for another order key.
     """
     if bucket is None:
-        lo, hi, n = key_stats(df, order_col)
-        bucket = range_bucket(F.col(order_col), lo, hi, bucket_count(n, cfg.max_buckets, cfg.rows_per_bucket))
+        bucket = order_bucket(df, F.col(order_col), cfg.max_buckets, cfg.rows_per_bucket)
     return ordered_offsets(df, n_col, [order_col], bucket, out=out)
 
 

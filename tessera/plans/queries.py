@@ -368,13 +368,13 @@ def _stream_dir(spark, name: str) -> str:
 
 
 def q_stream_pack(spark, sf):
-    from tessera.streaming.jobs import run, stream_tokens
+    from tessera.streaming.jobs import run, stream_tokens, with_pack_progress
     from tessera.streaming.packer import pack_stream
 
     base = _stream_dir(spark, "stream_pack")
     toks = stream_tokens(spark, os.path.join(sf, "documents.parquet"), PROSE, shard_col="source",
                          spread_to=parallelism(spark))
-    packed = pack_stream(toks, "source", BLOCK, "doc_id", "ids", salt=STREAM_SALT)
+    packed = with_pack_progress(pack_stream(toks, "source", BLOCK, "doc_id", "ids", salt=STREAM_SALT))
     q = run(packed, "stream_pack", sink="parquet", path=os.path.join(base, "out"),
             checkpoint=os.path.join(base, "ckpt"))
     q.awaitTermination()

@@ -34,6 +34,16 @@ def stream_tokens(spark: SparkSession, path: str, cfg: QualityConfig = QualityCo
     return tokenize(quality_filter(docs, cfg), tokenizer)
 
 
+def with_pack_progress(packed: DataFrame, name: str = "pack_progress") -> DataFrame:
+    """K7 on a stream: chunks and tokens emitted per micro-batch, reported in
+    ``StreamingQueryProgress.observedMetrics[name]`` without a second pass."""
+    return packed.observe(
+        name,
+        F.count(F.lit(1)).alias("chunks"),
+        F.coalesce(F.sum(F.size("input_ids")), F.lit(0)).cast("long").alias("tokens"),
+    )
+
+
 def stream_funnel(spark: SparkSession, path: str, cfg: QualityConfig = QualityConfig(),
                   by: tuple[str, ...] = ()) -> DataFrame:
     """The reject funnel as a running aggregate (complete or update mode)."""

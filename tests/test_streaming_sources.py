@@ -9,7 +9,7 @@ from tessera.config import QualityConfig
 from tessera.operators.quality import quality_filter, reject_funnel
 from tessera.operators.tokenize import tokenize
 from tessera.sources import io as S
-from tessera.streaming.jobs import run, stream_funnel, stream_tokens
+from tessera.streaming.jobs import run, stream_funnel, stream_tokens, with_pack_progress
 from tessera.streaming.packer import pack_stream
 
 PROSE = QualityConfig(profile="prose")
@@ -47,10 +47,11 @@ def stream_parts(spark, src, dst, ckpt, budget=None, salt=1):
     files = sorted(os.listdir(src))
     # one folder per part: the file source reads the parts in arrival order
     toks = stream_tokens(spark, src + "/*", PROSE, shard_col="source", max_files_per_trigger=1)
-    packed = pack_stream(toks, "source", BLOCK, "doc_id", "ids", target_tokens_per_shard=budget, salt=salt)
+    packed = with_pack_progress(
+        pack_stream(toks, "source", BLOCK, "doc_id", "ids", target_tokens_per_shard=budget, salt=salt))
     q = run(packed, "pack", sink="parquet", path=dst, checkpoint=ckpt)
     q.awaitTermination()
-    return files
+    return q
 
 
 def collected(spark, dst):
@@ -62,8 +63,11 @@ def test_stream_pack_equals_batch_with_restart(spark, tmp_path):
     dst, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
     # the first run sees two parts; two more arrive and the restarted query picks them up
     docs = write_parts(spark, src, only=[0, 1])
-    stream_parts(spark, src, dst, ckpt)
+    q = stream_parts(spark, src, dst, ckpt)
     first = collected(spark, dst)
+    progress = [p.observedMetrics.get("pack_progress") for p in q.recentProgress if p.numInputRows]
+    assert sum(m["chunks"] for m in progress if m) == len(first)
+    assert sum(m["tokens"] for m in progress if m) == len(first) * BLOCK
     write_parts(spark, src, only=[2, 3])
     stream_parts(spark, src, dst, ckpt)
     got = collected(spark, dst)
