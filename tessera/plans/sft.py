@@ -59,3 +59,24 @@ def train_manifest(t: SftTables, cfg: SftConfig = SftConfig()) -> DataFrame:
     )
     n = train.count()
     return manifest(train, tc, key_cols=("conv_id", "turn"), n=n, epochs=cfg.epochs)
+
+
+def build_sft(spark, turns_path: str, out_root: str, cfg: SftConfig = SftConfig(), tokenizer=None,
+              if_exists: str = "skip") -> DataFrame | None:
+    """Write the instruction build: samples per split, padded validation batches and
+    the training manifest, under ``out_root``. Skipped when already built; returns
+    the per-split summary.
+    """
+    import os
+
+    from tessera.sources.io import is_built, read_instructions
+
+    done = os.path.join(out_root, "samples")
+    if if_exists == "skip" and is_built(spark, done):
+        return None
+    t = sft_tables(read_instructions(spark, turns_path), cfg, tokenizer)
+    mode = "errorifexists" if if_exists == "error" else "overwrite"
+    t.samples.write.mode(mode).partitionBy("split").parquet(done)
+    val_batches(t, cfg).write.mode(mode).parquet(os.path.join(out_root, "val_batches"))
+    train_manifest(t, cfg).write.mode(mode).partitionBy("epoch").parquet(os.path.join(out_root, "train_manifest"))
+    return t.summary
