@@ -16,20 +16,25 @@ from tessera.operators.prefix import global_rank, hex_bucket
 from tessera.operators.splits import ORDER_KEY, seeded_key
 
 
+HEX_DIGITS = 3
+BROADCAST_BUCKET_ROWS = 1_000_000
+
+
 def epoch_order(df: DataFrame, key_cols: list[str], seed: int, epochs: int) -> DataFrame:
     """B1: ``epoch``, ``pos`` (0-based position in that epoch's shuffle) and ``n_per_epoch``.
 
     Rows are replicated per epoch with ``explode(sequence(...))``, then ranked per
-    epoch by ``md5(seed:epoch:key)`` with the two-level rank; the bucket table has
-    ``epochs * 4096`` rows at most and is broadcast.
+    epoch by ``md5(seed:epoch:key)`` with the two-level rank. The bucket table has
+    at most ``epochs * 4096`` rows; it is broadcast only while that bound is at most
+    ``BROADCAST_BUCKET_ROWS``, beyond it the planner chooses the join.
     """
     rep = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max(epochs, 1) - 1))))
     if epochs <= 0:
         rep = rep.where(F.lit(False))
     keyed = rep.withColumn(ORDER_KEY, seeded_key(seed, "epoch", *key_cols))
     return global_rank(
-        keyed, [ORDER_KEY, *key_cols], hex_bucket(F.col(ORDER_KEY)), ["epoch"], out="pos",
-        total_col="n_per_epoch", broadcast_buckets=True,
+        keyed, [ORDER_KEY, *key_cols], hex_bucket(F.col(ORDER_KEY), HEX_DIGITS), ["epoch"], out="pos",
+        total_col="n_per_epoch", broadcast_buckets=max(epochs, 1) * 16 ** HEX_DIGITS <= BROADCAST_BUCKET_ROWS,
     ).drop(ORDER_KEY)
 
 
