@@ -67,7 +67,7 @@ def test_rank_plans_have_no_unbucketed_row_window(spark):
     plans = [
         split_exact(chunks, ["chunk_id"], 0.01, 42),
         B.epoch_order(chunks, ["chunk_id"], 42, 2),
-        M.micro_index(events, "run_id", "ts", "event_id"),
+        M.micro_index(events, "run_id", "ts", "event_id", rows_per_bucket=50),
         S.collate(S.batch_positions(samples, 42), 2),
     ]
     for df in plans:
