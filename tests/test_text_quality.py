@@ -157,3 +157,41 @@ def test_prose_profile_on_documents(spark):
     got = {r.doc_id: r.reason for r in reject_reason(df.select("doc_id", "text"), prose).collect()}
     want = {r.doc_id: py_reason(r.text, prose) for r in df.select("doc_id", "text").collect()}
     assert got == want
+
+
+PROSE = QualityConfig(profile="prose")
+
+
+def test_fixture_average_line_bounds(spark):
+    cases = {
+        "avg 9.99": ("abcdefghi\n" * 99 + "abcdefghi", "avg_line"),         # 999 chars / 100 lines
+        "avg 10": ("abcdefghi\n" * 20, "keep"),                             # 200 / 20
+        "avg 200": (("a" * 199 + "\n") * 10, "keep"),                       # 2000 / 10
+        "avg 200.01": (("a" * 199 + "\n") * 99 + "a" * 201, "avg_line"),    # 20001 / 100
+    }
+    texts = [t for t, _ in cases.values()]
+    for t, (text, _) in zip(cases, cases.values()):
+        n, lines = len(text), len(text.splitlines())
+        assert {"avg 9.99": 9.99, "avg 10": 10, "avg 200": 200, "avg 200.01": 200.01}[t] == n / lines
+    assert reasons(spark, texts, PROSE) == [want for _, want in cases.values()]
+
+
+def test_fixture_line_count_rules(spark):
+    line = "a line of text\n"
+    texts = [
+        line * 6 + "x" * 200,            # 7 lines, last one without terminator
+        line * 7 + "x" * 200,            # 8 lines, last one without terminator
+        line * 7 + "x" * 200 + "\n",     # 8 lines, last one with terminator
+        (line * 7).replace("\n", "\r\n") + "x" * 200,  # \r\n counted once: 8 lines
+    ]
+    assert [len(t.splitlines()) for t in texts] == [7, 8, 8, 8]
+    assert reasons(spark, texts, PROSE) == ["lines", "keep", "keep", "keep"]
+
+
+def test_fixture_alnum_ratio_bound(spark):
+    at_bound = ("aa" + "." * 7 + "\n") * 20     # 200 chars, 40 alphanumeric: exactly 0.20, kept
+    under = at_bound.replace("a", ".", 1)        # 39 / 200 = 0.195, rejected
+    assert sum(c.isalnum() for c in at_bound) / len(at_bound) == 0.2
+    for text, want in ((at_bound, "keep"), (under, "alnum")):
+        assert py_reason(text, PROSE) == want
+    assert reasons(spark, [at_bound, under], PROSE) == ["keep", "alnum"]
