@@ -36,6 +36,9 @@ def _is_valid_python(texts: pd.Series) -> pd.Series:
 
 def is_valid_python(col) -> Column:
     """Column of booleans: null for null text."""
+    from tessera.session import ship_package
+
+    ship_package()
     c = F.col(col) if isinstance(col, str) else col
     return _is_valid_python(c)
 

@@ -130,6 +130,9 @@ class FileTokenizer:
         """Encode several text columns in one pass: ``{out_col: text_col}``."""
         import pyarrow as pa
 
+        from tessera.session import ship_package
+
+        ship_package(df.sparkSession)
         fields = [f for f in df.schema.fields if f.name not in outputs]
         base = df.select(*[f.name for f in fields], *[F.col(t).alias(f"__text_{o}") for o, t in outputs.items()])
         schema = T.StructType(fields + [T.StructField(o, T.ArrayType(T.IntegerType()), True) for o in outputs])

@@ -32,6 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -76,6 +77,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SHIPPED: dict[int, str] = {}
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make ``tessera`` importable in the Python workers (``addPyFile``, like ``--py-files``).
+
+    Python UDFs, ``mapInArrow`` and ``applyInPandasWithState`` functions are
+    unpickled in worker processes, which import this package by name; the workers
+    do not see the driver's ``sys.path``. The package is zipped once per process.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    sc = _context(spark) if spark is not None else None
+    if sc is None or _SHIPPED.get(id(sc)):
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tessera-py-"), "tessera.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED[id(sc)] = out
+
+
 def parallelism(spark: SparkSession) -> int:
     """Task slots of the cluster (``spark.default.parallelism`` under Spark Connect)."""
     sc = _context(spark)

@@ -86,6 +86,9 @@ def pack_stream(df: DataFrame, shard_col: str = "shard", block: int = 1024, orde
                 "input_ids": list(blocks),
             })
 
+    from tessera.session import ship_package
+
+    ship_package(df.sparkSession)
     keyed = df.select(shard_col, order_col, ids_col).withColumn(SUB_COL, sub_shard(order_col, max(1, salt)))
     return keyed.groupBy(shard_col, SUB_COL).applyInPandasWithState(
         step, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
