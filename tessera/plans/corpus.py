@@ -83,9 +83,10 @@ def budgeted_tokens(docs: DataFrame, qcfg: QualityConfig, pcfg: PackConfig, toke
     lo, hi = key_range(docs, order_col)
     spark = docs.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"budget-tokens-{uuid.uuid4().hex}")
-    # Start at 1/65536 of the key range: a 3 B-token budget is a tiny share of a
-    # 100 TB corpus, and doubling from a small start overshoots by at most 2x.
-    width = first_width or max(1, (hi - lo + 1) // 65536)
+    # Start at 1/65536 of the key range (at least 4,096 keys): a 3 B-token budget is
+    # a tiny share of a 100 TB corpus, and doubling from a small start overshoots
+    # by at most 2x.
+    width = first_width or max(4096, (hi - lo + 1) // 65536)
     start, have = lo, 0
     while start <= hi and have < need:
         end = start + width

@@ -376,7 +376,7 @@ def q_stream_pack(spark, sf):
                          spread_to=parallelism(spark))
     packed = with_pack_progress(pack_stream(toks, "source", BLOCK, "doc_id", "ids", salt=STREAM_SALT))
     q = run(packed, "stream_pack", sink="parquet", path=os.path.join(base, "out"),
-            checkpoint=os.path.join(base, "ckpt"))
+            checkpoint=os.path.join(base, "ckpt"), state_partitions=parallelism(spark))
     q.awaitTermination()
     out = spark.read.parquet(os.path.join(base, "out"))
     return out.select(F.col("source"), "sub", "chunk_idx", arr_md5("input_ids").alias("ids_md5"))
@@ -392,8 +392,14 @@ def q_stream_funnel(spark, sf):
     def write(batch_df, _epoch):
         batch_df.write.mode("overwrite").parquet(out_path)
 
-    q = (funnel.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
+    w = (funnel.writeStream.outputMode("complete").foreachBatch(write)
+         .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True))
+    key, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, str(parallelism(spark)))  # state-store partitions of this new query
+    try:
+        q = w.start()
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
     return spark.read.parquet(out_path)
 

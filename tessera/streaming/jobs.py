@@ -57,13 +57,28 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
 
 
 def run(df: DataFrame, name: str, sink: str = "memory", path: str | None = None, mode: str = "append",
-        checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Start a stream; ``available_now`` processes what is there and stops (restartable)."""
+        checkpoint: str | None = None, available_now: bool = True,
+        state_partitions: int | None = None) -> StreamingQuery:
+    """Start a stream; ``available_now`` processes what is there and stops (restartable).
+
+    ``state_partitions`` fixes the number of state-store partitions of a new query
+    (taken from ``spark.sql.shuffle.partitions`` when the query first starts and
+    kept in its checkpoint); the session setting is restored right after.
+    """
     spark = df.sparkSession
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or checkpoint_location(spark, name))
     if available_now:
         w = w.trigger(availableNow=True)
     if sink == "memory":
         w = w.format("memory").queryName(name)
+    else:
+        w = w.format(sink).option("path", path)
+    if not state_partitions:
+        return w.start()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
         return w.start()
-    return w.format(sink).start(path)
+    finally:
+        spark.conf.set(key, before)
