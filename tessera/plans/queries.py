@@ -1,7 +1,7 @@
 """Registered queries: one per operator of the inventory, each over the whole driver tables.
 
 Every callable takes ``(spark, sf_dir)`` and returns a DataFrame whose columns are
-named exactly as in the matching SQL of ``tessera.plans.oracles_registry``.
+named exactly as in the matching SQL of ``tessera.plans.oracle_registry``.
 Arrays are reported as ``md5`` of their space-joined text, so both engines can be
 compared value by value.
 """
@@ -40,6 +40,9 @@ SAMPLE_EVERY = 5
 SFT = SftConfig()
 SFT_SHORT = SftConfig(max_len=64)
 STREAM_SALT = 4
+E_MAX_BATCHES = 200
+E_BATCH = 4
+N_PROMPTS = 10
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -251,10 +254,6 @@ def q_val_loss_perplexity(spark, sf):
     return v.select("run_id", "val_loss", "n_batches", F.round("val_perplexity", 6).alias("val_perplexity"))
 
 
-E_MAX_BATCHES = 200
-E_BATCH = 4
-
-
 def _sft_token_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
     samples = all_samples(spark, sf).where(F.col("reason") == "keep")
     scores = E.unigram_nll(samples.where(F.col("split") == "train"))
@@ -307,14 +306,11 @@ def q_eval_report(spark, sf):
     labels = val.select("chunk_id", "batch_idx", F.posexplode("input_ids").alias("pos", "label"))
     losses = E.batch_losses(E.score_tokens(labels, scores), ("batch_idx",))
     v = E.val_loss(losses).withColumn("run_id", F.lit("unigram")).withColumn("step", F.lit(0).cast("long"))
-    c = E.trim_completion(completions(spark, sf))
+    c = spread(E.trim_completion(completions(spark, sf)), "conv_id", "turn", force=True)
     p = E.syntax_pass_rate(c).withColumn("run_id", F.lit("unigram")).withColumn("step", F.lit(0).cast("long"))
     return E.eval_report(v, p)
 
 
-N_PROMPTS = 10
-
-
 def registry_completions(spark, sf) -> DataFrame:
     """Stand-in generations for the registry prompts: each instruction row of the turn table is
     assigned to one prompt by an md5 slot, and its answer (plus the next instruction block,
