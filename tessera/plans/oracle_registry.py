@@ -1,7 +1,8 @@
 """DuckDB SQL per registered query (same keys and column names as ``queries.QUERIES``).
 
-Queries without an entry here (``syntax_pass_rate`` and ``eval_report``) need a
-Python parser and are checked on row counts and by unit tests only.
+Queries without an entry here (``reject_funnel_code``, ``syntax_pass_rate`` and
+``eval_report``) need a Python parser and are checked on row counts and by unit
+tests only.
 """
 
 from __future__ import annotations

@@ -129,6 +129,14 @@ def q_reject_funnel(spark, sf):
     return reject_funnel(documents(spark, sf, "doc_id", "lang", "text"), PROSE, by=("lang",))
 
 
+CODE = QualityConfig(profile="code")
+
+
+def q_reject_funnel_code(spark, sf):
+    """F1-F10 with every rule, the syntax UDF included (it only sees rows the native rules keep)."""
+    return reject_funnel(documents(spark, sf, "doc_id", "lang", "text"), CODE, by=("lang",))
+
+
 def q_quality_filter_prose(spark, sf):
     return quality_filter(documents(spark, sf, "doc_id", "text", "n_chars"), PROSE).select("doc_id", "n_chars")
 
@@ -404,6 +412,7 @@ QUERIES = {
     "quality_signals": q_quality_signals,
     "reject_reason": q_reject_reason,
     "reject_funnel": q_reject_funnel,
+    "reject_funnel_code": q_reject_funnel_code,
     "quality_filter_prose": q_quality_filter_prose,
     "token_stats": q_token_stats,
     "running_offset": q_running_offset,

@@ -10,7 +10,7 @@ from tools.oracle_check import TABLES, _close, _rows
 
 from .conftest import SF0001
 
-ROWS_ONLY = {"syntax_pass_rate", "eval_report"}
+ROWS_ONLY = {"syntax_pass_rate", "eval_report", "reject_funnel_code"}
 
 
 def test_entry_smoke(spark):
