@@ -135,3 +135,27 @@ def test_step_metrics_roundtrip_and_eval_report(spark, tmp_path):
                                 "val_perplexity double, syntax_pass_rate double")
     S.write_eval_report(rep, str(tmp_path / "eval"))
     assert os.path.isdir(str(tmp_path / "eval" / "step=5"))
+
+
+def test_read_instructions_schemas(spark, tmp_path):
+    full = str(tmp_path / "full")
+    spark.createDataFrame([("do x", "ctx", "done")], "instruction string, input string, output string") \
+        .write.parquet(full)
+    no_input = str(tmp_path / "no_input")
+    spark.createDataFrame([("do y", "ok")], "instruction string, output string").write.parquet(no_input)
+    turns = "/root/testdata/sf0.001/conversations.parquet"
+    assert S.read_instructions(spark, full).first().input == "ctx"
+    row = S.read_instructions(spark, no_input).first()
+    assert row.input is None and row.instruction == "do y"
+    assert set(S.read_instructions(spark, turns).columns) >= {"instruction", "input", "output"}
+    bad = str(tmp_path / "bad")
+    spark.createDataFrame([(1,)], "x int").write.parquet(bad)
+    with pytest.raises(ValueError):
+        S.read_instructions(spark, bad)
+
+
+def test_read_corpus_renames_and_prunes(spark):
+    df = S.read_corpus(spark, "/root/testdata/sf0.001/documents.parquet", extra_cols=("lang",))
+    assert df.columns == ["doc_id", "text", "lang"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
