@@ -57,6 +57,14 @@ def split_exact(df: DataFrame, key_cols: list[str], fraction: float, seed: int,
     return out.drop("__rank", "__total", ORDER_KEY)
 
 
+def split_positions(ranked: DataFrame, fraction: float, rounding: str = "floor", split_col: str = "split") -> DataFrame:
+    """``pos``: the row's place within its split in the seeded order (the order a split
+    is stored and read in), from the output of ``split_exact(..., keep_rank=True)``."""
+    first_val = F.col("n_total") - val_count(F.col("n_total"), fraction, rounding)
+    pos = F.when(F.col(split_col) == "val", F.col("rank") - first_val).otherwise(F.col("rank"))
+    return ranked.withColumn("pos", pos.cast("long"))
+
+
 def dataset_summary(tokens: DataFrame, chunks: DataFrame, block: int, split_col: str = "split") -> DataFrame:
     """One row: documents, tokens, chunks per split, tail and utilisation.
 

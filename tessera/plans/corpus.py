@@ -19,7 +19,7 @@ from tessera.config import PackConfig, QualityConfig
 from tessera.operators.packing import budget_chunks, pack
 from tessera.operators.prefix import key_range
 from tessera.operators.quality import quality_filter
-from tessera.operators.splits import dataset_summary, split_exact
+from tessera.operators.splits import dataset_summary, split_exact, split_positions
 from tessera.operators.tokenize import tokenize
 from tessera.session import ensure_checkpoint_dir, materialize, parallelism
 from tessera.sources.io import is_built, read_corpus, write_splits
@@ -53,7 +53,7 @@ def spread(df: DataFrame, *keys: str, force: bool = False) -> DataFrame:
 class CorpusTables:
     tokens: DataFrame  # doc_id, ids, n_tokens (materialised)
     chunks: DataFrame  # chunk_id, input_ids (materialised)
-    split: DataFrame  # chunk_id, input_ids, split
+    split: DataFrame  # chunk_id, input_ids, split, pos (place within the split in shuffled order)
     summary: DataFrame
 
 
@@ -104,7 +104,8 @@ def corpus_tables(docs: DataFrame, qcfg: QualityConfig = QualityConfig(), pcfg:
                   tokenizer=None) -> CorpusTables:
     tokens = budgeted_tokens(docs, qcfg, pcfg, tokenizer)
     chunks = materialize(pack(tokens, pcfg))
-    split = split_exact(chunks, ["chunk_id"], pcfg.val_fraction, pcfg.seed)
+    ranked = split_exact(chunks, ["chunk_id"], pcfg.val_fraction, pcfg.seed, keep_rank=True)
+    split = split_positions(ranked, pcfg.val_fraction).drop("rank", "n_total")
     return CorpusTables(tokens, chunks, split, dataset_summary(tokens, split, pcfg.block))
 
 
@@ -114,5 +115,6 @@ def build_corpus(spark: SparkSession, corpus_path: str, out_root: str, qcfg: Qua
     if if_exists == "skip" and is_built(spark, out_root):
         return None
     t = corpus_tables(read_corpus(spark, corpus_path), qcfg, pcfg, tokenizer)
-    write_splits(t.split.select("chunk_id", F.col("input_ids"), "split"), out_root, if_exists="overwrite")
+    # ``pos`` keeps the shuffled order within each split, the order the data is read in
+    write_splits(t.split.select("chunk_id", "pos", "input_ids", "split"), out_root, if_exists="overwrite")
     return t.summary

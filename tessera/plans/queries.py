@@ -22,7 +22,7 @@ from tessera.operators import metrics as M
 from tessera.operators import sft as S
 from tessera.operators.packing import pack, pack_progress, running_offset
 from tessera.operators.quality import quality_filter, quality_signals, reject_funnel, reject_reason
-from tessera.operators.splits import dataset_summary, seeded_order, split_exact, val_count
+from tessera.operators.splits import dataset_summary, seeded_order, split_exact, split_positions
 from tessera.operators.tokenize import token_stats, tokenize
 from tessera.plans.corpus import budgeted_tokens, filtered_tokens, spread
 from tessera.plans.sft import split_samples
@@ -308,9 +308,8 @@ def q_syntax_pass_rate(spark, sf):
 def q_eval_report(spark, sf):
     split = materialize(corpus_split(spark, sf))
     scores = E.unigram_nll(split.where(F.col("split") == "train"))
-    val = split.where(F.col("split") == "val")
-    first_val = F.col("n_total") - val_count(F.col("n_total"), PACK.val_fraction)
-    val = val.withColumn("batch_idx", F.floor((F.col("rank") - first_val) / E_BATCH).cast("long"))
+    val = split_positions(split, PACK.val_fraction).where(F.col("split") == "val")
+    val = val.withColumn("batch_idx", F.floor(F.col("pos") / E_BATCH).cast("long"))
     labels = val.select("chunk_id", "batch_idx", F.posexplode("input_ids").alias("pos", "label"))
     losses = E.batch_losses(E.score_tokens(labels, scores), ("batch_idx",))
     v = E.val_loss(losses).withColumn("run_id", F.lit("unigram")).withColumn("step", F.lit(0).cast("long"))

@@ -31,14 +31,10 @@ def build_manifest(spark: SparkSession, data_root: str, out: str, cfg: TrainConf
 
 
 def validation_batches(spark: SparkSession, data_root: str, cfg: EvalConfig = EvalConfig()) -> DataFrame:
-    """Validation chunks with their evaluation batch (fixed order, no shuffle, last batch kept)."""
-    from tessera.operators.prefix import global_rank, hex_bucket
-    from tessera.operators.splits import ORDER_KEY, seeded_key
-
-    val = read_split(spark, data_root, "val", ("chunk_id", "input_ids"))
-    keyed = val.withColumn(ORDER_KEY, seeded_key(0, "chunk_id"))
-    ranked = global_rank(keyed, [ORDER_KEY, "chunk_id"], hex_bucket(F.col(ORDER_KEY)), out="pos").drop(ORDER_KEY)
-    return ranked.withColumn("batch_idx", F.floor(F.col("pos") / cfg.batch_size).cast("long"))
+    """Validation chunks in stored order (the split's shuffled order, not reshuffled), in
+    batches of ``cfg.batch_size``; the last, partial batch is kept."""
+    val = read_split(spark, data_root, "val", ("chunk_id", "pos", "input_ids"))
+    return val.withColumn("batch_idx", F.floor(F.col("pos") / cfg.batch_size).cast("long"))
 
 
 def evaluate(losses: DataFrame, completions: DataFrame, prompts: DataFrame, run_id: str, step: int,

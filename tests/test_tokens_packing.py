@@ -186,3 +186,14 @@ def test_xxhash_tokenizer_same_pieces(spark, docs_df):
     slow = tokenize(docs_df(["one two three", "x"]), HashTokenizer()).orderBy("doc_id").collect()
     assert [r.n_tokens for r in fast] == [r.n_tokens for r in slow] == [4, 2]
     assert all(1 <= i < 49152 for r in fast for i in r.ids[:-1]) and fast[0].ids[-1] == 0
+
+
+def test_split_positions_follow_the_seeded_order(spark):
+    from tessera.operators.splits import split_positions
+
+    df = spark.range(200).withColumnRenamed("id", "chunk_id")
+    ranked = split_exact(df, ["chunk_id"], 0.05, 42, keep_rank=True)
+    rows = split_positions(ranked, 0.05).collect()
+    for name, size in (("train", 190), ("val", 10)):
+        part = sorted((r.rank, r.pos) for r in rows if r.split == name)
+        assert [p for _, p in part] == list(range(size))
