@@ -266,6 +266,8 @@ def oracles() -> dict[str, str]:
         "step_sample": f"{_steps()} SELECT run_id, step, train_loss, grad_norm, tokens_seen FROM s "
                        f"WHERE step % {Q.SAMPLE_EVERY} = 0",
         "spike_report": _spike_report(),
+        "stream_tokenize": f"WITH {KEPT}, {TOKENS} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, "
+                           "md5(array_to_string(ids, ' ')) AS ids_md5 FROM tok",
         "stream_pack": _stream_pack(),
         "stream_funnel": FUNNEL,
     }

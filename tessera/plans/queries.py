@@ -385,6 +385,20 @@ def q_stream_pack(spark, sf):
     return out.select(F.col("source"), "sub", "chunk_idx", arr_md5("input_ids").alias("ids_md5"))
 
 
+def q_stream_tokenize(spark, sf):
+    """The stateless stream (filter + tokenise) written to files, read back per document."""
+    from tessera.streaming.jobs import run, stream_tokens
+
+    base = _stream_dir(spark, "stream_tokenize")
+    toks = stream_tokens(spark, os.path.join(sf, "documents.parquet"), PROSE, shard_col=None,
+                         spread_to=parallelism(spark))
+    q = run(toks, "stream_tokenize", sink="parquet", path=os.path.join(base, "out"),
+            checkpoint=os.path.join(base, "ckpt"))
+    q.awaitTermination()
+    out = spark.read.parquet(os.path.join(base, "out"))
+    return out.select("doc_id", "n_tokens", arr_md5("ids").alias("ids_md5"))
+
+
 def q_stream_funnel(spark, sf):
     from tessera.streaming.jobs import stream_funnel
 
@@ -441,6 +455,7 @@ QUERIES = {
     "step_loss": q_step_loss,
     "step_sample": q_step_sample,
     "spike_report": q_spike_report,
+    "stream_tokenize": q_stream_tokenize,
     "stream_pack": q_stream_pack,
     "stream_funnel": q_stream_funnel,
 }
