@@ -95,6 +95,21 @@ def _completions() -> str:
     )
 
 
+def _sft_manifest(cfg=Q.SFT) -> str:
+    bs, a = cfg.batch_size, cfg.grad_accum
+    return (
+        f"WITH {INSTR}, {sft_split_cte()}, {_sft_samples('ssp')}, "
+        "trs AS (SELECT conv_id, turn FROM lb WHERE reason = 'keep' AND split = 'train'), "
+        f"cnt AS (SELECT (count(*) + {bs - 1}) // {bs} AS nb FROM trs), "
+        f"o AS (SELECT conv_id, turn, epoch, row_number() OVER (PARTITION BY epoch ORDER BY "
+        f"{seeded(['epoch', 'conv_id', 'turn'], cfg.seed)}, conv_id, turn) - 1 AS pos "
+        f"FROM trs, (SELECT range AS epoch FROM range({cfg.epochs}))), "
+        f"b AS (SELECT o.*, o.pos // {bs} AS micro, cnt.nb // {a} AS groups FROM o, cnt) "
+        "SELECT conv_id, turn, CAST(epoch AS INTEGER) AS epoch, pos, micro, "
+        f"epoch * groups + micro // {a} + 1 AS step FROM b WHERE micro < groups * {a}"
+    )
+
+
 def _prompt_registry() -> str:
     rows = [(i, "code", i + 1, f"Code Prompt {i + 1}", p) for i, p in enumerate(C.CODE_PROMPTS)]
     rows += [(i + 5, "instruction", i + 1, f"Instruction Prompt {i + 1}", p) for i, p in enumerate(C.INSTRUCTION_PROMPTS)]
@@ -242,6 +257,7 @@ def oracles() -> dict[str, str]:
             f"(PARTITION BY epoch ORDER BY {seeded(['epoch', 'chunk_id'], C.DATA_SEED)}, chunk_id) - 1 AS pos, "
             f"count(*) OVER (PARTITION BY epoch) AS n_per_epoch FROM ch, (SELECT range AS epoch FROM range({Q.EPOCHS}))"
         ),
+        "sft_manifest": _sft_manifest(),
         "batch_manifest": (
             f"{_manifest_ctes()} SELECT CAST(chunk_id AS BIGINT) AS chunk_id, CAST(epoch AS INTEGER) AS epoch, pos, micro, "
             f"global_micro, step, step * {tokens_per_step} AS tokens_seen FROM mf"

@@ -228,6 +228,18 @@ def q_supervised_tokens(spark, sf):
 
 # --- 2.6 manifest -----------------------------------------------------------
 
+SFT_RUN = TrainConfig(batch_size=SFT.batch_size, grad_accum=SFT.grad_accum, seed=SFT.seed, drop_last=False,
+                      carry_groups_across_epochs=False, max_steps=1 << 40, context=SFT.max_len)
+
+
+def q_sft_manifest(spark, sf):
+    """B1-B4 for fine-tuning: reshuffled each epoch, last batch kept, unfinished groups dropped per epoch."""
+    train = materialize(all_samples(spark, sf).where((F.col("reason") == "keep") & (F.col("split") == "train"))
+                        .select("conv_id", "turn"))
+    n = train.count()
+    man = B.manifest(train, SFT_RUN, key_cols=("conv_id", "turn"), n=n, epochs=SFT.epochs)
+    return man.select("conv_id", "turn", "epoch", "pos", "micro", "step")
+
 def _train_chunks(spark, sf) -> DataFrame:
     return materialize(corpus_split(spark, sf).where(F.col("split") == "train").select("chunk_id"))
 
@@ -444,6 +456,7 @@ QUERIES = {
     "sft_collated": q_sft_collated,
     "supervised_tokens": q_supervised_tokens,
     "epoch_order": q_epoch_order,
+    "sft_manifest": q_sft_manifest,
     "batch_manifest": q_batch_manifest,
     "resume_point": q_resume_point,
     "val_loss_perplexity": q_val_loss_perplexity,
