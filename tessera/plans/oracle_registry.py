@@ -282,6 +282,15 @@ def oracles() -> dict[str, str]:
         "step_sample": f"{_steps()} SELECT run_id, step, train_loss, grad_norm, tokens_seen FROM s "
                        f"WHERE step % {Q.SAMPLE_EVERY} = 0",
         "spike_report": _spike_report(),
+        "corpus_build_val": (
+            f"{SPLIT} SELECT CAST(chunk_id AS BIGINT) AS chunk_id, "
+            f"CAST(r - (n - greatest(1, floor(n * {C.VAL_FRACTION}::DOUBLE))) AS BIGINT) AS pos, "
+            "md5(ids_text) AS ids_md5 FROM sp WHERE split = 'val'"
+        ),
+        "step_metrics_csv": (
+            f"{_steps()} SELECT CAST(run_id AS VARCHAR) AS run_id, step, train_loss, CAST(NULL AS DOUBLE) AS learning_rate, "
+            f"grad_norm, tokens_seen FROM s WHERE grad_norm <= {C.GRAD_SKIP_THRESHOLD}"
+        ),
         "stream_tokenize": f"WITH {KEPT}, {TOKENS} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, "
                            "md5(array_to_string(ids, ' ')) AS ids_md5 FROM tok",
         "stream_pack": _stream_pack(),

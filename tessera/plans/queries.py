@@ -374,19 +374,44 @@ def q_spike_report(spark, sf):
     return M.spike_report(step_rows(spark, sf))
 
 
+# --- 2.1 sinks, read back --------------------------------------------------------
+
+def q_corpus_build_val(spark, sf):
+    """S1 + S4 + S3: build the corpus into the shared folder, read the val split back (pruned)."""
+    from tessera.plans.corpus import build_corpus
+    from tessera.sources.io import read_split
+
+    root = _work_dir(spark, "corpus")
+    build_corpus(spark, os.path.join(sf, "documents.parquet"), root, PROSE, PACK)
+    val = read_split(spark, root, "val", ("chunk_id", "pos", "input_ids"))
+    return val.select("chunk_id", "pos", arr_md5("input_ids").alias("ids_md5"))
+
+
+def q_step_metrics_csv(spark, sf):
+    """M3 + S5: the metric rows a run logs (spikes skipped), appended as CSV and read back."""
+    from tessera.sources.io import append_step_metrics, read_step_metrics
+
+    path = _work_dir(spark, "metrics")
+    logged = M.drop_spikes(step_rows(spark, sf)).withColumn("run_id", F.col("run_id").cast("string"))
+    append_step_metrics(logged, path)
+    return read_step_metrics(spark, path).select("run_id", "step", "train_loss", "learning_rate", "grad_norm",
+                                                  "tokens_seen")
+
+
 # --- 2.9 streaming ----------------------------------------------------------
 
-def _stream_dir(spark, name: str) -> str:
+def _work_dir(spark, name: str) -> str:
+    """A new folder under the shared checkpoint folder for one query's written output."""
     import uuid
 
-    return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    return os.path.join(ensure_checkpoint_dir(spark), "work", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
 def q_stream_pack(spark, sf):
     from tessera.streaming.jobs import run, stream_tokens, with_pack_progress
     from tessera.streaming.packer import pack_stream
 
-    base = _stream_dir(spark, "stream_pack")
+    base = _work_dir(spark, "stream_pack")
     toks = stream_tokens(spark, os.path.join(sf, "documents.parquet"), PROSE, shard_col="source",
                          spread_to=parallelism(spark))
     packed = with_pack_progress(pack_stream(toks, "source", BLOCK, "doc_id", "ids", salt=STREAM_SALT))
@@ -401,7 +426,7 @@ def q_stream_tokenize(spark, sf):
     """The stateless stream (filter + tokenise) written to files, read back per document."""
     from tessera.streaming.jobs import run, stream_tokens
 
-    base = _stream_dir(spark, "stream_tokenize")
+    base = _work_dir(spark, "stream_tokenize")
     toks = stream_tokens(spark, os.path.join(sf, "documents.parquet"), PROSE, shard_col=None,
                          spread_to=parallelism(spark))
     q = run(toks, "stream_tokenize", sink="parquet", path=os.path.join(base, "out"),
@@ -414,7 +439,7 @@ def q_stream_tokenize(spark, sf):
 def q_stream_funnel(spark, sf):
     from tessera.streaming.jobs import stream_funnel
 
-    base = _stream_dir(spark, "stream_funnel")
+    base = _work_dir(spark, "stream_funnel")
     out_path = os.path.join(base, "out")
     funnel = stream_funnel(spark, os.path.join(sf, "documents.parquet"), PROSE, by=("lang",))
 
@@ -468,6 +493,8 @@ QUERIES = {
     "step_loss": q_step_loss,
     "step_sample": q_step_sample,
     "spike_report": q_spike_report,
+    "corpus_build_val": q_corpus_build_val,
+    "step_metrics_csv": q_step_metrics_csv,
     "stream_tokenize": q_stream_tokenize,
     "stream_pack": q_stream_pack,
     "stream_funnel": q_stream_funnel,
