@@ -96,6 +96,12 @@ _TOKENIZER_CACHE: dict = {}
 def _load_tokenizer(path: str):
     tok = _TOKENIZER_CACHE.get(path)
     if tok is None:
+        import os
+
+        # Spark already runs one task per core; the library's own thread pool would
+        # oversubscribe every executor core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -103,6 +109,22 @@ def _load_tokenizer(path: str):
     return tok
 
 
+def _list_array(seqs):
+    """Arrow ``list<int32>`` from Python sequences (None = null) via flat values and offsets."""
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
+    lengths = np.fromiter((0 if x is None else len(x) for x in seqs), dtype=np.int32, count=len(seqs))
+    offsets = np.zeros(len(seqs) + 1, dtype=np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    values = np.fromiter(itertools.chain.from_iterable(x for x in seqs if x is not None), dtype=np.int32,
+                         count=int(offsets[-1]))
+    mask = pa.array([x is None for x in seqs]) if any(x is None for x in seqs) else None
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)
+
+
 class FileTokenizer:
     """A trained tokenizer file, applied with ``mapInArrow`` (one load per Python worker).
 
@@ -148,7 +170,7 @@ class FileTokenizer:
                     present = [t for t in texts if t is not None]
                     enc = iter(tok.encode_batch(present, add_special_tokens=False)) if present else iter(())
                     ids = [None if t is None else next(enc).ids for t in texts]
-                    cols.append(pa.array(ids, type=pa.list_(pa.int32())))
+                    cols.append(_list_array(ids))
                 yield pa.RecordBatch.from_arrays(cols, names=keep + list(outputs))
 
         return base.mapInArrow(encode, schema)
