@@ -74,7 +74,8 @@ def drop_spikes(steps: DataFrame, threshold: float = TrainConfig().grad_skip_thr
 
 def spike_report(steps: DataFrame, threshold: float = TrainConfig().grad_skip_threshold,
                  run_col: str = "run_id", grad_col: str = "grad_norm") -> DataFrame:
-    """M3: per run, steps taken, logged and skipped, and the gaps left in the logged steps.
+    """M3: per run, steps taken, logged and skipped, the first skipped step (0: none), and
+    the gaps left in the logged steps.
 
     A gap is a logged step whose successor is missing although the run went on; it
     is found with an anti-join on ``(run, step + 1)``, not a window over the run.
@@ -84,7 +85,8 @@ def spike_report(steps: DataFrame, threshold: float = TrainConfig().grad_skip_th
         F.count(F.lit(1)).alias("n_steps"),
         F.count_if(~spike).alias("n_logged"),
         F.count_if(spike).alias("n_skipped"),
-        F.min(F.when(spike, F.col("step"))).alias("first_skipped_step"),
+        # steps are 1-based, so 0 means "no step skipped" and the column is never null
+        F.coalesce(F.min(F.when(spike, F.col("step"))), F.lit(0)).cast("long").alias("first_skipped_step"),
         F.max(grad_col).alias("max_grad_norm"),
         F.max("step").alias("last_step"),
     )

@@ -137,7 +137,7 @@ def _steps(cfg=Q.METRIC_RUN) -> str:
 def _spike_report(thr: float = C.GRAD_SKIP_THRESHOLD) -> str:
     return (
         f"{_steps()}, cnt AS (SELECT run_id, count(*) AS n_steps, count(*) FILTER (WHERE grad_norm <= {thr}) AS n_logged, "
-        f"count(*) FILTER (WHERE grad_norm > {thr}) AS n_skipped, min(step) FILTER (WHERE grad_norm > {thr}) AS first_skipped_step, "
+        f"count(*) FILTER (WHERE grad_norm > {thr}) AS n_skipped, CAST(coalesce(min(step) FILTER (WHERE grad_norm > {thr}), 0) AS BIGINT) AS first_skipped_step, "
         "max(grad_norm) AS max_grad_norm, max(step) AS last_step FROM s GROUP BY run_id), "
         f"lg AS (SELECT run_id, step FROM s WHERE grad_norm <= {thr}), "
         "gp AS (SELECT l.run_id, count(*) AS n_gaps FROM lg l JOIN cnt ON l.run_id = cnt.run_id WHERE l.step < cnt.last_step "
@@ -288,8 +288,8 @@ def oracles() -> dict[str, str]:
             "md5(ids_text) AS ids_md5 FROM sp WHERE split = 'val'"
         ),
         "step_metrics_csv": (
-            f"{_steps()} SELECT CAST(run_id AS VARCHAR) AS run_id, step, train_loss, CAST(NULL AS DOUBLE) AS learning_rate, "
-            f"grad_norm, tokens_seen FROM s WHERE grad_norm <= {C.GRAD_SKIP_THRESHOLD}"
+            f"{_steps()} SELECT CAST(run_id AS VARCHAR) AS run_id, step, train_loss, grad_norm, tokens_seen "
+            f"FROM s WHERE grad_norm <= {C.GRAD_SKIP_THRESHOLD}"
         ),
         "stream_tokenize": f"WITH {KEPT}, {TOKENS} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, "
                            "md5(array_to_string(ids, ' ')) AS ids_md5 FROM tok",

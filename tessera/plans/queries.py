@@ -394,8 +394,8 @@ def q_step_metrics_csv(spark, sf):
     path = _work_dir(spark, "metrics")
     logged = M.drop_spikes(step_rows(spark, sf)).withColumn("run_id", F.col("run_id").cast("string"))
     append_step_metrics(logged, path)
-    return read_step_metrics(spark, path).select("run_id", "step", "train_loss", "learning_rate", "grad_norm",
-                                                  "tokens_seen")
+    # learning_rate stays in the file schema but is not reported: schedules are trainer code (not built)
+    return read_step_metrics(spark, path).select("run_id", "step", "train_loss", "grad_norm", "tokens_seen")
 
 
 # --- 2.9 streaming ----------------------------------------------------------
