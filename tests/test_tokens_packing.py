@@ -4,6 +4,8 @@ import math
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.config import PackConfig
@@ -197,3 +199,18 @@ def test_split_positions_follow_the_seeded_order(spark):
     for name, size in (("train", 190), ("val", 10)):
         part = sorted((r.rank, r.pos) for r in rows if r.split == name)
         assert [p for _, p in part] == list(range(size))
+
+
+@settings(max_examples=6, deadline=None)
+@given(
+    lengths=st.lists(st.integers(min_value=1, max_value=90), min_size=0, max_size=40),
+    block=st.sampled_from([4, 16, 64]),
+    buckets=st.sampled_from([1, 2, 7]),
+    seed=st.integers(min_value=0, max_value=10**6),
+)
+def test_pack_properties(spark, lengths, block, buckets, seed):
+    df, rows = ids_table(spark, lengths, start_id=seed % 1000, seed=seed)
+    want, tail = brute_pack(rows, block)
+    got = packed(df.repartition(3), block, buckets=buckets)
+    assert got == want
+    assert len(got) * block + tail == sum(lengths)
