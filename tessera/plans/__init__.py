@@ -1,0 +1 @@
+"""Composed jobs, the registered queries and their DuckDB oracles."""

@@ -1,0 +1 @@
+"""Structured Streaming: stateless filter/tokenise, the stateful packer, the running funnel."""

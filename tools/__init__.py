@@ -1,0 +1 @@
+"""Developer tools: the oracle check."""
