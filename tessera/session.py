@@ -86,10 +86,14 @@ def ship_package(spark: SparkSession | None = None) -> None:
     Python UDFs, ``mapInArrow`` and ``applyInPandasWithState`` functions are
     unpickled in worker processes, which import this package by name; the workers
     do not see the driver's ``sys.path``. The package is zipped once per process.
+    Under Spark Connect the zip is sent with ``addArtifacts(..., pyfile=True)``.
     """
     spark = spark or SparkSession.getActiveSession()
-    sc = _context(spark) if spark is not None else None
-    if sc is None or _SHIPPED.get(id(sc)):
+    if spark is None:
+        return
+    sc = _context(spark)
+    key = id(sc) if sc is not None else id(spark)
+    if _SHIPPED.get(key):
         return
     import zipfile
 
@@ -102,8 +106,13 @@ def ship_package(spark: SparkSession | None = None) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
-    _SHIPPED[id(sc)] = out
+    if sc is not None:
+        sc.addPyFile(out)
+    elif hasattr(spark, "addArtifacts"):
+        spark.addArtifacts(out, pyfile=True)
+    else:
+        return
+    _SHIPPED[key] = out
 
 
 def parallelism(spark: SparkSession) -> int:
