@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,27 +44,83 @@ def val_count(n: Column, fraction: float, rounding: str = "floor") -> Column:
     return F.when(n > 0, v).otherwise(F.lit(0)).cast("long")
 
 
+def val_rows(n: int, fraction: float, rounding: str = "floor") -> int:
+    """``val_count`` for a known count, in Python (same IEEE arithmetic as the column form)."""
+    if n <= 0:
+        return 0
+    if rounding == "floor":
+        return max(1, math.floor(float(n) * fraction))
+    if rounding == "ceil":
+        return math.ceil(float(n) * fraction)
+    raise ValueError("rounding must be 'floor' or 'ceil'")
+
+
+def _tuple_at_least(cols: list[Column], values: list) -> Column:
+    """Lexicographic ``(c1, c2, ...) >= (v1, v2, ...)`` as a native predicate."""
+    c, v = cols[0], F.lit(values[0])
+    if len(cols) == 1:
+        return c >= v
+    return (c > v) | ((c == v) & _tuple_at_least(cols[1:], values[1:]))
+
+
+def split_threshold(df: DataFrame, key_cols: list[str], fraction: float, seed: int,
+                    rounding: str = "floor", digits: int = 3):
+    """The smallest ``(order_key, *keys)`` tuple of the val split, or None when val is empty.
+
+    Only the per-bucket counts (at most ``16**digits`` rows) and one boundary row reach
+    the driver; only the rows of the one bucket that holds the boundary are sorted.
+    """
+    keyed = df.select(seeded_key(seed, *key_cols).alias(ORDER_KEY), *key_cols)
+    bucket = hex_bucket(F.col(ORDER_KEY), digits)
+    totals = sorted(((r[0], r[1]) for r in keyed.groupBy(bucket.alias("b")).count().collect()), reverse=True)
+    n = sum(c for _, c in totals)
+    v = val_rows(n, fraction, rounding)
+    if v == 0:
+        return None
+    above = 0
+    for b, c in totals:  # buckets from the top of the order down
+        if above + c >= v:
+            k = v - above  # the k-th largest tuple of bucket b is the boundary
+            order = [F.col(ORDER_KEY).desc(), *[F.col(c_).desc() for c_ in key_cols]]
+            row = keyed.where(bucket == F.lit(b)).orderBy(*order).offset(k - 1).limit(1).first()
+            return [row[ORDER_KEY], *[row[c_] for c_ in key_cols]]
+        above += c
+    return None
+
+
 def split_exact(df: DataFrame, key_cols: list[str], fraction: float, seed: int, rounding: str = "floor",
                 split_col: str = "split", keep_rank: bool = False) -> DataFrame:
     """K9: exactly ``val_count(n)`` rows go to ``'val'``: the tail of the seeded order.
 
-    No ``limit`` and no broadcast of selected keys: the global rank and total come
-    from the two-level scheme, so this holds for any number of rows.
+    Without ``keep_rank`` no row is ranked: the val split is every row whose
+    ``(order_key, *keys)`` is at least the boundary tuple found by ``split_threshold``,
+    so the split is a projection with no window and no shuffle of the rows (which may
+    carry whole token arrays). With ``keep_rank`` each row also gets its exact global
+    ``rank`` and ``n_total`` from the two-level scheme. No ``limit``, no ``randomSplit``.
     """
-    ranked = seeded_order(df, key_cols, seed, out="__rank", total_col="__total")
-    is_val = F.col("__rank") >= F.col("__total") - val_count(F.col("__total"), fraction, rounding)
-    out = ranked.withColumn(split_col, F.when(is_val, F.lit("val")).otherwise(F.lit("train")))
     if keep_rank:
+        ranked = seeded_order(df, key_cols, seed, out="__rank", total_col="__total")
+        is_val = F.col("__rank") >= F.col("__total") - val_count(F.col("__total"), fraction, rounding)
+        out = ranked.withColumn(split_col, F.when(is_val, F.lit("val")).otherwise(F.lit("train")))
         return out.withColumnRenamed("__rank", "rank").withColumnRenamed("__total", "n_total")
-    return out.drop("__rank", "__total", ORDER_KEY)
-
-
-def split_positions(ranked: DataFrame, fraction: float, rounding: str = "floor", split_col: str = "split") -> DataFrame:
-    """``pos``: the row's place within its split in the seeded order (the order a split
-    is stored and read in), from the output of ``split_exact(..., keep_rank=True)``."""
-    first_val = F.col("n_total") - val_count(F.col("n_total"), fraction, rounding)
-    pos = F.when(F.col(split_col) == "val", F.col("rank") - first_val).otherwise(F.col("rank"))
-    return ranked.withColumn("pos", pos.cast("long"))
+    bound = split_threshold(df, key_cols, fraction, seed, rounding)
+    if bound is None:
+        return df.withColumn(split_col, F.lit("train"))
+    tup = [seeded_key(seed, *key_cols), *[F.col(c) for c in key_cols]]
+    return df.withColumn(split_col, F.when(_tuple_at_least(tup, bound), F.lit("val")).otherwise(F.lit("train")))
+
+
+def split_positions(split_df: DataFrame, key_cols: list[str], seed: int, which: str = "val",
+                    split_col: str = "split") -> DataFrame:
+    """``pos``: each ``which`` row's place within its split in the seeded order, the order
+    that split is stored and read in; other rows get NULL (training data is reshuffled
+    every epoch by the manifest). Only the ``which`` rows are ranked, and the parts are
+    combined by a union, not a join.
+    """
+    part = split_df.where(F.col(split_col) == which)
+    ranked = seeded_order(part, key_cols, seed, out="pos").drop(ORDER_KEY)
+    rest = split_df.where(F.col(split_col) != which).withColumn("pos", F.lit(None).cast("long"))
+    return ranked.unionByName(rest)
 
 
 def dataset_summary(tokens: DataFrame, chunks: DataFrame, block: int, split_col: str = "split") -> DataFrame:

@@ -53,7 +53,7 @@ def spread(df: DataFrame, *keys: str, force: bool = False) -> DataFrame:
 class CorpusTables:
     tokens: DataFrame  # doc_id, ids, n_tokens (materialised)
     chunks: DataFrame  # chunk_id, input_ids (materialised)
-    split: DataFrame  # chunk_id, input_ids, split, pos (place within the split in shuffled order)
+    split: DataFrame  # chunk_id, input_ids, split, pos (place within val in stored order; NULL for train)
     summary: DataFrame
 
 
@@ -104,8 +104,7 @@ def corpus_tables(docs: DataFrame, qcfg: QualityConfig = QualityConfig(), pcfg:
                   tokenizer=None) -> CorpusTables:
     tokens = budgeted_tokens(docs, qcfg, pcfg, tokenizer)
     chunks = materialize(pack(tokens, pcfg))
-    ranked = split_exact(chunks, ["chunk_id"], pcfg.val_fraction, pcfg.seed, keep_rank=True)
-    split = split_positions(ranked, pcfg.val_fraction).drop("rank", "n_total")
+    split = split_positions(split_exact(chunks, ["chunk_id"], pcfg.val_fraction, pcfg.seed), ["chunk_id"], pcfg.seed)
     return CorpusTables(tokens, chunks, split, dataset_summary(tokens, split, pcfg.block))
 
 
@@ -115,6 +114,6 @@ def build_corpus(spark: SparkSession, corpus_path: str, out_root: str, qcfg: Qua
     if if_exists == "skip" and is_built(spark, out_root):
         return None
     t = corpus_tables(read_corpus(spark, corpus_path), qcfg, pcfg, tokenizer)
-    # ``pos`` keeps the shuffled order within each split, the order the data is read in
+    # ``pos`` keeps the stored (shuffled) order of the val split, the order evaluation reads
     write_splits(t.split.select("chunk_id", "pos", "input_ids", "split"), out_root, if_exists="overwrite")
     return t.summary

@@ -70,7 +70,7 @@ def kept_chunks(spark, sf, cfg: PackConfig = PACK) -> DataFrame:
 
 
 def corpus_split(spark, sf) -> DataFrame:
-    return split_exact(kept_chunks(spark, sf), ["chunk_id"], PACK.val_fraction, PACK.seed, keep_rank=True)
+    return split_exact(kept_chunks(spark, sf), ["chunk_id"], PACK.val_fraction, PACK.seed)
 
 
 def instructions(spark, sf) -> DataFrame:
@@ -320,7 +320,7 @@ def q_syntax_pass_rate(spark, sf):
 def q_eval_report(spark, sf):
     split = materialize(corpus_split(spark, sf))
     scores = E.unigram_nll(split.where(F.col("split") == "train"))
-    val = split_positions(split, PACK.val_fraction).where(F.col("split") == "val")
+    val = split_positions(split, ["chunk_id"], PACK.seed).where(F.col("split") == "val")
     val = val.withColumn("batch_idx", F.floor(F.col("pos") / E_BATCH).cast("long"))
     labels = val.select("chunk_id", "batch_idx", F.posexplode("input_ids").alias("pos", "label"))
     losses = E.batch_losses(E.score_tokens(labels, scores), ("batch_idx",))

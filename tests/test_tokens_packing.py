@@ -194,11 +194,12 @@ def test_split_positions_follow_the_seeded_order(spark):
     from tessera.operators.splits import split_positions
 
     df = spark.range(200).withColumnRenamed("id", "chunk_id")
-    ranked = split_exact(df, ["chunk_id"], 0.05, 42, keep_rank=True)
-    rows = split_positions(ranked, 0.05).collect()
-    for name, size in (("train", 190), ("val", 10)):
-        part = sorted((r.rank, r.pos) for r in rows if r.split == name)
-        assert [p for _, p in part] == list(range(size))
+    ranked = {r.chunk_id: (r.rank, r.split) for r in split_exact(df, ["chunk_id"], 0.05, 42, keep_rank=True).collect()}
+    rows = split_positions(split_exact(df, ["chunk_id"], 0.05, 42), ["chunk_id"], 42).collect()
+    val = sorted((ranked[r.chunk_id][0], r.pos) for r in rows if r.split == "val")
+    assert [p for _, p in val] == list(range(10))
+    assert all(r.pos is None for r in rows if r.split == "train")
+    assert {r.chunk_id: r.split for r in rows} == {k: v[1] for k, v in ranked.items()}
 
 
 @settings(max_examples=6, deadline=None)
