@@ -64,8 +64,10 @@ def test_rank_plans_have_no_unbucketed_row_window(spark):
     events = spark.read.parquet(f"{SF0001}/events.parquet").withColumnRenamed("user_id", "run_id")
     samples = spark.createDataFrame([(i, 1, "train", [1, 2, 3], [-100, 2, 3]) for i in range(50)],
                                     "conv_id long, turn long, split string, input_ids array<int>, labels array<int>")
+    # the exact split needs no window at all: a boundary tuple and a projection
+    assert _windows(split_exact(chunks, ["chunk_id"], 0.01, 42)) == []
     plans = [
-        split_exact(chunks, ["chunk_id"], 0.01, 42),
+        split_exact(chunks, ["chunk_id"], 0.01, 42, keep_rank=True),
         B.epoch_order(chunks, ["chunk_id"], 42, 2),
         M.micro_index(events, "run_id", "ts", "event_id", rows_per_bucket=50),
         S.collate(S.batch_positions(samples, 42), 2),
