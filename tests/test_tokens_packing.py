@@ -215,3 +215,16 @@ def test_pack_properties(spark, lengths, block, buckets, seed):
     got = packed(df.repartition(3), block, buckets=buckets)
     assert got == want
     assert len(got) * block + tail == sum(lengths)
+
+
+@pytest.mark.parametrize("fraction,rounding", [(0.05, "ceil"), (0.3, "floor"), (0.5, "ceil"), (0.001, "floor")])
+def test_boundary_split_equals_ranked_split_two_keys(spark, fraction, rounding):
+    rows = [(c, t) for c in range(40) for t in range(0, 9, 2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long")
+    keys = ["conv_id", "turn"]
+    fast = {(r.conv_id, r.turn): r.split for r in split_exact(df, keys, fraction, 7, rounding).collect()}
+    ranked = {(r.conv_id, r.turn): r.split for r in split_exact(df, keys, fraction, 7, rounding, keep_rank=True).collect()}
+    assert fast == ranked
+    n = len(rows)
+    want = max(1, int(n * fraction)) if rounding == "floor" else math.ceil(n * fraction)
+    assert sum(v == "val" for v in fast.values()) == want
