@@ -124,3 +124,14 @@ def read_split_train(spark, root):
     from tessera.sources.io import read_split
 
     return read_split(spark, root, "train")
+
+
+def test_budget_larger_than_corpus_and_empty_corpus(spark):
+    from tessera.plans.corpus import budgeted_tokens, filtered_tokens
+
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    prose = QualityConfig(profile="prose")
+    everything = budgeted_tokens(docs, prose, PackConfig(target_tokens=10**12), first_width=8)
+    assert sorted(r.doc_id for r in everything.collect()) == sorted(r.doc_id for r in filtered_tokens(docs, prose).collect())
+    empty = budgeted_tokens(docs.where("false"), prose, PackConfig(target_tokens=1000))
+    assert empty.count() == 0
