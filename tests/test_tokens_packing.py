@@ -228,3 +228,16 @@ def test_boundary_split_equals_ranked_split_two_keys(spark, fraction, rounding):
     n = len(rows)
     want = max(1, int(n * fraction)) if rounding == "floor" else math.ceil(n * fraction)
     assert sum(v == "val" for v in fast.values()) == want
+
+
+def test_hash_tokenizer_same_ids_in_duckdb(spark):
+    import duckdb
+
+    tok = HashTokenizer()
+    texts = ["Héllo  wörld, 12ab\tx\n\ny — z!", "日本語 テキスト 123", " leading", "a b\U0001F600c"]
+    got = [r.i for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tok.ids("t").alias("i")).collect()]
+    con = duckdb.connect()
+    want = [con.execute(f"SELECT {tok.sql_ids('?')}", [t]).fetchone()[0] for t in texts]
+    assert got == want
+    with pytest.raises(ValueError):
+        HashTokenizer(hash_fn="xxhash64").sql_ids("t")
