@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontaminate import op9_template_decontamination
+from tessera.llm.packing_pow2 import op5_packing_pow2
 from tessera.llm.simhash_golay import op8_simhash_golay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_packing_pow2": op5_packing_pow2,
     "op8_simhash_golay": op8_simhash_golay,
+    "op9_template_decontamination": op9_template_decontamination,
 }
 
 #: Only where SQL can express the operator; the others are tested against brute force.
