@@ -31,14 +31,14 @@ def crc_fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def bounded_sample(labels: DataFrame, key: str, by: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows of each of the two classes of ``by``, lowest hash of the key first.
+def bounded_sample(labels: DataFrame, key: str, by: str, most: tuple[int, int]) -> DataFrame:
+    """At most ``most[c]`` rows of each class ``c`` (0 and 1) of ``by``, lowest hash of the key first.
 
     Each class is an ordered limit (a top-k of fixed size), so the sample is the
     same in every run and its size has a proven bound.
     """
     picks = [
-        labels.where(F.col(by) == c).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(per_class)
+        labels.where(F.col(by) == c).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(most[c])
         for c in (0, 1)
     ]
     return picks[0].unionByName(picks[1])

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.decontaminate import op9_template_decontamination
 from tessera.llm.packing_pow2 import op5_packing_pow2
 from tessera.llm.simhash_golay import op8_simhash_golay
+from tessera.llm.toxicity_fst import op2_toxicity_fst
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity_fst": op2_toxicity_fst,
     "op5_packing_pow2": op5_packing_pow2,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_template_decontamination": op9_template_decontamination,
