@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontaminate import op9_template_decontamination
 from tessera.llm.packing_pow2 import op5_packing_pow2
+from tessera.llm.secret_trigrams import op10_secret_trigrams
 from tessera.llm.simhash_golay import op8_simhash_golay
 from tessera.llm.toxicity_fst import op2_toxicity_fst
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing_pow2": op5_packing_pow2,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_template_decontamination": op9_template_decontamination,
+    "op10_secret_trigrams": op10_secret_trigrams,
 }
 
 #: Only where SQL can express the operator; the others are tested against brute force.
