@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import chat_trees, topk_tiles
+from tessera.llm.chat_trees import op7_chat_trees
 from tessera.llm.decontaminate import op9_template_decontamination
 from tessera.llm.packing_pow2 import op5_packing_pow2
 from tessera.llm.secret_trigrams import op10_secret_trigrams
 from tessera.llm.simhash_golay import op8_simhash_golay
+from tessera.llm.topk_tiles import op6_topk_tiles
 from tessera.llm.toxicity_fst import op2_toxicity_fst
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_fst": op2_toxicity_fst,
     "op5_packing_pow2": op5_packing_pow2,
+    "op6_topk_tiles": op6_topk_tiles,
+    "op7_chat_trees": op7_chat_trees,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_template_decontamination": op9_template_decontamination,
     "op10_secret_trigrams": op10_secret_trigrams,
 }
 
 #: Only where SQL can express the operator; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_topk_tiles": topk_tiles.ORACLE,
+    "op7_chat_trees": chat_trees.ORACLE,
+}
