@@ -10,12 +10,14 @@ from tessera.llm import chat_trees, topk_tiles
 from tessera.llm.chat_trees import op7_chat_trees
 from tessera.llm.decontaminate import op9_template_decontamination
 from tessera.llm.packing_pow2 import op5_packing_pow2
+from tessera.llm.quality_zstd import op1_quality_zstd
 from tessera.llm.secret_trigrams import op10_secret_trigrams
 from tessera.llm.simhash_golay import op8_simhash_golay
 from tessera.llm.topk_tiles import op6_topk_tiles
 from tessera.llm.toxicity_fst import op2_toxicity_fst
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_zstd": op1_quality_zstd,
     "op2_toxicity_fst": op2_toxicity_fst,
     "op5_packing_pow2": op5_packing_pow2,
     "op6_topk_tiles": op6_topk_tiles,
