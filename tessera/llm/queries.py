@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import chat_trees, topk_tiles
 from tessera.llm.chat_trees import op7_chat_trees
 from tessera.llm.decontaminate import op9_template_decontamination
+from tessera.llm.html_templates import op4_html_templates
 from tessera.llm.packing_pow2 import op5_packing_pow2
+from tessera.llm.pii_offsets import op3_pii_offsets
 from tessera.llm.quality_zstd import op1_quality_zstd
 from tessera.llm.secret_trigrams import op10_secret_trigrams
 from tessera.llm.simhash_golay import op8_simhash_golay
@@ -19,6 +21,8 @@ from tessera.llm.toxicity_fst import op2_toxicity_fst
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_zstd": op1_quality_zstd,
     "op2_toxicity_fst": op2_toxicity_fst,
+    "op3_pii_offsets": op3_pii_offsets,
+    "op4_html_templates": op4_html_templates,
     "op5_packing_pow2": op5_packing_pow2,
     "op6_topk_tiles": op6_topk_tiles,
     "op7_chat_trees": op7_chat_trees,
