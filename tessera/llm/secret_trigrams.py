@@ -193,14 +193,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     found = None
     if indexed:
         index = postings(docs.select(row_key.alias("key"), whole.alias("text")), trigrams).distinct()
-        found = cut(candidates(index, indexed).withColumnRenamed("key", "__key"))
+        found = cut(candidates(index, indexed).withColumnsRenamed({"key": "__key", "rules": "__rules"}))
         if found.count() <= BROADCAST_ROWS:
             found = F.broadcast(found)
     keyed = docs.withColumn("__key", row_key).withColumn("__text", whole)
-    keyed = keyed.join(found, "__key", "left") if found is not None else keyed.withColumn("rules", F.lit(None).cast("array<int>"))
+    keyed = keyed.join(found, "__key", "left") if found is not None else keyed.withColumn("__rules", F.lit(None).cast("array<int>"))
 
     def hits(n: int) -> Column:
-        wanted = F.lit(True) if n not in indexed else F.coalesce(F.array_contains("rules", n), F.lit(False))
+        wanted = F.lit(True) if n not in indexed else F.coalesce(F.array_contains("__rules", n), F.lit(False))
         return F.when(wanted, F.regexp_extract_all("__text", F.lit(rules[n].pattern), F.lit(0)))
 
     matched = keyed.select(*docs.columns, "__text", *[hits(n).alias(f"__hits{n}") for n in range(len(rules))])
