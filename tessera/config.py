@@ -36,8 +36,6 @@ PAD_ID = 0
 PER_DEVICE_BATCH = 4
 GRAD_ACCUM_STEPS = 32
 MAX_STEPS = 35_390
-LOG_EVERY_STEPS = 100
-SAVE_EVERY_STEPS = 2500
 GRAD_SKIP_THRESHOLD = 100.0
 EVAL_MAX_BATCHES = 200
 
@@ -108,16 +106,16 @@ class QualityConfig:
 @dataclass(frozen=True)
 class PackConfig:
     block: int = BLOCK
-    target_tokens: int | None = TARGET_TOKENS
+    target_tokens: int | None = None  # K6 only where a caller asks for it (TARGET_TOKENS is the reference's)
     val_fraction: float = VAL_FRACTION
     seed: int = DATA_SEED
     progress_every: int = PROGRESS_EVERY_CHUNKS
-    # Upper bound on the number of order buckets used by the two-level prefix
-    # sum. The bucket-offset table has at most this many rows, which is what
-    # makes broadcasting it safe. Below the bound, buckets are sized to about
-    # ``rows_per_bucket`` rows each (the rows one window task sorts).
-    max_buckets: int = 4096
+    # Order buckets of the two-level prefix sum hold about ``rows_per_bucket`` rows or
+    # ``bucket_bytes`` of tokens, whichever is less, and there is at least one per task
+    # slot. ``max_buckets`` is a ceiling for callers that want one.
+    max_buckets: int | None = None
     rows_per_bucket: int = 1_000_000
+    bucket_bytes: int = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -140,7 +138,6 @@ class TrainConfig:
     seed: int = DATA_SEED
     drop_last: bool = True
     carry_groups_across_epochs: bool = True
-    log_every: int = LOG_EVERY_STEPS
     grad_skip_threshold: float = GRAD_SKIP_THRESHOLD
 
     @property

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tessera.config import TrainConfig
 from tessera.operators.prefix import bucket_count, global_rank, quantile_bounds, quantile_bucket
+from tessera.session import parallelism
 
 
 def epoch_micros(df: DataFrame, ts_col: str) -> Column:
@@ -24,7 +25,7 @@ def epoch_micros(df: DataFrame, ts_col: str) -> Column:
     return F.unix_micros(c)
 
 
-def micro_index(df: DataFrame, run_col: str, ts_col: str, id_col: str, max_buckets: int = 1024,
+def micro_index(df: DataFrame, run_col: str, ts_col: str, id_col: str, max_buckets: int | None = None,
                 rows_per_bucket: int = 1_000_000, out: str = "micro_idx") -> DataFrame:
     """0-based micro-step number within each run, in ``(ts, id)`` order.
 
@@ -33,8 +34,8 @@ def micro_index(df: DataFrame, run_col: str, ts_col: str, id_col: str, max_bucke
     quantiles and is cut into many (run, bucket) window partitions.
     """
     t = epoch_micros(df, ts_col)
-    n = df.count()
-    bucket = quantile_bucket(t, quantile_bounds(df, t, bucket_count(n, max_buckets, rows_per_bucket)))
+    count = bucket_count(df.count(), max_buckets, rows_per_bucket, parallelism(df.sparkSession))
+    bucket = quantile_bucket(t, quantile_bounds(df, t, count))
     return global_rank(df, [ts_col, id_col], bucket, [run_col], out=out)
 
 
@@ -77,27 +78,34 @@ def spike_report(steps: DataFrame, threshold: float = TrainConfig().grad_skip_th
     """M3: per run, steps taken, logged and skipped, the first skipped step (0: none), and
     the gaps left in the logged steps.
 
-    A gap is a logged step whose successor is missing although the run went on; it
-    is found with an anti-join on ``(run, step + 1)``, not a window over the run.
+    A gap is a logged step whose successor is missing although the run went on. Every
+    step is emitted twice, as itself and as the successor of the step before it, so one
+    aggregate by (run, step) tells which have a logged successor, and one by run counts;
+    a run of any length is spread over many tasks, and the input is read once.
     """
     spike = is_spike(threshold, grad_col)
-    counts = steps.groupBy(run_col).agg(
-        F.count(F.lit(1)).alias("n_steps"),
-        F.count_if(~spike).alias("n_logged"),
-        F.count_if(spike).alias("n_skipped"),
+    fields = [~spike, spike, F.col(grad_col)]
+    own = F.struct(F.col("step").alias("step"), F.lit(True).alias("own"), *[c.alias(n) for c, n in zip(fields, ("logged", "skipped", "grad"))])
+    before = F.struct((F.col("step") - 1).alias("step"), F.lit(False).alias("own"), (~spike).alias("logged"),
+                      F.lit(None).cast("boolean").alias("skipped"), F.lit(None).cast("double").alias("grad"))
+    seen = steps.select(run_col, F.explode(F.array(own, before)).alias("s")).select(run_col, "s.*")
+    mine = F.col("own")
+    per_step = seen.groupBy(run_col, "step").agg(
+        F.count_if(mine).alias("n"), F.count_if(mine & F.col("logged")).alias("logged"),
+        F.count_if(mine & F.col("skipped")).alias("skipped"), F.max(F.when(mine, F.col("grad"))).alias("grad"),
+        F.count_if(~mine & F.col("logged")).alias("successors"),
+    ).where("n > 0")
+    logged = F.col("logged") > 0
+    per_run = per_step.groupBy(run_col).agg(
+        F.sum("n").alias("n_steps"),
+        F.sum("logged").alias("n_logged"),
+        F.sum("skipped").alias("n_skipped"),
         # steps are 1-based, so 0 means "no step skipped" and the column is never null
-        F.coalesce(F.min(F.when(spike, F.col("step"))), F.lit(0)).cast("long").alias("first_skipped_step"),
-        F.max(grad_col).alias("max_grad_norm"),
+        F.coalesce(F.min(F.when(F.col("skipped") > 0, F.col("step"))), F.lit(0)).cast("long").alias("first_skipped_step"),
+        F.max("grad").alias("max_grad_norm"),
         F.max("step").alias("last_step"),
+        F.count_if(logged & (F.col("successors") == 0)).alias("open"),
+        F.max_by(logged, "step").alias("__ended"),
     )
-    logged = drop_spikes(steps, threshold, grad_col).select(run_col, "step")
-    succ = logged.select(run_col, (F.col("step") - 1).alias("step"))
-    last = counts.select(run_col, "last_step")
-    gaps = (
-        logged.join(succ, [run_col, "step"], "left_anti")
-        .join(last, run_col)
-        .where(F.col("step") < F.col("last_step"))
-        .groupBy(run_col)
-        .agg(F.count(F.lit(1)).alias("n_gaps"))
-    )
-    return counts.join(gaps, run_col, "left").withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0)).cast("long"))
+    # a logged last step has no successor and is no gap
+    return per_run.withColumn("n_gaps", F.col("open") - F.col("__ended").cast("long")).drop("open", "__ended")

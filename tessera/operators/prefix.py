@@ -11,9 +11,9 @@ two-level scheme used here shuffles only small bucket totals through one task:
 3. Each row's offset is its bucket offset plus a running sum inside its bucket,
    computed by a window partitioned by (partition, bucket).
 
-The bucket table has at most ``max_buckets`` rows per partition group, so when
-there is no partition column it is broadcast; with partition columns the join is
-left to the planner (AQE broadcasts it at runtime when it is small).
+Bucket tables are broadcast only while their proven size allows it
+(``BROADCAST_BUCKETS``); otherwise the join is left to the planner (AQE broadcasts
+it at runtime when it is small).
 """
 
 from __future__ import annotations
@@ -45,28 +45,37 @@ def key_stats(df: DataFrame, col: str | Column) -> tuple[int, int, int]:
     return int(row["lo"]), int(row["hi"]), int(row["n"])
 
 
-def bucket_count(n_rows: int, max_buckets: int, rows_per_bucket: int = 1_000_000) -> int:
-    """Enough buckets that each window sorts about ``rows_per_bucket`` rows, at most ``max_buckets``."""
-    return max(1, min(max_buckets, math.ceil(n_rows / rows_per_bucket)))
+#: Bucket tables of at most this many rows are broadcast (24 bytes a row); larger ones are joined by shuffle.
+BROADCAST_BUCKETS = 1_000_000
+
+
+def bucket_count(n_rows: int, max_buckets: int | None = None, rows_per_bucket: int = 1_000_000, least: int = 1) -> int:
+    """Enough buckets that each window sorts about ``rows_per_bucket`` rows, and at least ``least``.
+
+    ``max_buckets`` is for callers that want fewer; there is no ceiling by default.
+    """
+    count = max(1, least, math.ceil(n_rows / rows_per_bucket))
+    return count if max_buckets is None else max(1, min(max_buckets, count))
 
 
 def range_bucket(key: Column, lo: int, hi: int, max_buckets: int) -> Column:
     """Equal-width buckets over ``[lo, hi]``; at most ``max_buckets`` of them, monotone in key."""
     width = max(1, math.ceil((hi - lo + 1) / max(1, max_buckets)))
-    return F.floor((key.cast("long") - F.lit(lo)) / F.lit(width)).cast("long")
+    shifted = key.cast("long") - F.lit(lo)
+    return F.call_function("div", shifted - F.pmod(shifted, F.lit(width)), F.lit(width))
 
 
-MAX_QUANTILE_BUCKETS = 1024
+QUANTILES = 1024
 
 
 def quantile_bounds(df: DataFrame, key: Column, n_buckets: int) -> list[float]:
-    """Interior boundaries of ``n_buckets`` buckets holding about equal numbers of rows.
+    """Interior boundaries of ``n_buckets`` buckets (at most ``QUANTILES``) holding about equal numbers of rows.
 
-    One ``approxQuantile`` pass; at most ``n_buckets - 1`` numbers reach the driver.
+    One ``approxQuantile`` pass; at most ``QUANTILES - 1`` numbers reach the driver.
     The boundaries are then fixed literals, so the bucket of a row is the same in
     every branch and every retry.
     """
-    n_buckets = max(1, min(n_buckets, MAX_QUANTILE_BUCKETS))
+    n_buckets = max(1, min(n_buckets, QUANTILES))
     if n_buckets == 1:
         return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -76,35 +85,44 @@ def quantile_bounds(df: DataFrame, key: Column, n_buckets: int) -> list[float]:
 
 
 def quantile_bucket(key: Column, bounds: list[float]) -> Column:
-    """Bucket index of ``key`` among sorted ``bounds``: a balanced tree of native comparisons.
+    """Number of sorted ``bounds`` that are at most ``key``: a binary search over a constant array.
 
-    ``log2(len(bounds))`` comparisons per row inside codegen, monotone in ``key``.
+    ``log2(len(bounds))`` native steps per row, monotone in ``key``.
     """
-    k = key.cast("double")
+    if not bounds:
+        return F.lit(0).cast("long")
+    k, table = key.cast("double"), F.lit([float(b) for b in bounds])
+    steps = [1 << b for b in reversed(range(len(bounds).bit_length()))]
 
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(k < F.lit(bounds[mid - 1]), build(lo, mid - 1)).otherwise(build(mid, hi))
+    def step(at: Column, by: Column) -> Column:
+        # beyond the last bound ``get`` gives NULL, which is not at most the key
+        return F.when(F.get(table, at + by - 1) <= k, at + by).otherwise(at)
 
-    return build(0, len(bounds)).cast("long")
+    return F.aggregate(F.lit(steps), F.lit(0), step).cast("long")
 
 
-def order_bucket(df: DataFrame, key: Column, max_buckets: int, rows_per_bucket: int = 1_000_000,
-                 stats: tuple[int, int, int] | None = None) -> Column:
-    """A bucket for a unique integral order key that keeps every bucket near its fair share.
+def order_bucket(df: DataFrame, key: Column, max_buckets: int | None = None, rows_per_bucket: int = 1_000_000,
+                 stats: tuple[int, int, int] | None = None, least: int = 1) -> Column:
+    """A bucket for an integral order key that keeps every bucket near its fair share.
 
     Dense keys (range at most twice the row count) use equal-width ranges, which
     bounds any bucket at twice the average. Sparse or clustered keys use quantile
     boundaries instead, so one crowded stretch of the key space cannot land in one
-    window task.
+    window task; where more than ``QUANTILES`` buckets are needed, every quantile is
+    cut into equal widths.
     """
     lo, hi, n = stats if stats is not None else key_stats(df, key)
-    count = bucket_count(n, max_buckets, rows_per_bucket)
+    count = bucket_count(n, max_buckets, rows_per_bucket, least)
     if hi - lo + 1 <= 2 * max(n, 1):
         return range_bucket(key, lo, hi, count)
-    return quantile_bucket(key, quantile_bounds(df, key, count))
+    bounds = quantile_bounds(df, key, count)
+    cuts = math.ceil(count / QUANTILES)
+    if cuts == 1:
+        return quantile_bucket(key, bounds)
+    at, edges, k = quantile_bucket(key, bounds), F.lit([float(lo), *bounds, float(hi) + 1]), key.cast("double")
+    left, right = F.get(edges, at.cast("int")), F.get(edges, (at + 1).cast("int"))
+    within = F.floor((k - left) / F.greatest(right - left, F.lit(1.0)) * cuts)
+    return at * cuts + F.greatest(F.lit(0), F.least(F.lit(cuts - 1), within)).cast("long")
 
 
 def hex_bucket(hex_key: Column, digits: int = 3) -> Column:
@@ -128,29 +146,58 @@ def ordered_offsets(
     hence every offset is deterministic. ``bucket`` must be non-decreasing in that
     order. Optionally add ``total_col`` = the group's total of ``n``.
     """
+    kept = bucketed_offsets(df, n, order_cols, bucket, partition_cols, out, total_col, broadcast_buckets)
+    return kept.drop(BUCKET, BUCKET_START, BUCKET_END)
+
+
+#: Where the bucket of a row starts and ends in the running sum.
+BUCKET_START, BUCKET_END = "__bucket_start", "__bucket_end"
+
+
+def bucketed_offsets(
+    df: DataFrame,
+    n: str | Column,
+    order_cols: list[str],
+    bucket: Column,
+    partition_cols: tuple[str, ...] | list[str] = (),
+    out: str = "start",
+    total_col: str | None = None,
+    broadcast_buckets: bool | None = None,
+) -> DataFrame:
+    """``ordered_offsets`` that keeps the row's bucket, and where the bucket starts and ends.
+
+    No row is lost: rows with a NULL order key form a bucket of their own, before all
+    others and ordered by a hash of the row, and NULL partition values are a group.
+    """
     nc = F.col(n) if isinstance(n, str) else n
     part = list(partition_cols)
     keys = part + [BUCKET]
-    staged = df.withColumn(BUCKET, bucket).withColumn("__pfx_n", nc.cast("long"))
+    no_key = F.greatest(*[F.col(c).isNull().cast("int") for c in order_cols], F.lit(0)) == 1
+    tie = F.when(no_key, F.xxhash64(*df.columns))
+    staged = df.withColumn(BUCKET, F.when(no_key, F.lit(None)).otherwise(bucket)).withColumn("__pfx_n", nc.cast("long"))
+    staged = staged.withColumn(BUCKET, F.coalesce(BUCKET, F.lit(-1)).cast("long"))
 
     totals = staged.groupBy(*keys).agg(F.sum("__pfx_n").alias("__pfx_bt"))
     run = Window.partitionBy(*part).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = [*keys, (F.sum("__pfx_bt").over(run) - F.col("__pfx_bt")).alias("__pfx_boff")]
+    cols = [*[F.col(c).alias(f"__pfx_{i}") for i, c in enumerate(keys)], F.sum("__pfx_bt").over(run).alias(BUCKET_END), "__pfx_bt"]
     if total_col:
         cols.append(F.sum("__pfx_bt").over(Window.partitionBy(*part)).alias(total_col))
-    offsets = totals.select(*cols)
+    offsets = totals.select(*cols).withColumn(BUCKET_START, F.col(BUCKET_END) - F.col("__pfx_bt")).drop("__pfx_bt")
     if broadcast_buckets is None:
         broadcast_buckets = not part
     if broadcast_buckets:
         offsets = F.broadcast(offsets)
+    same = F.lit(True)
+    for i, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"__pfx_{i}"))
+    same = same & (F.col(BUCKET) == F.col(f"__pfx_{len(part)}"))
 
-    inner = (
-        Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    order = [*order_cols, tie.asc_nulls_first()]
+    inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        staged.join(offsets, keys)
-        .withColumn(out, F.col("__pfx_boff") + F.sum("__pfx_n").over(inner) - F.col("__pfx_n"))
-        .drop("__pfx_boff", "__pfx_n", BUCKET)
+        staged.join(offsets, same)
+        .withColumn(out, F.col(BUCKET_START) + F.sum("__pfx_n").over(inner) - F.col("__pfx_n"))
+        .drop("__pfx_n", *[f"__pfx_{i}" for i in range(len(keys))])
     )
 
 

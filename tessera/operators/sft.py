@@ -15,36 +15,44 @@ from tessera.config import (
 )
 from tessera.functions.text import is_blank, py_strip
 from tessera.functions.tokens import HashTokenizer, with_eos
-from tessera.operators.prefix import global_rank, hex_bucket
+from tessera.operators.prefix import global_rank, hex_bucket, order_bucket
 from tessera.operators.splits import ORDER_KEY, seeded_key, split_exact
+from tessera.session import parallelism
 
 
 def turns_to_instructions(turns: DataFrame) -> DataFrame:
     """One instruction row per user turn answered by the next assistant turn.
 
-    ``input`` is the system turn right before the user turn, if there is one.
-    Neighbouring turns are found by equi-joins on ``(conv_id, turn ± 1)`` rather
-    than a window per conversation, so one very long conversation is spread over
-    many tasks instead of landing in one. Turn numbers are consecutive per
-    conversation.
+    ``input`` is the system turn right before the user turn, if there is one. Turn
+    numbers may have gaps: turns are ranked within their conversation by the two-level
+    scheme, and neighbours are found by equi-joins on ``(conv_id, rank ± 1)``, so one
+    very long conversation is spread over many tasks.
     """
     t = turns.select("conv_id", "turn", "role", "text")
-    users = t.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("instruction"), (F.col("turn") + 1).alias("__next")
-    )
+    bucket = order_bucket(t, F.col("turn"), least=parallelism(turns.sparkSession))
+    t = global_rank(t, ["turn"], bucket, ["conv_id"], out="__rank")
+    users = t.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("instruction"), "__rank")
     answers = t.where(F.col("role") == "assistant").select(
-        "conv_id", F.col("turn").alias("__next"), F.col("text").alias("output")
+        F.col("conv_id").alias("__a"), (F.col("__rank") - 1).alias("__at"), F.col("text").alias("output")
     )
     systems = t.where(F.col("role") == "system").select(
-        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("input")
+        F.col("conv_id").alias("__s"), (F.col("__rank") + 1).alias("__st"), F.col("text").alias("input")
     )
     return (
-        users.join(answers, ["conv_id", "__next"])
-        .join(systems, ["conv_id", "turn"], "left")
+        users.join(answers, F.col("conv_id").eqNullSafe(F.col("__a")) & (F.col("__rank") == F.col("__at")))
+        .join(systems, F.col("conv_id").eqNullSafe(F.col("__s")) & (F.col("__rank") == F.col("__st")), "left")
         .select("conv_id", "turn", "instruction", "input", "output")
     )
 
 
+def instruction_keys(rows: DataFrame) -> DataFrame:
+    """``conv_id, turn`` for a plain instruction table: a hash of the row, and a number among equal rows."""
+    cols = ["instruction", "input", "output"]
+    keyed = rows.select(F.xxhash64(*cols).alias("conv_id"), *cols)
+    same = Window.partitionBy("conv_id").orderBy(*cols)
+    return keyed.select("conv_id", F.row_number().over(same).cast("long").alias("turn"), *cols)
+
+
 def format_text(instruction, inp, output) -> Column:
     """The prompt template; the Input section only when ``input`` is not blank."""
     ins, i, out = (F.col(c) if isinstance(c, str) else c for c in (instruction, inp, output))
@@ -146,11 +154,13 @@ def batch_positions(samples: DataFrame, seed: int, key_cols=("conv_id", "turn"),
     Skipped samples do not take a position, as they are not in the dataset the
     loader batches.
     """
-    keyed = samples.withColumn(ORDER_KEY, seeded_key(seed, *key_cols))
-    return global_rank(
+    keys = [*key_cols, *[c for c in partition_cols if c not in key_cols]]
+    keyed = samples.select(*keys).withColumn(ORDER_KEY, seeded_key(seed, *key_cols))
+    places = global_rank(
         keyed, [ORDER_KEY, *key_cols], hex_bucket(F.col(ORDER_KEY)), partition_cols, out="pos",
-        total_col="n_in_split", broadcast_buckets=True,
+        total_col="n_in_split",
     ).drop(ORDER_KEY)
+    return samples.join(places, keys)
 
 
 def collate(df: DataFrame, batch_size: int, pos_col: str = "pos",

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.packing import running_offset
 from tessera.operators.prefix import global_rank, hex_bucket
 
 ORDER_KEY = "order_key"
@@ -63,29 +64,37 @@ def _tuple_at_least(cols: list[Column], values: list) -> Column:
     return (c > v) | ((c == v) & _tuple_at_least(cols[1:], values[1:]))
 
 
+#: Rows of the order among which the boundary is looked for in one small sort.
+BOUNDARY_ROWS = 4096
+
+
 def split_threshold(df: DataFrame, key_cols: list[str], fraction: float, seed: int,
                     rounding: str = "floor", digits: int = 3):
     """The smallest ``(order_key, *keys)`` tuple of the val split, or None when val is empty.
 
-    Only the per-bucket counts (at most ``16**digits`` rows) and one boundary row reach
-    the driver; only the rows of the one bucket that holds the boundary are sorted.
+    Counts per leading digits of the key (at most ``16**digits`` numbers) tell which
+    digits the boundary has; that bucket is counted by its next digits, until it holds
+    at most ``BOUNDARY_ROWS`` rows. Only those are sorted, however large the table.
     """
     keyed = df.select(seeded_key(seed, *key_cols).alias(ORDER_KEY), *key_cols)
-    bucket = hex_bucket(F.col(ORDER_KEY), digits)
-    totals = sorted(((r[0], r[1]) for r in keyed.groupBy(bucket.alias("b")).count().collect()), reverse=True)
-    n = sum(c for _, c in totals)
-    v = val_rows(n, fraction, rounding)
-    if v == 0:
-        return None
-    above = 0
-    for b, c in totals:  # buckets from the top of the order down
-        if above + c >= v:
-            k = v - above  # the k-th largest tuple of bucket b is the boundary
-            order = [F.col(ORDER_KEY).desc(), *[F.col(c_).desc() for c_ in key_cols]]
-            row = keyed.where(bucket == F.lit(b)).orderBy(*order).offset(k - 1).limit(1).first()
-            return [row[ORDER_KEY], *[row[c_] for c_ in key_cols]]
-        above += c
-    return None
+    key, prefix, k = F.col(ORDER_KEY), "", None
+    while True:
+        inside = keyed.where(F.substring(key, 1, len(prefix)) == prefix) if prefix else keyed
+        lead = F.substring(key, 1, len(prefix) + digits)
+        totals = sorted(((r[0], r[1]) for r in inside.groupBy(lead.alias("b")).count().collect()), reverse=True)
+        if k is None:
+            k = val_rows(sum(c for _, c in totals), fraction, rounding)
+            if k == 0:
+                return None
+        for b, c in totals:  # from the top of the order down; the k-th row is the boundary
+            if c >= k:
+                prefix, rows = b, c
+                break
+            k -= c
+        if rows <= BOUNDARY_ROWS or len(prefix) >= 32:  # an md5 has 32 digits; beyond, keys are equal
+            order = [key.desc(), *[F.col(c).desc() for c in key_cols]]
+            row = keyed.where(F.substring(key, 1, len(prefix)) == prefix).orderBy(*order).offset(k - 1).limit(1).first()
+            return [row[ORDER_KEY], *[row[c] for c in key_cols]]
 
 
 def split_exact(df: DataFrame, key_cols: list[str], fraction: float, seed: int, rounding: str = "floor",
@@ -123,12 +132,18 @@ def split_positions(split_df: DataFrame, key_cols: list[str], seed: int, which:
     return ranked.unionByName(rest)
 
 
-def dataset_summary(tokens: DataFrame, chunks: DataFrame, block: int, split_col: str = "split") -> DataFrame:
+def dataset_summary(tokens: DataFrame, chunks: DataFrame, block: int, split_col: str = "split",
+                    budget: int | None = None, order_col: str = "doc_id") -> DataFrame:
     """One row: documents, tokens, chunks per split, tail and utilisation.
 
-    The two sides are aggregated separately and combined by a union and one more
-    aggregate over two rows, not by a join.
+    With a ``budget`` (blocks asked for, K6) only documents that start within it count:
+    whatever else ``tokens`` holds was read past the budget. The two sides are
+    aggregated separately and combined by a union and one more aggregate over two
+    rows, not by a join.
     """
+    if budget is not None:
+        starts = running_offset(tokens.select(order_col, "n_tokens"), order_col)
+        tokens = starts.where(F.col("start") < F.lit(budget * block))
     doc_side = tokens.agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum("n_tokens").cast("long").alias("total_tokens"),

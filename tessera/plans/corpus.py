@@ -105,7 +105,8 @@ def corpus_tables(docs: DataFrame, qcfg: QualityConfig = QualityConfig(), pcfg:
     tokens = budgeted_tokens(docs, qcfg, pcfg, tokenizer)
     chunks = materialize(pack(tokens, pcfg))
     split = split_positions(split_exact(chunks, ["chunk_id"], pcfg.val_fraction, pcfg.seed), ["chunk_id"], pcfg.seed)
-    return CorpusTables(tokens, chunks, split, dataset_summary(tokens, split, pcfg.block))
+    budget = budget_chunks(pcfg.target_tokens, pcfg.block)
+    return CorpusTables(tokens, chunks, split, dataset_summary(tokens, split, pcfg.block, budget=budget))
 
 
 def build_corpus(spark: SparkSession, corpus_path: str, out_root: str, qcfg: QualityConfig = QualityConfig(),

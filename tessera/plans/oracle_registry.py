@@ -1,8 +1,6 @@
 """DuckDB SQL per registered query (same keys and column names as ``queries.QUERIES``).
 
-Queries without an entry here (``reject_funnel_code``, ``syntax_pass_rate`` and
-``eval_report``) need a Python parser and are checked on row counts and by unit
-tests only.
+Whether a source text compiles is known here by its construction from ``documents``.
 """
 
 from __future__ import annotations
@@ -78,6 +76,11 @@ def _sample_report(cfg) -> str:
     )
 
 
+NEXT_USER = (
+    "nx AS (SELECT conv_id, turn, next_user FROM (SELECT conv_id, turn, lead(role, 2) OVER w AS next_role, "
+    "lead(text, 2) OVER w AS next_user FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) "
+    "WHERE next_role = 'user')"
+)
 BEFORE_CUT = "split_part(rest, '### Instruction:', 1)"
 
 
@@ -85,7 +88,7 @@ def _completions() -> str:
     marker = f"strpos(f.text, '### Response:' || {NL})"
     return (
         f"{INSTR}, fmt AS (SELECT conv_id, turn, input, {format_sql()} AS text FROM inst), "
-        "nx AS (SELECT conv_id, turn - 2 AS turn, text AS next_user FROM conversations WHERE role = 'user'), "
+        f"{NEXT_USER}, "
         f"c AS (SELECT f.conv_id, f.turn, f.input, substr(f.text, 1, {marker} - 1 + {len(C.RESPONSE_MARKER)}) AS prompt, "
         f"f.text || CASE WHEN nx.next_user IS NULL THEN '' ELSE {NL} || {NL} || '### Instruction:' || {NL} || nx.next_user END "
         "AS text FROM fmt f LEFT JOIN nx ON f.conv_id = nx.conv_id AND f.turn = nx.turn), "
@@ -117,7 +120,7 @@ def _prompt_registry() -> str:
     slot = f"(('0x' || substr(md5(concat_ws(':', 'prompt', i.conv_id, i.turn)), 1, 8))::BIGINT % {Q.N_PROMPTS})"
     return (
         f"WITH {INSTR}, reg(slot, kind, ordinal, label, prompt) AS (VALUES {values}), "
-        "nx AS (SELECT conv_id, turn - 2 AS turn, text AS next_user FROM conversations WHERE role = 'user'), "
+        f"{NEXT_USER}, "
         f"c AS (SELECT r.label, r.kind, r.ordinal, r.prompt, r.prompt || {strip_sql('i.output')} || CASE WHEN nx.next_user IS NULL "
         f"THEN '' ELSE {NL} || {NL} || '### Instruction:' || {NL} || nx.next_user END AS text FROM inst i "
         "LEFT JOIN nx ON i.conv_id = nx.conv_id AND i.turn = nx.turn "
@@ -162,7 +165,48 @@ def _masked_nll() -> str:
     )
 
 
-def _stream_pack(block: int = C.BLOCK, salt: int = Q.STREAM_SALT) -> str:
+def _code_cte() -> str:
+    """Source texts as ``queries.code_documents`` makes them, with what makes each invalid written out."""
+    head = q(Q.CODE_HEAD).replace("\n", "' || chr(10) || '")
+    plain = f"{head} || replace(regexp_replace(text, '[^ -~\\n]', '?', 'g'), chr(10), chr(10) || '# ') || chr(10)"
+    return (
+        f"src AS (SELECT doc_id, lang, doc_id % 8 AS kind, length(text) AS n, {plain} AS code FROM documents), "
+        "code AS (SELECT doc_id, lang, kind, CASE kind "
+        "WHEN 2 THEN code || 'unclosed = (1, 2' || chr(10) "
+        "WHEN 3 THEN code || '# ' || chr(0) || chr(10) "
+        f"WHEN 4 THEN replace(code, {head}, 'y = 41 + 1' || chr(10) || 'print(y)' || chr(10) || '# ') "
+        "WHEN 5 THEN '# DO NOT EDIT' || chr(10) || code "
+        "WHEN 6 THEN code || '# ' || repeat('-----+-----|===== # ', CAST(n AS INTEGER)) "
+        "ELSE code END AS text FROM src)"
+    )
+
+
+def _funnel_code() -> str:
+    r = reason_sql("text", "code")
+    return (
+        f"WITH {_code_cte()}, rs AS (SELECT lang, kind, {r} AS reason FROM code) "
+        "SELECT lang, CASE WHEN reason = 'keep' AND kind = 2 THEN 'syntax' ELSE reason END AS reason, count(*) AS n_docs "
+        "FROM rs GROUP BY 1, 2"
+    )
+
+
+def _eval_report() -> str:
+    v = C.VOCAB_SIZE
+    return (
+        f"{SPLIT}, tkn AS (SELECT chunk_id, split, r - (n - greatest(1, floor(n * {C.VAL_FRACTION}::DOUBLE))) AS place, "
+        "unnest(string_split(ids_text, ' '))::INTEGER AS label, unnest(generate_series(0, len(string_split(ids_text, ' ')) - 1)) AS pos FROM sp), "
+        "cc AS (SELECT label, count(*) AS c FROM tkn WHERE split = 'train' GROUP BY label), "
+        "tot AS (SELECT count(*) AS total FROM tkn WHERE split = 'train'), "
+        f"nl AS (SELECT CAST(floor(place / {Q.E_BATCH}) AS BIGINT) AS batch, -ln((coalesce(cc.c, 0) + 1)::DOUBLE / (tot.total + {v})::DOUBLE) AS nll "
+        "FROM tkn LEFT JOIN cc ON tkn.label = cc.label, tot WHERE split = 'val' AND pos > 0), "
+        f"bl AS (SELECT batch, avg(nll) AS loss FROM nl WHERE batch < {Q.E_MAX_BATCHES} GROUP BY batch), "
+        "rate AS (SELECT avg(CASE WHEN doc_id % 8 IN (2, 3) THEN 0.0 ELSE 1.0 END) AS p FROM documents WHERE text IS NOT NULL) "
+        "SELECT 'unigram' AS run_id, CAST(0 AS BIGINT) AS step, round((SELECT avg(loss) FROM bl), 6) AS val_loss, "
+        "round(exp((SELECT avg(loss) FROM bl)), 6) AS val_perplexity, round((SELECT p FROM rate), 6) AS syntax_pass_rate"
+    )
+
+
+def _stream_pack(block: int = C.BLOCK, salt: int = Q.STREAM_SALT, full_only: bool = False) -> str:
     sub = f"CAST((('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % {salt}) AS INTEGER)"
     return (
         f"WITH kept AS (SELECT doc_id, source, {sub} AS sub, text FROM documents WHERE {R} = 'keep'), "
@@ -170,9 +214,10 @@ def _stream_pack(block: int = C.BLOCK, salt: int = Q.STREAM_SALT) -> str:
         "st AS (SELECT source, sub, doc_id, ids, len(ids) AS n, sum(len(ids)) OVER (PARTITION BY source, sub "
         "ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - len(ids) AS start FROM tok), "
         "flat AS (SELECT source, sub, start + unnest(generate_series(0, n - 1)) AS gpos, unnest(ids) AS id FROM st), "
-        f"ch AS (SELECT source, sub, gpos // {block} AS chunk_idx, string_agg(id::VARCHAR, ' ' ORDER BY gpos) AS ids_text "
-        f"FROM flat GROUP BY 1, 2, 3 HAVING count(*) = {block}) "
-        "SELECT source, sub, CAST(chunk_idx AS BIGINT) AS chunk_idx, md5(ids_text) AS ids_md5 FROM ch"
+        f"ch AS (SELECT source, sub, gpos // {block} AS chunk_idx, string_agg(id::VARCHAR, ' ' ORDER BY gpos) AS ids_text, "
+        f"count(*) AS n FROM flat GROUP BY 1, 2, 3{f' HAVING count(*) = {block}' if full_only else ''}) "
+        "SELECT source, sub, CAST(chunk_idx AS BIGINT) AS chunk_idx, "
+        f"{'' if full_only else 'CAST(n AS INTEGER) AS n_tokens, '}md5(ids_text) AS ids_md5 FROM ch"
     )
 
 
@@ -183,6 +228,7 @@ FUNNEL = f"SELECT lang, reason, count(*) AS n_docs FROM (SELECT lang, {R} AS rea
 def oracles() -> dict[str, str]:
     budget = math.ceil(Q.BUDGET_TOKENS / C.BLOCK)
     every = Q.PROGRESS_EVERY
+    nulled = "CASE WHEN user_id % 5 <> 0 THEN user_id END"
     mf = Q.MANIFEST
     resume_consumed = Q.RESUME_STEP * mf.grad_accum
     tokens_per_step = mf.effective_batch * mf.context
@@ -190,6 +236,7 @@ def oracles() -> dict[str, str]:
         "quality_signals": _quality_signals(),
         "reject_reason": f"SELECT doc_id, {R} AS reason FROM documents",
         "reject_funnel": FUNNEL,
+        "reject_funnel_code": _funnel_code(),
         "quality_filter_prose": f"SELECT doc_id, n_chars FROM documents WHERE {R} = 'keep'",
         "token_stats": (
             f"WITH t AS (SELECT lang, {count_sql('text')} + 1 AS n FROM documents WHERE text IS NOT NULL) "
@@ -220,7 +267,20 @@ def oracles() -> dict[str, str]:
             f"total_tokens - n_chunks * {C.BLOCK} AS tail_tokens, "
             f"coalesce(n_chunks * {C.BLOCK} / total_tokens, 0.0) AS utilisation FROM a, b"
         ),
+        "dataset_summary_budget": (
+            f"WITH {KEPT}, {TOKENS}, {STARTS}, {chunks_cte(limit_chunks=budget)}, {corpus_split_cte()}, "
+            f"a AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total_tokens FROM st WHERE start < {budget * C.BLOCK}), "
+            "b AS (SELECT count(*) AS n_chunks, count(*) FILTER (WHERE split = 'train') AS train_chunks, "
+            "count(*) FILTER (WHERE split = 'val') AS val_chunks FROM sp) "
+            f"SELECT n_docs, total_tokens, n_chunks, train_chunks, val_chunks, n_chunks * {C.BLOCK} AS chunk_tokens, "
+            f"total_tokens - n_chunks * {C.BLOCK} AS tail_tokens, "
+            f"coalesce(n_chunks * {C.BLOCK} / total_tokens, 0.0) AS utilisation FROM a, b"
+        ),
         "instructions_from_turns": f"WITH {INSTR} SELECT conv_id, turn, instruction, input, output FROM inst",
+        "instructions_read": (
+            f"WITH {INSTR} SELECT count(*) AS n_rows, TRUE AS keys_unique, count(input) AS n_with_input, "
+            f"CAST(sum(length({format_sql()})) AS BIGINT) AS n_chars FROM inst"
+        ),
         "sft_format": f"WITH {INSTR} SELECT conv_id, turn, {format_sql()} AS text FROM inst",
         "sft_masked_labels": _sample_report(Q.SFT),
         "sft_truncated": _sample_report(Q.SFT_SHORT),
@@ -278,6 +338,17 @@ def oracles() -> dict[str, str]:
             "trimmed <> text AS was_cut, trimmed AS text FROM tc"
         ),
         "prompt_registry": _prompt_registry(),
+        "syntax_pass_rate": (
+            "SELECT lang, round(avg(CASE WHEN doc_id % 8 IN (2, 3) THEN 0.0 ELSE 1.0 END), 6) AS syntax_pass_rate, "
+            "count(*) AS n_texts FROM documents GROUP BY lang"
+        ),
+        "eval_report": _eval_report(),
+        "eval_report_sink": _eval_report(),
+        "step_loss_null_run": (
+            f"WITH {EVENTS_MICRO.replace('user_id AS run_id', nulled + ' AS run_id').replace('PARTITION BY user_id', 'PARTITION BY ' + nulled)}, "
+            f"{steps_cte(Q.METRIC_RUN.grad_accum, Q.METRIC_RUN.effective_batch, Q.METRIC_RUN.context)} "
+            "SELECT run_id, step, train_loss, grad_norm, tokens_seen FROM s"
+        ),
         "step_loss": f"{_steps()} SELECT run_id, step, train_loss, grad_norm, tokens_seen FROM s",
         "step_sample": f"{_steps()} SELECT run_id, step, train_loss, grad_norm, tokens_seen FROM s "
                        f"WHERE step % {Q.SAMPLE_EVERY} = 0",
@@ -294,5 +365,6 @@ def oracles() -> dict[str, str]:
         "stream_tokenize": f"WITH {KEPT}, {TOKENS} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, "
                            "md5(array_to_string(ids, ' ')) AS ids_md5 FROM tok",
         "stream_pack": _stream_pack(),
+        "stream_budget": f"{_stream_pack(full_only=True)} ORDER BY source, sub, chunk_idx LIMIT {Q.STREAM_BUDGET}",
         "stream_funnel": FUNNEL,
     }

@@ -11,16 +11,16 @@ from __future__ import annotations
 import os
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.config import BLOCK, PackConfig, QualityConfig, SftConfig, TrainConfig
+from tessera.config import BLOCK, TARGET_TOKENS, PackConfig, QualityConfig, SftConfig, TrainConfig
 from tessera.functions.text import py_strip
 from tessera.operators import evaluation as E
 from tessera.operators import manifest as B
 from tessera.operators import metrics as M
 from tessera.operators import sft as S
-from tessera.operators.packing import pack, pack_progress, running_offset
+from tessera.operators.packing import budget_chunks, chunk_ids, pack, pack_progress, running_offset
 from tessera.operators.quality import quality_filter, quality_signals, reject_funnel, reject_reason
 from tessera.operators.splits import dataset_summary, seeded_order, split_exact, split_positions
 from tessera.operators.tokenize import token_stats, tokenize
@@ -40,6 +40,8 @@ SAMPLE_EVERY = 5
 SFT = SftConfig()
 SFT_SHORT = SftConfig(max_len=64)
 STREAM_SALT = 4
+STREAM_FILES = 1000  # files of one micro-batch
+STREAM_BUDGET = 5  # chunks
 E_MAX_BATCHES = 200
 E_BATCH = 4
 N_PROMPTS = 10
@@ -73,6 +75,11 @@ def corpus_split(spark, sf) -> DataFrame:
     return split_exact(kept_chunks(spark, sf), ["chunk_id"], PACK.val_fraction, PACK.seed)
 
 
+def kept_chunk_ids(spark, sf) -> DataFrame:
+    """The chunk ids of ``kept_chunks`` without building the chunks."""
+    return chunk_ids(kept_tokens(spark, sf).select("n_tokens"), PACK)
+
+
 def instructions(spark, sf) -> DataFrame:
     return S.turns_to_instructions(table(spark, sf, "conversations"))
 
@@ -130,11 +137,32 @@ def q_reject_funnel(spark, sf):
 
 
 CODE = QualityConfig(profile="code")
+#: Source texts made of the documents, by doc_id modulo 8; the others are valid and kept if their length is.
+CODE_KINDS = {"bracket": 2, "nul": 3, "no_def": 4, "marker": 5, "symbols": 6}
+CODE_HEAD = "def f(x):\n    y = x + 1\n    return y\n\n\nresult_of_f = f(41)\nprint(result_of_f)\n# "
+
+
+def code_documents(spark, sf) -> DataFrame:
+    """Python source whose validity is known by construction: the whole text as comments below a function."""
+    docs = documents(spark, sf, "doc_id", "lang", "text")
+    kind = F.pmod("doc_id", F.lit(8))
+    comments = F.replace(F.regexp_replace("text", r"[^ -~\n]", "?"), F.lit("\n"), F.lit("\n# "))
+    code = F.concat(F.lit(CODE_HEAD), comments, F.lit("\n"))
+    k = CODE_KINDS
+    code = (
+        F.when(kind == k["bracket"], F.concat(code, F.lit("unclosed = (1, 2\n")))
+        .when(kind == k["nul"], F.concat(code, F.lit("# \x00\n")))
+        .when(kind == k["no_def"], F.replace(code, F.lit(CODE_HEAD), F.lit("y = 41 + 1\nprint(y)\n# ")))
+        .when(kind == k["marker"], F.concat(F.lit("# DO NOT EDIT\n"), code))
+        .when(kind == k["symbols"], F.concat(code, F.lit("# "), F.repeat(F.lit("-----+-----|===== # "), F.length("text"))))
+        .otherwise(code)
+    )
+    return docs.select("doc_id", "lang", code.alias("text"))
 
 
 def q_reject_funnel_code(spark, sf):
     """F1-F10 with every rule, the syntax UDF included (it only sees rows the native rules keep)."""
-    return reject_funnel(documents(spark, sf, "doc_id", "lang", "text"), CODE, by=("lang",))
+    return reject_funnel(code_documents(spark, sf), CODE, by=("lang",))
 
 
 def q_quality_filter_prose(spark, sf):
@@ -166,11 +194,11 @@ def q_token_budget(spark, sf):
 
 
 def q_pack_progress(spark, sf):
-    return pack_progress(kept_chunks(spark, sf), PackConfig(progress_every=PROGRESS_EVERY))
+    return pack_progress(kept_chunk_ids(spark, sf), PackConfig(target_tokens=TARGET_TOKENS, progress_every=PROGRESS_EVERY))
 
 
 def q_seeded_order(spark, sf):
-    return seeded_order(kept_chunks(spark, sf).select("chunk_id"), ["chunk_id"], PACK.seed)
+    return seeded_order(kept_chunk_ids(spark, sf), ["chunk_id"], PACK.seed)
 
 
 def q_split_exact(spark, sf):
@@ -183,12 +211,33 @@ def q_dataset_summary(spark, sf):
     return dataset_summary(tokens, split_exact(chunks, ["chunk_id"], PACK.val_fraction, PACK.seed), PACK.block)
 
 
+def q_dataset_summary_budget(spark, sf):
+    """K6 + K10: the summary counts only documents that start within the budget, however far was read."""
+    cfg = PackConfig(target_tokens=BUDGET_TOKENS)
+    tokens = budgeted_tokens(table(spark, sf, "documents"), PROSE, cfg)
+    split = split_exact(materialize(pack(tokens, cfg)), ["chunk_id"], cfg.val_fraction, cfg.seed)
+    return dataset_summary(tokens, split, cfg.block, budget=budget_chunks(cfg.target_tokens, cfg.block))
+
+
 # --- 2.5 instruction samples ------------------------------------------------
 
 def q_instructions_from_turns(spark, sf):
     return instructions(spark, sf)
 
 
+def q_instructions_read(spark, sf):
+    """A plain instruction table (no conversation columns), written, read back and keyed."""
+    from tessera.sources.io import read_instructions
+
+    path = _work_dir(spark, "instructions")
+    instructions(spark, sf).select("instruction", "input", "output").write.parquet(path)
+    keyed = S.instruction_keys(read_instructions(spark, path))
+    rows = S.format_sample(keyed)
+    unique = F.count_distinct("conv_id", "turn") == F.count(F.lit(1))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), unique.alias("keys_unique"),
+                    F.count("input").alias("n_with_input"), F.sum(F.length("text")).alias("n_chars"))
+
+
 def q_sft_format(spark, sf):
     return S.format_sample(instructions(spark, sf)).select("conv_id", "turn", "text")
 
@@ -241,11 +290,12 @@ def q_sft_manifest(spark, sf):
     return man.select("conv_id", "turn", "epoch", "pos", "micro", "step")
 
 def _train_chunks(spark, sf) -> DataFrame:
-    return materialize(corpus_split(spark, sf).where(F.col("split") == "train").select("chunk_id"))
+    split = split_exact(kept_chunk_ids(spark, sf), ["chunk_id"], PACK.val_fraction, PACK.seed)
+    return split.where(F.col("split") == "train").select("chunk_id")
 
 
 def q_epoch_order(spark, sf):
-    return B.epoch_order(kept_chunks(spark, sf).select("chunk_id"), ["chunk_id"], PACK.seed, EPOCHS)
+    return B.epoch_order(kept_chunk_ids(spark, sf), ["chunk_id"], PACK.seed, EPOCHS)
 
 
 def _manifest(spark, sf):
@@ -288,12 +338,18 @@ def q_masked_nll(spark, sf):
                     F.round("perplexity", 6).alias("perplexity"))
 
 
+def following_users(spark, sf) -> DataFrame:
+    """``conv_id, turn, next_user``: the user turn two places after a turn, whatever the turn numbers."""
+    place = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.lead("role", 2).over(place).alias("role"), F.lead("text", 2).over(place).alias("next_user"))
+    return turns.where(F.col("role") == "user").select("conv_id", "turn", "next_user")
+
+
 def completions(spark, sf) -> DataFrame:
     """Stand-in generations from the turn table: the prompt, the answer, then the next instruction block."""
     inst = instructions(spark, sf)
-    nxt = table(spark, sf, "conversations").where(F.col("role") == "user").select(
-        "conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("next_user")
-    )
+    nxt = following_users(spark, sf)
     fmt = S.format_sample(inst)
     pos = F.instr("text", "### Response:\n")
     prompt = F.substring(F.col("text"), F.lit(1), pos - 1 + len("### Response:\n"))
@@ -312,12 +368,12 @@ def q_completion_trim(spark, sf):
 
 
 def q_syntax_pass_rate(spark, sf):
-    c = spread(E.trim_completion(completions(spark, sf)), "conv_id", "turn", force=True)
-    kind = F.when(F.col("input").isNull() | (F.length(py_strip("input")) == 0), "plain").otherwise("with_input")
-    return E.syntax_pass_rate(c.withColumn("kind", kind), by=("kind",))
+    """E4 + E5: per language, the share of source texts that compile."""
+    rate = E.syntax_pass_rate(code_documents(spark, sf), by=("lang",))
+    return rate.select("lang", F.round("syntax_pass_rate", 6).alias("syntax_pass_rate"), "n_texts")
 
 
-def q_eval_report(spark, sf):
+def _eval_report(spark, sf) -> DataFrame:
     split = materialize(corpus_split(spark, sf))
     scores = E.unigram_nll(split.where(F.col("split") == "train"))
     val = split_positions(split, ["chunk_id"], PACK.seed).where(F.col("split") == "val")
@@ -325,11 +381,29 @@ def q_eval_report(spark, sf):
     labels = val.select("chunk_id", "batch_idx", F.posexplode("input_ids").alias("pos", "label"))
     losses = E.batch_losses(E.score_tokens(labels, scores), ("batch_idx",))
     v = E.val_loss(losses).withColumn("run_id", F.lit("unigram")).withColumn("step", F.lit(0).cast("long"))
-    c = spread(E.trim_completion(completions(spark, sf)), "conv_id", "turn", force=True)
-    p = E.syntax_pass_rate(c).withColumn("run_id", F.lit("unigram")).withColumn("step", F.lit(0).cast("long"))
+    p = E.syntax_pass_rate(code_documents(spark, sf)).withColumn("run_id", F.lit("unigram")).withColumn("step", F.lit(0).cast("long"))
     return E.eval_report(v, p)
 
 
+def _rounded_report(report: DataFrame) -> DataFrame:
+    return report.select("run_id", F.col("step").cast("long").alias("step"), *[
+        F.round(c, 6).alias(c) for c in ("val_loss", "val_perplexity", "syntax_pass_rate")])
+
+
+def q_eval_report(spark, sf):
+    return _rounded_report(_eval_report(spark, sf))
+
+
+def q_eval_report_sink(spark, sf):
+    """The report written, one folder per step, and read back."""
+    from tessera.sources.io import read_eval_report, write_eval_report
+
+    root = _work_dir(spark, "eval")
+    write_eval_report(_eval_report(spark, sf), root)
+    schema = "run_id string, val_loss double, val_perplexity double, syntax_pass_rate double, step long"
+    return _rounded_report(read_eval_report(spark, root, schema))
+
+
 def registry_completions(spark, sf) -> DataFrame:
     """Stand-in generations for the registry prompts: each instruction row of the turn table is
     assigned to one prompt by an md5 slot, and its answer (plus the next instruction block,
@@ -339,9 +413,7 @@ def registry_completions(spark, sf) -> DataFrame:
         "label", "prompt",
         F.when(F.col("kind") == "code", F.col("ordinal") - 1).otherwise(F.col("ordinal") + 4).alias("slot"),
     )
-    nxt = table(spark, sf, "conversations").where(F.col("role") == "user").select(
-        "conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("next_user")
-    )
+    nxt = following_users(spark, sf)
     key = F.md5(F.concat_ws(":", F.lit("prompt"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     slot = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint"), F.lit(N_PROMPTS))
     tail = F.when(F.col("next_user").isNull(), F.lit("")).otherwise(
@@ -366,6 +438,15 @@ def q_step_loss(spark, sf):
     return step_rows(spark, sf)
 
 
+def q_step_loss_null_run(spark, sf):
+    """M1 with NULL run ids: they are a run like any other."""
+    ev = table(spark, sf, "events").select(
+        F.when(F.pmod("user_id", F.lit(5)) != 0, F.col("user_id")).alias("run_id"), "ts", "event_id", "value",
+        (F.col("value").cast("decimal(12,2)") * F.lit(Decimal("0.01"))).alias("loss"),
+    )
+    return M.step_loss(M.micro_index(ev, "run_id", "ts", "event_id"), METRIC_RUN, grad_col="value")
+
+
 def q_step_sample(spark, sf):
     return M.sample_steps(step_rows(spark, sf), SAMPLE_EVERY)
 
@@ -407,28 +488,50 @@ def _work_dir(spark, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "work", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-def q_stream_pack(spark, sf):
-    from tessera.streaming.jobs import run, stream_tokens, with_pack_progress
+def _packed_stream(spark, sf) -> DataFrame:
+    from tessera.streaming.jobs import few_splits, stream_tokens
     from tessera.streaming.packer import pack_stream
 
+    path = os.path.join(sf, "documents.parquet")
+    toks = stream_tokens(spark, path, PROSE, shard_col="source", max_files_per_trigger=STREAM_FILES,
+                         spread_to=parallelism(spark) if few_splits(spark, path) else None)
+    return pack_stream(toks, "source", BLOCK, "doc_id", "ids", salt=STREAM_SALT)
+
+
+def q_stream_pack(spark, sf):
+    """R2: every full chunk of the stream, and each sub-shard's remainder from the state store."""
+    from tessera.streaming.jobs import run, with_pack_progress
+    from tessera.streaming.packer import stream_remainders
+
     base = _work_dir(spark, "stream_pack")
-    toks = stream_tokens(spark, os.path.join(sf, "documents.parquet"), PROSE, shard_col="source",
-                         spread_to=parallelism(spark))
-    packed = with_pack_progress(pack_stream(toks, "source", BLOCK, "doc_id", "ids", salt=STREAM_SALT))
-    q = run(packed, "stream_pack", sink="parquet", path=os.path.join(base, "out"),
+    q = run(with_pack_progress(_packed_stream(spark, sf)), "stream_pack", sink="parquet", path=os.path.join(base, "out"),
             checkpoint=os.path.join(base, "ckpt"), state_partitions=parallelism(spark))
     q.awaitTermination()
     out = spark.read.parquet(os.path.join(base, "out"))
-    return out.select(F.col("source"), "sub", "chunk_idx", arr_md5("input_ids").alias("ids_md5"))
+    left = stream_remainders(spark, os.path.join(base, "ckpt"), "source")
+    return out.unionByName(left).select(F.col("source"), "sub", "chunk_idx", F.size("input_ids").alias("n_tokens"),
+                                        arr_md5("input_ids").alias("ids_md5"))
+
+
+def q_stream_budget(spark, sf):
+    """One budget over all shards of a stream."""
+    from tessera.streaming.jobs import run_budgeted
+
+    base = _work_dir(spark, "stream_budget")
+    out = os.path.join(base, "out")
+    q = run_budgeted(_packed_stream(spark, sf), out, os.path.join(base, "ckpt"), STREAM_BUDGET,
+                     ["source", "sub", "chunk_idx"], parallelism(spark))
+    q.awaitTermination()
+    return spark.read.parquet(out).select("source", "sub", "chunk_idx", arr_md5("input_ids").alias("ids_md5"))
 
 
 def q_stream_tokenize(spark, sf):
     """The stateless stream (filter + tokenise) written to files, read back per document."""
-    from tessera.streaming.jobs import run, stream_tokens
+    from tessera.streaming.jobs import few_splits, run, stream_tokens
 
-    base = _work_dir(spark, "stream_tokenize")
-    toks = stream_tokens(spark, os.path.join(sf, "documents.parquet"), PROSE, shard_col=None,
-                         spread_to=parallelism(spark))
+    base, path = _work_dir(spark, "stream_tokenize"), os.path.join(sf, "documents.parquet")
+    toks = stream_tokens(spark, path, PROSE, shard_col=None, max_files_per_trigger=STREAM_FILES,
+                         spread_to=parallelism(spark) if few_splits(spark, path) else None)
     q = run(toks, "stream_tokenize", sink="parquet", path=os.path.join(base, "out"),
             checkpoint=os.path.join(base, "ckpt"))
     q.awaitTermination()
@@ -472,7 +575,9 @@ QUERIES = {
     "seeded_order": q_seeded_order,
     "split_exact": q_split_exact,
     "dataset_summary": q_dataset_summary,
+    "dataset_summary_budget": q_dataset_summary_budget,
     "instructions_from_turns": q_instructions_from_turns,
+    "instructions_read": q_instructions_read,
     "sft_format": q_sft_format,
     "sft_masked_labels": q_sft_masked_labels,
     "sft_truncated": q_sft_truncated,
@@ -490,12 +595,15 @@ QUERIES = {
     "prompt_registry": q_prompt_registry,
     "syntax_pass_rate": q_syntax_pass_rate,
     "eval_report": q_eval_report,
+    "eval_report_sink": q_eval_report_sink,
     "step_loss": q_step_loss,
+    "step_loss_null_run": q_step_loss_null_run,
     "step_sample": q_step_sample,
     "spike_report": q_spike_report,
     "corpus_build_val": q_corpus_build_val,
     "step_metrics_csv": q_step_metrics_csv,
     "stream_tokenize": q_stream_tokenize,
     "stream_pack": q_stream_pack,
+    "stream_budget": q_stream_budget,
     "stream_funnel": q_stream_funnel,
 }

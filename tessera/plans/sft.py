@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from tessera.config import SftConfig, TrainConfig
 from tessera.operators.manifest import manifest
-from tessera.operators.sft import batch_positions, collate, sft_samples, sft_split, sft_summary, turns_to_instructions
+from tessera.operators.sft import (
+    batch_positions,
+    collate,
+    instruction_keys,
+    sft_samples,
+    sft_split,
+    sft_summary,
+    turns_to_instructions,
+)
 from tessera.plans.corpus import spread
 from tessera.session import materialize
 
@@ -39,6 +47,8 @@ def sft_tables(turns_or_instructions: DataFrame, cfg: SftConfig = SftConfig(), t
     df = turns_or_instructions
     if "instruction" not in df.columns:
         df = turns_to_instructions(df)
+    elif "conv_id" not in df.columns:
+        df = instruction_keys(df)
     samples_all = split_samples(df, cfg, tokenizer)
     kept = samples_all.where(F.col("reason") == "keep")
     positioned = batch_positions(kept, cfg.seed)
@@ -51,8 +61,8 @@ def val_batches(t: SftTables, cfg: SftConfig = SftConfig()) -> DataFrame:
 
 
 def train_manifest(t: SftTables, cfg: SftConfig = SftConfig()) -> DataFrame:
-    """Training micro-batches per epoch, reshuffled each epoch; unfinished groups dropped per epoch."""
-    train = t.samples.where(F.col("split") == "train").drop("pos", "n_in_split")
+    """Keys of the training micro-batches per epoch, reshuffled each epoch; unfinished groups dropped per epoch."""
+    train = t.samples.where(F.col("split") == "train").select("conv_id", "turn")
     tc = TrainConfig(
         batch_size=cfg.batch_size, grad_accum=cfg.grad_accum, seed=cfg.seed, drop_last=False,
         carry_groups_across_epochs=False, max_steps=1 << 40, context=cfg.max_len,

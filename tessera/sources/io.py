@@ -133,3 +133,8 @@ def read_step_metrics(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
 def write_eval_report(df: DataFrame, root: str, fmt: str = "json") -> None:
     """Append the per-step evaluation report, one folder per step."""
     df.write.mode("append").partitionBy("step").format(fmt).save(root)
+
+
+def read_eval_report(spark: SparkSession, root: str, schema, fmt: str = "json") -> DataFrame:
+    """Read the reports of all steps with a fixed schema."""
+    return spark.read.schema(schema).format(fmt).load(root)

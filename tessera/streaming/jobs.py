@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tessera.config import QualityConfig
 from tessera.operators.quality import quality_filter, reject_funnel
 from tessera.operators.tokenize import tokenize
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, parallelism
 from tessera.sources.io import read_corpus
 
 
@@ -56,6 +57,53 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
 
 
+def few_splits(spark: SparkSession, path: str) -> bool:
+    """Whether the files at ``path`` give fewer read tasks than there are task slots."""
+    return spark.read.parquet(path).rdd.getNumPartitions() < parallelism(spark)
+
+
+def run_budgeted(df: DataFrame, path: str, checkpoint: str, budget: int, order_cols: list[str],
+                 state_partitions: int | None = None) -> StreamingQuery:
+    """One budget of ``budget`` rows (chunks) for a whole stream, over all shards.
+
+    Every micro-batch is written into a folder of its own, cut to what the batches
+    before it left of the budget: the first rows by ``order_cols``. A batch that is run
+    again after a failure overwrites its folder, so nothing counts twice.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        target = os.path.join(path, f"batch={epoch}")
+        have = 0
+        for earlier in range(epoch):
+            have += spark.read.parquet(os.path.join(path, f"batch={earlier}")).count()
+        kept = batch.persist(StorageLevel.DISK_ONLY_2)
+        try:
+            left = budget - have
+            cut = kept if kept.count() <= left else kept.orderBy(*order_cols).limit(max(0, left))
+            cut.write.mode("overwrite").parquet(target)
+        finally:
+            kept.unpersist()
+
+    spark = df.sparkSession
+    w = (df.writeStream.outputMode("append").foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    return _start(spark, w, state_partitions)
+
+
+def _start(spark: SparkSession, w, state_partitions: int | None) -> StreamingQuery:
+    """Start with the given number of state-store partitions, fixed when a query first starts."""
+    if not state_partitions:
+        return w.start()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return w.start()
+    finally:
+        spark.conf.set(key, before)
+
+
 def run(df: DataFrame, name: str, sink: str = "memory", path: str | None = None, mode: str = "append",
         checkpoint: str | None = None, available_now: bool = True,
         state_partitions: int | None = None) -> StreamingQuery:
@@ -73,12 +121,4 @@ def run(df: DataFrame, name: str, sink: str = "memory", path: str | None = None,
         w = w.format("memory").queryName(name)
     else:
         w = w.format(sink).option("path", path)
-    if not state_partitions:
-        return w.start()
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
-    try:
-        return w.start()
-    finally:
-        spark.conf.set(key, before)
+    return _start(spark, w, state_partitions)

@@ -6,8 +6,9 @@ appends the shard's new documents (sorted by the order column, all Arrow frames
 of the group together) to the buffer and emits every full block.
 
 A single global buffer would make the stream serial; per shard, each shard's
-output equals batch packing of that shard alone in the same arrival order, and at
-most ``block - 1`` tokens per shard stay unemitted at the end.
+output equals batch packing of that shard alone in the same arrival order. What is
+left in the buffers when a stream has ended (fewer than ``block`` tokens each) is read
+from its state store by ``stream_remainders``, so every token is accounted for.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -93,3 +94,13 @@ def pack_stream(df: DataFrame, shard_col: str = "shard", block: int = 1024, orde
     return keyed.groupBy(shard_col, SUB_COL).applyInPandasWithState(
         step, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
+
+
+def stream_remainders(spark: SparkSession, checkpoint: str, shard_col: str = "shard") -> DataFrame:
+    """The short last chunk of every (shard, sub) of an ended stream, from its state store.
+
+    Same columns as ``pack_stream``; shards whose budget is spent and empty buffers give no row.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    left = state.select(f"key.{shard_col}", f"key.{SUB_COL}", "value.groupState.*").where((F.size("buf") > 0) & ~F.col("done"))
+    return left.select(shard_col, SUB_COL, F.col("next_chunk").alias("chunk_idx"), F.col("buf").alias("input_ids"))
