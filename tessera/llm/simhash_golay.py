@@ -8,13 +8,15 @@ too (one to six distinct indices). Two words at distance 1 share an index becaus
 one decodes into the other's set; at distance 2 they share the index of a word
 between them.
 
-With at most four differing bits in all, the two segments that differ least have
-``e1 + e2 <= 2`` errors, so a linked pair always shares at least one of
+With at most four differing bits in all, the errors of the three segments are either
+``0, <= 2, any`` or ``1, 1, <= 2``, so a linked pair always shares at least one of
 
-* segment ``i`` exactly, and an index of the index set of segment ``j`` (errors 0 and <= 2);
-* an index pair (set of ``i``, own index of ``j``) or (own of ``i``, set of ``j``) (errors 1 and 1).
+* segment ``i`` exactly, and an index of the index set of segment ``j``;
+* an index pair (set of ``i``, own index of ``j``) or (own of ``i``, set of ``j``), and one of
+  three parts of segment ``k`` exactly, as two errors leave one part whole.
 
-Every fingerprint emits about 60 such keys. Keys held by one fingerprint drop out in a
+The keys have 28 to 35 bits, so that fingerprints that are not alike rarely meet. Every
+fingerprint emits about 120 of them. Keys held by one fingerprint drop out in a
 map-side aggregate; keys held by two give the pair at once; keys held by more are cut
 into tiles of bounded size, and each tile returns a spanning forest of its verified
 links rather than all pairs. Links only join fingerprints, so exact copies, however
@@ -127,21 +129,22 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     segments = [((fps >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in zip(SHIFTS, WIDTHS)]
     sets = [_sets(x, w) for x, w in zip(segments, WIDTHS)]
     rows, keys = [], []
-
-    def add(tag: int, fixed: np.ndarray, near: np.ndarray, keep: np.ndarray, swap: bool = False) -> None:
-        at, col = np.nonzero(keep)
-        index = near[at, col]
-        body = (index << 12 | fixed[at]) if swap else (fixed[at] << 12 | index)
-        rows.append(at)
-        keys.append(tag << 40 | body)
-
     for tag, (i, j) in enumerate(itertools.permutations(range(3), 2)):
         _, near, first = sets[j]
-        add(tag, segments[i], near, first)
-    for tag, (i, j) in enumerate(itertools.combinations(range(3), 2), start=8):
+        at, col = np.nonzero(first)
+        rows.append(at)
+        keys.append(tag << 40 | segments[i][at] << 12 | near[at, col])
+    for tag, (i, j, k) in zip((6, 9, 12), ((0, 1, 2), (0, 2, 1), (1, 2, 0))):
         (own_i, near_i, first_i), (own_j, near_j, first_j) = sets[i], sets[j]
-        add(tag, own_i, near_j, first_j)
-        add(tag, own_j, near_i, first_i & (near_i != own_i[:, None]), swap=True)
+        at, col = np.nonzero(first_j)
+        once, other = np.nonzero(first_i & (near_i != own_i[:, None]))
+        pairs = np.concatenate([own_i[at] << 12 | near_j[at, col], near_i[once, other] << 12 | own_j[once]])
+        at = np.concatenate([at, once])
+        size = -(-WIDTHS[k] // 3)
+        for part in range(3):
+            whole = segments[k][at] >> size * part & (1 << size) - 1
+            rows.append(at)
+            keys.append((tag + part) << 40 | whole << 24 | pairs)
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -210,15 +213,20 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFra
     return twos.unionByName(tiles.mapInArrow(forests, "u long, v long"))
 
 
+def components(fps: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
+    """``fp, comp`` for distinct fingerprints ``fp``: ``comp`` is the least one reachable by links."""
+    roots = connected_components(links(fps, max_bits, tile)).withColumnRenamed("node", "fp")
+    return fps.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
     """``id, fp, component``: every document with its fingerprint and the least id it can reach by links."""
     marked = cut(fingerprints(docs, id_col, text_col, words, seed))
     fps = cut(marked.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = connected_components(links(fps, max_bits)).withColumnRenamed("node", "fp")
-    named = cut(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    names = named.groupBy("root").agg(F.min("first").alias("component"))
-    by_fp = named.join(names, "root").select("fp", "component")
+    named = cut(fps.join(components(fps, max_bits), "fp"))
+    names = named.groupBy("comp").agg(F.min("first").alias("component"))
+    by_fp = named.join(names, "comp").select("fp", "component")
     return marked.join(by_fp, "fp").select("id", "fp", "component")
 
 
