@@ -6,9 +6,10 @@ and one piece for each set bit of what is left, longest first: 5,000 ids with a
 length is a power of two, and sequences of equal length share a bucket, so batches have
 one shape, nothing is padded and no sequence crosses documents.
 
-Tokenising and cutting happen in one pass without a shuffle. A text is split at white
-space and each distinct word is tokenised once per task (the tokenizer's rules never
-join characters across white space); the memo is bounded.
+Tokenising and cutting happen in one pass without a shuffle. The tokenizer's rules never
+join characters across white space, nor letters and signs, so a worker remembers the ids of
+words, and of the runs of letters or signs within them, and hands each new run to the
+tokenizer once; both memos are bounded.
 
 Null text: empty, so the document is its end id alone. Repeated rows: each packed on its
 own, under its own sequence ids. Null id: kept. Empty table: empty result. Other columns
@@ -17,7 +18,10 @@ are ignored.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,11 +34,17 @@ from tessera.llm.common import sql_type, table
 
 MAX_LENGTH = 4096
 END_ID = 2
-MEMO_WORDS = 400_000  # words one task remembers before it starts anew
-MEMO_CHARS = 48  # longer words are tokenised each time
+MEMO = 800_000  # words, and as many runs, that a worker remembers at most
+MEMO_CHARS = 48  # longer words are not remembered
 #: White space as the tokenizer's \s has it; str.split() also splits at 1C-1F, which \s does not match.
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
+#: Words whose runs can be told without the tokenizer: of Latin-1, and without its special tokens.
+_LATIN = re.compile(r"[!-~\xa1-\xff]+\Z")
+# Fixed value: the tokenizer's splitting pattern, for lower-cased Latin-1.
+_RUN = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿªµº]+|[0-9²³¹¼½¾]|[^a-zß-öø-ÿªµº0-9²³¹¼½¾]+"
+)
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -43,28 +53,65 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordMemo(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers, tokenised at first sight."""
+class Memo:
+    """String -> ids, in two generations: when the young one is full it becomes the old one, and what is used again returns."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def need(self, strings: set[str]) -> set[str]:
+        """Bring what is known of ``strings`` into the young generation; return the rest."""
+        new = strings.difference(self.young)
+        if len(self.young) + len(new) > MEMO // 2:
+            self.old, self.young, new = self.young, {}, strings
+        known = new & self.old.keys()
+        self.young.update((s, self.old[s]) for s in known)
+        return new - known
+
+    def forget_long(self, strings: set[str]) -> None:
+        for s in strings:
+            if len(s) > MEMO_CHARS:
+                del self.young[s]
 
-    def ids_of(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.ids_of(word)
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+class WordMemo:
+    """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def encode(self, text: str) -> bytes:
-        words = _SPACE.split(text) if _ODD.search(text) else text.split()
-        return b"".join(map(self.__getitem__, words))
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.runs = Memo(), Memo()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [_SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
+        words = self.words.need(set().union(*split))
+        single, several = {}, {}  # words of one run, by far the most, and the others
+        for w in words:
+            if not _LATIN.match(w) or "<|" in w:
+                single[w] = w
+            elif w.isalpha():
+                single[w] = w.lower()
+            else:
+                several[w] = _RUN.findall(w.lower())
+        runs = self.runs.need({*single.values()}.union(*several.values()))
+        unseen = list(runs)
+        found = self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)
+        ids = self.runs.young
+        ids.update((r, pack_ids(x.ids)) for r, x in zip(unseen, found))
+        young = self.words.young
+        young.update((w, ids[r]) for w, r in single.items())
+        young.update((w, b"".join([ids[r] for r in x])) for w, x in several.items())
+        out = [b"".join([young[w] for w in words]) for words in split]
+        self.words.forget_long(words)
+        self.runs.forget_long(runs)
+        return out
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
 @cache
@@ -93,11 +140,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         memo = _memo(tokenizer)
         lengths_of = cache(lambda rest: piece_lengths(rest, max_length))
         for b in batches:
-            for lo in range(0, b.num_rows, 512):  # a batch's ids take more room than its texts
-                part = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, 256):  # a batch's ids take more room than its texts
+                part = b.slice(lo, 256)
                 at, starts, lengths, totals, blobs = [], [], [], [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    blob = memo.encode(text or "") + end
+                for row, blob in enumerate(memo.encode([t or "" for t in part.column(1).to_pylist()])):
+                    blob += end
                     n = len(blob) // 4
                     full, rest = divmod(n, max_length)
                     cuts = [max_length] * full + lengths_of(rest)

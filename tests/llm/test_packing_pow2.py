@@ -24,15 +24,17 @@ def test_memo_equals_the_tokenizer(tokenizer):
         assert memo.encode(part) == want
 
 
-def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(g, "MEMO", 50)
+def test_memo_is_bounded(monkeypatch, tokenizer):
+    monkeypatch.setattr(g, "MEMO", 100)
     memo = g.WordMemo(g.tokenizer_file())
-    for k in range(20):
-        memo.encode([" ".join(f"w{k}x{j}" for j in range(20))])
-        assert len(memo.words) <= 50 and len(memo.runs) <= 50
-    before = len(memo.words)
+    for k in range(40):
+        text = " ".join([f"w{k}x{j}" for j in range(20)] + ["again"])
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert memo.encode([text]) == [want]
+        for m in (memo.words, memo.runs):
+            assert len(m.young) + len(m.old) <= 100
     memo.encode(["z" * 100])
-    assert len(memo.words) <= before  # long words are not kept
+    assert "z" * 100 not in memo.words.young  # long words are not kept
 
 
 @pytest.mark.parametrize("n, want", [(1, [1]), (5000, [4096, 512, 256, 128, 8]), (4096, [4096]), (8193, [4096, 4096, 1]), (7, [4, 2, 1])])
