@@ -135,3 +135,51 @@ def test_budget_larger_than_corpus_and_empty_corpus(spark):
     assert sorted(r.doc_id for r in everything.collect()) == sorted(r.doc_id for r in filtered_tokens(docs, prose).collect())
     empty = budgeted_tokens(docs.where("false"), prose, PackConfig(target_tokens=1000))
     assert empty.count() == 0
+
+
+def test_default_packing_plan_at_scale_factor_01(spark):
+    """The plan users get: no row data in one partition, and the token arrays cross one exchange."""
+    from tessera.operators.packing import pack
+    from tessera.plans.corpus import filtered_tokens
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    chunks = pack(filtered_tokens(docs, QualityConfig(profile="prose")))
+    tree = chunks._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "BroadcastNestedLoopJoin" not in tree and "CartesianProduct" not in tree
+    lines = tree.splitlines()
+    for i, line in enumerate(lines):
+        if "SinglePartition" in line:  # only the bucket totals go to one task
+            assert "ids" not in "".join(lines[i : i + 2])
+    full = [x for x in lines if "Exchange hashpartitioning(__bucket" in x]
+    assert full
+    parts = [n for n in chunks.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n]
+    assert len(parts) > 1
+    assert sum(parts) == chunks.count()
+
+
+def test_summary_with_budget_does_not_depend_on_what_was_read(spark):
+    from tessera.operators.packing import budget_chunks, pack
+    from tessera.operators.splits import dataset_summary, split_exact
+    from tessera.plans.corpus import budgeted_tokens
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prose, cfg = QualityConfig(profile="prose"), PackConfig(target_tokens=5 * 1024)
+    seen = set()
+    for width in (8, 64, 4096):
+        tokens = budgeted_tokens(docs, prose, cfg, first_width=width)
+        split = split_exact(pack(tokens, cfg), ["chunk_id"], 0.005, 42)
+        seen.add(tuple(dataset_summary(tokens, split, 1024, budget=budget_chunks(cfg.target_tokens, 1024)).first()))
+    assert len(seen) == 1
+
+
+def test_boundary_search_sorts_a_few_rows(spark, monkeypatch):
+    from tessera.operators import splits
+
+    df = spark.range(3000).withColumnRenamed("id", "chunk_id")
+    want = sorted(r.chunk_id for r in splits.split_exact(df, ["chunk_id"], 0.1, 42, keep_rank=True).where("split = 'val'").collect())
+    monkeypatch.setattr(splits, "BOUNDARY_ROWS", 2)
+    for digits in (1, 3):
+        bound = splits.split_threshold(df, ["chunk_id"], 0.1, 42, digits=digits)
+        key = splits.seeded_key(42, "chunk_id")
+        got = df.where(splits._tuple_at_least([key, F.col("chunk_id")], bound))
+        assert sorted(r.chunk_id for r in got.collect()) == want

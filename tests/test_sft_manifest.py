@@ -10,15 +10,6 @@ from tessera.functions.tokens import HashTokenizer
 from tessera.operators import manifest as B
 from tessera.operators import sft as S
 
-MARK = "### Response:\n"
-
-
-def py_format(ins, inp, out):
-    if inp and inp.strip():
-        return f"### Instruction:\n{ins.strip()}\n\n### Input:\n{inp.strip()}\n\n{MARK}{out.strip()}"
-    return f"### Instruction:\n{ins.strip()}\n\n{MARK}{out.strip()}"
-
-
 def inst_df(spark, rows):
     return spark.createDataFrame(
         [(i, 1, a, b, c) for i, (a, b, c) in enumerate(rows)],
@@ -40,54 +31,79 @@ def test_turns_to_instructions(spark):
 def test_format_input_section(spark):
     rows = [("  Do x ", None, " out "), ("Do y", "   \n", "o"), ("Do z", " data ", "o")]
     got = [r.text for r in S.format_sample(inst_df(spark, rows)).orderBy("conv_id").collect()]
-    assert got == [py_format(*r) for r in rows]
-    assert "### Input:" not in got[0] and "### Input:" not in got[1] and "### Input:\ndata\n\n" in got[2]
+    assert got == [
+        "### Instruction:\nDo x\n\n### Response:\nout",
+        "### Instruction:\nDo y\n\n### Response:\no",
+        "### Instruction:\nDo z\n\n### Input:\ndata\n\n### Response:\no",
+    ]
 
 
-def scalar_samples(rows, max_len, min_tokens=10):
-    """Brute force for T2-T6 with the hashing tokenizer, computed in Python from Spark's ids."""
-    out = []
-    for text, ids_full, prefix_ids in rows:
-        ids = (ids_full + [0])[:max_len]
-        pos = text.find(MARK)
-        if pos == -1:
-            out.append(None)
-            continue
-        p = min(len(prefix_ids), len(ids))
-        labels = ([-100] * p + ids[p:])[: len(ids)]
-        out.append(None if len(ids) < min_tokens else (ids, labels))
-    return out
+def word_tokenizer(tmp_path):
+    """A vocabulary of a few words, so that ids and masks can be written out."""
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
 
+    from tessera.functions.tokens import FileTokenizer
 
-@pytest.mark.parametrize("max_len", [512, 12])
-def test_masks_match_scalar(spark, max_len):
+    words = ["[UNK]", "###", "Instruction", "Response", ":", "Input", "write", "code", "now", "please", "ok", "done", "x"]
+    tok = Tokenizer(WordLevel({w: i + 1 for i, w in enumerate(words)}, unk_token="[UNK]"))
+    tok.pre_tokenizer = Whitespace()
+    path = str(tmp_path / "tok.json")
+    tok.save(path)
+    return FileTokenizer(path)
+
+
+def test_ids_and_masks_written_out(spark, tmp_path):
+    """###=2 Instruction=3 Response=4 :=5 Input=6 write=7 code=8 now=9 please=10 ok=11 done=12 x=13, end 0."""
     rows = [
-        ("Write it", None, "def f(x): return x + 1 and more words here"),
-        ("Quote ### Response:\n inside", "ctx", "the answer is long enough to pass"),  # marker quoted
-        ("a " * 40, None, "short"),  # prompt longer than max_len=12
-        ("x", None, "y"),  # too short
+        ("write code now please", None, "ok done x x x"),
+        ("write", "x x", "ok"),
+        ("code ### Response:\nnow", None, "done"),  # the marker quoted: the mask ends there
+        ("x x x x x x x x", None, "ok"),  # prompt longer than the limit
+        ("x", None, ""),  # too short
     ]
-    df = inst_df(spark, rows)
-    tok = HashTokenizer()
-    cfg = SftConfig(max_len=max_len)
-    got = S.sft_samples(df, tok, cfg, keep_all=True).orderBy("conv_id").collect()
-    texts = [py_format(*r) for r in rows]
-    prefixes = [t[: t.find(MARK) + len(MARK)] for t in texts]
-    tk = spark.createDataFrame([(t, p) for t, p in zip(texts, prefixes)], "t string, p string").select(
-        tok.ids("t").alias("i"), tok.ids("p").alias("pi")).collect()
-    want = scalar_samples([(t, r.i, r.pi) for t, r in zip(texts, tk)], max_len)
-    for g, w in zip(got, want):
-        if w is None:
-            assert g.reason in ("too_short", "no_marker")
-        else:
-            assert g.reason == "keep"
-            assert (g.input_ids, g.labels) == w
-            assert all(l == -100 or l == i for l, i in zip(g.labels, g.input_ids))
-    # the quoted marker ends the mask at its first occurrence (inside the instruction)
-    assert got[1].prompt_len < len(tk[1].pi) + 10
-    if max_len == 12:
-        assert got[2].reason == "keep" and set(got[2].labels) == {-100}
-        assert got[2].truncated
+    got = S.sft_samples(inst_df(spark, rows), word_tokenizer(tmp_path), SftConfig(max_len=13, min_tokens=9), keep_all=True)
+    got = got.orderBy("conv_id").collect()
+    assert [r.input_ids for r in got] == [
+        [2, 3, 5, 7, 8, 9, 10, 2, 4, 5, 11, 12, 13],
+        [2, 3, 5, 7, 2, 6, 5, 13, 13, 2, 4, 5, 11],
+        [2, 3, 5, 8, 2, 4, 5, 9, 2, 4, 5, 12, 0],
+        [2, 3, 5, 13, 13, 13, 13, 13, 13, 13, 13, 2, 4],
+        [2, 3, 5, 13, 2, 4, 5, 0],
+    ]
+    assert [r.labels for r in got] == [
+        [-100] * 10 + [11, 12, 13],
+        [-100] * 12 + [11],
+        [-100] * 7 + [9, 2, 4, 5, 12, 0],
+        [-100] * 13,
+        [-100] * 7 + [0],
+    ]
+    assert [r.reason for r in got] == ["keep", "keep", "keep", "keep", "too_short"]
+    assert [r.truncated for r in got] == [True, True, False, True, False]
+
+
+def test_turn_gaps_and_null_conversations(spark):
+    turns = [(1, 0, "user", "q"), (1, 2, "assistant", "a"), (1, 7, "system", "s"), (1, 9, "user", "q2"), (1, 30, "assistant", "a2"),
+             (None, 5, "user", "qn"), (None, 8, "assistant", "an"), (2, 3, "user", "alone")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, S.turns_to_instructions(df).collect()), key=str)
+    assert got == sorted([(1, 0, "q", None, "a"), (1, 9, "q2", "s", "a2"), (None, 5, "qn", None, "an")], key=str)
+
+
+def test_build_on_a_plain_instruction_table(spark, tmp_path):
+    from tessera.plans.sft import build_sft
+
+    rows = [(f"do task number {i}", None if i % 2 else "with this", f"here is the answer to {i}") for i in range(50)]
+    rows += [("twice the same task", None, "and twice the same answer")] * 2
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, "instruction string, input string, output string").write.parquet(path)
+    summary = build_sft(spark, path, out).collect()
+    assert sum(r.loaded + r.skipped for r in summary) == 52
+    samples = spark.read.parquet(f"{out}/samples")
+    assert samples.select("conv_id", "turn").distinct().count() == samples.count() == sum(r.loaded for r in summary)
+    manifest = spark.read.parquet(f"{out}/train_manifest")
+    assert not {"text", "input_ids", "labels", "instruction"} & set(manifest.columns)
 
 
 def test_min_tokens_boundary(spark):
@@ -183,26 +199,3 @@ def test_epoch_order_is_permutation_per_epoch(spark):
         assert pos == list(range(40))
     orders = [tuple(r.chunk_id for r in sorted((r for r in out if r.epoch == e), key=lambda r: r.pos)) for e in range(3)]
     assert len(set(orders)) == 3
-
-
-def test_file_tokenizer_in_sft_samples(spark, tmp_path):
-    from tokenizers import Tokenizer
-    from tokenizers.models import WordLevel
-    from tokenizers.pre_tokenizers import Whitespace
-
-    words = ["###", "Instruction", "Response", ":", "write", "code", "now", "please", "ok", "done", "x"]
-    vocab = {"[UNK]": 1, **{w: i + 2 for i, w in enumerate(words)}}
-    tok = Tokenizer(WordLevel(vocab, unk_token="[UNK]"))
-    tok.pre_tokenizer = Whitespace()
-    path = str(tmp_path / "tok.json")
-    tok.save(path)
-    from tessera.functions.tokens import FileTokenizer
-
-    df = inst_df(spark, [("write code now please", None, "ok done x x x")])
-    r = S.sft_samples(df, FileTokenizer(path), SftConfig(min_tokens=1)).first()
-    text = py_format("write code now please", None, "ok done x x x")
-    full = tok.encode(text, add_special_tokens=False).ids + [0]
-    prefix = tok.encode(text[: text.find(MARK) + len(MARK)], add_special_tokens=False).ids
-    assert r.input_ids == full
-    assert r.prompt_len == len(prefix)
-    assert r.labels == [-100] * len(prefix) + full[len(prefix):]

@@ -65,5 +65,43 @@ def test_one_long_conversation(spark):
     assert out.where("conv_id = 1").count() == 1000
     assert out.count() == 1000 + 48 * 2
     plan = out._jdf.queryExecution().executedPlan().toString()
-    # the join keys carry the turn, so one conversation is hashed over many partitions
-    assert "Window" not in plan
+    # ranks are taken per bucket of turns, so one conversation is sorted in many pieces
+    windows = [x for x in plan.splitlines() if "Window [" in x and "__pfx_bt" not in x]
+    assert windows and all("__bucket" in x for x in windows)
+
+
+def test_null_order_keys_and_partitions_are_kept(spark):
+    from tessera.operators.packing import running_offset
+    from tessera.operators.prefix import ordered_offsets
+
+    df = spark.createDataFrame([(None, 5), (1, 3), (2, 4), (None, 7)], "doc_id long, n_tokens int")
+    rows = running_offset(df).collect()
+    starts = {(r.doc_id, r.n_tokens): r.start for r in rows}
+    assert len(rows) == 4 and starts[1, 3] == 12 and starts[2, 4] == 15
+    assert sorted(v for (k, _), v in starts.items() if k is None) in ([0, 5], [0, 7])
+    runs = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 1, 4)], "run string, k long, n int")
+    got = sorted(((r.run or ""), r.k, r.start) for r in ordered_offsets(runs, "n", ["k"], F.col("k"), ["run"]).collect())
+    assert got == [("", 1, 0), ("", 2, 2), ("a", 1, 0)]
+
+
+def test_quantile_search_equals_bisect(spark):
+    import bisect
+
+    rnd = random.Random(3)
+    bounds = sorted(rnd.sample(range(10000), 999))
+    keys = [rnd.randint(-10, 10010) for _ in range(2000)] + bounds[:50]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for some in (bounds, bounds[:1], bounds[:7], []):
+        got = [r.b for r in df.select(quantile_bucket(F.col("k"), some).alias("b")).collect()]
+        assert got == [bisect.bisect_right(some, k) for k in keys]
+
+
+def test_more_buckets_than_quantiles(spark, monkeypatch):
+    from tessera.operators import prefix
+
+    monkeypatch.setattr(prefix, "QUANTILES", 4)
+    rnd = random.Random(5)
+    keys = sorted(rnd.sample(range(10**12), 500))
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    rows = sorted((r.k, r.b) for r in df.select("k", order_bucket(df, F.col("k"), None, 20).alias("b")).collect())
+    assert [b for _, b in rows] == sorted(b for _, b in rows) and len({b for _, b in rows}) > 15

@@ -159,3 +159,30 @@ def test_read_corpus_renames_and_prunes(spark):
     assert df.columns == ["doc_id", "text", "lang"]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
+
+
+def test_stream_remainders_account_for_every_token(spark, tmp_path):
+    from tessera.streaming.packer import stream_remainders
+
+    src, dst, ckpt = (str(tmp_path / x) for x in ("src", "out", "ckpt"))
+    docs = write_parts(spark, src)
+    stream_parts(spark, src, dst, ckpt, salt=2)
+    total = sum(r.n_tokens for r in tokenize(quality_filter(docs.select("doc_id", "text"), PROSE)).collect())
+    left = stream_remainders(spark, ckpt, "source").collect()
+    assert all(0 < len(r.input_ids) < BLOCK for r in left)
+    full = {(r.source, r.sub, r.chunk_idx) for r in spark.read.parquet(dst).collect()}
+    assert not full & {(r.source, r.sub, r.chunk_idx) for r in left}
+    assert len(full) * BLOCK + sum(len(r.input_ids) for r in left) == total
+
+
+def test_stream_budget_over_all_shards_and_batches(spark, tmp_path):
+    from tessera.streaming.jobs import run_budgeted
+
+    src = str(tmp_path / "src")
+    write_parts(spark, src)
+    toks = stream_tokens(spark, src + "/*", PROSE, shard_col="source", max_files_per_trigger=1)
+    packed = pack_stream(toks, "source", BLOCK, "doc_id", "ids")
+    out = str(tmp_path / "out")
+    run_budgeted(packed, out, str(tmp_path / "ckpt"), 7, ["source", "sub", "chunk_idx"]).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 7 == len({(r.source, r.sub, r.chunk_idx) for r in rows})
