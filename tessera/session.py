@@ -130,10 +130,34 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     example tokenising once for bucket totals and once for the rows). Compared with
     ``DataFrame.checkpoint`` the written table is columnar, so a later branch that
     needs two small columns reads only those, with min/max statistics per file.
-    A lost executor costs nothing: the table is on shared storage.
+    A lost executor costs nothing: the table is on shared storage. ``release`` deletes it.
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    _WRITTEN.append(path)
+    out = spark.read.parquet(path)
+    out._tessera_path = path
+    return out
+
+
+#: Folders of this process's intermediate tables, oldest first.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete intermediate tables that ``materialize`` wrote: the given ones, or all of this process.
+
+    A table can go once everything computed from it has been written or collected.
+    DataFrames are lazy, so only the caller knows when; a table in use must stay.
+    """
+    sc = _context(spark)
+    if sc is None:  # Spark Connect: no file system handle on the client
+        return
+    paths = [t._tessera_path for t in tables] if tables else list(_WRITTEN)
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)

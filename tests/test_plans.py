@@ -183,3 +183,17 @@ def test_boundary_search_sorts_a_few_rows(spark, monkeypatch):
         key = splits.seeded_key(42, "chunk_id")
         got = df.where(splits._tuple_at_least([key, F.col("chunk_id")], bound))
         assert sorted(r.chunk_id for r in got.collect()) == want
+
+
+def test_release_deletes_intermediate_tables(spark):
+    import os
+
+    from tessera.session import materialize, release
+
+    one, two = materialize(spark.range(3), "a"), materialize(spark.range(4), "b")
+    paths = [t._tessera_path.removeprefix("file:") for t in (one, two)]
+    assert all(os.path.exists(p) for p in paths) and two.count() == 4
+    release(spark, one)
+    assert [os.path.exists(p) for p in paths] == [False, True]
+    release(spark)
+    assert not os.path.exists(paths[1])
