@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, packing_pow2, secret_trigrams, simhash_golay, toxicity_fst
 from tessera.llm.common import table
-from tessera.session import materialize, ship_package
+from tessera.session import materialize, release, ship_package
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name}")
+            if before:
+                release(spark, *before)  # what this stage read is written anew
+            before = [docs]
     return docs
