@@ -36,6 +36,9 @@ PAD_ID = 0
 PER_DEVICE_BATCH = 4
 GRAD_ACCUM_STEPS = 32
 MAX_STEPS = 35_390
+LR_INIT = 3e-4
+LR_MIN = 3e-5
+WARMUP_STEPS = 2000
 GRAD_SKIP_THRESHOLD = 100.0
 EVAL_MAX_BATCHES = 200
 
@@ -139,6 +142,9 @@ class TrainConfig:
     drop_last: bool = True
     carry_groups_across_epochs: bool = True
     grad_skip_threshold: float = GRAD_SKIP_THRESHOLD
+    lr_init: float = LR_INIT
+    lr_min: float = LR_MIN
+    warmup_steps: int = WARMUP_STEPS
 
     @property
     def effective_batch(self) -> int:

@@ -58,6 +58,16 @@ def step_loss(micro: DataFrame, cfg: TrainConfig = TrainConfig(), run_col: str =
     return out.withColumn("tokens_seen", F.col("step") * F.lit(cfg.effective_batch * cfg.context))
 
 
+def learning_rate(step: Column, cfg: TrainConfig = TrainConfig()) -> Column:
+    """The rate a run logs at a step: a straight line from 0 up to ``lr_init`` over the warm-up
+    steps, then half a cosine wave down to ``lr_min``, reached at ``max_steps``."""
+    decay_steps = max(1, cfg.max_steps - cfg.warmup_steps)
+    angle = F.pi() * (step - cfg.warmup_steps) / F.lit(float(decay_steps))
+    middle, swing = (cfg.lr_init + cfg.lr_min) / 2, (cfg.lr_init - cfg.lr_min) / 2
+    rising = F.lit(cfg.lr_init) * step / F.lit(float(max(1, cfg.warmup_steps)))
+    return F.when(step < cfg.warmup_steps, rising).otherwise(F.lit(middle) + F.lit(swing) * F.cos(angle))
+
+
 def sample_steps(steps: DataFrame, every: int) -> DataFrame:
     """M2: the console view, one row every ``every`` steps."""
     return steps.where(F.pmod(F.col("step"), F.lit(every)) == 0)

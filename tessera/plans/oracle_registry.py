@@ -359,7 +359,9 @@ def oracles() -> dict[str, str]:
             "md5(ids_text) AS ids_md5 FROM sp WHERE split = 'val'"
         ),
         "step_metrics_csv": (
-            f"{_steps()} SELECT CAST(run_id AS VARCHAR) AS run_id, step, train_loss, grad_norm, tokens_seen "
+            f"{_steps()} SELECT CAST(run_id AS VARCHAR) AS run_id, step, train_loss, grad_norm, tokens_seen, "
+            "round(3e-4::DOUBLE * CASE WHEN step < 4 THEN step / 4.0::DOUBLE "
+            "ELSE 0.1::DOUBLE + 0.45::DOUBLE * (1 + cos(pi() * (step - 4) / 16.0::DOUBLE)) END, 12) AS learning_rate "
             f"FROM s WHERE grad_norm <= {C.GRAD_SKIP_THRESHOLD}"
         ),
         "stream_tokenize": f"WITH {KEPT}, {TOKENS} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, "

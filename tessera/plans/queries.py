@@ -37,6 +37,7 @@ MANIFEST = TrainConfig(max_steps=8)
 RESUME_STEP = 3
 METRIC_RUN = TrainConfig(grad_accum=4)
 SAMPLE_EVERY = 5
+SCHEDULE = TrainConfig(warmup_steps=4, max_steps=20)  # short enough for runs of the events table to pass through it
 SFT = SftConfig()
 SFT_SHORT = SftConfig(max_len=64)
 STREAM_SALT = 4
@@ -474,9 +475,10 @@ def q_step_metrics_csv(spark, sf):
 
     path = _work_dir(spark, "metrics")
     logged = M.drop_spikes(step_rows(spark, sf)).withColumn("run_id", F.col("run_id").cast("string"))
+    logged = logged.withColumn("learning_rate", M.learning_rate(F.col("step"), SCHEDULE))
     append_step_metrics(logged, path)
-    # learning_rate stays in the file schema but is not reported: schedules are trainer code (not built)
-    return read_step_metrics(spark, path).select("run_id", "step", "train_loss", "grad_norm", "tokens_seen")
+    rate = F.round("learning_rate", 12).alias("learning_rate")
+    return read_step_metrics(spark, path).select("run_id", "step", "train_loss", rate, "grad_norm", "tokens_seen")
 
 
 # --- 2.9 streaming ----------------------------------------------------------
