@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_trees, topk_tiles
+from tessera.llm import chat_trees, secret_trigrams, topk_tiles
 from tessera.llm.chat_trees import op7_chat_trees
 from tessera.llm.decontaminate import op9_template_decontamination
 from tessera.llm.html_templates import op4_html_templates
@@ -35,4 +35,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op6_topk_tiles": topk_tiles.ORACLE,
     "op7_chat_trees": chat_trees.ORACLE,
+    "op10_secret_trigrams": secret_trigrams.oracle(),
 }

@@ -244,3 +244,32 @@ def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("__spans")).alias("spans"),
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL of the query: every rule over every text, without an index."""
+    plain = {"hex": "[0-9a-f]{16,}"}  # RE2 has no look-behind; a leftmost match starts where its run does
+    parts = []
+    for n, rule in enumerate(RULES):
+        pattern = plain.get(rule.kind, rule.pattern.replace("}+", "}")).replace("'", "''")
+        parts.append(f"""
+  SELECT rid, {n} AS rule, '{rule.kind}' AS kind, i, hits, gaps FROM (
+    SELECT rid, regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {rule.group}) AS parts,
+           string_split_regex(t, '{pattern}') AS gaps FROM d), unnest(range(1, len(hits) + 1)) AS u(i)
+  WHERE length(parts[i]) >= {rule.min_length}""")
+    base = f"rule < {len(BASE_RULES)}"
+    listed = "string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, rule)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+s AS (
+  SELECT rid, rule, kind, length(hits[i]) AS n,
+         CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+              + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM m
+)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (rule = 0) AS n_assign, count(*) FILTER (rule = 1) AS n_access,
+       count(*) FILTER (rule = 2) AS n_hex, sha256(coalesce({listed} FILTER ({base}), '')) AS base_sha256,
+       coalesce({listed} FILTER (rule IS NOT NULL), '') AS spans
+FROM d LEFT JOIN s USING (rid) GROUP BY rid
+"""
