@@ -10,7 +10,8 @@ that consists mostly of placeholders is no evidence by itself.
 
 A document contains an item when at least ``min_share`` of the item's windows occur in
 it with consistent slots. An item shorter than a window is looked for as a whole: its
-one window is all its tokens.
+one window is all its tokens. Items of fewer than ``MIN_TOKENS`` tokens say too little and
+are not looked for.
 
 Every window of every whole text is hashed; a bitmap of fixed size (8 MB), built from the
 benchmark's hashes in Spark, drops those that cannot match before rows are made, and a
@@ -37,6 +38,7 @@ from tessera.llm.common import cut, sql_type, table
 
 WINDOW = 8
 MIN_SHARE = 0.5
+MIN_TOKENS = 4
 BROADCAST_WINDOWS = 100_000  # of about 300 bytes
 FILTER_BITS = 26  # the filter takes 2**26 bits: 8 MB
 MEMO_WORDS = 400_000
@@ -160,7 +162,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
             for row, text in enumerate(b.column(1).to_pylist()):
                 tokens, hashes, slots = _vocabulary().templates(text or "")
                 size = min(window, len(tokens))
-                if not size:
+                if size < min(MIN_TOKENS, window):
                     continue
                 kinds, values = _kinds(tokens, hashes, slots), [t.lower() for t in tokens]
                 all_hashes = window_hashes(hashes, size).view(np.int64).tolist()

@@ -38,7 +38,7 @@ def test_window_hash_tells_order():
 
 @pytest.fixture
 def items(spark):
-    return spark.createDataFrame([(1, ITEM, "x"), (2, None, "x"), (3, "", "x"), (4, "short words", "x"), (5, "1 2 3", "x")], "item_id long, text string, size string")
+    return spark.createDataFrame([(1, ITEM, "x"), (2, None, "x"), (3, "", "x"), (4, "these are short words", "x"), (5, "1 2 3 4 5", "x"), (6, "of", "x")], "item_id long, text string, size string")
 
 
 @pytest.mark.parametrize("bound", [0, g.BROADCAST_WINDOWS])
