@@ -44,6 +44,17 @@ def bounded_sample(labels: DataFrame, key: str, by: str, most: tuple[int, int])
     return picks[0].unionByName(picks[1])
 
 
+def sampled_texts(docs: DataFrame, picked: DataFrame, id_col: str, text: Column, label: str) -> DataFrame:
+    """``text, label`` of the sampled ids, one text for each, so that the sample stays as small as its ids.
+
+    ``picked`` (``id_col``, ``label``) comes from ``bounded_sample``, which bounds the broadcast. An id that many
+    rows share gives the text of least hash, found map-side.
+    """
+    rows = docs.select(id_col, text.alias("text")).join(F.broadcast(picked), id_col)
+    one = rows.groupBy(id_col, label).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("text", F.col(label).cast("int").alias("label"))
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """``node, root`` of every node of an undirected edge list; ``root`` is the component's least node.
 

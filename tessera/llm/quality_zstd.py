@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, crc_fold, cut, sql_type, table
+from tessera.llm.common import bounded_sample, crc_fold, cut, sampled_texts, sql_type, table
 
 SAMPLE = (3000, 3000)  # labelled documents of class 0 and 1 that are learned from, at most
 BLOCK = 1024  # bytes compressed at a time
@@ -162,10 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     usable = cut(usable)
     counts = {r[label]: r["count"] for r in usable.groupBy(label).count().collect()}
     picked = cut(bounded_sample(usable, id_col, label, sample))
-    text = F.col(text_col).cast("binary").alias("text")
-    rows = docs.select(id_col, text).join(F.broadcast(picked), id_col)  # at most sum(sample) ids
     half = F.pmod(F.xxhash64(F.col("text"), F.lit("half")), F.lit(2))  # equal texts fall into one half
-    rows = cut(rows.select("text", F.col(label).cast("int").alias("label"), half.alias("half")))
+    rows = sampled_texts(docs, picked, id_col, F.col(text_col).cast("binary"), label)
+    rows = cut(rows.withColumn("half", half))
     samples = [_sample_blocks(rows.where(F.col("half") == h)) for h in (0, 1)]
     bad, good = (samples[0][c] + samples[1][c] for c in (0, 1))
     whole = Model(train_dictionary(good), train_dictionary(bad), ())

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, crc_fold, cut, sql_type, table
+from tessera.llm.common import bounded_sample, crc_fold, cut, sampled_texts, sql_type, table
 
 SAMPLE = (6000, 2000)  # labelled rows of class 0 and class 1 that are learned from, at most
 MAX_LEARNED = 400  # induced lexicon entries, at most
@@ -219,8 +219,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_c
     """``text, label`` of a bounded, reproducible sample of the labelled rows outside the held-out fold."""
     usable = labels.where((crc_fold(F.col(id_col)) != 0) & F.col(label).isin(0, 1)).select(id_col, label).distinct()
     picked = cut(bounded_sample(usable, id_col, label, sample))
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(picked), id_col)
-    return rows.select("text", F.col(label).cast("int").alias("label"))
+    return sampled_texts(docs, picked, id_col, F.col(text_col), label)
 
 
 def induce(rows: DataFrame, max_learned: int = MAX_LEARNED) -> tuple[tuple[str, ...], tuple[str, ...]]:

@@ -111,3 +111,9 @@ def test_empty_tables(spark):
     assert g.remove_toxic(docs, labels).count() == 0
     some = spark.createDataFrame([(1, "you idiot"), (2, "fine")], "doc_id long, text string")
     assert [r.doc_id for r in g.remove_toxic(some, labels).collect()] == [2]
+
+
+def test_an_id_many_rows_share_gives_one_text(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(200)] + [(2, None), (2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
+    assert g.training_rows(docs, labels).count() == 2
