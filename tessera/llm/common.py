@@ -26,6 +26,28 @@ def sql_type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
+_MEMO: dict = {}
+
+
+def worker_memo(key, make):
+    """What a Python worker remembers from task to task: one thing, of the operator that runs.
+
+    Workers are reused, so without this the memos of a pipeline's earlier stages would stay
+    in memory. ``worker_memo(None, lambda: None)`` drops what is there.
+    """
+    if key not in _MEMO:
+        _MEMO.clear()
+        _MEMO[key] = make()
+    return _MEMO[key]
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in slices of a few rows, so that few texts are Python strings at a time."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
 def crc_fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id written as text, modulo ``folds``; fold 0 is held out."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

@@ -27,14 +27,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, sql_type, table
+from tessera.llm.common import cut, slices, sql_type, table, worker_memo
 
 WINDOW = 8
 MIN_SHARE = 0.5
@@ -122,9 +121,8 @@ _SLOT_HASHES = tuple(np.uint64(_hash(x)) for x in _SLOTS)
 _FACTOR = 0x9E3779B97F4A7C15
 
 
-@cache
 def _vocabulary() -> Vocabulary:
-    return Vocabulary()
+    return worker_memo("decontaminate", Vocabulary)
 
 
 def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
@@ -205,7 +203,7 @@ def document_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, mask = shared.value, np.uint64((1 << FILTER_BITS) - 1)
-        for b in batches:
+        for b in slices(batches):
             rows, found = [], []
             for row, text in enumerate(b.column(2).to_pylist()):
                 if not text:

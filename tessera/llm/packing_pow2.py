@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sql_type, table
+from tessera.llm.common import slices, sql_type, table, worker_memo
 
 MAX_LENGTH = 4096
 END_ID = 2
-MEMO = 800_000  # words, and as many runs, that a worker remembers at most
+MEMO = 600_000  # words, and as many runs, that a worker remembers at most
 MEMO_CHARS = 48  # longer words are not remembered
 #: White space as the tokenizer's \s has it; str.split() also splits at 1C-1F, which \s does not match.
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
@@ -114,11 +114,6 @@ def pack_ids(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
-@cache
-def _memo(path: str) -> WordMemo:
-    return WordMemo(path)
-
-
 def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
     """Full sequences, then the binary digits of the rest from the highest."""
     full, rest = divmod(n, max_length)
@@ -137,30 +132,28 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(tokenizer)
+        memo = worker_memo(("packing", tokenizer), lambda: WordMemo(tokenizer))
         lengths_of = cache(lambda rest: piece_lengths(rest, max_length))
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):  # a batch's ids take more room than its texts
-                part = b.slice(lo, 256)
-                at, starts, lengths, totals, blobs = [], [], [], [], []
-                for row, blob in enumerate(memo.encode([t or "" for t in part.column(1).to_pylist()])):
-                    blob += end
-                    n = len(blob) // 4
-                    full, rest = divmod(n, max_length)
-                    cuts = [max_length] * full + lengths_of(rest)
-                    start = 0
-                    for length in cuts:
-                        blobs.append(blob[4 * start : 4 * (start + length)])
-                        starts.append(start)
-                        start += length
-                    at += [row] * len(cuts)
-                    lengths += cuts
-                    totals += [n] * len(cuts)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int64()),
-                     pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(blobs, pa.binary())],
-                    ["id", "start", "length", "doc_tokens", "ids"],
-                )
+        for part in slices(batches, 256):
+            at, starts, lengths, totals, blobs = [], [], [], [], []
+            for row, blob in enumerate(memo.encode([t or "" for t in part.column(1).to_pylist()])):
+                blob += end
+                n = len(blob) // 4
+                full, rest = divmod(n, max_length)
+                cuts = [max_length] * full + lengths_of(rest)
+                start = 0
+                for length in cuts:
+                    blobs.append(blob[4 * start : 4 * (start + length)])
+                    starts.append(start)
+                    start += length
+                at += [row] * len(cuts)
+                lengths += cuts
+                totals += [n] * len(cuts)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int64()),
+                 pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(blobs, pa.binary())],
+                ["id", "start", "length", "doc_tokens", "ids"],
+            )
 
     pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {sql_type(docs, id_col)}, start long, length long, doc_tokens long, ids binary"

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, sql_type, table
+from tessera.llm.common import connected_components, cut, sql_type, table, worker_memo
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -80,6 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id, fp``: the fingerprint of every whole text, as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memo(None, lambda: None)
         for b in batches:
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed) for t in b.column(1)]
             out = np.array(fps, np.uint64).view(np.int64)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, crc_fold, cut, sampled_texts, sql_type, table
+from tessera.llm.common import bounded_sample, crc_fold, cut, sampled_texts, slices, sql_type, table, worker_memo
 
 SAMPLE = (6000, 2000)  # labelled rows of class 0 and class 1 that are learned from, at most
 MAX_LEARNED = 400  # induced lexicon entries, at most
@@ -273,32 +273,37 @@ class Model:
     weights: tuple[float, ...]
 
 
-def _events(docs: DataFrame, keep: list[str], words: tuple[str, ...], stems: tuple[str, ...]) -> DataFrame:
-    """``keep`` columns and ``events`` of the column ``text``."""
-    types = ", ".join(f"{c} {sql_type(docs, c)}" for c in keep)
+def _events(docs: DataFrame, keep: str, text: str, words: tuple[str, ...], stems: tuple[str, ...],
+            inside: bool = False) -> DataFrame:
+    """``events`` of a text, and the column ``keep``; the text is the column ``text``, or ``inside`` the struct ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memo(None, lambda: None)
         lexicon = Lexicon(words, stems)
-        for b in batches:
-            found = [lexicon.events(t).tolist() if t else [0] * (len(EVENTS) + 1) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.list_(pa.int64())), *b.columns[1:]], ["events", *keep])
+        for b in slices(batches):
+            texts = b.column(0).field(text) if inside else b.column(1)
+            found = [lexicon.events(t).tolist() if t else [0] * (len(EVENTS) + 1) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), b.column(0)], ["events", keep])
 
-    return docs.select("text", *keep).mapInArrow(run, f"events array<long>, {types}")
+    columns = [keep] if inside else [keep, text]
+    return docs.select(*columns).mapInArrow(run, f"events array<long>, {keep} {sql_type(docs, keep)}")
 
 
 def train(docs: DataFrame, labels: DataFrame, **how) -> Model:
     rows = cut(training_rows(docs, labels, **how))
     words, stems = induce(rows)
-    found = _events(rows, ["label"], words, stems).toPandas()  # as many rows as the sample may have
+    found = _events(rows, "label", "text", words, stems).toPandas()  # as many rows as the sample may have
     counts = np.array(found["events"].tolist(), np.int64).reshape(-1, len(EVENTS) + 1)
     return Model(words, stems, tuple(fit(counts, found["label"].to_numpy(float)).tolist()))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score, events``: the probability that each whole text is toxic, with its clause events."""
-    narrow = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    found = _events(narrow, ["id"], model.words, model.stems)
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _scored(_events(narrow, "id", "text", model.words, model.stems), model)
+
+
+def _scored(found: DataFrame, model: Model) -> DataFrame:
     logit = F.lit(model.weights[0])
     for k in range(len(EVENTS)):
         n = F.col("events")[k]
@@ -313,9 +318,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score at least ``threshold``."""
     model = train(docs, labels)
-    row = "__row"
-    packed = docs.select(F.struct(*docs.columns).alias(row), F.col(text_col).alias("text"))
-    return score(packed, model, row, "text").where(F.col("score") < threshold).select("id.*")
+    rows = docs.select(F.struct(*docs.columns).alias("id"))  # a row goes through with its text once
+    kept = _scored(_events(rows, "id", text_col, model.words, model.stems, inside=True), model)
+    return kept.where(F.col("score") < threshold).select("id.*")
 
 
 def op2_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
