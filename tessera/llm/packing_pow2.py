@@ -34,7 +34,7 @@ from tessera.llm.common import slices, sql_type, table, worker_memo
 
 MAX_LENGTH = 4096
 END_ID = 2
-MEMO = 600_000  # words, and as many runs, that a worker remembers at most
+MEMO = 500_000  # words, and as many runs, that a worker remembers at most
 MEMO_CHARS = 48  # longer words are not remembered
 #: White space as the tokenizer's \s has it; str.split() also splits at 1C-1F, which \s does not match.
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
