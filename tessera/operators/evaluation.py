@@ -16,6 +16,9 @@ from tessera.functions.syntax import is_valid_python
 from tessera.functions.text import py_strip
 
 
+BROADCAST_PROMPTS = 10_000
+
+
 def val_loss(batch_losses: DataFrame, by: tuple[str, ...] = (), batch_col: str = "batch_idx",
              loss_col: str = "loss", max_batches: int | None = 200) -> DataFrame:
     """E1 + E2: unweighted mean of batch losses over the first ``max_batches`` batches.
@@ -76,9 +79,14 @@ def unigram_nll(train_ids: DataFrame, ids_col: str = "input_ids", vocab_size: in
     return full.select("label", (-F.log((F.col("c") + 1).cast("double") / total.cast("double"))).alias("nll"))
 
 
-def score_tokens(token_rows: DataFrame, scores: DataFrame) -> DataFrame:
-    """Attach ``nll`` to token rows from a ``(label, nll)`` table bounded by the vocabulary size."""
-    return token_rows.join(F.broadcast(scores.select("label", "nll")), "label")
+def score_tokens(token_rows: DataFrame, scores: DataFrame, vocab_size: int = VOCAB_SIZE) -> DataFrame:
+    """Attach ``nll`` to token rows from a ``(label, nll)`` table.
+
+    One row for each id of the vocabulary is all that can match, so what is broadcast has
+    at most ``vocab_size`` rows, whatever the caller passes.
+    """
+    known = scores.where((F.col("label") >= 0) & (F.col("label") < vocab_size))
+    return token_rows.join(F.broadcast(known.groupBy("label").agg(F.max("nll").alias("nll"))), "label")
 
 
 def syntax_pass_rate(df: DataFrame, text_col: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
@@ -122,7 +130,9 @@ def prompt_table(spark: SparkSession, cfg: EvalConfig = EvalConfig()) -> DataFra
 def scored_completions(completions: DataFrame, prompts: DataFrame, cfg: EvalConfig = EvalConfig()) -> DataFrame:
     """E6 + E7: trimmed completions of the code prompts, matched to the registry by label."""
     code = prompts.where(F.col("kind") == "code").select("label", "ordinal")
-    return trim_completion(completions, marker=cfg.cut_marker).join(F.broadcast(code), "label")
+    if code.count() <= BROADCAST_PROMPTS:
+        code = F.broadcast(code)
+    return trim_completion(completions, marker=cfg.cut_marker).join(code, "label")
 
 
 def eval_report(losses: DataFrame, pass_rates: DataFrame, keys: tuple[str, ...] = ("run_id", "step")) -> DataFrame:

@@ -33,7 +33,8 @@ def spread(df: DataFrame, *keys: str, force: bool = False) -> DataFrame:
     task, while at scale the input already has many splits and this adds no
     shuffle. ``force`` is for small tables that come out of a shuffle, which AQE
     coalesces by bytes into a few partitions, too few for tokenising; a
-    repartition with an explicit count is not coalesced. The ``observe`` node (a
+    repartition with an explicit count is not coalesced. The count is the session's
+    number of shuffle partitions, and at least the task slots. The ``observe`` node (a
     row count, reported to listeners) keeps Catalyst from pushing the caller's
     filters below the repartition, which would put the work back into the
     single input task.
@@ -46,7 +47,8 @@ def spread(df: DataFrame, *keys: str, force: bool = False) -> DataFrame:
                 return df
         except Exception:  # no RDD view (Spark Connect): leave the input as it is
             return df
-    return df.repartition(cores, *keys).observe(f"spread_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
+    count = max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(count, *keys).observe(f"spread_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
 
 
 @dataclass
