@@ -23,15 +23,16 @@ def val_loss(batch_losses: DataFrame, by: tuple[str, ...] = (), batch_col: str =
              loss_col: str = "loss", max_batches: int | None = 200) -> DataFrame:
     """E1 + E2: unweighted mean of batch losses over the first ``max_batches`` batches.
 
-    ``batch_idx`` is the 0-based batch position in evaluation order. With no
-    grouping, an empty input gives one row with loss 0.0 and perplexity 1.0.
+    ``batch_idx`` is the 0-based batch position in evaluation order; None takes all.
+    ``n_available`` tells how many batches there were. With no grouping, an empty input
+    gives one row with loss 0.0 and perplexity 1.0.
     """
-    df = batch_losses
-    if max_batches is not None:
-        df = df.where(F.col(batch_col) < max_batches)
-    agg = df.groupBy(*by).agg(
-        F.coalesce(F.sum(loss_col).cast("double") / F.count(loss_col), F.lit(0.0)).alias("val_loss"),
-        F.count(F.lit(1)).alias("n_batches"),
+    seen = F.lit(True) if max_batches is None else F.col(batch_col) < max_batches
+    loss = F.when(seen, F.col(loss_col))
+    agg = batch_losses.groupBy(*by).agg(
+        F.coalesce(F.sum(loss).cast("double") / F.count(loss), F.lit(0.0)).alias("val_loss"),
+        F.count_if(seen).alias("n_batches"),
+        F.count(F.lit(1)).alias("n_available"),
     )
     return agg.withColumn("val_perplexity", perplexity(F.col("val_loss")))
 

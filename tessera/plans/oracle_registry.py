@@ -81,6 +81,21 @@ NEXT_USER = (
     "lead(text, 2) OVER w AS next_user FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) "
     "WHERE next_role = 'user')"
 )
+def _sft_summary(cfg) -> str:
+    return (
+        f"WITH {INSTR}, {sft_split_cte()}, {_sft_samples('ssp', cfg)} SELECT split, "
+        "count(*) FILTER (WHERE reason = 'keep') AS loaded, count(*) FILTER (WHERE reason <> 'keep') AS skipped, "
+        "count(*) FILTER (WHERE reason = 'no_marker') AS skipped_no_marker, "
+        "count(*) FILTER (WHERE reason = 'too_short') AS skipped_too_short, "
+        "count(*) FILTER (WHERE reason = 'null_field') AS skipped_null_field, "
+        "count(*) FILTER (WHERE reason = 'keep' AND truncated) AS truncated, "
+        "count(*) FILTER (WHERE reason = 'keep' AND prompt_len >= n_tokens) AS fully_masked, "
+        "CAST(coalesce(sum(n_tokens) FILTER (WHERE reason = 'keep'), 0) AS BIGINT) AS tokens, "
+        f"CAST(coalesce(sum({n_supervised_sql()}) FILTER (WHERE reason = 'keep'), 0) AS BIGINT) AS supervised_tokens "
+        "FROM lb GROUP BY split"
+    )
+
+
 BEFORE_CUT = "split_part(rest, '### Instruction:', 1)"
 
 
@@ -199,7 +214,7 @@ def _eval_report() -> str:
         "tot AS (SELECT count(*) AS total FROM tkn WHERE split = 'train'), "
         f"nl AS (SELECT CAST(floor(place / {Q.E_BATCH}) AS BIGINT) AS batch, -ln((coalesce(cc.c, 0) + 1)::DOUBLE / (tot.total + {v})::DOUBLE) AS nll "
         "FROM tkn LEFT JOIN cc ON tkn.label = cc.label, tot WHERE split = 'val' AND pos > 0), "
-        f"bl AS (SELECT batch, avg(nll) AS loss FROM nl WHERE batch < {Q.E_MAX_BATCHES} GROUP BY batch), "
+        f"bl AS (SELECT batch, avg(nll) AS loss FROM nl WHERE batch < {C.EVAL_MAX_BATCHES} GROUP BY batch), "
         "rate AS (SELECT avg(CASE WHEN doc_id % 8 IN (2, 3) THEN 0.0 ELSE 1.0 END) AS p FROM documents WHERE text IS NOT NULL) "
         "SELECT 'unigram' AS run_id, CAST(0 AS BIGINT) AS step, round((SELECT avg(loss) FROM bl), 6) AS val_loss, "
         "round(exp((SELECT avg(loss) FROM bl)), 6) AS val_perplexity, round((SELECT p FROM rate), 6) AS syntax_pass_rate"
@@ -258,6 +273,7 @@ def oracles() -> dict[str, str]:
             f"{PACKED} SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {seeded(['chunk_id'], C.DATA_SEED)} AS order_key, "
             f"row_number() OVER (ORDER BY {seeded(['chunk_id'], C.DATA_SEED)}, chunk_id) - 1 AS rank FROM ch"
         ),
+        "split_fraction": f"{PACKED}, {corpus_split_cte(Q.SPLIT_FRACTION)} SELECT CAST(chunk_id AS BIGINT) AS chunk_id, split FROM sp",
         "split_exact": f"{SPLIT} SELECT CAST(chunk_id AS BIGINT) AS chunk_id, split FROM sp",
         "dataset_summary": (
             f"{SPLIT}, a AS (SELECT count(*) AS n_docs, CAST(sum(len(ids)) AS BIGINT) AS total_tokens FROM tok), "
@@ -284,18 +300,8 @@ def oracles() -> dict[str, str]:
         "sft_format": f"WITH {INSTR} SELECT conv_id, turn, {format_sql()} AS text FROM inst",
         "sft_masked_labels": _sample_report(Q.SFT),
         "sft_truncated": _sample_report(Q.SFT_SHORT),
-        "sft_summary": (
-            f"WITH {INSTR}, {sft_split_cte()}, {_sft_samples('ssp')} SELECT split, "
-            "count(*) FILTER (WHERE reason = 'keep') AS loaded, count(*) FILTER (WHERE reason <> 'keep') AS skipped, "
-            "count(*) FILTER (WHERE reason = 'no_marker') AS skipped_no_marker, "
-            "count(*) FILTER (WHERE reason = 'too_short') AS skipped_too_short, "
-            "count(*) FILTER (WHERE reason = 'null_field') AS skipped_null_field, "
-            "count(*) FILTER (WHERE reason = 'keep' AND truncated) AS truncated, "
-            "count(*) FILTER (WHERE reason = 'keep' AND prompt_len >= n_tokens) AS fully_masked, "
-            "CAST(coalesce(sum(n_tokens) FILTER (WHERE reason = 'keep'), 0) AS BIGINT) AS tokens, "
-            f"CAST(coalesce(sum({n_supervised_sql()}) FILTER (WHERE reason = 'keep'), 0) AS BIGINT) AS supervised_tokens "
-            "FROM lb GROUP BY split"
-        ),
+        "sft_summary": _sft_summary(Q.SFT),
+        "sft_summary_strict": _sft_summary(Q.SFT_STRICT),
         "sft_split": f"WITH {INSTR}, {sft_split_cte()} SELECT conv_id, turn, split FROM ssp",
         "sft_collated": (
             f"WITH {INSTR}, {sft_split_cte()}, {_sft_samples('ssp')}, kept AS (SELECT *, row_number() OVER (PARTITION BY split "
@@ -328,9 +334,10 @@ def oracles() -> dict[str, str]:
             f"FROM mf WHERE step > {Q.RESUME_STEP}"
         ),
         "val_loss_perplexity": (
-            f"WITH {EVENTS_MICRO} SELECT run_id, CAST(sum(loss) AS DOUBLE) / count(*) AS val_loss, count(*) AS n_batches, "
-            f"round(exp(CAST(sum(loss) AS DOUBLE) / count(*)), 6) AS val_perplexity FROM m "
-            f"WHERE micro_idx < {Q.E_MAX_BATCHES} GROUP BY run_id"
+            f"WITH {EVENTS_MICRO}, l AS (SELECT run_id, CAST(sum(loss) FILTER (micro_idx < {Q.E_MAX_BATCHES}) AS DOUBLE) "
+            f"/ count(*) FILTER (micro_idx < {Q.E_MAX_BATCHES}) AS val_loss, count(*) FILTER (micro_idx < {Q.E_MAX_BATCHES}) AS n_batches, "
+            "count(*) AS n_available FROM m GROUP BY run_id) "
+            "SELECT run_id, val_loss, n_batches, n_available, round(exp(val_loss), 6) AS val_perplexity FROM l"
         ),
         "masked_nll": _masked_nll(),
         "completion_trim": (

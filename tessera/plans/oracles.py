@@ -98,11 +98,11 @@ def seeded(keys: list[str], seed: int) -> str:
     return "md5(concat_ws(':', " + ", ".join([q(str(seed))] + [f"CAST({k} AS VARCHAR)" for k in keys]) + "))"
 
 
-def corpus_split_cte() -> str:
+def corpus_split_cte(fraction: float = C.VAL_FRACTION) -> str:
     return (
         f"rk AS (SELECT chunk_id, ids_text, row_number() OVER (ORDER BY {seeded(['chunk_id'], C.DATA_SEED)}, chunk_id) - 1 AS r, "
         "count(*) OVER () AS n FROM ch), "
-        f"sp AS (SELECT *, CASE WHEN r >= n - greatest(1, floor(n * {C.VAL_FRACTION}::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM rk)"
+        f"sp AS (SELECT *, CASE WHEN r >= n - greatest(1, floor(n * {fraction}::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM rk)"
     )
 
 

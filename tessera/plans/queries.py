@@ -40,10 +40,12 @@ SAMPLE_EVERY = 5
 SCHEDULE = TrainConfig(warmup_steps=4, max_steps=20)  # short enough for runs of the events table to pass through it
 SFT = SftConfig()
 SFT_SHORT = SftConfig(max_len=64)
+SFT_STRICT = SftConfig(max_len=128, min_tokens=100)
+SPLIT_FRACTION = 0.2
 STREAM_SALT = 4
 STREAM_FILES = 1000  # files of one micro-batch
 STREAM_BUDGET = 5  # chunks
-E_MAX_BATCHES = 200
+E_MAX_BATCHES = 40  # less than some runs of the events table have
 E_BATCH = 4
 N_PROMPTS = 10
 
@@ -206,6 +208,11 @@ def q_split_exact(spark, sf):
     return corpus_split(spark, sf).select("chunk_id", "split")
 
 
+def q_split_fraction(spark, sf):
+    """K9 with a val split of several rows."""
+    return split_exact(kept_chunk_ids(spark, sf), ["chunk_id"], SPLIT_FRACTION, PACK.seed).select("chunk_id", "split")
+
+
 def q_dataset_summary(spark, sf):
     tokens = kept_tokens(spark, sf)
     chunks = materialize(pack(tokens, PACK))
@@ -260,6 +267,11 @@ def q_sft_summary(spark, sf):
     return S.sft_summary(all_samples(spark, sf))
 
 
+def q_sft_summary_strict(spark, sf):
+    """T6 with limits that bind: some samples are skipped, cut short or fully masked."""
+    return S.sft_summary(split_samples(instructions(spark, sf), SFT_STRICT))
+
+
 def q_sft_split(spark, sf):
     return sft_split_rows(spark, sf).select("conv_id", "turn", "split")
 
@@ -322,7 +334,7 @@ def q_resume_point(spark, sf):
 def q_val_loss_perplexity(spark, sf):
     micro = micro_steps(spark, sf).withColumnRenamed("micro_idx", "batch_idx")
     v = E.val_loss(micro, by=("run_id",), max_batches=E_MAX_BATCHES)
-    return v.select("run_id", "val_loss", "n_batches", F.round("val_perplexity", 6).alias("val_perplexity"))
+    return v.select("run_id", "val_loss", "n_batches", "n_available", F.round("val_perplexity", 6).alias("val_perplexity"))
 
 
 def _sft_token_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -576,6 +588,7 @@ QUERIES = {
     "pack_progress": q_pack_progress,
     "seeded_order": q_seeded_order,
     "split_exact": q_split_exact,
+    "split_fraction": q_split_fraction,
     "dataset_summary": q_dataset_summary,
     "dataset_summary_budget": q_dataset_summary_budget,
     "instructions_from_turns": q_instructions_from_turns,
@@ -584,6 +597,7 @@ QUERIES = {
     "sft_masked_labels": q_sft_masked_labels,
     "sft_truncated": q_sft_truncated,
     "sft_summary": q_sft_summary,
+    "sft_summary_strict": q_sft_summary_strict,
     "sft_split": q_sft_split,
     "sft_collated": q_sft_collated,
     "supervised_tokens": q_supervised_tokens,
