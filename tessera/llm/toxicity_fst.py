@@ -18,7 +18,8 @@ weights as its prior, to a bounded sample of labelled rows.
 The insult lexicon has a fixed part and a part induced from labelled rows: word stems
 and words that occur in many different contexts of toxic rows and (almost) never in
 others. Different contexts (the word with the one before it) are counted, not rows, so that
-a copied document counts once; a log-likelihood ratio rules chance out.
+a copied document counts once; a log-likelihood ratio rules chance out. Induced entries pass
+the same transducers as fixed ones, with events of their own, as they are less sure.
 
 Null, empty and blank texts have no event; their score is the model's at zero events.
 Repeated rows: one result each. Null id: kept, in no fold. Rows without a label, or with a
@@ -64,13 +65,15 @@ REPORTS = "said says say saying called calls calling wrote writes claimed claims
 
 O, I, H, T, N, R, Q, F_ = range(8)  # other, insult, threat verb, target, negation, report, quote, intent
 NI, NH, RI, RH, DH, TI, TH, J = range(8, 16)  # negated, reported, intended, targeted events; induced insult
-EVENTS = (I, TI, J, H, DH, TH, NI, NH, RI, RH)
-EVENT_NAMES = ("insult", "targeted_insult", "induced_insult", "threat_verb", "threat", "targeted_threat",
-               "negated_insult", "negated_threat", "reported_insult", "reported_threat")
+NJ, RJ, TJ = range(16, 19)  # the same of an induced insult
+EVENTS = (I, TI, J, TJ, H, DH, TH, NI, NH, NJ, RI, RH, RJ)
+EVENT_NAMES = ("insult", "targeted_insult", "induced_insult", "targeted_induced", "threat_verb", "threat", "targeted_threat",
+               "negated_insult", "negated_threat", "negated_induced", "reported_insult", "reported_threat", "reported_induced")
+INSULT_EVENTS = 4  # so many events at the front of EVENTS are insults that stand
 #: Hand-set weights: the bias, then for each event its presence, and for each the log of its count;
 #: last the log of the insults among 1000 words.
-PRIOR = np.array([-3.0] + [3.5, 4.0, 2.0, 0.1, 2.0, 3.5, -0.5, -0.5, 0.3, 0.3]
-                 + [1.0, 1.0, 1.0, 0.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0] + [0.0])
+PRIOR = np.array([-3.0] + [3.5, 4.0, 2.0, 2.5, 0.1, 2.0, 3.5, -0.5, -0.5, -0.5, 0.3, 0.3, 0.3]
+                 + [1.0, 1.0, 1.0, 1.0, 0.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0] + [0.0])
 PRIOR_STRENGTH = 2.0
 
 WORD = re.compile(r"[^\W\d_]+|[\"“”«»„]")
@@ -119,7 +122,7 @@ def negation(reach: int = 2) -> Transducer:
     steps = {(s, N): (1, N) for s in range(reach + 2)}
     for s in range(1, reach + 2):
         after = s + 1 if s <= reach else 0
-        steps |= {(s, I): (0, NI), (s, H): (0, NH)} | {(s, x): (after, x) for x in (O, T, R, Q, F_)}
+        steps |= {(s, I): (0, NI), (s, J): (0, NJ), (s, H): (0, NH)} | {(s, x): (after, x) for x in (O, T, R, Q, F_)}
     return Transducer(steps)
 
 
@@ -127,7 +130,8 @@ def reported_speech() -> Transducer:
     """0 plain, 1 after a reporting verb, 2 inside the reported quotation."""
     steps = {(0, R): (1, R), (1, Q): (2, Q), (2, Q): (0, Q)}
     for s in (1, 2):
-        steps |= {(s, I): (s, RI), (s, H): (s, RH), (s, NI): (s, RI), (s, NH): (s, RH)}
+        steps |= {(s, I): (s, RI), (s, J): (s, RJ), (s, H): (s, RH)}
+        steps |= {(s, NI): (s, RI), (s, NJ): (s, RJ), (s, NH): (s, RH)}
     return Transducer(steps)
 
 
@@ -142,7 +146,7 @@ def threat(reach: int = 2) -> Transducer:
 
 def target() -> Transducer:
     """A person named earlier in the clause is the target of what follows."""
-    return Transducer({(0, T): (1, T), (1, I): (1, TI), (1, DH): (1, TH)})
+    return Transducer({(0, T): (1, T), (1, I): (1, TI), (1, J): (1, TJ), (1, DH): (1, TH)})
 
 
 @cache
@@ -193,7 +197,7 @@ _EVENT_AT = {e: k for k, e in enumerate(EVENTS)}
 def design(counts: np.ndarray) -> np.ndarray:
     """Model inputs of event counts: one, presence, log count, log density."""
     n, words = counts[:, :-1], np.maximum(counts[:, -1:], 1)
-    density = np.log1p(1000 * n[:, :3].sum(axis=1, keepdims=True) / words)
+    density = np.log1p(1000 * n[:, :INSULT_EVENTS].sum(axis=1, keepdims=True) / words)
     return np.concatenate([np.ones((len(n), 1)), n > 0, np.log1p(n), density], axis=1)
 
 
@@ -309,7 +313,7 @@ def _scored(found: DataFrame, model: Model) -> DataFrame:
         n = F.col("events")[k]
         logit = logit + F.when(n > 0, F.lit(model.weights[1 + k]) + F.lit(model.weights[1 + len(EVENTS) + k]) * F.log1p(n)).otherwise(0.0)
     e = F.col("events")
-    density = F.log1p(1000 * (e[0] + e[1] + e[2]) / F.greatest(e[len(EVENTS)], F.lit(1)))
+    density = F.log1p(1000 * sum(e[k] for k in range(INSULT_EVENTS)) / F.greatest(e[len(EVENTS)], F.lit(1)))
     logit = logit + F.lit(model.weights[-1]) * density
     events = F.struct(*[F.col("events")[k].alias(name) for k, name in enumerate(EVENT_NAMES)])
     return found.select("id", (1 / (1 + F.exp(-logit))).alias("score"), events.alias("events"))

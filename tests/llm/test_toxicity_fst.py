@@ -34,6 +34,29 @@ def test_stems_need_a_continuation():
     assert events("grumpf", words=("grumpf",)) == {"induced_insult": 1}
 
 
+@pytest.mark.parametrize("word, lexicon", [("zorbta", {"stems": ("zorb",)}), ("grumpf", {"words": ("grumpf",)})])
+@pytest.mark.parametrize("text, want", [
+    ("what a {}", {"induced_insult": 1}),
+    ("you are a {}", {"targeted_induced": 1}),
+    ("you are not a {}", {"negated_induced": 1}),
+    ("not a {} but a {}", {"negated_induced": 1, "induced_insult": 1}),
+    ('she said "{}"', {"reported_induced": 1}),
+    ('she said "you are a {}"', {"reported_induced": 1}),
+    ("she called him a {}", {"reported_induced": 1}),
+    ('she said "not a {}"', {"reported_induced": 1}),
+])
+def test_induced_entries_pass_the_grammar(word, lexicon, text, want):
+    assert events(text.replace("{}", word), **lexicon) == want
+
+
+def test_a_negated_or_quoted_induced_word_is_no_evidence():
+    lexicon = g.Lexicon(stems=("zorb",))
+    logit = lambda text: (g.design(lexicon.events(text)[None]) @ g.PRIOR)[0]
+    none = logit("you are a friend")
+    assert logit("you are a zorbta") > logit("what a zorbta") > none
+    assert logit("you are not a zorbta") <= none and logit('she said "zorbta"') < logit("what a zorbta")
+
+
 def test_composition_equals_the_cascade():
     rng = random.Random(5)
     parts = g.grammar().parts
