@@ -9,7 +9,10 @@ value must always stand for one document value (a consistent renaming), and a wi
 that consists mostly of placeholders is no evidence by itself.
 
 A document contains an item when at least ``min_share`` of the item's windows occur in
-it with consistent slots. An item shorter than a window is looked for as a whole: its
+it with consistent slots, or when shorter windows (``SEED`` tokens) cover at
+least ``min_share`` of its tokens, and as many as a window has, near one place: changed words
+leave gaps, and inserted or missing ones move what follows. Beside each other are the
+places within the item's length. An item no longer than a window is looked for as a whole: its
 one window is all its tokens. Items of fewer than ``MIN_TOKENS`` tokens say too little and
 are not looked for.
 
@@ -30,12 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, slices, sql_type, table, worker_memo
 
 WINDOW = 8
+SEED = 6  # of 14 tokens and more, one change anywhere leaves windows of 6 that cover half
 MIN_SHARE = 0.5
 MIN_TOKENS = 4
 BROADCAST_WINDOWS = 100_000  # of about 300 bytes
@@ -100,6 +104,11 @@ class Vocabulary(dict):
         A capitalised word is a name unless it starts a sentence. A unit word is a unit only
         next to a number, so that "a" and "in" stay words elsewhere.
         """
+        tokens, hashes, slots, _ = self.read(text)
+        return tokens, hashes, slots
+
+    def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """``templates`` and the hashes of the plain lower-cased tokens."""
         if len(self) > MEMO_WORDS:
             self.clear()
         tokens = TOKEN.findall(text)
@@ -109,11 +118,12 @@ class Vocabulary(dict):
         number = classes == NUMBER_CLASS
         unit = (classes == SIGN_CLASS) | (classes == UNIT_CLASS) & (before == NUMBER_CLASS)
         name = (classes == CAPITAL_CLASS) & (before != END_CLASS)
+        plain = hashes.copy()
         hashes[number], hashes[unit], hashes[name] = _SLOT_HASHES
         keep = np.nonzero(classes != END_CLASS)[0]
         if len(keep) < len(tokens):
             tokens = [tokens[k] for k in keep.tolist()]
-        return tokens, hashes[keep], (number | unit | name)[keep]
+        return tokens, hashes[keep], (number | unit | name)[keep], plain[keep]
 
 
 _SLOTS = (NUM, UNIT, NAME)
@@ -152,33 +162,42 @@ def _columns(found: list[tuple]) -> list[pa.Array]:
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
                       window: int = WINDOW) -> DataFrame:
-    """The windows of every item of which more than half the tokens are words; ``windows`` counts them."""
+    """The windows of every item.
+
+    Template windows are those of which more than half the tokens are words; ``windows`` counts those of ``window``
+    tokens, ``coverable`` the tokens that any of them hold, ``tokens`` all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, counts, found = [], [], []
             for row, text in enumerate(b.column(1).to_pylist()):
-                tokens, hashes, slots = _vocabulary().templates(text or "")
-                size = min(window, len(tokens))
-                if size < min(MIN_TOKENS, window):
+                tokens, hashes, slots, plain = _vocabulary().read(text or "")
+                n = len(tokens)
+                if not n:
                     continue
                 kinds, values = _kinds(tokens, hashes, slots), [t.lower() for t in tokens]
-                all_hashes = window_hashes(hashes, size).view(np.int64).tolist()
-                kept = [
-                    (size, all_hashes[k], k, kinds[k : k + size], values[k : k + size])
-                    for k in range(len(all_hashes))
-                    if 2 * int(slots[k : k + size].sum()) < size
-                ]
+                main = min(window, n)
+                seed = main if n <= window else min(SEED, window)
+                kept, coverable = [], set()
+                for size in {main, seed} if n >= min(MIN_TOKENS, window) else ():
+                    for k, h in enumerate(window_hashes(hashes, size).view(np.int64).tolist()):
+                        if 2 * int(slots[k : k + size].sum()) < size:
+                            kept.append((size, h, k, kinds[k : k + size], values[k : k + size]))
+                            coverable.update(range(k, k + size))
+                windows = sum(x[0] == main for x in kept)
                 found += kept
                 rows += [row] * len(kept)
-                counts += [len(kept)] * len(kept)
+                counts += [(main, windows, n, len(coverable))] * len(kept)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows, pa.int64())), pa.array(counts, pa.int64()), *_columns(found)],
-                ["item", "windows", "size", "hash", "at", "kinds", "values"],
+                [b.column(0).take(pa.array(rows, pa.int64())),
+                 *[pa.array([x[k] for x in counts], pa.int64()) for k in range(4)], *_columns(found)],
+                ["item", "main", "windows", "tokens", "coverable", "size", "hash", "at", "kinds", "values"],
             )
 
     narrow = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"item {sql_type(items, id_col)}, windows long, {_WINDOW_FIELDS}")
+    return narrow.mapInArrow(
+        run, f"item {sql_type(items, id_col)}, main long, windows long, tokens long, coverable long, {_WINDOW_FIELDS}")
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
@@ -198,7 +217,7 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 def document_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text_hash`` and the windows of every whole text whose hash may be one of the benchmark's."""
     spark = docs.sparkSession
-    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most ``window`` numbers
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most twice ``window`` numbers
     shared = spark.sparkContext.broadcast(_bitmap(windows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,15 +227,19 @@ def document_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id"
             for row, text in enumerate(b.column(2).to_pylist()):
                 if not text:
                     continue
-                tokens, hashes, slots = _vocabulary().templates(text)
+                tokens, hashes, slots, plain = _vocabulary().read(text)
                 for size in sizes:
-                    all_hashes = window_hashes(hashes, size)
+                    if size == -1 and len(tokens) > 1:
+                        continue
+                    width, exact = abs(size), size < 0
+                    all_hashes = window_hashes(plain if exact else hashes, width)
                     slot = all_hashes & mask
                     hits = np.nonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)[0]
                     for k in hits.tolist():
-                        part = slice(k, k + size)
+                        part = slice(k, k + width)
+                        values = [t.lower() for t in tokens[part]]
                         found.append((size, int(all_hashes[k].view(np.int64)), k,
-                                      _kinds(tokens[part], hashes[part], slots[part]), [t.lower() for t in tokens[part]]))
+                                      values if exact else _kinds(tokens[part], hashes[part], slots[part]), values))
                     rows += [row] * len(hits)
             rows = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -231,16 +254,17 @@ def document_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id"
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
                  min_share: float = MIN_SHARE) -> DataFrame:
-    """``id, text_hash, item, n_windows, n_matched, renamed``: each document with each item it contains.
+    """``id, text_hash, item, n_windows, n_matched, n_tokens, n_covered, renamed``: each document with each item it contains.
 
-    ``renamed`` tells whether a slot's value differs from the benchmark's.
+    ``n_windows`` and ``n_matched`` are of template windows of ``window`` tokens, ``n_covered`` of the tokens. ``renamed`` tells whether a slot's value differs from the benchmark's.
     """
     windows = cut(benchmark_windows(items, item_id, item_text, window))
-    known = windows.select("item", "windows", "size", "hash", F.col("at").alias("item_at"), "kinds", F.col("values").alias("old"))
+    known = windows.select("item", "main", "windows", "tokens", "coverable", "size", "hash", F.col("at").alias("item_at"), "kinds", F.col("values").alias("old"))
     if windows.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
     found = document_windows(docs, windows, id_col, text_col).withColumnRenamed("values", "new")
     matched = found.join(known, ["size", "hash", "kinds"])
+    of_item = ["item", "main", "windows", "tokens", "coverable"]
 
     slots = F.filter(
         F.arrays_zip(F.col("kinds").alias("kind"), F.col("old"), F.col("new")),
@@ -249,26 +273,52 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     # windows of one occurrence of an item lie on one diagonal
     runs = (
         matched.withColumn("slots", slots)
-        .groupBy("id", "text_hash", "item", "windows", (F.col("at") - F.col("item_at")).alias("diagonal"))
+        .withColumn("window", F.struct("size", "item_at"))
+        .groupBy("id", "text_hash", *of_item, (F.col("at") - F.col("item_at")).alias("diagonal"))
         .agg(
-            F.collect_set("item_at").alias("all"),
-            F.collect_set(F.when(F.size("slots") == 0, F.col("item_at"))).alias("plain"),
+            F.collect_set("window").alias("all"),
+            F.collect_set(F.when(F.size("slots") == 0, F.col("window"))).alias("plain"),
             F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"),
         )
     )
     one_to_one = (
         F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x["old"]))))
     ) & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x["new"])))))
-    return (
+    # diagonals no further apart than the item is long share one of two overlapping places
+    d, n = F.col("diagonal"), F.col("tokens")
+    places = F.array(F.struct(F.lit(0).alias("k"), F.floor(d / (2 * n)).alias("at")),
+                     F.struct(F.lit(1).alias("k"), F.floor((d + n) / (2 * n)).alias("at")))
+
+    def cells(windows: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(
+            windows, lambda x: F.sequence(x["item_at"], x["item_at"] + F.abs(x["size"]) - 1)))))
+
+    near = (
         runs.select(
-            "id", "text_hash", "item", "windows",
-            F.explode(F.when(one_to_one, F.col("all")).otherwise(F.col("plain"))).alias("item_at"),
-            (one_to_one & F.exists("pairs", lambda x: x["old"] != x["new"])).alias("renamed"),
+            "id", "text_hash", *of_item, F.explode(F.when(one_to_one, F.col("all")).otherwise(F.col("plain"))).alias("window"),
+            (one_to_one & F.exists("pairs", lambda x: x["old"] != x["new"])).alias("renamed"), places.alias("places"),
         )
-        .groupBy("id", "text_hash", "item", "windows")
-        .agg(F.count_distinct("item_at").alias("n_matched"), F.max("renamed").alias("renamed"))
-        .where(F.col("n_matched") >= F.lit(min_share) * F.col("windows"))
-        .withColumnRenamed("windows", "n_windows")
+        .select("*", F.explode("places").alias("place"))
+        .groupBy("id", "text_hash", *of_item, "place")
+        .agg(F.collect_set("window").alias("held"), F.max("renamed").alias("renamed"))
+        .select("*", cells(F.col("held")).alias("covered"),
+                cells(F.filter("held", lambda x: x["size"] > 0)).alias("by_template"),
+                F.transform(F.filter("held", lambda x: x["size"] == F.col("main")), lambda x: x["item_at"]).alias("mains"))
+    )
+    share, least = F.lit(min_share), F.least(F.col("tokens"), F.lit(window))
+    enough = (
+        (F.col("windows") > 0) & (F.col("n_matched") >= share * F.col("windows"))
+        | (F.col("n_covered") >= F.greatest(share * F.col("tokens"), least))
+        | (F.col("by_template") >= F.greatest(share * F.col("coverable"), least))
+    )
+    return (
+        near.groupBy("id", "text_hash", *of_item)
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("mains")))).cast("long").alias("n_matched"),
+             F.max("covered").cast("long").alias("n_covered"), F.max("by_template").alias("by_template"),
+             F.max("renamed").alias("renamed"))
+        .where(enough)
+        .select("id", "text_hash", "item", F.col("windows").alias("n_windows"), "n_matched",
+                F.col("tokens").alias("n_tokens"), "n_covered", "renamed")
     )
 
 
@@ -284,5 +334,5 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
-        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "n_matched", "renamed"
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "n_matched", "n_tokens", "n_covered", "renamed"
     ).distinct()

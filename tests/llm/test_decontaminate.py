@@ -55,6 +55,35 @@ def test_leaks(spark, items, monkeypatch, bound):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 4, 5, 6, 8, 9]
 
 
+WORDS = [f"w{chr(97 + k)}ord" for k in range(22)]
+
+
+@pytest.mark.parametrize("n", [14, 15, 16, 18, 20, 22])
+def test_one_changed_word_anywhere(spark, n):
+    """Changed, left out or put in, with or without another text around it."""
+    item, docs = WORDS[:n], []
+    for p in range(n):
+        docs += [item[:p] + ["other"] + item[p + 1 :], item[:p] + item[p + 1 :], item[:p] + ["other"] + item[p:]]
+    rows = [(k, "before it. " + " ".join(d) + " after") for k, d in enumerate(docs)] + [(-1, " ".join(item[: n // 2 - 1]))]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = g.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted(r.id for r in got) == list(range(len(docs)))
+
+
+def test_changed_word_beside_a_renaming(spark):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    docs = [RENAMED.replace("apples", "pears"), RENAMED.replace("noon", "dusk"), RENAMED.replace("market", "old market")]
+    got = g.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items).collect()
+    assert sorted((r.id, r.renamed) for r in got) == [(k, True) for k in range(3)]
+
+
+def test_pieces_far_apart_are_no_copy(spark):
+    item = WORDS[:22]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    text = " ".join(item[:6] + ["x"] * 300 + item[12:18])
+    assert g.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), items).count() == 0
+
+
 def test_equals_brute_force_on_the_table(spark):
     """Plain windows of the benchmark's tokens, looked up in every document."""
     sf = "/root/testdata/sf0.001"
