@@ -8,13 +8,16 @@ windows of the benchmark. Slots are then checked: within a matched run, one benc
 value must always stand for one document value (a consistent renaming), and a window
 that consists mostly of placeholders is no evidence by itself.
 
+Next to them go windows of the plain lower-cased tokens, which need no slots and no share of
+words: a verbatim copy is found whatever it consists of and wherever its sentence starts.
+
 A document contains an item when at least ``min_share`` of the item's windows occur in
-it with consistent slots, or when shorter windows (``SEED`` tokens) cover at
+it with consistent slots, or when shorter windows (``SEED`` tokens, of both kinds) cover at
 least ``min_share`` of its tokens, and as many as a window has, near one place: changed words
 leave gaps, and inserted or missing ones move what follows. Beside each other are the
 places within the item's length. An item no longer than a window is looked for as a whole: its
-one window is all its tokens. Items of fewer than ``MIN_TOKENS`` tokens say too little and
-are not looked for.
+one window is all its tokens. Below ``MIN_TOKENS`` tokens only the plain tokens count, and an
+item of one token is found only where it is the whole document.
 
 Every window of every whole text is hashed; a bitmap of fixed size (8 MB), built from the
 benchmark's hashes in Spark, drops those that cannot match before rows are made, and a
@@ -162,7 +165,7 @@ def _columns(found: list[tuple]) -> list[pa.Array]:
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
                       window: int = WINDOW) -> DataFrame:
-    """The windows of every item.
+    """The windows of every item. A negative size is that of a window of plain tokens.
 
     Template windows are those of which more than half the tokens are words; ``windows`` counts those of ``window``
     tokens, ``coverable`` the tokens that any of them hold, ``tokens`` all.
@@ -186,6 +189,8 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
                             kept.append((size, h, k, kinds[k : k + size], values[k : k + size]))
                             coverable.update(range(k, k + size))
                 windows = sum(x[0] == main for x in kept)
+                for k, h in enumerate(window_hashes(plain, seed).view(np.int64).tolist()):
+                    kept.append((-seed, h, k, values[k : k + seed], values[k : k + seed]))
                 found += kept
                 rows += [row] * len(kept)
                 counts += [(main, windows, n, len(coverable))] * len(kept)

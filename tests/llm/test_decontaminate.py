@@ -84,6 +84,28 @@ def test_pieces_far_apart_are_no_copy(spark):
     assert g.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), items).count() == 0
 
 
+@pytest.mark.parametrize("item, text", [
+    ("Compute 12 + 30 * 4 - 6", "Task: compute 12 + 30 * 4 - 6 now"),
+    ("1 2 3 4 5", "count 1 2 3 4 5 up"),
+    ("Ann Bob Carl Dora Eve", "by Ann Bob Carl Dora Eve alone"),
+    ("Ann buys pears and plums", 'Question: "Ann buys pears and plums"'),
+    ("Then Ann gives Bob and Zoe pears", "THEN ANN GIVES BOB AND ZOE PEARS"),
+    ("Then Ann gives Bob and Zoe pears", "then ann gives bob and zoe pears"),
+    ("12 * 7", "what is 12 * 7"),
+    ("Antidisestablishment", "antidisestablishment"),
+])
+def test_verbatim_copies(spark, item, text):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, "3 9 8 1 2 and Ann of pears")], "doc_id long, text string")
+    assert [(r.id, r.renamed) for r in g.contaminated(docs, items).collect()] == [(1, False)]
+
+
+def test_one_word_items_only_as_whole_documents(spark):
+    items = spark.createDataFrame([(1, "Pears")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "pears"), (2, "pears and plums")], "doc_id long, text string")
+    assert [r.id for r in g.contaminated(docs, items).collect()] == [1]
+
+
 def test_equals_brute_force_on_the_table(spark):
     """Plain windows of the benchmark's tokens, looked up in every document."""
     sf = "/root/testdata/sf0.001"
