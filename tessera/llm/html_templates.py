@@ -2,18 +2,19 @@
 
 Every page is parsed into a tree, and every block element gets a hash of its whole
 subtree. In Spark the subtrees are counted per host, each once for pages with the same
-main text, so that copies of an article make no template. A subtree that recurs in at
-least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the pages of its host is template, and a
-second pass deletes it. Prose inside an article (paragraphs, headings, list items, quotes)
+main text, so that copies of an article make no template. A subtree outside ``article`` and
+``main`` that recurs in at least ``MIN_PAGES`` pages of its host is template, however many pages
+the host has; inside them it must recur in ``MIN_SHARE`` of the host's pages as well. A
+second pass deletes templates. Prose inside an article (paragraphs, headings, list items, quotes)
 is never taken for template, however common. Elements whose tag, role, class or id says what
 they are (navigation, header and footer outside an article, sidebar, notice, advert, form,
-script, style, reader comments) go as well. What is left of the ``article`` or ``main``
+script, style, reader comments) go as well. Outside an article, what holds an ``article`` or
+``main`` is never deleted, navigation, sidebars and footers excepted. What is left of the ``article`` or ``main``
 elements, or of the page if it has none, is the text: one line per block, white space
 inside a block as one space, character references decoded.
 
-The templates of a host are a short list (at most elements per page / ``MIN_SHARE``);
-all lists are broadcast while there are at most ``BROADCAST_TEMPLATES`` entries, and beyond
-that joined by shuffle, where Spark splits a host that holds many pages.
+All templates are broadcast while there are at most ``BROADCAST_TEMPLATES``; beyond that each
+page's own subtrees are joined with them, so that a page carries only those it holds.
 
 Null or empty html: empty text. Null or odd url: its pages share no template. Repeated
 rows: one result each. Markup cut off or nested wrongly is closed as browsers do. Empty
@@ -43,6 +44,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th ul ol dl table tbody tr figcaption".split())
 MAIN = frozenset(["article", "main"])
+TEASERS = frozenset(["nav", "aside", "footer"])  # an article in these is a teaser
 DROPPED = frozenset("head nav footer aside form button select textarea input iframe object svg canvas noscript template dialog menu".split())
 RAW = frozenset("script style title textarea noscript iframe template xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -87,6 +89,12 @@ class Element:
     in_main: bool
     parts: list[str] = field(default_factory=list)  # what the subtree's hash is made of
     hash: int = 0
+    holds_main: bool = False
+
+    @property
+    def key(self) -> int:
+        """The hash; its complement inside an article, where another count applies."""
+        return ~self.hash if self.in_main else self.hash
 
 
 @dataclass
@@ -99,8 +107,9 @@ class Page:
     def kept(self, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
         gone = [False] * len(self.elements)
         for k, e in enumerate(self.elements):
-            removable = e.hash in template and not (e.in_main and e.tag in PROSE) and e.tag not in MAIN
-            gone[k] = e.unwanted or removable or e.parent >= 0 and gone[e.parent]
+            removable = e.key in template and not (e.in_main and e.tag in PROSE) and e.tag not in MAIN
+            spared = e.holds_main and not e.in_main and e.tag not in TEASERS
+            gone[k] = (e.unwanted or removable) and not spared or e.parent >= 0 and gone[e.parent]
         left = [(k, text) for k, text in self.blocks if not gone[k]]
         inside = [text for k, text in left if self.elements[k].in_main or self.elements[k].tag in MAIN]
         return inside or [text for _, text in left]
@@ -164,6 +173,8 @@ def parse(source: str) -> Page:
             found = re.compile(rf"</{tag}(?![a-zA-Z0-9])[^>]*>?", re.I).search(source, at)
             at = found.end() if found else end
             continue
+        if skipped and tag in MAIN and not (elements[stack[-1]].in_main or elements[stack[-1]].tag in MAIN):
+            skipped.clear()  # an unwanted inline element does not take an article with it
         if skipped:
             if tag == skipped[-1] and not rest.endswith("/"):
                 skipped.append(tag)
@@ -189,6 +200,9 @@ def parse(source: str) -> Page:
         inside = above.in_main or above.tag in MAIN
         off = unwanted(tag, rest) or tag == "header" and not inside
         elements.append(Element(tag, parent, off, inside))
+        if tag in MAIN:
+            for k in stack:
+                elements[k].holds_main = True
         stack.append(len(elements) - 1)
     while stack:
         close_top()
@@ -196,7 +210,10 @@ def parse(source: str) -> Page:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """``host, main, hash``: every block subtree with text of every page; ``main`` is the hash of the page's main text."""
+    """``host, page, main, hash``: every block subtree with text of every page.
+
+    ``page`` is the hash of the page's source, ``main`` that of its main text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -206,23 +223,26 @@ def subtrees(pages: DataFrame) -> DataFrame:
             for row, source in enumerate(b.column(1).to_pylist()):
                 page = parse(source or "")
                 main = xxhash.xxh64_intdigest("\n".join(page.kept()).encode("utf-8", "surrogatepass")) >> 1
-                found = {e.hash for e in page.elements[1:] if e.parts and e.tag not in ("html", "body")}
+                found = {e.key for e in page.elements[1:] if e.parts and e.tag not in ("html", "body")}
                 rows += [row] * len(found)
                 mains += [main] * len(found)
                 hashes += found
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows, pa.int64())), pa.array(mains, pa.int64()), pa.array(hashes, pa.int64())],
-                ["host", "main", "hash"])
+                [b.column(0).take(at := pa.array(rows, pa.int64())), b.column(2).take(at),
+                 pa.array(mains, pa.int64()), pa.array(hashes, pa.int64())],
+                ["host", "page", "main", "hash"])
 
-    return pages.where("host is not null").select("host", "html").mapInArrow(run, "host string, main long, hash long")
+    narrow = pages.where("host is not null").select("host", "html", F.xxhash64("html").alias("page"))
+    return narrow.mapInArrow(run, "host string, page long, main long, hash long")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``host, hash`` of the subtrees that recur across the pages of their host."""
-    seen = cut(subtrees(pages).distinct())
+    seen = cut(subtrees(pages).select("host", "main", "hash").distinct())
     totals = seen.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(totals, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+    often = (F.col("hash") >= 0) | (F.col("n") >= min_share * F.col("pages"))
+    return counts.join(totals, "host").where(often).select("host", "hash")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -232,19 +252,27 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     named = pages.select(F.when(host != "", host).alias("host"), F.col(html_col).alias("html"),
                          F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     found = cut(templates(named, min_pages, min_share))
-    lists = found.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    known, shared = named.withColumn("template", F.lit(None).cast("array<long>")), None
     if found.count() <= BROADCAST_TEMPLATES:
-        lists = F.broadcast(lists)
+        by_host: dict[str, set[int]] = {}
+        for r in found.toLocalIterator():
+            by_host.setdefault(r["host"], set()).add(r["hash"])
+        shared = pages.sparkSession.sparkContext.broadcast(by_host)
+    else:
+        held = subtrees(named).select("host", "page", "hash").distinct().join(found, ["host", "hash"], "left_semi")
+        lists = held.groupBy("host", "page").agg(F.collect_list("hash").alias("template"))
+        known = named.withColumn("page", F.xxhash64("html")).join(lists, ["host", "page"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_host = shared.value if shared else {}
         for b in batches:
             texts = [
-                "\n".join(parse(source).kept(set(template or ()))) if source else ""
-                for source, template in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+                "\n".join(parse(source).kept(by_host.get(host) or set(template or ()))) if source else ""
+                for source, template, host in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(2), b.column(3)], ["text", "id", "url"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(3), b.column(4)], ["text", "id", "url"])
 
-    joined = named.join(lists, "host", "left").select("html", "template", "id", "url")
+    joined = known.select("html", "template", "host", "id", "url")
     return joined.mapInArrow(run, f"text string, id {sql_type(pages, id_col)}, url {sql_type(pages, url_col)}").select("id", "url", "text")
 
 

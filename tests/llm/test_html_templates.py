@@ -59,6 +59,26 @@ def test_templates_go_and_repeated_prose_stays(spark, monkeypatch, bound):
     assert got[60] == got[61] == "All prices include tax." and got[62] == got[63] == ""
 
 
+@pytest.mark.parametrize("bound", [0, g.BROADCAST_TEMPLATES])
+def test_a_block_on_few_of_many_pages_is_template(spark, monkeypatch, bound):
+    monkeypatch.setattr(g, "BROADCAST_TEMPLATES", bound)
+    block = lambda k: f"<div><div>Section {k // 8}</div></div>" if k < 80 else ""
+    rows = [(k, f"http://hot.example/{k}", f"{block(k)}<div>Item {k}</div>") for k in range(400)]
+    got = {r.id: r.text for r in g.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Item {k}" for k in range(400)}
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<div class='layout sidebar-left'><article><p>x</p></article></div>", ["x"]),
+    ("<form id=page><main>x</main><p>y</p></form>", ["x"]),
+    ("<span class=banner><article>x</article></span>", ["x"]),
+    ("<article>x<div class=comments><article>bad</article></div></article>", ["x"]),
+    ("<aside><article>teaser</article></aside><article>x</article>", ["x"]),
+])
+def test_what_holds_an_article_stays(source, want):
+    assert g.parse(source).kept() == want
+
+
 def test_empty_table(spark, corpus):
     d = corpus(pages=spark.createDataFrame([], "page_id long, url string, html string"))
     assert g.op4_html_templates(spark, d).count() == 0
