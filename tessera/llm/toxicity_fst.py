@@ -13,7 +13,8 @@ over the symbols:
 What comes out are matched clause events, and a clause is worth the events it holds:
 isolated words outside the grammar's lexicon count nothing. The events of a document
 feed a logistic model that starts from hand-set weights and is fitted, with those
-weights as its prior, to a bounded sample of labelled rows.
+weights as its prior, to a bounded sample of labelled rows; each class weighs as much as
+among all of them.
 
 The insult lexicon has a fixed part and a part induced from labelled rows: word stems
 and words that occur in many different contexts of toxic rows and (almost) never in
@@ -201,16 +202,17 @@ def design(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(n), 1)), n > 0, np.log1p(n), density], axis=1)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Logistic weights by Newton's method, pulled to the hand-set ones."""
+def fit(counts: np.ndarray, labels: np.ndarray, steps: int = 50, weights: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+    """Logistic weights by Newton's method, pulled to the hand-set ones; ``weights`` are what a row of each class counts."""
     w = PRIOR.copy()
+    each = np.where(labels == 1, weights[1], weights[0])
     if not (labels == 1).any() or not (labels == 0).any():
         return w
     x = design(counts)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - labels) + PRIOR_STRENGTH * (w - PRIOR)
-        curvature = (x * (p * (1 - p))[:, None]).T @ x + PRIOR_STRENGTH * np.eye(len(w))
+        gradient = x.T @ (each * (p - labels)) + PRIOR_STRENGTH * (w - PRIOR)
+        curvature = (x * (each * p * (1 - p))[:, None]).T @ x + PRIOR_STRENGTH * np.eye(len(w))
         move = np.linalg.solve(curvature, gradient)
         w = w - move * min(1.0, 3.0 / max(1e-9, np.abs(move).max()))
         if np.abs(move).max() < 1e-6:
@@ -218,11 +220,25 @@ def fit(counts: np.ndarray, labels: np.ndarray, steps: int = 50) -> np.ndarray:
     return w
 
 
+def usable_labels(labels: DataFrame, label: str = "toxic", id_col: str = "doc_id") -> DataFrame:
+    """The labelled rows outside the held-out fold, each once."""
+    return labels.where((crc_fold(F.col(id_col)) != 0) & F.col(label).isin(0, 1)).select(id_col, label).distinct()
+
+
+def class_weights(labels: DataFrame, label: str = "toxic", id_col: str = "doc_id",
+                  sample: tuple[int, int] = SAMPLE) -> tuple[float, float]:
+    """What a sampled row of each class counts, so that classes weigh as among all usable rows; 1 on average."""
+    rows = usable_labels(labels, label, id_col).groupBy(F.col(label).cast("int").alias("c")).count().collect()
+    total = {r["c"]: r["count"] for r in rows}
+    taken = {c: min(n, sample[c]) for c, n in total.items()}
+    scale = sum(taken.values()) / max(1, sum(total.values()))
+    return tuple(scale * total[c] / taken[c] if taken.get(c) else 1.0 for c in (0, 1))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id",
                   text_col: str = "text", sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """``text, label`` of a bounded, reproducible sample of the labelled rows outside the held-out fold."""
-    usable = labels.where((crc_fold(F.col(id_col)) != 0) & F.col(label).isin(0, 1)).select(id_col, label).distinct()
-    picked = cut(bounded_sample(usable, id_col, label, sample))
+    picked = cut(bounded_sample(usable_labels(labels, label, id_col), id_col, label, sample))
     return sampled_texts(docs, picked, id_col, F.col(text_col), label)
 
 
@@ -295,10 +311,11 @@ def _events(docs: DataFrame, keep: str, text: str, words: tuple[str, ...], stems
 
 def train(docs: DataFrame, labels: DataFrame, **how) -> Model:
     rows = cut(training_rows(docs, labels, **how))
+    how_labels = {k: v for k, v in how.items() if k != "text_col"}
     words, stems = induce(rows)
     found = _events(rows, "label", "text", words, stems).toPandas()  # as many rows as the sample may have
     counts = np.array(found["events"].tolist(), np.int64).reshape(-1, len(EVENTS) + 1)
-    return Model(words, stems, tuple(fit(counts, found["label"].to_numpy(float)).tolist()))
+    return Model(words, stems, tuple(fit(counts, found["label"].to_numpy(float), weights=class_weights(labels, **how_labels)).tolist()))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

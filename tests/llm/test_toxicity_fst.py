@@ -77,6 +77,33 @@ def test_fit_without_one_class_keeps_the_prior():
     assert (g.fit(counts, np.zeros(3)) == g.PRIOR).all()
 
 
+def test_scores_do_not_depend_on_the_caps(spark):
+    rng = np.random.default_rng(4)
+    labels = (np.arange(8000) % 10 == 0).astype(float)
+    counts = np.zeros((8000, len(g.EVENTS) + 1), np.int64)
+    counts[:, 0] = rng.random(8000) < np.where(labels == 1, 0.7, 0.1)
+    counts[:, -1] = 100
+    table = spark.createDataFrame([(k, int(x)) for k, x in enumerate(labels)], "doc_id long, toxic int")
+    used = {r.doc_id for r in g.usable_labels(table).collect()}
+    clean, toxic = ([k for k in sorted(used) if labels[k] == c] for c in (0, 1))
+    rows = clean[:1200] + toxic[:400]
+    weights = g.class_weights(table, sample=(1200, 400))
+    assert weights[0] / weights[1] == pytest.approx((len(clean) / 1200) / (len(toxic) / 400))
+    assert g.class_weights(table, sample=(len(clean), len(toxic))) == (1.0, 1.0)
+    score = lambda w: 1 / (1 + np.exp(-g.design(counts[:50]) @ w))
+    whole = score(g.fit(counts[sorted(used)], labels[sorted(used)]))
+    assert np.abs(score(g.fit(counts[rows], labels[rows], weights=weights)) - whole).max() < 0.06
+    assert np.abs(score(g.fit(counts[rows], labels[rows])) - whole).max() > 0.1
+
+
+def test_train_weighs_the_classes(spark, monkeypatch):
+    docs, labels, _ = made_up(spark, 300)
+    seen, fit = [], g.fit
+    monkeypatch.setattr(g, "fit", lambda *a, weights: seen.append(weights) or fit(*a, weights=weights))
+    g.train(docs, labels, sample=(40, 20))
+    assert seen[0][0] > 1 > seen[0][1]
+
+
 def made_up(spark, n=600):
     rng = random.Random(9)
     syllables = ["ta", "ri", "mo", "len", "sa", "ku"]
