@@ -4,7 +4,8 @@ Base detectors run on the text as it is. A cascade of transducers then rewrites
 
 * homoglyphs: full-width and other compatibility forms, Cyrillic and Greek look-alikes,
   foreign digits, odd blanks and dashes, invisible characters;
-* disguised signs: ``[at]``, ``(dot)``, ``name at host dot com``, ``10 dot 0 dot 0 dot 1``;
+* disguised signs: ``[at]``, ``(dot)``, ``name at host dot com``, ``name_at_host.com``, ``name @ host.com``,
+  ``10 dot 0 dot 0 dot 1`` (``name at host.com`` is prose more often than not and stays);
 * spelled digits: runs of at least three digit words;
 
 and every transducer keeps, for each character it writes, the span of source characters
@@ -146,6 +147,7 @@ class _Plain(dict):
 
 _PLAIN = _Plain()
 _FOREIGN = re.compile(r"[^\x00-\x7f]")
+_ODD_LATIN = re.compile("[" + "".join(c for c in map(chr, range(128, 256)) if _plain(c) != c) + "]")
 
 
 def homoglyphs(m: Mapped) -> Mapped:
@@ -155,6 +157,9 @@ def homoglyphs(m: Mapped) -> Mapped:
 _AT, _DOT = r"(?:at|arroba|@)", r"(?:dot|punkt|punto|point|\.)"
 _IN_BRACKETS = re.compile(rf"\s*(?:\[\s*(?:({_AT})|{_DOT})\s*\]|\(\s*(?:({_AT})|{_DOT})\s*\)|\{{\s*(?:({_AT})|{_DOT})\s*\}}|<\s*(?:({_AT})|{_DOT})\s*>)\s*", re.I)
 _WORDS = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?P<at>\s+at\s+|_at_|-at-|\s*@\s*)(?P<host>[A-Za-z0-9-]+(?:(?:\s+dot\s+|_dot_|-dot-|\.)[A-Za-z0-9-]+)*(?:\s+dot\s+|_dot_|-dot-)[A-Za-z]{2,24})(?![A-Za-z0-9])", re.I)
+#: A disguised at before a host with plain dots; the parts of a path are none.
+_PLAIN_HOST = re.compile(r"(?<![A-Za-z0-9._%+@/-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?P<at>_at_|-at-|\s+@\s*|\s*@\s+)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])", re.I)
+_AT_HINT = re.compile(r"\s@|@\s|_at_|-at-", re.I)
 _WORD_DOT = re.compile(r"\s+dot\s+|_dot_|-dot-", re.I)
 _IP_DOTS = re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:(?:\s+dot\s+|\.)[0-9]{1,3}){3}(?![0-9.]*[0-9])", re.I)
 
@@ -168,6 +173,7 @@ def signs(m: Mapped) -> Mapped:
             edits.append((*x.span("at"), "@"))
         edits += [(*y.span(), ".") for y in _WORD_DOT.finditer(m.text, *x.span("host"))]
     m = m.rewrite(edits)
+    m = m.rewrite([(*x.span("at"), "@") for x in _PLAIN_HOST.finditer(m.text)])
     return m.rewrite([(*y.span(), ".") for x in _IP_DOTS.finditer(m.text) for y in _WORD_DOT.finditer(m.text, *x.span())])
 
 
@@ -194,7 +200,7 @@ def suspicious(text: str) -> bool:
     if not text.isascii():
         try:
             text.encode("latin-1")
-            odd = "\xa0" in text or "\xad" in text or any(c in text for c in "¹²³")
+            odd = bool(_ODD_LATIN.search(text))
         except UnicodeEncodeError:
             odd = True
         if odd:
@@ -204,6 +210,8 @@ def suspicious(text: str) -> bool:
     low = text.lower()
     if "dot" in low and _WORD_DOT.search(low):
         return True
+    if _AT_HINT.search(text) and _PLAIN_HOST.search(text):
+        return True
     words = low.translate(_BREAKS).split()
     return not _DIGIT_SET.isdisjoint(words) and bool(_SPELLED.search(low))
 

@@ -55,6 +55,26 @@ def test_disguises(text, want):
     assert sorted(f"{g.KINDS[k]}:{text[a:b]}" for a, k, b in every) == sorted(want)
 
 
+@pytest.mark.parametrize("text, want", [
+    ("mail jane_at_mail.com now", ["email:jane_at_mail.com"]),
+    ("jane-at-mail.co.uk.", ["email:jane-at-mail.co.uk"]),
+    ("jane @ mail.com", ["email:jane @ mail.com"]),
+    ("jane.doe@ mail.com, x", ["email:jane.doe@ mail.com"]),
+    ("see http://x.org/look-at-this.html", []),
+    ("we met at noon.", []),
+    ("jºe@mail.com", ["email:e@mail.com", "email:jºe@mail.com"]),
+    ("mªry@mail.com", ["email:mªry@mail.com", "email:ry@mail.com"]),
+])
+def test_plain_hosts_and_ordinals(text, want):
+    _, every = g.spans(text)
+    assert sorted(f"{g.KINDS[k]}:{text[a:b]}" for a, k, b in every) == sorted(want)
+
+
+def test_quick_check_knows_every_latin_look_alike():
+    for c in map(chr, range(128, 256)):
+        assert g.suspicious(f"a{c}b") == (g._plain(c) != c)
+
+
 def test_mapping_keeps_offsets():
     m = g.Mapped.of("abcdef").rewrite([(1, 3, "X"), (4, 4 + 1, "YZ")]).rewrite([(0, 1, "")])
     assert m.text == "XdYZf"
