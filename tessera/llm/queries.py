@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_trees, secret_trigrams, topk_tiles
+from tessera.llm import chat_trees, fim_frames, secret_trigrams, topk_tiles
 from tessera.llm.chat_trees import op7_chat_trees
 from tessera.llm.decontaminate import op9_template_decontamination
+from tessera.llm.fim_frames import op11_fim_frames
 from tessera.llm.html_templates import op4_html_templates
 from tessera.llm.packing_pow2 import op5_packing_pow2
 from tessera.llm.pii_offsets import op3_pii_offsets
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_golay": op8_simhash_golay,
     "op9_template_decontamination": op9_template_decontamination,
     "op10_secret_trigrams": op10_secret_trigrams,
+    "op11_fim_frames": op11_fim_frames,
 }
 
 #: Only where SQL can express the operator; the others are tested against brute force.
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op6_topk_tiles": topk_tiles.ORACLE,
     "op7_chat_trees": chat_trees.ORACLE,
     "op10_secret_trigrams": secret_trigrams.oracle(),
+    "op11_fim_frames": fim_frames.ORACLE,
 }

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_one_query_for_each_operator():
     names = sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, len(QUERIES) + 1))
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql())
 
