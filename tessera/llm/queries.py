@@ -16,6 +16,7 @@ from tessera.llm.pii_offsets import op3_pii_offsets
 from tessera.llm.quality_zstd import op1_quality_zstd
 from tessera.llm.secret_trigrams import op10_secret_trigrams
 from tessera.llm.simhash_golay import op8_simhash_golay
+from tessera.llm.token_alignment import op12_token_alignment
 from tessera.llm.topk_tiles import op6_topk_tiles
 from tessera.llm.toxicity_fst import op2_toxicity_fst
 
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_template_decontamination": op9_template_decontamination,
     "op10_secret_trigrams": op10_secret_trigrams,
     "op11_fim_frames": op11_fim_frames,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 #: Only where SQL can express the operator; the others are tested against brute force.
