@@ -6,8 +6,8 @@ space starts at the same byte, the tokens before it end together: a verified sha
 anchors cut a document into windows, mostly of one word, and a window's alignment depends on
 nothing but its token ids, so a worker computes it once for each pair of id tuples and remembers it.
 
-Inside a window the two sequences are merged by their byte ends: tokens of A and B whose ranges
-overlap are linked, and byte offsets at which both end close a group. No link or group crosses an
+Inside a window tokens of A and B whose byte ranges overlap are linked (between two neighbouring
+ends of either side lies one pair), and byte offsets at which both end close a group. No link or group crosses an
 anchor.
 
 ``align`` is one pass without a shuffle. Links are then counted over the corpus (in how many
@@ -29,6 +29,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,8 @@ class Tokenizers:
             piece = self.b_model.id_to_piece(k)
             byte = _BYTE_PIECE.match(piece)
             b.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
+        if max(len(a), len(b)) >= 1 << 16:
+            raise ValueError("ids must fit 16 bits")
         self.a, self.b = Side(a), Side(b)
 
     def encode_a(self, text: str) -> list[int]:
@@ -117,90 +120,156 @@ class Tokenizers:
         return out
 
 
-def merge(a: list[int], b: list[int], a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups and links of two token sequences over the same bytes."""
-    i = j = 0
-    a_end, b_end = int(a_lengths[a[0]]), int(b_lengths[b[0]])
-    groups, links, group_a, group_b = [], [], [a[0]], [b[0]]
-    while True:
-        links.append((a[i], b[j]))
-        step_a, step_b = a_end <= b_end, b_end <= a_end
-        if step_a and step_b:
-            groups.append((group_a, group_b))
-            group_a, group_b = [], []
-        if step_a:
-            i += 1
-            if i == len(a):
-                return groups, links
-            group_a.append(a[i])
-        if step_b:
-            j += 1
-            group_b.append(b[j])
-        if step_a:
-            a_end += int(a_lengths[a[i]])
-        if step_b:
-            b_end += int(b_lengths[b[j]])
-
-
 def _codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) << 32 | b.astype(np.int64)
 
 
+def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions ``start .. start + size - 1`` of every slice, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self):
+        self.array, self.n = np.empty(1024, np.int64), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.array):
+            self.array = np.resize(self.array, 2 * n)
+        self.array[self.n : n] = values
+        self.n = n
+
+
+class Sequences:
+    """Token ids of both sides over the same bytes, of several texts or windows in a row."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, sides: Tokenizers):
+        self.a, self.b, self.sides = a, b, sides
+        self.a_ends, self.b_ends = np.cumsum(sides.a.lengths[a]), np.cumsum(sides.b.lengths[b])
+
+    def anchors(self, firsts: np.ndarray) -> np.ndarray:
+        """Bytes at which a window starts: those of ``firsts``, and where a space-marked token of each side does."""
+        marked = []
+        for ids, ends, side in ((self.a, self.a_ends, self.sides.a), (self.b, self.b_ends, self.sides.b)):
+            marked.append((ends - side.lengths[ids])[side.spaced[ids]])
+        return np.union1d(firsts, np.intersect1d(*marked, assume_unique=True))
+
+    def tokens_from(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first token of each side that starts at the bytes ``at``, which are ends as well (or 0)."""
+        return np.searchsorted(self.a_ends, at, "right"), np.searchsorted(self.b_ends, at, "right")
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every overlapping pair and the byte its overlap ends at: between two ends of any side lies one pair."""
+        ends = np.union1d(self.a_ends, self.b_ends)
+        return ends, _codes(self.a[np.searchsorted(self.a_ends, ends)], self.b[np.searchsorted(self.b_ends, ends)])
+
+    def groups(self) -> tuple[np.ndarray, list[str]]:
+        """Groups in order and the bytes they end at: where both sides end."""
+        both = np.intersect1d(self.a_ends, self.b_ends, assume_unique=True)
+        parts = []
+        for ids, bounds in zip((self.a, self.b), self.tokens_from(both)):
+            names, bounds = list(map(str, ids.tolist())), [0, *bounds.tolist()]
+            parts.append([names[x] if y == x + 1 else ",".join(names[x:y]) for x, y in zip(bounds, bounds[1:])])
+        return both, [f"{x}|{y}" for x, y in zip(*parts)]
+
+
 class Windows:
-    """Alignments of windows by their id tuples; bounded, emptied between documents."""
+    """Alignments of windows by their id tuples; bounded, emptied between texts."""
 
     def __init__(self, files: dict[str, str]):
         self.tokenizers = Tokenizers(files)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
-        self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.sizes: list[tuple[int, int]] = []  # groups, links
+        self.known: dict[tuple[int, int] | tuple[bytes, bytes], int] = {}
+        self.texts: list[str] = []  # each window's groups
+        self.n_groups, self.n_links, self.first_link, self.links = Grown(), Grown(), Grown(), Grown()
         self.tokens = 0
 
-    def add(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(x, np.uint32).tolist() for x in key)
-        groups, links = merge(a, b, self.tokenizers.a.lengths, self.tokenizers.b.lengths)
-        self.groups.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-        found = np.array(links, np.int64)
-        self.pairs.append(_codes(found[:, 0], found[:, 1]))
-        self.sizes.append((len(groups), len(links)))
+    def learn(self, keys: list, a: np.ndarray, b: np.ndarray, n_a: np.ndarray) -> None:
+        """Align new windows, whose tokens are given in a row, and remember them."""
+        new = Sequences(a, b, self.tokenizers)
+        ends = new.a_ends[np.cumsum(n_a) - 1]
+        link_ends, codes = new.links()
+        group_ends, groups = new.groups()
+        last_link, last_group = np.searchsorted(link_ends, ends, "right"), np.searchsorted(group_ends, ends, "right")
+        for last, sizes in ((last_group, self.n_groups), (last_link, self.n_links)):
+            sizes.extend(np.diff(last, prepend=0))
+        self.first_link.extend(self.links.n + np.concatenate([[0], last_link[:-1]]))
+        self.links.extend(codes)
+        self.known.update(zip(keys, range(len(self.texts), len(self.texts) + len(keys))))
+        bounds = [0, *last_group.tolist()]
+        self.texts += [groups[x] if y == x + 1 else ";".join(groups[x:y]) for x, y in zip(bounds, bounds[1:])]
         self.tokens += len(a) + len(b)
-        self.known[key] = at = len(self.groups) - 1
-        return at
-
-    def cut(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
-        """Id tuples between anchors: bytes at which a space-marked token of each side starts."""
-        sides = []
-        for ids, side in ((a, self.tokenizers.a), (b, self.tokenizers.b)):
-            ends = np.cumsum(side.lengths[ids])
-            starts = np.concatenate([[0], ends[:-1]])
-            sides.append((starts, starts[side.spaced[ids]]))
-        (a_starts, a_marked), (b_starts, b_marked) = sides
-        anchors = np.intersect1d(a_marked, b_marked, assume_unique=True)
-        anchors = anchors[anchors > 0]
-        a_at, b_at = (4 * np.searchsorted(s, anchors) for s in (a_starts, b_starts))
-        windows = []
-        for at, ids in ((a_at, a), (b_at, b)):
-            blob, bounds = ids.tobytes(), [0, *at.tolist(), 4 * len(ids)]
-            windows.append([blob[x:y] for x, y in zip(bounds, bounds[1:])])
-        return list(zip(*windows))
-
-    def align(self, ids: tuple[list[int], list[int]]) -> tuple[int, int, str, np.ndarray, np.ndarray]:
-        """Numbers of groups and links, the groups, the distinct id pairs and how often each is linked."""
+
+    def find(self, a: np.ndarray, b: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The remembered alignment of each window; ``bounds`` are the first tokens of the windows, and the ends."""
+        (a_at, b_at), (n_a, n_b) = (x[:-1] for x in bounds), (np.diff(x) for x in bounds)
+        # up to four ids a side are one number each, others two strings of bytes: equal keys mean equal id tuples
+        short = (n_a <= 4) & (n_b <= 4)
+        numbers = []
+        for ids, at, n in ((a, a_at[short], n_a[short]), (b, b_at[short], n_b[short])):
+            number = np.zeros(len(at), np.int64)
+            for k in range(4):
+                number |= np.where(n > k, ids[np.minimum(at + k, len(ids) - 1)].astype(np.int64) + 1, 0) << 16 * k
+            numbers.append(pd.factorize(number))
+        (a_which, a_numbers), (b_which, b_numbers) = numbers
+        which, pairs = pd.factorize(a_which * len(b_numbers) + b_which)
+        a_blob, b_blob, width = a.tobytes(), b.tobytes(), a.itemsize
+        rest = np.nonzero(~short)[0]
+        spans = [(width * x[rest]).tolist() for x in (a_at, a_at + n_a, b_at, b_at + n_b)]
+        tuples = [(a_blob[i:j], b_blob[k:m]) for i, j, k, m in zip(*spans)]
+        example = np.zeros(len(pairs), np.int64)  # a window that has the numbers
+        example[which] = np.nonzero(short)[0]
+        a_pair, b_pair = np.divmod(pairs, max(1, len(b_numbers)))
+        keys = [*zip(a_numbers[a_pair].tolist(), b_numbers[b_pair].tolist()), *tuples]
+        windows = np.concatenate([example, rest])
+        known = self.known
+        new = {key: w for key, w in zip(keys, windows.tolist()) if key not in known}
+        if new:
+            at = np.array(list(new.values()))
+            self.learn(list(new), a[_flat(a_at[at], n_a[at])], b[_flat(b_at[at], n_b[at])], n_a[at])
+        found = np.array([known[key] for key in keys], np.int64)
+        out = np.empty(len(n_a), np.int64)
+        out[short] = found[: len(pairs)][which]
+        out[rest] = found[len(pairs) :]
+        return out
+
+    def align(self, ids: list[tuple[list[int], list[int]]]) -> tuple[list[int], list[int], list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of several texts: numbers of groups and of links, groups; each text's distinct id pairs as (text, code, how often)."""
         if self.tokens > MEMO_TOKENS:
             self.clear()
-        known = self.known
-        at = [known[k] if k in known else self.add(k) for k in self.cut(*(np.array(x, np.uint32) for x in ids))]
-        which, times = np.unique(np.array(at), return_counts=True)
-        pairs = [self.pairs[k] for k in which.tolist()]
-        sizes = np.array([self.sizes[k] for k in which.tolist()])
-        codes, place = np.unique(np.concatenate(pairs), return_inverse=True)
-        weights = np.bincount(place, np.repeat(times, [len(p) for p in pairs])).astype(np.int64)
-        n_groups, n_links = (times[:, None] * sizes).sum(axis=0).tolist()
-        return n_groups, n_links, ";".join([self.groups[k] for k in at]), codes, weights
+        a, b = (np.array([k for x in ids for k in x[side]], np.uint16) for side in (0, 1))
+        rows = Sequences(a, b, self.tokenizers)
+        firsts = np.concatenate([[0], rows.a_ends[np.cumsum([len(x[0]) for x in ids])[:-1] - 1]])
+        starts = rows.anchors(firsts)
+        bounds = tuple(np.append(x, len(y)) for x, y in zip(rows.tokens_from(starts), (a, b)))
+        at = self.find(a, b, bounds)
+        text_of = np.searchsorted(firsts, starts, "right") - 1
+        n_groups, n_links = (np.bincount(text_of, x.array[at], len(ids)).astype(np.int64).tolist() for x in (self.n_groups, self.n_links))
+        cuts = [*np.searchsorted(starts, firsts).tolist(), len(starts)]
+        texts = [self.texts[k] for k in at.tolist()]
+        groups = [";".join(texts[x:y]) for x, y in zip(cuts, cuts[1:])]
+        sizes = self.n_links.array[at]
+        codes = self.links.array[_flat(self.first_link.array[at], sizes)]
+        # texts, ids of A and of B fit 64 bits together: one number sorts a text's links
+        keys, times = np.unique(np.repeat(text_of, sizes) << 32 | (codes >> 32) << 16 | codes & 0xFFFF, return_counts=True)
+        return n_groups, n_links, groups, keys >> 32, (keys >> 16 & 0xFFFF) << 32 | keys & 0xFFFF, times
+
+
+def portions(texts: list[str], most: int = 1_000_000) -> Iterator[slice]:
+    """Slices of few characters, so that arrays over their tokens stay small; a longer text is one by itself."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if k > start and size + len(t) > most:
+            yield slice(start, k)
+            start, size = k, 0
+        size += len(t)
+    yield slice(start, len(texts))
 
 
 _LINKS = "array<struct<a:int,b:int,n:int>>"
@@ -214,26 +283,26 @@ def align(docs: DataFrame, files: dict[str, str], id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = worker_memo(("alignment", *sorted(files.items())), lambda: Windows(files))
-        for part in slices(batches, 128):
-            rows, codes, weights, offsets = [], [], [], [0]
-            for ids in windows.tokenizers.encode([t or "" for t in part.column(1).to_pylist()]):
-                if ids is None:
-                    rows.append((0, 0, 0, 0, ""))
-                    offsets.append(offsets[-1])
-                    continue
-                n_groups, n_links, groups, pairs, times = windows.align(ids)
-                rows.append((len(ids[0]), len(ids[1]), n_groups, n_links, groups))
-                codes.append(pairs)
-                weights.append(times)
-                offsets.append(offsets[-1] + len(pairs))
-            pairs = np.concatenate([np.empty(0, np.int64), *codes])
-            links = pa.StructArray.from_arrays(
-                [pa.array(x.astype(np.int32)) for x in (pairs >> 32, pairs & 0xFFFFFFFF, np.concatenate([np.empty(0, np.int64), *weights]))],
-                ["a", "b", "n"])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)],
-                 pa.array([r[4] for r in rows], pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), links)],
-                ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
+        for part in slices(batches, 256):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for cut in portions(texts):
+                ids = windows.tokenizers.encode(texts[cut])
+                kept = [k for k, x in enumerate(ids) if x]
+                counts, groups = np.zeros((4, len(ids)), np.int64), [""] * len(ids)
+                of = codes = times = np.empty(0, np.int64)
+                if kept:
+                    found = windows.align([ids[k] for k in kept])
+                    counts[:, kept] = [len(ids[k][0]) for k in kept], [len(ids[k][1]) for k in kept], found[0], found[1]
+                    for k, text in zip(kept, found[2]):
+                        groups[k] = text
+                    of, codes, times = np.array(kept)[found[3]], *found[4:]
+                offsets = np.searchsorted(of, np.arange(len(ids) + 1))
+                links = pa.StructArray.from_arrays(
+                    [pa.array(x.astype(np.int32)) for x in (codes >> 32, codes & 0xFFFFFFFF, times)], ["a", "b", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0)[cut], *map(pa.array, counts), pa.array(groups, pa.string()),
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), links)],
+                    ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(

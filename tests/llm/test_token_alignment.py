@@ -119,23 +119,31 @@ def test_ranks_give_the_ids_of_the_file(pair):
 
 
 def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(g, "MEMO_TOKENS", 50)
-    w = g.Windows(FILES)
+    w, kept = g.Windows(FILES), g.Windows.__new__(g.Windows)
+    kept.tokenizers = w.tokenizers
+    kept.clear()
     for text in texts():
-        ids = w.tokenizers.encode([text])[0]
-        fresh = g.Windows.__new__(g.Windows)
-        fresh.tokenizers = w.tokenizers
-        fresh.clear()
-        assert w.align(ids)[:3] == fresh.align(ids)[:3]
-        assert w.tokens <= 50 + len(ids[0]) + len(ids[1])
-
-
-def test_windows_are_words():
-    w = g.Windows(FILES)
-    a, b = w.tokenizers.encode(["the quick brown fox"])[0]
-    import numpy as np
-
-    assert len(w.cut(np.array(a, np.uint32), np.array(b, np.uint32))) == 4
+        ids = w.tokenizers.encode([text])
+        monkeypatch.setattr(g, "MEMO_TOKENS", 50)
+        got = w.align(ids)
+        assert w.tokens <= 50 + len(ids[0][0]) + len(ids[0][1])
+        monkeypatch.setattr(g, "MEMO_TOKENS", 10**9)
+        assert [list(x) for x in got] == [list(x) for x in kept.align(ids)]
+
+
+def test_windows_are_words(monkeypatch):
+    w, seen = g.Windows(FILES), []
+    monkeypatch.setattr(w, "learn", lambda keys, *x, real=w.learn: seen.append(len(keys)) or real(keys, *x))
+    ids = w.tokenizers.encode(["the quick brown fox", "the quick brown dog unquestionably", "the quick brown dog"])
+    w.align(ids[:1])
+    w.align(ids)
+    w.align(ids)
+    assert seen == [4, 2]  # each word once
+
+
+def test_portions():
+    cut = [["", "aa", "b", "cccccc", "d"][x] for x in g.portions(["", "aa", "b", "cccccc", "d"], 3)]
+    assert cut == [["", "aa", "b"], ["cccccc"], ["d"]]
 
 
 def test_empty_table(spark, corpus):
