@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,26 @@ def slices(batches, rows: int = 512):
             yield b.slice(start, rows)
 
 
+def hash_filter(hashes: DataFrame, col: str, bits: int) -> np.ndarray:
+    """Which of ``2**bits`` slots the hashes fall into: a filter of fixed size, whatever their number."""
+    slot = F.pmod(F.col(col), F.lit(1 << bits)) + 1
+    rows = (
+        hashes.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+    size = (1 << 15) // 8  # bytes of one of Spark's bitmaps
+    out = np.zeros(max(1 << bits, 1 << 15) // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        out[(r["bucket"] - 1) * size : r["bucket"] * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def may_hold(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Whether the slot of each unsigned 64-bit hash is taken in a ``hash_filter``."""
+    slot = hashes & np.uint64((1 << bits) - 1)
+    return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def crc_fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id written as text, modulo ``folds``; fold 0 is held out."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_trees, fim_frames, secret_trigrams, topk_tiles
+from tessera.llm import chat_trees, fim_frames, secret_trigrams, substring_fm, topk_tiles
 from tessera.llm.chat_trees import op7_chat_trees
 from tessera.llm.decontaminate import op9_template_decontamination
 from tessera.llm.fim_frames import op11_fim_frames
@@ -16,6 +16,7 @@ from tessera.llm.pii_offsets import op3_pii_offsets
 from tessera.llm.quality_zstd import op1_quality_zstd
 from tessera.llm.secret_trigrams import op10_secret_trigrams
 from tessera.llm.simhash_golay import op8_simhash_golay
+from tessera.llm.substring_fm import op13_substring_fm
 from tessera.llm.token_alignment import op12_token_alignment
 from tessera.llm.topk_tiles import op6_topk_tiles
 from tessera.llm.toxicity_fst import op2_toxicity_fst
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_trigrams": op10_secret_trigrams,
     "op11_fim_frames": op11_fim_frames,
     "op12_token_alignment": op12_token_alignment,
+    "op13_substring_fm": op13_substring_fm,
 }
 
 #: Only where SQL can express the operator; the others are tested against brute force.
@@ -41,4 +43,5 @@ ORACLES: dict[str, str] = {
     "op7_chat_trees": chat_trees.ORACLE,
     "op10_secret_trigrams": secret_trigrams.oracle(),
     "op11_fim_frames": fim_frames.ORACLE,
+    "op13_substring_fm": substring_fm.ORACLE,
 }
