@@ -20,7 +20,7 @@ smaller id. The windows that recur are found by backward search in FM-indexes, o
 * **Matching statistics.** The segments are then streamed against the index: for every place where
   a window can end, the match is extended to the left word by word while anything else matches,
   at most to a window's length. Places that reach it report the interval of their rows, and the
-  least id in it.
+  least id in it. A segment that is alone with its anchor needs no search.
 
 The reported windows return to the documents by segment, and one pass rewrites the texts.
 
@@ -36,6 +36,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,38 +47,95 @@ from tessera.session import materialize
 WINDOW = 13
 ANCHOR = 5
 RUN = 64  # windows in a segment at most
-SHARD_WORDS = 2_000_000  # words of an index, about
+SHARD_WORDS = 1_000_000  # words of an index, about
 HOT_WORDS = SHARD_WORDS // 8
 BROADCAST_HOT = 100_000
-FILTER_ANCHORS = 1 << 25  # the filter takes 2**28 bits at most: 32 MB
-MEMO_WORDS = 400_000
+FILTER_ANCHORS = 1 << 25
+FILTER_BITS = 28  # the filter takes 2**28 bits at most: 32 MB
 BLOCK = 200_000  # windows searched together
 LAST = (1 << 63) - 1  # stands for a null id
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-class WordHashes(dict):
-    """Word -> place of its hash; bounded, emptied between texts."""
-
-    def __init__(self):
-        self.hashes = np.empty(1024, np.uint64)
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        at = len(self)
-        if at == len(self.hashes):
-            self.hashes = np.resize(self.hashes, 2 * at)
-        self.hashes[at] = xxhash.xxh64_intdigest(word.encode())
-        self[word] = at
-        return at
-
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.hashes[at]
+class Powers:
+    """Powers of an odd number modulo 2**64 and their inverses, as many as asked for."""
+
+    def __init__(self, base: int = 0x9E3779B97F4A7C15):
+        self.bases = base, pow(base, -1, 1 << 64)
+        self.arrays = [np.ones(1, np.uint64) for _ in self.bases]
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        if n > len(self.arrays[0]):
+            for k, base in enumerate(self.bases):
+                factors = np.full(2 * n, base, np.uint64)
+                factors[0] = 1
+                self.arrays[k] = np.cumprod(factors)
+        return self.arrays
+
+
+def _powers() -> Powers:
+    return worker_memo("substrings", Powers)
+
+
+class Words:
+    """The words of a batch of texts, found and hashed on its bytes: white space is one byte each in UTF-8.
+
+    ``starts`` and ``ends`` are places in ``data``, ``of_text`` the first word of each text and the end.
+    Equal words have equal hashes; what is found by them is compared as text later.
+    """
+
+    def __init__(self, texts: pa.Array):
+        offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)
+        offsets = offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        buffer = texts.buffers()[2]
+        self.data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer else np.empty(0, np.uint8)
+        offsets -= offsets[0]
+        n = len(self.data)
+        word = np.zeros(n + 2, bool)
+        word[1:-1] = (self.data != 0x20) & ((self.data - np.uint8(9)) > 4)
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        self.starts = np.nonzero(word[1:] & (~word[:-1] | edge))[0]
+        self.ends = np.nonzero(word[:-1] & (~word[1:] | edge))[0]
+        self.of_text = np.searchsorted(self.starts, offsets)
+
+    def hashes(self) -> np.ndarray:
+        powers, inverse = _powers().upto(len(self.data) + 1)
+        prefix = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)], out=prefix[1:])
+        return _mix((prefix[self.ends] - prefix[self.starts]) * inverse[self.starts])
+
+    def windows(self, window: int) -> np.ndarray:
+        """The first word of every window that lies in one text."""
+        first, end = self.of_text[:-1], self.of_text[1:]
+        sizes = np.maximum(end - first - window + 1, 0)
+        return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+    def segments(self, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first word, number of windows and anchor of every segment: neighbours of one anchor, ``RUN`` at most."""
+        at = self.windows(window)
+        if not len(at):
+            return (*np.empty((3, 0), np.int64), np.empty(0, np.uint64))
+        anchors = window_anchors(self.hashes(), window, anchor)[at]
+        change = np.nonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (np.diff(at) > 1)]))[0]
+        starts, sizes = _cut(change, np.diff(change, append=len(at)))
+        first = at[starts]
+        return np.searchsorted(self.of_text, first, "right") - 1, first, sizes, anchors[starts]
+
+    def text(self, first: np.ndarray, n: np.ndarray) -> list[str]:
+        """``n`` words from ``first`` on, joined by one space each."""
+        single = np.zeros(len(self.starts), np.int64)  # words that are not followed by just a space
+        single[:-1] = (self.starts[1:] != self.ends[:-1] + 1) | (self.data[np.minimum(self.ends[:-1], len(self.data) - 1)] != 0x20)
+        odd = np.append(0, np.cumsum(single))
+        raw, last = self.data.tobytes(), first + n - 1
+        rows = zip(self.starts[first].tolist(), self.ends[last].tolist(), (odd[last] > odd[first]).tolist())
+        return [(b" ".join(raw[x:y].split()) if mixed else raw[x:y]).decode() for x, y, mixed in rows]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
 
 
 def window_anchors(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -88,8 +146,7 @@ def window_anchors(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
     s = np.zeros(len(h) - anchor + 1, np.uint64)
     for k in range(anchor):
         s = s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(s)]
-    s = (s ^ s >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    s ^= s >> np.uint64(32)
+    s = _mix(s)
     span, width = 1, window - anchor + 1
     while 2 * span <= width:
         s = np.minimum(s[:-span], s[span:])
@@ -97,16 +154,13 @@ def window_anchors(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return np.minimum(s[:n], s[width - span : width - span + n])
 
 
-def runs(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows of each segment: neighbours of one anchor, ``RUN`` at most."""
-    n = len(anchors)
-    change = np.nonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]) if n else np.empty(0, bool))[0]
-    sizes = np.diff(change, append=n)
-    if not n or sizes.max() <= RUN:
-        return change, sizes
+def _cut(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs cut into pieces of ``RUN`` at most."""
+    if not len(sizes) or sizes.max() <= RUN:
+        return starts, sizes
     cuts = -(-sizes // RUN)
-    starts = np.repeat(change, cuts) + RUN * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
-    return starts, np.diff(starts, append=n)
+    piece = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    return np.repeat(starts, cuts) + RUN * piece, np.minimum(np.repeat(sizes, cuts) - RUN * piece, RUN)
 
 
 class WaveletMatrix:
@@ -187,6 +241,8 @@ class WordNumbers(dict):
 
 def first_ids(segments: list[list[str]], least: np.ndarray, window: int) -> list[np.ndarray]:
     """For every window of every segment, the least id of the segments that hold it."""
+    if not segments:
+        return []
     numbers, sizes = WordNumbers(), np.array([len(s) for s in segments], np.int64)
     symbols = np.zeros(int(sizes.sum()) + len(segments), np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
@@ -218,49 +274,45 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataF
     return docs.select(*more, key.alias("key"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    return worker_memo("substrings", WordHashes).of(words)
+def row_anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct anchors, as (row, anchor) in the order of the anchors."""
+    rows, _, _, anchors = words.segments(window, anchor)
+    order = np.argsort(anchors, kind="stable")
+    rows, anchors = rows[order], anchors[order]
+    new = np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (rows[1:] != rows[:-1])])[: len(rows)]
+    return rows[new], anchors[new]
 
 
 def shared_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """``anchor``: those that more than one row has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            found = [np.empty(0, np.uint64)]
-            for text in part.column("text").to_pylist():
-                if text:
-                    found.append(np.unique(window_anchors(_hashes(WORD.findall(text)), window, anchor)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["anchor"])
+        for part in slices(batches, 256):
+            _, anchors = row_anchors(Words(part.column("text")), window, anchor)
+            first = np.nonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])[: len(anchors)])[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchors[first].view(np.int64)), pa.array(np.diff(first, append=len(anchors)))], ["anchor", "n"])
 
-    return docs.select("text").mapInArrow(run, "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
+    counts = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return counts.where("n > 1").select("anchor")
 
 
 _SEGMENT = "key long, text_hash long, at long, anchor long, words string"
 
 
 def _segments(docs: DataFrame, window: int, anchor: int, wanted) -> DataFrame:
-    """Segments of every whole text whose anchors ``wanted(batch, row, anchors)`` says yes to."""
+    """Segments of every whole text whose anchors ``wanted(batch, rows, anchors)`` says yes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            rows, at, anchors, texts = [], [], [], []
-            for row, text in enumerate(part.column("text").to_pylist()):
-                if not text:
-                    continue
-                words = WORD.findall(text)
-                all_anchors = window_anchors(_hashes(words), window, anchor)
-                starts, sizes = runs(all_anchors)
-                keep = wanted(part, row, all_anchors[starts])
-                starts, sizes = starts[keep], sizes[keep]
-                rows += [row] * len(starts)
-                at.append(starts)
-                anchors.append(all_anchors[starts].view(np.int64))
-                texts += [" ".join(words[s : s + n + window - 1]) for s, n in zip(starts.tolist(), sizes.tolist())]
-            take = pa.array(rows, pa.int64())
+            words = Words(part.column("text"))
+            found = words.segments(window, anchor)
+            keep = wanted(part, found[0], found[3])
+            rows, first, sizes, anchors = (x[keep] for x in found)
+            take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [part.column("key").take(take), part.column("text_hash").take(take),
-                 *[pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (at, anchors)], pa.array(texts, pa.string())],
+                [part.column("key").take(take), part.column("text_hash").take(take), pa.array(first - words.of_text[rows]),
+                 pa.array(anchors.view(np.int64)), pa.array(words.text(first, sizes + window - 1), pa.string())],
                 ["key", "text_hash", "at", "anchor", "words"])
 
     return docs.mapInArrow(run, _SEGMENT)
@@ -272,27 +324,25 @@ def segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     shared = materialize(shared_anchors(docs, window, anchor), "shared-anchors")
     n = shared.count()
     if n <= FILTER_ANCHORS:
-        bits = max(15, min(28, (8 * n).bit_length()))
+        bits = max(15, min(FILTER_BITS, (64 * n).bit_length()))
         bitmap = spark.sparkContext.broadcast(hash_filter(shared, "anchor", bits))
-        return _segments(docs, window, anchor, lambda part, row, anchors: may_hold(bitmap.value, bits, anchors))
+        return _segments(docs, window, anchor, lambda part, rows, anchors: may_hold(bitmap.value, bits, anchors))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            found, rows = [np.empty(0, np.uint64)], []
-            for row, text in enumerate(part.column("text").to_pylist()):
-                anchors = np.unique(window_anchors(_hashes(WORD.findall(text or "")), window, anchor))
-                found.append(anchors)
-                rows += [row] * len(anchors)
-            take = pa.array(rows, pa.int64())
+        for part in slices(batches, 256):
+            rows, anchors = row_anchors(Words(part.column("text")), window, anchor)
+            take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [part.column("key").take(take), part.column("text_hash").take(take), pa.array(np.concatenate(found).view(np.int64))],
+                [part.column("key").take(take), part.column("text_hash").take(take), pa.array(anchors.view(np.int64))],
                 ["key", "text_hash", "anchor"])
 
     held = (docs.mapInArrow(own, "key long, text_hash long, anchor long").join(shared, "anchor")
             .groupBy("key", "text_hash").agg(F.collect_set("anchor").alias("anchors")))
 
-    def listed(part: pa.RecordBatch, row: int, anchors: np.ndarray) -> np.ndarray:
-        return np.isin(anchors, np.array(part.column("anchors")[row].as_py(), np.int64).view(np.uint64))
+    def listed(part: pa.RecordBatch, rows: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+        lists = part.column("anchors")
+        own = pd.MultiIndex.from_arrays([lists.value_parent_indices().to_numpy(), lists.flatten().to_numpy()])
+        return pd.MultiIndex.from_arrays([rows, anchors.view(np.int64)]).isin(own)
 
     return _segments(docs.join(held, ["key", "text_hash"]), window, anchor, listed)
 
@@ -305,20 +355,27 @@ def _marks(parts: DataFrame, shards: int, window: int) -> DataFrame:
         if not found:
             return
         shard = pa.Table.from_batches(found)
-        least, largest = (shard.column(c).to_numpy() for c in ("least", "largest"))
-        first = first_ids([w.split(" ") for w in shard.column("words").to_pylist()], least, window)
-        keep = np.array([k for k, f in enumerate(first) if f.min() < largest[k]], np.int64)
-        out = shard.select(["anchor", "segment"]).take(pa.array(keep)).combine_chunks()
+        least, largest, anchors = (shard.column(c).to_numpy() for c in ("least", "largest", "anchor"))
+        # a segment alone with its anchor shares no window with another one
+        which, counts = np.unique(anchors, return_inverse=True, return_counts=True)[1:]
+        several = np.nonzero(counts[which] > 1)[0]
+        first: list = least.tolist()  # an int stands for all windows of a segment
+        words = shard.column("words").take(pa.array(several)).to_pylist()
+        for k, ids in zip(several.tolist(), first_ids([w.split(" ") for w in words], least[several], window)):
+            first[k] = ids
+        keep = [k for k, f in enumerate(first) if (f if isinstance(f, int) else f.min()) < largest[k]]
+        sizes = shard.column("n_words").to_numpy() - window + 1
+        out = shard.select(["anchor", "segment"]).take(pa.array(keep, pa.int64()))
         for start in range(0, len(keep), 10_000):
             some = out.slice(start, 10_000)
-            lists = [first[k] for k in keep[start : start + 10_000].tolist()]
+            lists = [np.full(sizes[k], first[k]) if isinstance(first[k], int) else first[k] for k in keep[start : start + 10_000]]
             offsets = np.cumsum([0, *map(len, lists)])
             yield pa.RecordBatch.from_arrays(
                 [*[some.column(c).combine_chunks() for c in ("anchor", "segment")],
                  pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists)))],
                 ["anchor", "segment", "first"])
 
-    dealt = parts.select("anchor", "segment", "words", "least", "largest", "route").repartition(shards, "route")
+    dealt = parts.select("anchor", "segment", "words", "n_words", "least", "largest", "route").repartition(shards, "route")
     return dealt.mapInArrow(run, "anchor long, segment long, first array<long>")
 
 
@@ -343,9 +400,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         windows = F.transform(F.sequence(F.lit(1), F.size(words) - window + 1), lambda k: F.array_join(F.slice(words, k, window), " "))
         single = (distinct.join(few, "anchor").select("anchor", "segment", "least", "largest", F.posexplode(windows).alias("at", "words"))
                   .withColumn("window", F.xxhash64("words")))
-        each = single.groupBy("anchor", F.col("window").alias("segment"), "words").agg(F.min("least").alias("least"), F.max("largest").alias("largest"))
+        each = single.groupBy("anchor", F.col("window").alias("segment"), "words").agg(
+            F.min("least").alias("least"), F.max("largest").alias("largest")).withColumn("n_words", F.lit(window))
         cold = distinct.join(few, "anchor", "left_anti")
-        parts = cold.withColumn("route", F.col("anchor")).unionByName(each.withColumn("route", F.col("segment")), allowMissingColumns=True)
+        parts = cold.withColumn("route", F.col("anchor")).unionByName(each.withColumn("route", F.col("segment")))
         marks = materialize(_marks(parts, shards, window), "repeats")
         of_window = marks.withColumnRenamed("segment", "window")
         marks = (marks.join(few, "anchor", "left_anti").select("anchor", "segment", F.lit(0).alias("offset"), "first")

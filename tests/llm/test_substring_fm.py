@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import substring_fm as g
@@ -100,12 +101,31 @@ def test_matching_statistics():
         assert n == 0 or y - x == counts[n - 1]
 
 
-def test_equal_windows_have_equal_anchors_and_runs_are_bounded():
+def test_equal_windows_have_equal_anchors():
     h = np.random.default_rng(1).integers(0, 5, 500).astype(np.uint64)
     anchors, seen = g.window_anchors(h, 13, 5), {}
     for k, a in enumerate(anchors.tolist()):
         assert seen.setdefault(tuple(h[k : k + 13].tolist()), a) == a
-    same = np.zeros(200, np.uint64)
-    starts, sizes = g.runs(same)
-    assert sizes.tolist() == [64, 64, 64, 8] and starts.tolist() == [0, 64, 128, 192]
-    assert len(g.window_anchors(h[:12], 13, 5)) == 0 and len(g.runs(h[:0])[0]) == 0
+    assert len(g.window_anchors(h[:12], 13, 5)) == 0
+
+
+def test_words_on_bytes():
+    texts = [None, "", " a  b\x85c\n", "x", "日本\tnaïve \x0b\x0c z\r", "no", "ab " * 40, " "]
+    words = g.Words(pa.array([None, "skipped", *texts], pa.string())[2:])
+    split = [g.WORD.findall(t or "") for t in texts]
+    flat = [w for s in split for w in s]
+    assert np.diff(words.of_text).tolist() == [len(s) for s in split]
+    assert words.text(np.arange(len(flat)), np.ones(len(flat), np.int64)) == flat
+    first = words.of_text[:-1][[2, 4, 6]]
+    assert words.text(first, np.array([2, 3, 40])) == [" ".join(split[k]) for k in (2, 4, 6)]
+    hashes = words.hashes().tolist()
+    assert len(set(zip(flat, hashes))) == len(set(flat)) == len(set(hashes))
+
+
+def test_segments_hold_each_window_once_and_are_bounded():
+    words = g.Words(pa.array(["r " * 300, None, "a b c d", "a b c", "r " * 70]))
+    rows, first, sizes, anchors = words.segments(4, 2)
+    assert sizes.max() == 64 and sizes.sum() == 297 + 1 + 67
+    covered = sorted(f + k for f, n in zip(first.tolist(), sizes.tolist()) for k in range(n))
+    assert covered == words.windows(4).tolist()
+    assert rows.tolist() == [0] * 5 + [2] + [4] * 2 and len(set(anchors.tolist())) == 2
