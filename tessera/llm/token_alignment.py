@@ -27,6 +27,7 @@ import base64
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ from tessera.llm.common import slices, sql_type, table, worker_memo
 from tessera.session import materialize
 
 BROADCAST_PAIRS = 2_000_000  # of 17 bytes
-MEMO_TOKENS = 3_000_000  # tokens in the windows that a worker remembers at most
+MEMO_TOKENS = 2_000_000  # tokens in the windows that a worker remembers at most
 
 #: Characters whose classes are the same in every Unicode version a tokenizer may have been built with.
 _OTHER = re.compile("[^\x00-ɏ‐-‧‰-⁞₠-₹]")
@@ -52,13 +53,6 @@ def tokenizer_files() -> dict[str, str]:
     return {"a_json": p.path("byte_bpe_50k.json"), "a_ranks": p.path("byte_bpe_50k.tiktoken"), "b_model": p.path("piece_bpe_32k.model")}
 
 
-def byte_characters() -> dict[str, int]:
-    """Byte-level BPE's characters for bytes: printable Latin-1 stands for itself, the rest follows from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = (b for b in range(256) if b not in set(plain))
-    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
-
-
 class Side:
     """One tokenizer's entries as bytes, with their lengths and whether a space comes first."""
 
@@ -79,19 +73,15 @@ class Tokenizers:
         import public_tokenizers
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a_json = Tokenizer.from_file(files["a_json"])
-        self.a_json.encode_special_tokens = True
+        self.files = files
         with open(files["a_ranks"], "rb") as f:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
         self.a_ranks = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b_model = sentencepiece.SentencePieceProcessor(model_file=files["b_model"])
-        of = byte_characters()
-        a = [b""] * self.a_json.get_vocab_size()
-        for entry, k in self.a_json.get_vocab().items():
-            a[k] = bytes(of[c] for c in entry) if all(c in of for c in entry) else entry.encode()
+        a = [b""] * (max(ranks.values()) + 1)
+        for entry, k in ranks.items():
+            a[k] = entry
         b = []
         for k in range(self.b_model.get_piece_size()):
             piece = self.b_model.id_to_piece(k)
@@ -101,6 +91,15 @@ class Tokenizers:
             raise ValueError("ids must fit 16 bits")
         self.a, self.b = Side(a), Side(b)
 
+    @cached_property
+    def a_json(self):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        out = Tokenizer.from_file(self.files["a_json"])
+        out.encode_special_tokens = True
+        return out
+
     def encode_a(self, text: str) -> list[int]:
         """The ranks give the ids of the file, several times faster, where Unicode versions cannot differ."""
         if _OTHER.search(text):
