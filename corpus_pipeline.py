@@ -9,7 +9,8 @@ it as the next stage's documents. All stages but the last return the columns of
 * simhash: one document of each near-duplicate group stays (the least id);
 * decontaminate: documents that contain a benchmark item go;
 * secrets: secrets in a text are replaced by ``[SECRET]``, ``n_chars`` follows;
-* pack: one row per sequence of at most 4096 ids.
+* pack: one row per sequence of at most 4096 ids, with the ids (little-endian unsigned 32-bit), the
+  document and the place in it they come from, and ``bucket``, log2 of the length.
 
 What a stage does with nulls, repeated rows and empty tables is its operator's contract.
 """
@@ -47,7 +48,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return packing_pow2.digest(packing_pow2.pack(docs, packing_pow2.tokenizer_file()))
+    return packing_pow2.pack(docs, packing_pow2.tokenizer_file()).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
