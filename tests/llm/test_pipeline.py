@@ -1,3 +1,6 @@
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline as p
 from tessera.llm import decontaminate, packing_pow2, secret_trigrams, simhash_golay, toxicity_fst
 from tests.llm.test_secret_trigrams import brute
@@ -41,6 +44,12 @@ def test_each_stage_decides_and_keeps_clean_documents(spark):
     assert {r.doc_id for r in packed} == set(before)
     assert sum(r.length for r in packed) == sum({r.doc_id: r.doc_tokens for r in packed}.values())
     assert max(r.length for r in packed) <= packing_pow2.MAX_LENGTH
+    tokenizer = Tokenizer.from_file(packing_pow2.tokenizer_file())
+    texts = {r.doc_id: r.text for r in safe.collect()}
+    for doc_id, text in texts.items():
+        pieces = sorted((r.start, bytes(r.ids)) for r in packed if r.doc_id == doc_id)
+        ids = np.frombuffer(b"".join(x for _, x in pieces), "<u4").tolist()
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids + [packing_pow2.END_ID]
 
 
 def test_run_on_odd_rows(spark, corpus):
