@@ -12,29 +12,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import TrainConfig
-from tessera.operators.prefix import global_rank, hex_bucket
+from tessera.operators.prefix import BROADCAST_BUCKETS, global_rank, hash_bucket
 from tessera.operators.splits import ORDER_KEY, seeded_key
+from tessera.session import parallelism
 
-
-HEX_DIGITS = 3
-BROADCAST_BUCKET_ROWS = 1_000_000
-
-
-def epoch_order(df: DataFrame, key_cols: list[str], seed: int, epochs: int) -> DataFrame:
+def epoch_order(df: DataFrame, key_cols: list[str], seed: int, epochs: int, n: int | None = None,
+                rows_per_bucket: int = 1_000_000) -> DataFrame:
     """B1: ``epoch``, ``pos`` (0-based position in that epoch's shuffle) and ``n_per_epoch``.
 
     Rows are replicated per epoch with ``explode(sequence(...))``, then ranked per
-    epoch by ``md5(seed:epoch:key)`` with the two-level rank. The bucket table has
-    at most ``epochs * 4096`` rows; it is broadcast only while that bound is at most
-    ``BROADCAST_BUCKET_ROWS``, beyond it the planner chooses the join.
+    epoch by ``md5(seed:epoch:key)`` with the two-level rank. Its buckets are leading digits of the
+    key, as many as ``n`` (rows of an epoch, counted if not given) asks for; their table is broadcast
+    only while ``epochs`` times their number is at most ``BROADCAST_BUCKETS``, beyond it the planner
+    chooses the join.
     """
     rep = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max(epochs, 1) - 1))))
     if epochs <= 0:
         rep = rep.where(F.lit(False))
     keyed = rep.withColumn(ORDER_KEY, seeded_key(seed, "epoch", *key_cols))
+    rows = df.count() if n is None else n
+    bucket, total = hash_bucket(keyed, ORDER_KEY, rows, rows_per_bucket, parallelism(df.sparkSession), ["epoch"])
     return global_rank(
-        keyed, [ORDER_KEY, *key_cols], hex_bucket(F.col(ORDER_KEY), HEX_DIGITS), ["epoch"], out="pos",
-        total_col="n_per_epoch", broadcast_buckets=max(epochs, 1) * 16 ** HEX_DIGITS <= BROADCAST_BUCKET_ROWS,
+        keyed, [ORDER_KEY, *key_cols], bucket, ["epoch"], out="pos",
+        total_col="n_per_epoch", broadcast_buckets=max(epochs, 1) * total <= BROADCAST_BUCKETS,
     ).drop(ORDER_KEY)
 
 
@@ -99,7 +99,7 @@ def manifest(chunks: DataFrame, cfg: TrainConfig = TrainConfig(), key_cols=("chu
         n = chunks.count()
     if epochs is None:
         epochs = epochs_needed(n, cfg)
-    ordered = epoch_order(chunks, list(key_cols), cfg.seed, epochs)
+    ordered = epoch_order(chunks, list(key_cols), cfg.seed, epochs, n)
     return assign_steps(assign_batches(ordered, cfg.batch_size, cfg.drop_last), n, cfg)
 
 

@@ -7,12 +7,12 @@ still spread over many tasks. Accumulation groups then hold ``accum`` rows each.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.config import TrainConfig
-from tessera.operators.prefix import bucket_count, global_rank, quantile_bounds, quantile_bucket
+from tessera.operators.prefix import BROADCAST_BUCKETS, bucket_count, global_rank, quantile_bounds, quantile_bucket
 from tessera.session import parallelism
 
 
@@ -29,14 +29,23 @@ def micro_index(df: DataFrame, run_col: str, ts_col: str, id_col: str, max_bucke
                 rows_per_bucket: int = 1_000_000, out: str = "micro_idx") -> DataFrame:
     """0-based micro-step number within each run, in ``(ts, id)`` order.
 
-    Buckets are quantiles of the time over all runs, so they are densest where
+    A table of no more than one bucket's rows needs no buckets: its windows by run are as small. Beyond
+    that buckets are quantiles of the time over all runs, so they are densest where
     most events are: a run holding a large share of the rows dominates the
-    quantiles and is cut into many (run, bucket) window partitions.
+    quantiles and is cut into many (run, bucket) window partitions. The table of bucket totals is
+    broadcast while the counted rows, or twice the estimated runs times buckets, bound it.
     """
+    n = df.count()
+    count = bucket_count(n, max_buckets, rows_per_bucket)
+    if count == 1:
+        place = Window.partitionBy(run_col).orderBy(ts_col, id_col)
+        return df.withColumn(out, F.row_number().over(place).cast("long") - 1)
     t = epoch_micros(df, ts_col)
-    count = bucket_count(df.count(), max_buckets, rows_per_bucket, parallelism(df.sparkSession))
+    count = bucket_count(n, max_buckets, rows_per_bucket, parallelism(df.sparkSession))
     bucket = quantile_bucket(t, quantile_bounds(df, t, count))
-    return global_rank(df, [ts_col, id_col], bucket, [run_col], out=out)
+    runs = df.agg(F.approx_count_distinct(run_col)).first()[0]
+    return global_rank(df, [ts_col, id_col], bucket, [run_col], out=out,
+                       broadcast_buckets=min(n, 2 * (runs + 1) * count) <= BROADCAST_BUCKETS)
 
 
 def step_loss(micro: DataFrame, cfg: TrainConfig = TrainConfig(), run_col: str = "run_id",

@@ -20,8 +20,10 @@ from tessera.operators.prefix import (
     BUCKET,
     BUCKET_END,
     BUCKET_START,
+    KEYLESS_BITS,
     bucket_count,
     bucketed_offsets,
+    keyless_bits,
     order_bucket,
     ordered_offsets,
 )
@@ -30,15 +32,20 @@ from tessera.session import parallelism
 TOKEN_BYTES = 4
 
 
-def _order_buckets(df: DataFrame, order_col: str, n_col: str, cfg: PackConfig) -> tuple[Column, int]:
-    """The order bucket and how many there are: sized by rows and by token bytes, at least one per task slot."""
+def _order_buckets(df: DataFrame, order_col: str, n_col: str, cfg: PackConfig) -> tuple[Column, int, int]:
+    """The order bucket, how many there are, and the bits that tell the buckets of rows without a key.
+
+    Sized by rows and by token bytes, at least one per task slot.
+    """
     k = F.col(order_col)
-    row = df.agg(F.min(k), F.max(k), F.count(k), F.sum(F.col(n_col).cast("long"))).first()
-    lo, hi, n, tokens = (int(x or 0) for x in row)
+    row = df.agg(F.min(k), F.max(k), F.count(k), F.sum(F.col(n_col).cast("long")), F.count_if(k.isNull())).first()
+    lo, hi, n, tokens, no_key = (int(x or 0) for x in row)
+    slots = parallelism(df.sparkSession)
+    bits = keyless_bits(no_key, cfg.rows_per_bucket, min(slots, max(1, no_key)))
     by_bytes = math.ceil(tokens * TOKEN_BYTES / cfg.bucket_bytes)
-    count = bucket_count(n, cfg.max_buckets, cfg.rows_per_bucket, max(by_bytes, parallelism(df.sparkSession)))
+    count = bucket_count(n, cfg.max_buckets, cfg.rows_per_bucket, max(by_bytes, slots))
     per_bucket = max(1, math.ceil(n / count))
-    return order_bucket(df, k, None, per_bucket, (lo, hi, n)), count
+    return order_bucket(df, k, None, per_bucket, (lo, hi, n)), count + (1 << bits), bits
 
 
 def running_offset(df: DataFrame, order_col: str = "doc_id", n_col: str = "n_tokens",
@@ -49,10 +56,10 @@ def running_offset(df: DataFrame, order_col: str = "doc_id", n_col: str = "n_tok
     keys are dense and quantile ranges otherwise (``order_bucket``). Documents with a
     NULL key come first. Pass ``bucket`` for another order key.
     """
-    count = 0
+    count, bits = 0, KEYLESS_BITS
     if bucket is None:
-        bucket, count = _order_buckets(df, order_col, n_col, cfg)
-    return ordered_offsets(df, n_col, [order_col], bucket, out=out, broadcast_buckets=count <= BROADCAST_BUCKETS)
+        bucket, count, bits = _order_buckets(df, order_col, n_col, cfg)
+    return ordered_offsets(df, n_col, [order_col], bucket, out=out, broadcast_buckets=count <= BROADCAST_BUCKETS, keyless_bits=bits)
 
 
 def budget_chunks(target_tokens: int | None, block: int) -> int | None:
@@ -75,10 +82,10 @@ def pack(tokens: DataFrame, cfg: PackConfig = PackConfig(), order_col: str = "do
     """
     B = cfg.block
     docs = tokens.select(order_col, ids_col, n_col).where(F.col(n_col) > 0)
-    count = 0
+    count, bits = 0, KEYLESS_BITS
     if bucket is None:
-        bucket, count = _order_buckets(docs, order_col, n_col, cfg)
-    starts = bucketed_offsets(docs, n_col, [order_col], bucket, broadcast_buckets=count <= BROADCAST_BUCKETS)
+        bucket, count, bits = _order_buckets(docs, order_col, n_col, cfg)
+    starts = bucketed_offsets(docs, n_col, [order_col], bucket, broadcast_buckets=count <= BROADCAST_BUCKETS, keyless_bits=bits)
     limit = budget_chunks(cfg.target_tokens, B) if with_budget else None
     if limit is not None:
         # Documents that start past the budget produce no fragment at all.

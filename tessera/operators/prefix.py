@@ -125,9 +125,55 @@ def order_bucket(df: DataFrame, key: Column, max_buckets: int | None = None, row
     return at * cuts + F.greatest(F.lit(0), F.least(F.lit(cuts - 1), within)).cast("long")
 
 
-def hex_bucket(hex_key: Column, digits: int = 3) -> Column:
-    """Bucket from the leading hex digits of a hex digest: ``16**digits`` even buckets."""
-    return F.conv(F.substring(hex_key, 1, digits), 16, 10).cast("long")
+def hex_bucket(hex_key: Column, digits: int = 3, after: int = 0) -> Column:
+    """Bucket from ``digits`` hex digits of a hex digest, by default the leading ones: ``16**digits`` even buckets."""
+    return F.conv(F.substring(hex_key, after + 1, digits), 16, 10).cast("long")
+
+
+HEX_DIGITS = 15  # as many as a long holds
+CROWDED = 1000  # crowded prefixes that are named in a plan; with more, all prefixes get more digits
+
+
+def hash_digits(n_rows: int, rows_per_bucket: int, least: int = 1) -> int:
+    """Hex digits so that ``n_rows`` even keys leave a bucket half full on average, with ``least`` buckets or more."""
+    count, digits = max(least, math.ceil(2 * n_rows / rows_per_bucket), 1), 1
+    while 16**digits < count and digits < HEX_DIGITS:
+        digits += 1
+    return digits
+
+
+def hash_bucket(df: DataFrame, key: str, n_rows: int, rows_per_bucket: int = 1_000_000, least: int = 1,
+                by: tuple[str, ...] | list[str] = ()) -> tuple[Column, int]:
+    """A bucket for a hash order, monotone in the hex digest ``key``, and how many buckets there can be.
+
+    As many leading digits as ``n_rows`` (rows of the largest group of ``by``) ask for. Where that is
+    more than one bucket's worth, prefixes are counted; those that are crowded all the same (equal or
+    unlucky keys) are cut by further digits, and so on until no bucket holds more than
+    ``rows_per_bucket`` rows or only rows of one key are left in it.
+    """
+    at = hash_digits(n_rows, rows_per_bucket, least)
+    bucket, total, rows = hex_bucket(F.col(key), at), 16**at, df
+    while n_rows > rows_per_bucket and at < HEX_DIGITS:
+        prefix = F.substring(F.col(key), 1, at)
+        full = rows.groupBy(*by, prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_bucket)
+        top = full.orderBy(F.desc("n")).limit(CROWDED + 1).collect()
+        if not top:
+            break
+        more = min(hash_digits(top[0]["n"], rows_per_bucket), HEX_DIGITS - at)
+        deeper = hex_bucket(F.col(key), more, at)
+        if len(top) <= CROWDED:
+            crowded = prefix.isin(sorted({r["prefix"] for r in top}))
+            deeper, rows = F.when(crowded, deeper).otherwise(0), rows.where(crowded)
+        bucket, total, at = bucket * 16**more + deeper, total * 16**more, at + more
+    return bucket, total
+
+
+KEYLESS_BITS = 8
+
+
+def keyless_bits(n_rows: int, rows_per_bucket: int = 1_000_000, least: int = 1) -> int:
+    """Bits of the row hash that tell the buckets of ``n_rows`` rows without an order key, half full on average."""
+    return max(1, math.ceil(math.log2(max(least, 2 * n_rows / rows_per_bucket, 2))))
 
 
 def ordered_offsets(
@@ -139,6 +185,7 @@ def ordered_offsets(
     out: str = "start",
     total_col: str | None = None,
     broadcast_buckets: bool | None = None,
+    keyless_bits: int = KEYLESS_BITS,
 ) -> DataFrame:
     """Add ``out`` = sum of ``n`` over all rows before this one, per partition group.
 
@@ -146,7 +193,7 @@ def ordered_offsets(
     hence every offset is deterministic. ``bucket`` must be non-decreasing in that
     order. Optionally add ``total_col`` = the group's total of ``n``.
     """
-    kept = bucketed_offsets(df, n, order_cols, bucket, partition_cols, out, total_col, broadcast_buckets)
+    kept = bucketed_offsets(df, n, order_cols, bucket, partition_cols, out, total_col, broadcast_buckets, keyless_bits)
     return kept.drop(BUCKET, BUCKET_START, BUCKET_END)
 
 
@@ -163,19 +210,22 @@ def bucketed_offsets(
     out: str = "start",
     total_col: str | None = None,
     broadcast_buckets: bool | None = None,
+    keyless_bits: int = KEYLESS_BITS,
 ) -> DataFrame:
     """``ordered_offsets`` that keeps the row's bucket, and where the bucket starts and ends.
 
-    No row is lost: rows with a NULL order key form a bucket of their own, before all
-    others and ordered by a hash of the row, and NULL partition values are a group.
+    No row is lost: rows with a NULL order key come before all others in the order of a hash of
+    the row, in buckets of its leading ``keyless_bits`` bits, and NULL partition values are a group.
+    ``bucket`` must not be negative.
     """
     nc = F.col(n) if isinstance(n, str) else n
     part = list(partition_cols)
     keys = part + [BUCKET]
     no_key = F.greatest(*[F.col(c).isNull().cast("int") for c in order_cols], F.lit(0)) == 1
     tie = F.when(no_key, F.xxhash64(*df.columns))
-    staged = df.withColumn(BUCKET, F.when(no_key, F.lit(None)).otherwise(bucket)).withColumn("__pfx_n", nc.cast("long"))
-    staged = staged.withColumn(BUCKET, F.coalesce(BUCKET, F.lit(-1)).cast("long"))
+    # -2**bits .. -1, rising with the (signed) hash
+    keyless = F.shiftright(F.xxhash64(*df.columns), 64 - keyless_bits) - F.lit(1 << keyless_bits - 1)
+    staged = df.withColumn(BUCKET, F.when(no_key, keyless).otherwise(bucket).cast("long")).withColumn("__pfx_n", nc.cast("long"))
 
     totals = staged.groupBy(*keys).agg(F.sum("__pfx_n").alias("__pfx_bt"))
     run = Window.partitionBy(*part).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -209,8 +259,9 @@ def global_rank(
     out: str = "rank",
     total_col: str | None = None,
     broadcast_buckets: bool | None = None,
+    keyless_bits: int = KEYLESS_BITS,
 ) -> DataFrame:
     """0-based exact rank in ``order_cols`` (per partition group): the prefix sum of 1."""
     return ordered_offsets(
-        df, F.lit(1), order_cols, bucket, partition_cols, out, total_col, broadcast_buckets
+        df, F.lit(1), order_cols, bucket, partition_cols, out, total_col, broadcast_buckets, keyless_bits
     )

@@ -133,3 +133,16 @@ def reject_funnel(df: DataFrame, cfg: QualityConfig = QualityConfig(), text_col:
         .groupBy(*by, "reason")
         .agg(F.count(F.lit(1)).alias("n_docs"))
     )
+
+
+def reject_funnel_totals(df: DataFrame, cfg: QualityConfig = QualityConfig(), by: tuple[str, ...] = (),
+                         text_col: str = "text") -> DataFrame:
+    """F10 with sub-totals: ``reason``, then each prefix of ``by``, down to the total of all rows.
+
+    One pass: ``rollup`` over the reasons, combined before the shuffle. ``grouping_id`` has a bit for each column
+    (the last one lowest) that a row sums over, so a sum is told from a NULL value.
+    """
+    return (
+        reject_reason(df, cfg, text_col).select("reason", *by).rollup("reason", *by)
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.grouping_id().cast("int").alias("grouping_id"))
+    )

@@ -15,22 +15,47 @@ from tessera.config import (
 )
 from tessera.functions.text import is_blank, py_strip
 from tessera.functions.tokens import HashTokenizer, with_eos
-from tessera.operators.prefix import global_rank, hex_bucket, order_bucket
+from tessera.operators.prefix import global_rank, hash_bucket, order_bucket
 from tessera.operators.splits import ORDER_KEY, seeded_key, split_exact
 from tessera.session import parallelism
 
 
+def ranked_turns(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text_hash, rank``: each turn's place in its conversation, without its text.
+
+    Turn numbers may have gaps, and may repeat: then role and text decide, so the order is the same in every run. The
+    two-level rank spreads one very long conversation over many tasks.
+    """
+    t = turns.select("conv_id", "turn", "role", F.xxhash64("text").alias("text_hash"))
+    t = t.withColumn("__role", F.coalesce("role", F.lit("")))
+    bucket = order_bucket(t, F.col("turn"), least=parallelism(turns.sparkSession))
+    return global_rank(t, ["turn", "__role", "text_hash"], bucket, ["conv_id"], out="rank").drop("__role")
+
+
+def neighbour(turns: DataFrame, ranked: DataFrame, role: str, places: int, out: str) -> DataFrame:
+    """``conv_id, turn, role, text_hash, rank, out``: the text of the turn ``places`` after each turn, if it is of ``role``.
+
+    Only ranks are joined; the texts of that role move once, to the turns that need them.
+    """
+    there = ranked.where(F.col("role") == role).select(
+        F.col("conv_id").alias("__c"), (F.col("rank") - places).alias("__at"), F.col("turn").alias("__turn"), F.col("text_hash").alias("__hash"))
+    pairs = ranked.join(there, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("rank") == F.col("__at")))
+    texts = turns.where(F.col("role") == role).select(
+        F.col("conv_id").alias("__tc"), F.col("turn").alias("__tt"), F.xxhash64("text").alias("__th"), F.col("text").alias(out)).dropDuplicates()
+    same = F.col("__c").eqNullSafe(F.col("__tc")) & F.col("__turn").eqNullSafe(F.col("__tt")) & (F.col("__hash") == F.col("__th"))
+    return pairs.join(texts, same).select("conv_id", "turn", "role", "text_hash", "rank", out)
+
+
 def turns_to_instructions(turns: DataFrame) -> DataFrame:
     """One instruction row per user turn answered by the next assistant turn.
 
-    ``input`` is the system turn right before the user turn, if there is one. Turn
-    numbers may have gaps: turns are ranked within their conversation by the two-level
-    scheme, and neighbours are found by equi-joins on ``(conv_id, rank ± 1)``, so one
-    very long conversation is spread over many tasks.
+    ``input`` is the system turn right before the user turn, if there is one. Turns are ranked
+    within their conversation by the two-level scheme (``ranked_turns``), and neighbours are found by
+    equi-joins on ``(conv_id, rank ± 1)``, so one very long conversation is spread over many tasks.
     """
-    t = turns.select("conv_id", "turn", "role", "text")
+    t = turns.select("conv_id", "turn", "role", "text", F.xxhash64("text").alias("__hash"), F.coalesce("role", F.lit("")).alias("__role"))
     bucket = order_bucket(t, F.col("turn"), least=parallelism(turns.sparkSession))
-    t = global_rank(t, ["turn"], bucket, ["conv_id"], out="__rank")
+    t = global_rank(t, ["turn", "__role", "__hash"], bucket, ["conv_id"], out="__rank")
     users = t.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("instruction"), "__rank")
     answers = t.where(F.col("role") == "assistant").select(
         F.col("conv_id").alias("__a"), (F.col("__rank") - 1).alias("__at"), F.col("text").alias("output")
@@ -46,11 +71,19 @@ def turns_to_instructions(turns: DataFrame) -> DataFrame:
 
 
 def instruction_keys(rows: DataFrame) -> DataFrame:
-    """``conv_id, turn`` for a plain instruction table: a hash of the row, and a number among equal rows."""
+    """``conv_id, turn`` for a plain instruction table: a hash of the row, and a number among equal rows.
+
+    Equal rows are counted (combined before the shuffle) and numbered by writing each out as
+    often as it occurs, so however often one row is repeated no task sorts its copies.
+    """
     cols = ["instruction", "input", "output"]
-    keyed = rows.select(F.xxhash64(*cols).alias("conv_id"), *cols)
-    same = Window.partitionBy("conv_id").orderBy(*cols)
-    return keyed.select("conv_id", F.row_number().over(same).cast("long").alias("turn"), *cols)
+    counted = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    keyed = counted.withColumn("conv_id", F.xxhash64(*cols))
+    # different rows of one hash are rare; they follow one another
+    before = F.sum("__n").over(Window.partitionBy("conv_id").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1))
+    keyed = keyed.withColumn("__before", F.coalesce(before, F.lit(0)))
+    numbered = keyed.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    return numbered.select("conv_id", (F.col("__before") + F.col("__k")).alias("turn"), *cols)
 
 
 def format_text(instruction, inp, output) -> Column:
@@ -148,7 +181,7 @@ def sft_summary(samples_all: DataFrame, by: tuple[str, ...] = ("split",)) -> Dat
 
 
 def batch_positions(samples: DataFrame, seed: int, key_cols=("conv_id", "turn"),
-                    partition_cols: tuple[str, ...] = ("split",)) -> DataFrame:
+                    partition_cols: tuple[str, ...] = ("split",), rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Position of each kept sample within its split, in the split's seeded order.
 
     Skipped samples do not take a position, as they are not in the dataset the
@@ -156,8 +189,9 @@ def batch_positions(samples: DataFrame, seed: int, key_cols=("conv_id", "turn"),
     """
     keys = [*key_cols, *[c for c in partition_cols if c not in key_cols]]
     keyed = samples.select(*keys).withColumn(ORDER_KEY, seeded_key(seed, *key_cols))
+    bucket, _ = hash_bucket(keyed, ORDER_KEY, keyed.count(), rows_per_bucket, parallelism(samples.sparkSession), partition_cols)
     places = global_rank(
-        keyed, [ORDER_KEY, *key_cols], hex_bucket(F.col(ORDER_KEY)), partition_cols, out="pos",
+        keyed, [ORDER_KEY, *key_cols], bucket, partition_cols, out="pos",
         total_col="n_in_split",
     ).drop(ORDER_KEY)
     return samples.join(places, keys)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.packing import running_offset
-from tessera.operators.prefix import global_rank, hex_bucket
+from tessera.operators.prefix import BROADCAST_BUCKETS, global_rank, hash_bucket
+from tessera.session import parallelism
 
 ORDER_KEY = "order_key"
 
@@ -20,16 +21,17 @@ def seeded_key(seed: int, *keys) -> Column:
 
 
 def seeded_order(df: DataFrame, key_cols: list[str], seed: int, out: str = "rank",
-                 partition_cols: tuple[str, ...] = (), total_col: str | None = None) -> DataFrame:
+                 partition_cols: tuple[str, ...] = (), total_col: str | None = None,
+                 rows_per_bucket: int = 1_000_000) -> DataFrame:
     """K8: add ``order_key`` and the exact 0-based position in the seeded order.
 
-    The md5 key is uniform, so its first three hex digits give 4,096 even buckets
-    for the two-level rank: no single task sees more than its share of rows.
+    Buckets of the two-level rank are leading digits of the md5 key, as many as the counted rows ask for.
     """
     keyed = df.withColumn(ORDER_KEY, seeded_key(seed, *partition_cols, *key_cols))
+    bucket, total = hash_bucket(keyed, ORDER_KEY, df.count(), rows_per_bucket, parallelism(df.sparkSession), partition_cols)
     return global_rank(
-        keyed, [ORDER_KEY, *key_cols], hex_bucket(F.col(ORDER_KEY)), partition_cols, out, total_col,
-        broadcast_buckets=True if not partition_cols else None,
+        keyed, [ORDER_KEY, *key_cols], bucket, partition_cols, out, total_col,
+        broadcast_buckets=total <= BROADCAST_BUCKETS if not partition_cols else None,
     )
 
 

@@ -21,7 +21,7 @@ from tessera.operators.prefix import key_range
 from tessera.operators.quality import quality_filter
 from tessera.operators.splits import dataset_summary, split_exact, split_positions
 from tessera.operators.tokenize import tokenize
-from tessera.session import ensure_checkpoint_dir, materialize, parallelism
+from tessera.session import ensure_checkpoint_dir, materialize, parallelism, written
 from tessera.sources.io import is_built, read_corpus, write_splits
 
 
@@ -75,7 +75,8 @@ def budgeted_tokens(docs: DataFrame, qcfg: QualityConfig, pcfg: PackConfig, toke
     the kept tokens cover ``ceil(target / block)`` blocks. Range predicates on the
     order key reach the Parquet scan, so later row groups are not read. The number
     of jobs is logarithmic in the corpus size and at most about twice the needed
-    documents are processed. Packing the result with the same budget gives exactly
+    documents are processed. Documents without a key, which come first in the order, are read
+    first. Packing the result with the same budget gives exactly
     the chunks of packing the whole corpus.
     """
     limit = budget_chunks(pcfg.target_tokens, pcfg.block)
@@ -89,17 +90,19 @@ def budgeted_tokens(docs: DataFrame, qcfg: QualityConfig, pcfg: PackConfig, toke
     # a tiny share of a 100 TB corpus, and doubling from a small start overshoots
     # by at most 2x.
     width = first_width or max(4096, (hi - lo + 1) // 65536)
-    start, have = lo, 0
-    while start <= hi and have < need:
-        end = start + width
-        part = docs.where((F.col(order_col) >= start) & (F.col(order_col) < end))
+
+    def add(part: DataFrame) -> int:
+        """Filter, tokenise and append a range; the tokens so far."""
         kept = quality_filter(spread(part.select(order_col, "text"), order_col), qcfg)
         tokenize(kept, tokenizer).write.mode("append").parquet(path)
-        have = spark.read.parquet(path).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-        start, width = end, width * 2
-    if start == lo:  # empty corpus
-        return filtered_tokens(docs, qcfg, tokenizer)
-    return spark.read.parquet(path)
+        return spark.read.parquet(path).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+
+    key = F.col(order_col)
+    start, have = lo, add(docs.where(key.isNull()))
+    while start <= hi and have < need:
+        have = add(docs.where((key >= start) & (key < start + width)))
+        start, width = start + width, width * 2
+    return written(spark, path)
 
 
 def corpus_tables(docs: DataFrame, qcfg: QualityConfig = QualityConfig(), pcfg: PackConfig = PackConfig(),

@@ -221,18 +221,22 @@ def _eval_report() -> str:
     )
 
 
-def _stream_pack(block: int = C.BLOCK, salt: int = Q.STREAM_SALT, full_only: bool = False) -> str:
+def _stream_pack(block: int = C.BLOCK, salt: int = Q.STREAM_SALT, budget: int | None = None) -> str:
     sub = f"CAST((('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % {salt}) AS INTEGER)"
+    part = f"(doc_id - (SELECT min(doc_id) FROM documents)) * {Q.STREAM_PARTS} // (SELECT max(doc_id) - min(doc_id) + 1 FROM documents)"
+    # a chunk is written when the part that completes it has arrived
+    full = f" HAVING count(*) = {block}" if budget else ""
+    cut = f" ORDER BY arrived, source, sub, chunk_idx LIMIT {budget}" if budget else ""
     return (
-        f"WITH kept AS (SELECT doc_id, source, {sub} AS sub, text FROM documents WHERE {R} = 'keep'), "
-        f"tok AS (SELECT doc_id, source, sub, list_append({Q_IDS}, 0) AS ids FROM kept), "
-        "st AS (SELECT source, sub, doc_id, ids, len(ids) AS n, sum(len(ids)) OVER (PARTITION BY source, sub "
+        f"WITH kept AS (SELECT doc_id, source, {sub} AS sub, {part} AS part, text FROM documents WHERE {R} = 'keep'), "
+        f"tok AS (SELECT doc_id, source, sub, part, list_append({Q_IDS}, 0) AS ids FROM kept), "
+        "st AS (SELECT source, sub, part, doc_id, ids, len(ids) AS n, sum(len(ids)) OVER (PARTITION BY source, sub "
         "ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - len(ids) AS start FROM tok), "
-        "flat AS (SELECT source, sub, start + unnest(generate_series(0, n - 1)) AS gpos, unnest(ids) AS id FROM st), "
+        "flat AS (SELECT source, sub, part, start + unnest(generate_series(0, n - 1)) AS gpos, unnest(ids) AS id FROM st), "
         f"ch AS (SELECT source, sub, gpos // {block} AS chunk_idx, string_agg(id::VARCHAR, ' ' ORDER BY gpos) AS ids_text, "
-        f"count(*) AS n FROM flat GROUP BY 1, 2, 3{f' HAVING count(*) = {block}' if full_only else ''}) "
+        f"count(*) AS n, max(part) AS arrived FROM flat GROUP BY 1, 2, 3{full}) "
         "SELECT source, sub, CAST(chunk_idx AS BIGINT) AS chunk_idx, "
-        f"{'' if full_only else 'CAST(n AS INTEGER) AS n_tokens, '}md5(ids_text) AS ids_md5 FROM ch"
+        f"{'' if budget else 'CAST(n AS INTEGER) AS n_tokens, '}md5(ids_text) AS ids_md5 FROM ch{cut}"
     )
 
 
@@ -240,6 +244,15 @@ Q_IDS = ids_sql("text")
 FUNNEL = f"SELECT lang, reason, count(*) AS n_docs FROM (SELECT lang, {R} AS reason FROM documents) GROUP BY lang, reason"
 
 
+def _logged_steps() -> str:
+    return (
+        f"{_steps()} SELECT CAST(run_id AS VARCHAR) AS run_id, step, train_loss, grad_norm, tokens_seen, "
+        "round(3e-4::DOUBLE * CASE WHEN step < 4 THEN step / 4.0::DOUBLE "
+        "ELSE 0.1::DOUBLE + 0.45::DOUBLE * (1 + cos(pi() * (step - 4) / 16.0::DOUBLE)) END, 12) AS learning_rate "
+        f"FROM s WHERE grad_norm <= {C.GRAD_SKIP_THRESHOLD}"
+    )
+
+
 def oracles() -> dict[str, str]:
     budget = math.ceil(Q.BUDGET_TOKENS / C.BLOCK)
     every = Q.PROGRESS_EVERY
@@ -251,6 +264,10 @@ def oracles() -> dict[str, str]:
         "quality_signals": _quality_signals(),
         "reject_reason": f"SELECT doc_id, {R} AS reason FROM documents",
         "reject_funnel": FUNNEL,
+        "reject_funnel_totals": (
+            f"SELECT reason, source, lang, count(*) AS n_docs, CAST(grouping(reason, source, lang) AS INTEGER) AS grouping_id "
+            f"FROM (SELECT source, lang, {R} AS reason FROM documents) GROUP BY ROLLUP (reason, source, lang)"
+        ),
         "reject_funnel_code": _funnel_code(),
         "quality_filter_prose": f"SELECT doc_id, n_chars FROM documents WHERE {R} = 'keep'",
         "token_stats": (
@@ -365,15 +382,11 @@ def oracles() -> dict[str, str]:
             f"CAST(r - (n - greatest(1, floor(n * {C.VAL_FRACTION}::DOUBLE))) AS BIGINT) AS pos, "
             "md5(ids_text) AS ids_md5 FROM sp WHERE split = 'val'"
         ),
-        "step_metrics_csv": (
-            f"{_steps()} SELECT CAST(run_id AS VARCHAR) AS run_id, step, train_loss, grad_norm, tokens_seen, "
-            "round(3e-4::DOUBLE * CASE WHEN step < 4 THEN step / 4.0::DOUBLE "
-            "ELSE 0.1::DOUBLE + 0.45::DOUBLE * (1 + cos(pi() * (step - 4) / 16.0::DOUBLE)) END, 12) AS learning_rate "
-            f"FROM s WHERE grad_norm <= {C.GRAD_SKIP_THRESHOLD}"
-        ),
+        "step_metrics_csv": _logged_steps(),
+        "step_metrics_stream": _logged_steps(),
         "stream_tokenize": f"WITH {KEPT}, {TOKENS} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, "
                            "md5(array_to_string(ids, ' ')) AS ids_md5 FROM tok",
         "stream_pack": _stream_pack(),
-        "stream_budget": f"{_stream_pack(full_only=True)} ORDER BY source, sub, chunk_idx LIMIT {Q.STREAM_BUDGET}",
+        "stream_budget": _stream_pack(budget=Q.STREAM_BUDGET),
         "stream_funnel": FUNNEL,
     }

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import BLOCK, TARGET_TOKENS, PackConfig, QualityConfig, SftConfig, TrainConfig
@@ -21,7 +21,8 @@ from tessera.operators import manifest as B
 from tessera.operators import metrics as M
 from tessera.operators import sft as S
 from tessera.operators.packing import budget_chunks, chunk_ids, pack, pack_progress, running_offset
-from tessera.operators.quality import quality_filter, quality_signals, reject_funnel, reject_reason
+from tessera.operators.prefix import key_range
+from tessera.operators.quality import quality_filter, quality_signals, reject_funnel, reject_funnel_totals, reject_reason
 from tessera.operators.splits import dataset_summary, seeded_order, split_exact, split_positions
 from tessera.operators.tokenize import token_stats, tokenize
 from tessera.plans.corpus import budgeted_tokens, filtered_tokens, spread
@@ -44,6 +45,8 @@ SFT_STRICT = SftConfig(max_len=128, min_tokens=100)
 SPLIT_FRACTION = 0.2
 STREAM_SALT = 4
 STREAM_FILES = 1000  # files of one micro-batch
+STREAM_BYTES = 256 << 20  # or bytes
+STREAM_PARTS = 3  # the documents arrive in so many parts
 STREAM_BUDGET = 5  # chunks
 E_MAX_BATCHES = 40  # less than some runs of the events table have
 E_BATCH = 4
@@ -163,6 +166,11 @@ def code_documents(spark, sf) -> DataFrame:
     return docs.select("doc_id", "lang", code.alias("text"))
 
 
+def q_reject_funnel_totals(spark, sf):
+    """F10 with sub-totals: per reason, source and language, in one pass."""
+    return reject_funnel_totals(documents(spark, sf, "doc_id", "source", "lang", "text"), PROSE, ("source", "lang"))
+
+
 def q_reject_funnel_code(spark, sf):
     """F1-F10 with every rule, the syntax UDF included (it only sees rows the native rules keep)."""
     return reject_funnel(code_documents(spark, sf), CODE, by=("lang",))
@@ -353,10 +361,8 @@ def q_masked_nll(spark, sf):
 
 def following_users(spark, sf) -> DataFrame:
     """``conv_id, turn, next_user``: the user turn two places after a turn, whatever the turn numbers."""
-    place = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.lead("role", 2).over(place).alias("role"), F.lead("text", 2).over(place).alias("next_user"))
-    return turns.where(F.col("role") == "user").select("conv_id", "turn", "next_user")
+    turns = table(spark, sf, "conversations")
+    return S.neighbour(turns, S.ranked_turns(turns), "user", 2, "next_user").select("conv_id", "turn", "next_user")
 
 
 def completions(spark, sf) -> DataFrame:
@@ -502,14 +508,28 @@ def _work_dir(spark, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "work", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-def _packed_stream(spark, sf) -> DataFrame:
-    from tessera.streaming.jobs import few_splits, stream_tokens
+def arrive(spark, df: DataFrame, folder: str, key: str, parts: int = STREAM_PARTS):
+    """Write ``df`` into ``folder`` in parts, by equal ranges of ``key``; yields after each one, when it has arrived."""
+    lo, hi = key_range(df, key)
+    part = F.call_function("div", (F.col(key) - lo) * parts, F.lit(hi - lo + 1))
+    for k in range(parts):
+        spread(df.where(part == k), key, force=True).write.parquet(os.path.join(folder, f"part{k}"))
+        yield k
+
+
+def _pack_arriving(spark, sf, base: str, start) -> None:
+    """The packed stream of documents that arrive in parts; ``start`` runs it over what has arrived, from its checkpoint."""
+    from tessera.streaming.jobs import stream_tokens
     from tessera.streaming.packer import pack_stream
 
-    path = os.path.join(sf, "documents.parquet")
-    toks = stream_tokens(spark, path, PROSE, shard_col="source", max_files_per_trigger=STREAM_FILES,
-                         spread_to=parallelism(spark) if few_splits(spark, path) else None)
-    return pack_stream(toks, "source", BLOCK, "doc_id", "ids", salt=STREAM_SALT)
+    docs, src = table(spark, sf, "documents"), os.path.join(base, "src")
+    for _ in arrive(spark, docs, src, "doc_id"):
+        toks = stream_tokens(spark, os.path.join(src, "*"), PROSE, shard_col="source", max_bytes_per_trigger=STREAM_BYTES,
+                             schema=docs.schema)
+        query = start(pack_stream(toks, "source", BLOCK, "doc_id", "ids", salt=STREAM_SALT))
+        if query is None:
+            return
+        query.awaitTermination()
 
 
 def q_stream_pack(spark, sf):
@@ -518,27 +538,47 @@ def q_stream_pack(spark, sf):
     from tessera.streaming.packer import stream_remainders
 
     base = _work_dir(spark, "stream_pack")
-    q = run(with_pack_progress(_packed_stream(spark, sf)), "stream_pack", sink="parquet", path=os.path.join(base, "out"),
-            checkpoint=os.path.join(base, "ckpt"), state_partitions=parallelism(spark))
-    q.awaitTermination()
-    out = spark.read.parquet(os.path.join(base, "out"))
-    left = stream_remainders(spark, os.path.join(base, "ckpt"), "source")
-    return out.unionByName(left).select(F.col("source"), "sub", "chunk_idx", F.size("input_ids").alias("n_tokens"),
-                                        arr_md5("input_ids").alias("ids_md5"))
+    out, ckpt = os.path.join(base, "out"), os.path.join(base, "ckpt")
+    _pack_arriving(spark, sf, base, lambda packed: run(
+        with_pack_progress(packed), "stream_pack", sink="parquet", path=out, checkpoint=ckpt, state_partitions=parallelism(spark)))
+    both = spark.read.parquet(out).unionByName(stream_remainders(spark, ckpt, "source"))
+    return both.select(F.col("source"), "sub", "chunk_idx", F.size("input_ids").alias("n_tokens"),
+                       arr_md5("input_ids").alias("ids_md5"))
 
 
 def q_stream_budget(spark, sf):
-    """One budget over all shards of a stream."""
+    """One budget over all shards of a stream, spent before the last documents arrive."""
     from tessera.streaming.jobs import run_budgeted
 
     base = _work_dir(spark, "stream_budget")
     out = os.path.join(base, "out")
-    q = run_budgeted(_packed_stream(spark, sf), out, os.path.join(base, "ckpt"), STREAM_BUDGET,
-                     ["source", "sub", "chunk_idx"], parallelism(spark))
-    q.awaitTermination()
+    _pack_arriving(spark, sf, base, lambda packed: run_budgeted(
+        packed, out, os.path.join(base, "ckpt"), STREAM_BUDGET, ["source", "sub"], state_partitions=parallelism(spark)))
     return spark.read.parquet(out).select("source", "sub", "chunk_idx", arr_md5("input_ids").alias("ids_md5"))
 
 
+def q_step_metrics_stream(spark, sf):
+    """Metric rows appended while the run goes on; the last batch is written twice, as after a lost driver."""
+    from tessera.sources.io import read_step_metrics
+    from tessera.streaming.jobs import stream_step_metrics, undo_commit
+
+    base = _work_dir(spark, "metrics_stream")
+    out, ckpt, src = (os.path.join(base, x) for x in ("out", "ckpt", "src"))
+    logged = materialize(M.drop_spikes(step_rows(spark, sf)).withColumn("run_id", F.col("run_id").cast("string")), "logged")
+
+    def stream() -> None:
+        rows = spark.readStream.schema(logged.schema).option("maxBytesPerTrigger", STREAM_BYTES).parquet(os.path.join(src, "*"))
+        rows = rows.withColumn("learning_rate", M.learning_rate(F.col("step"), SCHEDULE))
+        stream_step_metrics(rows, out, ckpt).awaitTermination()
+
+    for _ in arrive(spark, logged, src, "step"):
+        stream()
+    undo_commit(spark, ckpt)
+    stream()
+    rate = F.round("learning_rate", 12).alias("learning_rate")
+    return read_step_metrics(spark, out).select("run_id", "step", "train_loss", rate, "grad_norm", "tokens_seen")
+
+
 def q_stream_tokenize(spark, sf):
     """The stateless stream (filter + tokenise) written to files, read back per document."""
     from tessera.streaming.jobs import few_splits, run, stream_tokens
@@ -579,6 +619,7 @@ QUERIES = {
     "quality_signals": q_quality_signals,
     "reject_reason": q_reject_reason,
     "reject_funnel": q_reject_funnel,
+    "reject_funnel_totals": q_reject_funnel_totals,
     "reject_funnel_code": q_reject_funnel_code,
     "quality_filter_prose": q_quality_filter_prose,
     "token_stats": q_token_stats,
@@ -618,6 +659,7 @@ QUERIES = {
     "spike_report": q_spike_report,
     "corpus_build_val": q_corpus_build_val,
     "step_metrics_csv": q_step_metrics_csv,
+    "step_metrics_stream": q_step_metrics_stream,
     "stream_tokenize": q_stream_tokenize,
     "stream_pack": q_stream_pack,
     "stream_budget": q_stream_budget,

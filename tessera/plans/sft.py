@@ -82,7 +82,8 @@ def build_sft(spark, turns_path: str, out_root: str, cfg: SftConfig = SftConfig(
     from tessera.sources.io import is_built, read_instructions
 
     done = os.path.join(out_root, "samples")
-    if if_exists == "skip" and is_built(spark, done):
+    tables = [done, os.path.join(out_root, "val_batches"), os.path.join(out_root, "train_manifest")]
+    if if_exists == "skip" and all(is_built(spark, t) for t in tables):  # a run that failed in between starts anew
         return None
     t = sft_tables(read_instructions(spark, turns_path), cfg, tokenizer)
     mode = "errorifexists" if if_exists == "error" else "overwrite"

@@ -136,6 +136,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     root = ensure_checkpoint_dir(spark)
     path = os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
+    return written(spark, path)
+
+
+def written(spark: SparkSession, path: str) -> DataFrame:
+    """A table this process has written as an intermediate one; ``release`` deletes it."""
     _WRITTEN.append(path)
     out = spark.read.parquet(path)
     out._tessera_path = path

@@ -28,17 +28,20 @@ STEP_METRICS_SCHEMA = T.StructType([
 
 def read_corpus(spark: SparkSession, path: str, text_col: str = "text", order_col: str = "doc_id",
                 extra_cols: tuple[str, ...] = (), streaming: bool = False, schema: T.StructType | None = None,
-                max_files_per_trigger: int | None = None) -> DataFrame:
+                max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | None = None) -> DataFrame:
     """The corpus as ``(doc_id, text, ...)``, batch or streaming.
 
     Only the named columns are selected, so the Parquet scan reads nothing else.
-    A stream needs a schema; by default the one of the batch table at ``path``.
+    A stream needs a schema; by default the one of the batch table at ``path``. Its micro-batches
+    admit files by number or by bytes.
     """
     if streaming:
         sch = schema or spark.read.parquet(path).schema
         reader = spark.readStream.schema(sch)
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+        if max_bytes_per_trigger:
+            reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
         if os.path.isfile(path):
             # A file source watches a folder; a single file is picked out of its folder by name.
             reader = reader.option("pathGlobFilter", os.path.basename(path))
@@ -69,7 +72,7 @@ def read_split(spark: SparkSession, root: str, split: str, cols: tuple[str, ...]
     return spark.read.parquet(root).where(F.col("split") == split).select(*cols)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     """Existence through the cluster's Hadoop file system (any scheme); local paths without a JVM."""
     try:
         jvm = spark.sparkContext._jvm
@@ -82,7 +85,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def is_built(spark: SparkSession, root: str) -> bool:
     """A dataset counts as built when Spark's ``_SUCCESS`` marker is present."""
-    return _exists(spark, os.path.join(root, "_SUCCESS"))
+    return exists(spark, os.path.join(root, "_SUCCESS"))
 
 
 def write_splits(df: DataFrame, root: str, if_exists: str = "skip", split_col: str = "split") -> bool:
@@ -110,24 +113,32 @@ def require_built(spark: SparkSession, root: str, what: str = "dataset") -> None
         raise FileNotFoundError(f"{what} not found at {root}; run the stage that builds it first")
 
 
-def append_step_metrics(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Append metric rows (one row per optimizer step that was not skipped)."""
-    cols = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in STEP_METRICS_SCHEMA.fields]
-    out = df.select(*cols)
-    w = out.write.mode("append")
-    if fmt == "csv":
-        w.option("header", True).csv(path)
-    else:
-        w.format(fmt).save(path)
+def _metric_rows(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in STEP_METRICS_SCHEMA.fields])
+
+
+def write_step_metrics(df: DataFrame, folder: str, fmt: str = "csv") -> None:
+    """One batch's metric rows as the folder's whole content; writing the batch again replaces them."""
+    w = _metric_rows(df).write.mode("overwrite")
+    (w.option("header", True) if fmt == "csv" else w).format(fmt).save(folder)
+
+
+def append_step_metrics(df: DataFrame, path: str, fmt: str = "csv", batch: str | int | None = None) -> None:
+    """Append metric rows (one row per optimizer step that was not skipped).
+
+    With ``batch``, a name for these rows, an append that is tried again replaces its first attempt.
+    """
+    if batch is not None:
+        return write_step_metrics(df, os.path.join(path, f"batch={batch}"), fmt)
+    w = _metric_rows(df).write.mode("append")
+    (w.option("header", True) if fmt == "csv" else w).format(fmt).save(path)
 
 
 def read_step_metrics(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Read metric rows with the fixed schema (no inference)."""
+    """Read metric rows with the fixed schema (no inference), from a folder or from folders of batches."""
     r = spark.read.schema(STEP_METRICS_SCHEMA)
-    if fmt == "csv":
-        return r.option("header", True).csv(path)
-    return r.format(fmt).load(path)
+    return (r.option("header", True) if fmt == "csv" else r).format(fmt).load(path).select(*STEP_METRICS_SCHEMA.names)
 
 
 def write_eval_report(df: DataFrame, root: str, fmt: str = "json") -> None:

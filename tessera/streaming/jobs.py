@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,20 +14,23 @@ from tessera.config import QualityConfig
 from tessera.operators.quality import quality_filter, reject_funnel
 from tessera.operators.tokenize import tokenize
 from tessera.session import ensure_checkpoint_dir, parallelism
-from tessera.sources.io import read_corpus
+from tessera.sources.io import exists, read_corpus, write_step_metrics
 
 
 def stream_tokens(spark: SparkSession, path: str, cfg: QualityConfig = QualityConfig(), tokenizer=None,
                   shard_col: str | None = "source", max_files_per_trigger: int | None = None,
-                  spread_to: int | None = None) -> DataFrame:
+                  spread_to: int | None = None, max_bytes_per_trigger: int | None = None,
+                  schema=None) -> DataFrame:
     """Stateless filter and tokenise over a file stream; the same functions as in batch.
 
     ``spread_to`` hash-partitions each micro-batch by document before the filter,
     for streams whose files are few and large (one file is read by one task). The
     ``observe`` node keeps the filter from being pushed back below the repartition.
+    A micro-batch admits files by number or by bytes.
     """
     extra = (shard_col,) if shard_col else ()
-    docs = read_corpus(spark, path, extra_cols=extra, streaming=True, max_files_per_trigger=max_files_per_trigger)
+    docs = read_corpus(spark, path, extra_cols=extra, streaming=True, schema=schema,
+                       max_files_per_trigger=max_files_per_trigger, max_bytes_per_trigger=max_bytes_per_trigger)
     if spread_to:
         docs = docs.repartition(spread_to, "doc_id").observe(
             f"stream_spread_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows")
@@ -62,46 +65,134 @@ def few_splits(spark: SparkSession, path: str) -> bool:
     return spark.read.parquet(path).rdd.getNumPartitions() < parallelism(spark)
 
 
-def run_budgeted(df: DataFrame, path: str, checkpoint: str, budget: int, order_cols: list[str],
-                 state_partitions: int | None = None) -> StreamingQuery:
-    """One budget of ``budget`` rows (chunks) for a whole stream, over all shards.
+LEDGER = "_budget"
 
-    Every micro-batch is written into a folder of its own, cut to what the batches
-    before it left of the budget: the first rows by ``order_cols``. A batch that is run
-    again after a failure overwrites its folder, so nothing counts twice.
+
+def _ledger(spark: SparkSession, path: str, epoch: int) -> int:
+    """Rows taken by all batches up to ``epoch``: one row that batch wrote; none before the first."""
+    if epoch < 0:
+        return 0
+    row = spark.read.schema("taken long").json(os.path.join(path, LEDGER, f"batch={epoch}")).first()
+    return int(row["taken"])
+
+
+def budget_spent(spark: SparkSession, path: str, budget: int) -> bool:
+    """Whether the batches written under ``path`` have used the budget up, from the ledger's largest row."""
+    ledger = os.path.join(path, LEDGER)
+    if not exists(spark, ledger):
+        return False
+    return (spark.read.schema("taken long, batch long").json(ledger).agg(F.max("taken")).first()[0] or 0) >= budget
+
+
+def first_rows(batch: DataFrame, n: int, group_cols: list[str], index_col: str) -> DataFrame:
+    """The first ``n`` rows in the order of ``group_cols``, then ``index_col``, which counts up without gaps in a group.
+
+    Two-level: group totals are summed in order (one row a group meets in one task), and a row's
+    rank is its group's start plus its place within the group. No row is sorted.
+    """
+    groups = batch.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"), F.min(index_col).alias("__low"))
+    order = Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = groups.withColumn("__start", F.sum("__n").over(order) - F.col("__n")).where(F.col("__start") < n)
+    keys = [F.col(c).alias(f"__of_{c}") for c in group_cols]
+    same = F.lit(True)
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    rank = F.col("__start") + F.col(index_col) - F.col("__low")
+    return batch.join(groups.select(*keys, "__start", "__low"), same).where(rank < n).select(*batch.columns)
+
+
+def run_budgeted(df: DataFrame, path: str, checkpoint: str, budget: int, group_cols: list[str], index_col: str = "chunk_idx",
+                 state_partitions: int | None = None) -> StreamingQuery | None:
+    """One budget of ``budget`` rows (chunks) for a whole stream, over all shards; the stream stops itself.
+
+    Every micro-batch is written into a folder of its own, the last one cut to what is left, and
+    leaves one row in a ledger: the rows taken so far. A batch reads the row of the batch before
+    it and nothing else. A batch that is run again after a failure overwrites its folder and its row, so nothing
+    counts twice. Once the budget is spent the query is stopped; a batch that had been planned
+    by then is not executed, so its files are never read. A spent stream does not start again: None.
     """
+    spark = df.sparkSession
+    if budget_spent(spark, path, budget):
+        return None
+    spent = threading.Event()
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        target = os.path.join(path, f"batch={epoch}")
-        have = 0
-        for earlier in range(epoch):
-            have += spark.read.parquet(os.path.join(path, f"batch={earlier}")).count()
-        kept = batch.persist(StorageLevel.DISK_ONLY_2)
-        try:
-            left = budget - have
-            cut = kept if kept.count() <= left else kept.orderBy(*order_cols).limit(max(0, left))
-            cut.write.mode("overwrite").parquet(target)
-        finally:
-            kept.unpersist()
+        before = _ledger(spark, path, epoch - 1)
+        if before >= budget:
+            spent.set()
+            return
+        target, whole = os.path.join(path, f"batch={epoch}"), os.path.join(path, "_whole")
+        batch.write.mode("overwrite").parquet(whole)  # the state advances once; the cut reads what is written
+        rows = spark.read.schema(batch.schema).parquet(whole)
+        n = rows.count()
+        left = budget - before
+        (rows if n <= left else first_rows(rows, left, group_cols, index_col)).write.mode("overwrite").parquet(target)
+        spark.range(1).select(F.lit(before + min(n, left)).alias("taken")).write.mode("overwrite").json(
+            os.path.join(path, LEDGER, f"batch={epoch}"))
+        if n >= left:
+            spent.set()
 
-    spark = df.sparkSession
     w = (df.writeStream.outputMode("append").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True))
-    return _start(spark, w, state_partitions)
+    query = _start(spark, w, state_partitions)
+
+    def watch() -> None:
+        while query.isActive:
+            if spent.wait(0.2):
+                query.stop()
+                return
+
+    threading.Thread(target=watch, daemon=True).start()
+    return query
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _start(spark: SparkSession, w, state_partitions: int | None) -> StreamingQuery:
-    """Start with the given number of state-store partitions, fixed when a query first starts."""
-    if not state_partitions:
-        return w.start()
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
+    """Start with a state store on disk and the given number of partitions of it, fixed when a query first starts."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if state_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         return w.start()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def append_batches(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", write=None) -> StreamingQuery:
+    """Append a stream to a table so that a batch run again replaces what it wrote: one folder a batch.
+
+    ``write(batch, folder)`` writes one batch; by default in ``fmt``.
+    """
+    put = write or (lambda batch, folder: batch.write.mode("overwrite").format(fmt).save(folder))
+
+    def one(batch: DataFrame, epoch: int) -> None:
+        put(batch, os.path.join(path, f"batch={epoch}"))
+
+    w = (df.writeStream.outputMode("append").foreachBatch(one)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    return _start(df.sparkSession, w, None)
+
+
+def undo_commit(spark: SparkSession, checkpoint: str) -> None:
+    """Forget that the last batch was committed, as if the driver had been lost right before: the next start runs it again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint, "commits"))
+    fs = folder.getFileSystem(conf)
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    last = max(int(n) for n in names if n.isdigit())
+    fs.delete(jvm.org.apache.hadoop.fs.Path(folder, str(last)), False)
+
+
+def stream_step_metrics(rows: DataFrame, path: str, checkpoint: str, fmt: str = "csv") -> StreamingQuery:
+    """S5 as a stream: metric rows appended while a run goes on, safe to retry."""
+    return append_batches(rows, path, checkpoint, write=lambda batch, folder: write_step_metrics(batch, folder, fmt))
 
 
 def run(df: DataFrame, name: str, sink: str = "memory", path: str | None = None, mode: str = "append",

@@ -199,3 +199,22 @@ def test_epoch_order_is_permutation_per_epoch(spark):
         assert pos == list(range(40))
     orders = [tuple(r.chunk_id for r in sorted((r for r in out if r.epoch == e), key=lambda r: r.pos)) for e in range(3)]
     assert len(set(orders)) == 3
+
+
+def test_a_failed_build_starts_anew(spark, tmp_path, monkeypatch):
+    from tessera.plans import sft as plan
+    from tessera.sources.io import is_built
+
+    turns, out = f"{'/root/testdata/sf0.001'}/conversations.parquet", str(tmp_path / "sft")
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(plan, "val_batches", broken)
+        with pytest.raises(RuntimeError):
+            plan.build_sft(spark, turns, out)
+    assert is_built(spark, f"{out}/samples") and not is_built(spark, f"{out}/val_batches")
+    assert plan.build_sft(spark, turns, out) is not None
+    assert all(is_built(spark, f"{out}/{t}") for t in ("samples", "val_batches", "train_manifest"))
+    assert plan.build_sft(spark, turns, out) is None

@@ -105,3 +105,110 @@ def test_more_buckets_than_quantiles(spark, monkeypatch):
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     rows = sorted((r.k, r.b) for r in df.select("k", order_bucket(df, F.col("k"), None, 20).alias("b")).collect())
     assert [b for _, b in rows] == sorted(b for _, b in rows) and len({b for _, b in rows}) > 15
+
+
+def test_digits_follow_the_rows():
+    from tessera.operators.prefix import hash_digits
+
+    assert [hash_digits(n, 1_000_000) for n in (0, 10, 10**6, 10**7, 10**8, 24 * 10**9)] == [1, 1, 1, 2, 2, 4]
+    assert hash_digits(10, 1_000_000, least=300) == 3
+
+
+def test_hash_buckets_are_bounded_and_ordered(spark):
+    from tessera.operators.prefix import hash_bucket
+    from tessera.operators.splits import seeded_key
+
+    df = spark.range(5000).withColumn("h", seeded_key(1, "id"))
+    crowd = spark.range(400).select("id", F.concat(F.lit("abc"), F.substring(F.md5(F.col("id").cast("string")), 1, 29)).alias("h"))
+    same = spark.range(60).select("id", F.lit("f" * 32).alias("h"))
+    for rows, per in ((df, 100), (df.unionByName(crowd), 50), (df.unionByName(crowd).unionByName(same), 40), (df, 10**6)):
+        bucket, total = hash_bucket(rows, "h", rows.count(), per)
+        got = sorted((r.h, r.b) for r in rows.select("h", bucket.alias("b")).collect())
+        assert [b for _, b in got] == sorted(b for _, b in got) and got[-1][1] < total
+        sizes = {}
+        for h, b in got:
+            sizes.setdefault(b, []).append(h)
+        assert all(len(x) <= per or len(set(x)) == 1 for x in sizes.values())
+
+
+def test_orders_do_not_depend_on_their_buckets(spark):
+    from tessera.operators.manifest import epoch_order
+    from tessera.operators.splits import seeded_order
+
+    df = spark.range(600).select(F.col("id").alias("k"), (F.col("id") % 3).alias("split"))
+    one, many = (sorted(map(tuple, seeded_order(df, ["k"], 5, rows_per_bucket=n).collect())) for n in (10**6, 7))
+    assert one == many and sorted(r[-1] for r in one) == list(range(600))
+    one, many = (sorted(map(tuple, epoch_order(df, ["k"], 5, 3, rows_per_bucket=n).collect())) for n in (10**6, 7))
+    assert one == many
+    samples = df.withColumn("x", F.lit(1))
+    one, many = (sorted(map(tuple, S.batch_positions(samples, 5, ("k",), rows_per_bucket=n).collect())) for n in (10**6, 7))
+    assert one == many
+
+
+def test_keyless_rows_are_spread(spark):
+    """Most rows have no key: many buckets, offsets still exact, and the same in any partitioning."""
+    from tessera.operators.packing import running_offset
+    from tessera.operators.prefix import BUCKET, bucketed_offsets, keyless_bits
+
+    df = spark.range(4000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), (F.col("id") % 7).alias("n_tokens"), "id")
+    rows = running_offset(df, cfg=PackConfig(rows_per_bucket=200)).collect()
+    at = 0
+    for r in sorted(rows, key=lambda r: (r.start, r.n_tokens)):
+        assert r.start == at
+        at += r.n_tokens
+    with_key = sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id)
+    assert min(r.start for r in with_key) == sum(r.n_tokens for r in rows if r.doc_id is None)
+    assert [r.start for r in with_key] == sorted(r.start for r in with_key)
+    again = running_offset(df.repartition(9), cfg=PackConfig(rows_per_bucket=50)).collect()
+    assert {(r.id, r.start) for r in again} == {(r.id, r.start) for r in rows}
+    bits = keyless_bits(3600, 200)
+    sizes = bucketed_offsets(df, "n_tokens", ["doc_id"], F.col("doc_id"), keyless_bits=bits).where(f"{BUCKET} < 0").groupBy(BUCKET).count().collect()
+    assert len(sizes) == 2**bits and max(r["count"] for r in sizes) <= 200
+
+
+def test_repeated_turn_numbers_have_one_order(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 2, "user", "next"), (1, 2, "user", "next"),
+            (1, 3, "assistant", "end"), (None, 0, "user", "x"), (None, 5, "assistant", "y"), (2, None, None, "no role"), (2, 1, "user", None)]
+    schema = "conv_id long, turn long, role string, text string"
+    seen = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(order, schema).repartition(3)
+        seen.add(tuple(sorted(map(tuple, S.turns_to_instructions(df).collect()), key=str)))
+        following = S.neighbour(df, S.ranked_turns(df), "user", 2, "next_user")
+        plan = following._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Window [" in x and "text#" in x]
+        seen.add(tuple(sorted(((r.conv_id, r.turn, r.role, r.next_user) for r in following.collect()), key=str)))
+    assert len(seen) == 2
+    assert (None, 0, "x", None, "y") in min(seen, key=lambda x: len(x[0]) != 5)
+
+
+def test_equal_instructions_are_numbered_without_a_sort(spark):
+    rows = [("a", None, "x")] * 50 + [("b", "i", "y")] * 2 + [("c", "", None)]
+    out = S.instruction_keys(spark.createDataFrame(rows, "instruction string, input string, output string")).collect()
+    assert len({(r.conv_id, r.turn) for r in out}) == 53
+    assert sorted(r.turn for r in out if r.instruction == "a") == list(range(1, 51))
+
+
+def test_budgeted_tokens_keep_documents_without_an_id(spark):
+    from tessera.config import QualityConfig
+    from tessera.operators.tokenize import tokenize
+    from tessera.plans.corpus import budgeted_tokens, filtered_tokens
+    from tessera.session import release
+
+    text = "\n".join(f"line {k} has some words of its own to read" for k in range(30))
+    df = spark.createDataFrame([(k if k % 3 else None, f"{text} {k}") for k in range(12)], "doc_id long, text string")
+    q = QualityConfig(profile="prose")
+    cfg = PackConfig(block=64, target_tokens=64 * 30)
+    tokens = budgeted_tokens(df, q, cfg, first_width=2)
+    whole = filtered_tokens(df, q)
+    assert tokens.where("doc_id IS NULL").count() == 4
+    got, want = (sorted((r.chunk_id, tuple(r.input_ids)) for r in pack(t, cfg).collect()) for t in (tokens, whole))
+    assert got == want and len(got) == 30
+    release(spark, tokens)
+    assert tokenize(df).count() == 12
+
+
+def test_small_runs_need_no_buckets(spark):
+    df = spark.createDataFrame([("a", k, k) for k in range(20)] + [(None, 3, 1)], "run_id string, us long, event_id long").withColumn("ts", F.timestamp_micros("us"))
+    one, many = (sorted(((r.run_id or "", r.us, r.micro_idx) for r in M.micro_index(df, "run_id", "ts", "event_id", rows_per_bucket=n).collect())) for n in (10**6, 4))
+    assert one == many == [("", 3, 0)] + [("a", k, k) for k in range(20)]
