@@ -80,7 +80,8 @@ def detect(text: str) -> list[tuple[int, int, int]]:
         found += [(a, 0, b) for a, b in emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text) if "." in text else ():
-            if all(len(x) < 640 and int(x) <= 255 for x in m.group().split(".")):
+            parts = [x.lstrip("0") for x in m.group().split(".")]
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in parts):
                 found.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
@@ -192,7 +193,8 @@ def spelled_digits(m: Mapped) -> Mapped:
 
 
 _DIGIT_SET = frozenset(DIGIT_WORDS)
-_BREAKS = str.maketrans("-,.+()", "      ")
+#: What ends a word of Latin-1, for the quick check; other characters make a text suspicious anyway.
+_BREAKS = {k: " " for k in range(256) if not re.match(r"\w", chr(k))}
 
 
 def suspicious(text: str) -> bool:

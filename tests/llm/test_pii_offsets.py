@@ -3,6 +3,8 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessera.llm import pii_offsets as g
 
@@ -106,3 +108,25 @@ def test_query(spark, corpus):
 def test_empty_table(spark, corpus):
     d = corpus(documents=spark.createDataFrame([], "doc_id long, text string"))
     assert g.op3_pii_offsets(spark, d).count() == 0
+
+
+PIECES = ["card:four", "tel:one", "111", "1111", " ", " ", "one", "two", "(three", "four)", "-", ",", ".", ":", "/", "\n", " dot ", "_dot_", "jane", "_at_",
+          " at ", "@", "mail.com", "mail", "[at]", "{dot}", "é", "º", "«five", "+", "10", "_six", "seven's", "е"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=12).map("".join))
+def test_quick_check_knows_whatever_is_rewritten(text):
+    if g.spelled_digits(g.signs(g.homoglyphs(g.Mapped.of(text)))).text != text:
+        assert g.suspicious(text)
+
+
+def test_spelled_digits_after_a_colon():
+    for text in ("card:four 111 1111 1111 1111", "tel:one 2 3 4"):
+        assert g.suspicious(text)
+
+
+def test_leading_zeros_of_any_number():
+    zeros = "0" * 650
+    assert [g.detect(f"at {zeros}1.{zeros}.3.255 now")[0][1]] == [1]
+    assert g.detect(f"at {zeros}256.1.2.3") == []
