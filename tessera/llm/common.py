@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder.
 
-    Spark's cleaner removes the files when nothing refers to the result any more
-    (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    Spark's cleaner removes the files when nothing refers to the result any more, where the cluster sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``; without it they stay until the folder is emptied.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -27,6 +28,16 @@ def sql_type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
+def quoted(name: str) -> str:
+    """A column name as it must be written where a dot in it is no field access."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """A row as one struct, so that no helper column can clash with one of its names; ``select("row.*")`` gives it back."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
 _MEMO: dict = {}
 
 
@@ -49,6 +60,69 @@ def slices(batches, rows: int = 512):
             yield b.slice(start, rows)
 
 
+def portions(batches, text: str, most: int = 1 << 20):
+    """Arrow batches in slices of at most ``most`` bytes of a text column, a longer row by itself: arrays over a slice stay small."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield b.slice(start, end - start)
+            start = end
+
+
+class Powers:
+    """Powers of an odd number modulo 2**64 and their inverses, as many as asked for."""
+
+    def __init__(self, base: int = 0x9E3779B97F4A7C15):
+        self.bases = base, pow(base, -1, 1 << 64)
+        self.arrays = [np.ones(1, np.uint64) for _ in self.bases]
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        if n > len(self.arrays[0]):
+            for k, base in enumerate(self.bases):
+                factors = np.full(2 * n, base, np.uint64)
+                factors[0] = 1
+                self.arrays[k] = np.cumprod(factors)
+        return self.arrays
+
+
+class SpanHashes:
+    """Hashes of spans of a row of numbers: a polynomial of the span's numbers, the same wherever the span stands."""
+
+    def __init__(self, numbers: np.ndarray):
+        powers, self.inverse = worker_powers().upto(len(numbers) + 1)
+        self.prefix = np.zeros(len(numbers) + 1, np.uint64)
+        np.cumsum((numbers.astype(np.uint64) + np.uint64(1)) * powers[: len(numbers)], out=self.prefix[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.prefix[ends] - self.prefix[starts]) * self.inverse[starts])
+
+
+_POWERS: list[Powers] = []
+
+
+def worker_powers() -> Powers:
+    """One table a worker, as long as its largest slice."""
+    if not _POWERS:
+        _POWERS.append(Powers())
+    return _POWERS[0]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes with every bit depending on all others above it."""
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
+def spans_within(of_text: np.ndarray, width: int) -> np.ndarray:
+    """The first place of every run of ``width`` places that lies in one text; ``of_text`` has each text's first place, and the end."""
+    first, end = of_text[:-1], of_text[1:]
+    sizes = np.maximum(end - first - width + 1, 0)
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 def hash_filter(hashes: DataFrame, col: str, bits: int) -> np.ndarray:
     """Which of ``2**bits`` slots the hashes fall into: a filter of fixed size, whatever their number."""
     slot = F.pmod(F.col(col), F.lit(1 << bits)) + 1

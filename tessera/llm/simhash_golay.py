@@ -39,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, sql_type, table, worker_memo
+from tessera.llm.common import connected_components, cut, quoted, sql_type, table, whole_row, worker_memo
 
 SHINGLE_WORDS = 4
+BROADCAST_NAMES = 1_000_000  # of about 16 bytes
 MAX_BITS = 4
 SEED = 42
 TILE = 1024  # fingerprints of one side of a tile
@@ -226,8 +227,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = cut(fingerprints(docs, id_col, text_col, words, seed))
     fps = cut(marked.groupBy("fp").agg(F.min("id").alias("first")))
     named = cut(fps.join(components(fps, max_bits), "fp"))
-    names = named.groupBy("comp").agg(F.min("first").alias("component"))
-    by_fp = named.join(names, "comp").select("fp", "component")
+    # only components of several fingerprints need a name of their own; a few of them may hold most rows
+    names = cut(named.groupBy("comp").agg(F.min("first").alias("component"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    if names.count() <= BROADCAST_NAMES:
+        names = F.broadcast(names)
+    by_fp = named.join(names, "comp", "left").select("fp", F.coalesce("component", "first").alias("component"))
     return marked.join(by_fp, "fp").select("id", "fp", "component")
 
 
@@ -236,18 +240,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows are told apart by a hash of all their columns; of rows equal in every column one stays.
     """
-    key, cols = "__row_key", docs.columns
-    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(*cols).alias("h")))
-    found = near_duplicates(keyed.select(key, text_col), key, text_col, **how)
+    rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("row"))
+    found = near_duplicates(rows.select(F.struct("id", "h").alias("key"), "text"), "key", "text", **how)
     # a struct's least value takes nulls first, so rows without an id come after the others here
     order = F.struct(F.col("id.id").isNull(), F.col("id.id"), F.col("id.h"))
-    rows = found.groupBy("component", "id").agg(F.count("*").alias("n"))
-    kept = rows.groupBy("component").agg(F.min_by(F.struct("id", "n"), order).alias("best"))
-    flat = kept.select(F.col("best.id.h").alias("__h"), F.col("best.id.id").alias("__id"), F.col("best.n").alias("__n"))
-    keyed = docs.withColumn("__h", F.xxhash64(*cols))
-    out = keyed.join(flat, (keyed["__h"] == flat["__h"]) & keyed[id_col].eqNullSafe(flat["__id"])).drop(flat["__h"])
-    once = out.where("__n = 1").select(*cols)
-    return once.unionByName(out.where("__n > 1").select(*cols).dropDuplicates())
+    counted = found.groupBy("component", "id").agg(F.count("*").alias("n"))
+    kept = counted.groupBy("component").agg(F.min_by(F.struct("id", "n"), order).alias("best"))
+    flat = kept.select(F.col("best.id.h").alias("best_h"), F.col("best.id.id").alias("best_id"), F.col("best.n").alias("n"))
+    out = rows.join(flat, (F.col("h") == F.col("best_h")) & F.col("id").eqNullSafe(F.col("best_id")))
+    once = out.where("n = 1").select("row.*")
+    return once.unionByName(out.where("n > 1").select("row").dropDuplicates().select("row.*"))
 
 
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

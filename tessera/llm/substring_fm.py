@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_filter, may_hold, slices, sql_type, table, worker_memo
+from tessera.llm.common import SpanHashes, hash_filter, may_hold, mixed, portions, slices, spans_within, sql_type, table
 from tessera.session import materialize
 
 WINDOW = 13
@@ -58,26 +58,6 @@ LAST = (1 << 63) - 1  # stands for a null id
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-class Powers:
-    """Powers of an odd number modulo 2**64 and their inverses, as many as asked for."""
-
-    def __init__(self, base: int = 0x9E3779B97F4A7C15):
-        self.bases = base, pow(base, -1, 1 << 64)
-        self.arrays = [np.ones(1, np.uint64) for _ in self.bases]
-
-    def upto(self, n: int) -> list[np.ndarray]:
-        if n > len(self.arrays[0]):
-            for k, base in enumerate(self.bases):
-                factors = np.full(2 * n, base, np.uint64)
-                factors[0] = 1
-                self.arrays[k] = np.cumprod(factors)
-        return self.arrays
-
-
-def _powers() -> Powers:
-    return worker_memo("substrings", Powers)
-
-
 class Words:
     """The words of a batch of texts, found and hashed on its bytes: white space is one byte each in UTF-8.
 
@@ -101,20 +81,11 @@ class Words:
         self.of_text = np.searchsorted(self.starts, offsets)
 
     def hashes(self) -> np.ndarray:
-        powers, inverse = _powers().upto(len(self.data) + 1)
-        prefix = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)], out=prefix[1:])
-        return _mix((prefix[self.ends] - prefix[self.starts]) * inverse[self.starts])
-
-    def windows(self, window: int) -> np.ndarray:
-        """The first word of every window that lies in one text."""
-        first, end = self.of_text[:-1], self.of_text[1:]
-        sizes = np.maximum(end - first - window + 1, 0)
-        return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return SpanHashes(self.data).of(self.starts, self.ends)
 
     def segments(self, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, first word, number of windows and anchor of every segment: neighbours of one anchor, ``RUN`` at most."""
-        at = self.windows(window)
+        at = spans_within(self.of_text, window)
         if not len(at):
             return (*np.empty((3, 0), np.int64), np.empty(0, np.uint64))
         anchors = window_anchors(self.hashes(), window, anchor)[at]
@@ -133,11 +104,6 @@ class Words:
         return [(b" ".join(raw[x:y].split()) if mixed else raw[x:y]).decode() for x, y, mixed in rows]
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ h >> np.uint64(32)
-
-
 def window_anchors(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
     """The anchor of every window: the least mixed hash among its shingles of ``anchor`` words."""
     n = len(h) - window + 1
@@ -146,7 +112,7 @@ def window_anchors(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
     s = np.zeros(len(h) - anchor + 1, np.uint64)
     for k in range(anchor):
         s = s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(s)]
-    s = _mix(s)
+    s = mixed(s)
     span, width = 1, window - anchor + 1
     while 2 * span <= width:
         s = np.minimum(s[:-span], s[span:])
@@ -287,7 +253,7 @@ def shared_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """``anchor``: those that more than one row has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256):
+        for part in portions(batches, "text"):
             _, anchors = row_anchors(Words(part.column("text")), window, anchor)
             first = np.nonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])[: len(anchors)])[0]
             yield pa.RecordBatch.from_arrays(
@@ -304,7 +270,7 @@ def _segments(docs: DataFrame, window: int, anchor: int, wanted) -> DataFrame:
     """Segments of every whole text whose anchors ``wanted(batch, rows, anchors)`` says yes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256):
+        for part in portions(batches, "text"):
             words = Words(part.column("text"))
             found = words.segments(window, anchor)
             keep = wanted(part, found[0], found[3])
@@ -329,7 +295,7 @@ def segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
         return _segments(docs, window, anchor, lambda part, rows, anchors: may_hold(bitmap.value, bits, anchors))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256):
+        for part in portions(batches, "text"):
             rows, anchors = row_anchors(Words(part.column("text")), window, anchor)
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, crc_fold, cut, sampled_texts, slices, sql_type, table, worker_memo
+from tessera.llm.common import bounded_sample, crc_fold, cut, sampled_texts, slices, sql_type, table, whole_row, worker_memo
 
 SAMPLE = (6000, 2000)  # labelled rows of class 0 and class 1 that are learned from, at most
 MAX_LEARNED = 400  # induced lexicon entries, at most
@@ -339,7 +339,7 @@ def _scored(found: DataFrame, model: Model) -> DataFrame:
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score at least ``threshold``."""
     model = train(docs, labels)
-    rows = docs.select(F.struct(*docs.columns).alias("id"))  # a row goes through with its text once
+    rows = docs.select(whole_row(docs).alias("id"))  # a row goes through with its text once
     kept = _scored(_events(rows, "id", text_col, model.words, model.stems, inside=True), model)
     return kept.where(F.col("score") < threshold).select("id.*")
 

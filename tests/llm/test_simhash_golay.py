@@ -107,3 +107,18 @@ def test_empty_table(spark, corpus):
     d = corpus(documents=spark.createDataFrame([], "doc_id long, text string"))
     assert g.op8_simhash_golay(spark, d).count() == 0
     assert g.keep_one(spark.read.parquet(f"{d}/documents.parquet")).count() == 0
+
+
+def test_keep_one_with_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 2, 3, 4), (2, "a b c d e", 2, 3, 4), (3, "quite another text here", 1, 1, 1)],
+                                 "doc_id long, text string, __n int, `a.b` int, h int")
+    out = g.keep_one(docs)
+    assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == [(1, "a b c d e", 2, 3, 4), (3, "quite another text here", 1, 1, 1)]
+
+
+def test_components_without_a_broadcast(spark, monkeypatch):
+    rows = [(k, f"one two three four five {k // 3}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, g.near_duplicates(docs).collect()))
+    monkeypatch.setattr(g, "BROADCAST_NAMES", -1)
+    assert sorted(map(tuple, g.near_duplicates(docs).collect())) == want

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import substring_fm as g
+from tessera.llm.common import spans_within
 
 
 def brute(rows, window):
@@ -127,5 +128,5 @@ def test_segments_hold_each_window_once_and_are_bounded():
     rows, first, sizes, anchors = words.segments(4, 2)
     assert sizes.max() == 64 and sizes.sum() == 297 + 1 + 67
     covered = sorted(f + k for f, n in zip(first.tolist(), sizes.tolist()) for k in range(n))
-    assert covered == words.windows(4).tolist()
+    assert covered == spans_within(words.of_text, 4).tolist()
     assert rows.tolist() == [0] * 5 + [2] + [4] * 2 and len(set(anchors.tolist())) == 2
