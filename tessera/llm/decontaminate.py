@@ -32,14 +32,16 @@ is reported. Other columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, slices, sql_type, table, worker_memo
+from tessera.llm.common import SpanHashes, cut, hash_filter, may_hold, portions, quoted, spans_within, sql_type, table, whole_row
 
 WINDOW = 8
 SEED = 6  # of 14 tokens and more, one change anywhere leaves windows of 6 that cover half
@@ -47,7 +49,6 @@ MIN_SHARE = 0.5
 MIN_TOKENS = 4
 BROADCAST_WINDOWS = 100_000  # of about 300 bytes
 FILTER_BITS = 26  # the filter takes 2**26 bits: 8 MB
-MEMO_WORDS = 400_000
 
 # Units of measure and currency, and number words.
 UNITS = (
@@ -61,98 +62,124 @@ NUMBER_WORDS = (
     "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 ).split()
 
-#: A number with its separators, a word, or one of the marks that end a sentence or denote a unit.
+#: A number with its separators, a word, or one of the marks that end a sentence or denote a unit. ``Tokens`` finds
+#: the same on arrays of characters.
 TOKEN = re.compile(r"[0-9]+(?:[.,:/][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n$€£%]")
-_ENDS, _SIGNS = frozenset(".!?\n"), frozenset("$€£%")
-_UNITS, _NUMBERS = frozenset(UNITS), frozenset(NUMBER_WORDS)
+_ENDS, _SIGNS = ".!?\n", "$€£%"
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
-WORD_CLASS, NUMBER_CLASS, SIGN_CLASS, END_CLASS, CAPITAL_CLASS, UNIT_CLASS = range(6)
-
-
-def _hash(token: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
-
-
-class Vocabulary(dict):
-    """Token -> position in the arrays of token classes and hashes; bounded, emptied between texts."""
-
-    def __init__(self):
-        self.classes, self.hashes = np.zeros(1024, np.int8), np.zeros(1024, np.uint64)
-
-    def __missing__(self, token: str) -> int:
-        at, low = len(self), token.lower()
-        if at == len(self.classes):
-            self.classes, self.hashes = np.resize(self.classes, 2 * at), np.resize(self.hashes, 2 * at)
-        if token in _ENDS:
-            kind = END_CLASS
-        elif token[0].isdigit() or low in _NUMBERS:
-            kind = NUMBER_CLASS
-        elif token in _SIGNS:
-            kind = SIGN_CLASS
-        elif low in _UNITS:
-            kind = UNIT_CLASS
-        elif token[0].isupper() and token[1:] == low[1:]:
-            kind = CAPITAL_CLASS
-        else:
-            kind = WORD_CLASS
-        self.classes[at], self.hashes[at] = kind, _hash(low)
-        self[token] = at
-        return at
-
-    def templates(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Source tokens without sentence ends; the hash of each one's template token; whether it is a slot.
-
-        A capitalised word is a name unless it starts a sentence. A unit word is a unit only
-        next to a number, so that "a" and "in" stay words elsewhere.
-        """
-        tokens, hashes, slots, _ = self.read(text)
-        return tokens, hashes, slots
-
-    def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """``templates`` and the hashes of the plain lower-cased tokens."""
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        tokens = TOKEN.findall(text)
-        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        classes, hashes = self.classes[at], self.hashes[at]
-        before = np.concatenate([np.array([END_CLASS], np.int8), classes[:-1]])
-        number = classes == NUMBER_CLASS
-        unit = (classes == SIGN_CLASS) | (classes == UNIT_CLASS) & (before == NUMBER_CLASS)
-        name = (classes == CAPITAL_CLASS) & (before != END_CLASS)
-        plain = hashes.copy()
-        hashes[number], hashes[unit], hashes[name] = _SLOT_HASHES
-        keep = np.nonzero(classes != END_CLASS)[0]
-        if len(keep) < len(tokens):
-            tokens = [tokens[k] for k in keep.tolist()]
-        return tokens, hashes[keep], (number | unit | name)[keep], plain[keep]
-
-
 _SLOTS = (NUM, UNIT, NAME)
-_SLOT_HASHES = tuple(np.uint64(_hash(x)) for x in _SLOTS)
-_FACTOR = 0x9E3779B97F4A7C15
-
+LETTER, DIGIT, QUOTE, SEPARATOR, END, SIGN, UPPER, NUMERAL = (1 << k for k in range(8))
+
+
+@cache
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point: its classes as bits, and its lower case (one code point)."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    flags, lower = np.zeros(len(every), np.uint8), np.arange(len(every), dtype=np.uint32)
+    for m in re.finditer(r"[^\W\d_]+", every):
+        flags[m.start() : m.end()] = LETTER
+    for k in np.nonzero(flags)[0].tolist():
+        c = every[k]
+        low = c.lower()
+        lower[k] = ord(low[0])
+        flags[k] |= (UPPER if low != c and c.isupper() and len(low) == 1 else 0) | (NUMERAL if c.isdigit() else 0)
+    lower[ord("ς")] = ord("σ")  # str.lower() has either, depending on what follows
+    for signs, bit in (("0123456789", DIGIT), ("'’", QUOTE), (".,:/", SEPARATOR), (_ENDS, END), (_SIGNS, SIGN)):
+        for c in signs:
+            flags[ord(c)] |= bit
+    return flags, lower
+
+
+@cache
+def _listed(words: tuple[str, ...]) -> np.ndarray:
+    """The sorted hashes of lower-case words."""
+    points = np.frombuffer("\0".join(words).encode("utf-32-le"), "<u4")
+    ends = np.append(np.nonzero(points == 0)[0], len(points))
+    return np.sort(SpanHashes(points).of(np.append(0, ends[:-1] + 1), ends))
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
+class Tokens:
+    """The tokens of several texts, without sentence ends, as arrays.
+
+    ``plain`` are hashes of the lower-cased tokens, ``hashes`` those of template tokens, ``slots`` tells which
+    are placeholders; ``of_text`` has the first token of each text, and the end. A capitalised word is a name unless
+    it starts a sentence. A unit word is a unit only next to a number, so that "a" and "in" stay words elsewhere.
+    """
 
-def _vocabulary() -> Vocabulary:
-    return worker_memo("decontaminate", Vocabulary)
+    def __init__(self, texts: list[str]):
+        self.joined = "\0".join(texts)  # belongs to no token
+        points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        flags, lower = characters()
+        flag, low = flags[points], lower[points]
+
+        def between(sign: int, kind: int) -> np.ndarray:
+            """Places that have ``kind``, or ``sign`` between two that do."""
+            held = flag & kind != 0
+            out = held.copy()
+            out[1:-1] |= (flag[1:-1] & sign != 0) & held[:-2] & held[2:]
+            return out
+
+        word, number = between(QUOTE, LETTER), between(SEPARATOR, DIGIT)
+        mark = (flag & (END | SIGN) != 0) & ~number
+        kind = np.zeros(len(points) + 2, np.int8)
+        kind[1:-1] = word + 2 * number + 3 * mark
+        here = kind[1:-1]
+        self.starts = np.nonzero((here > 0) & ((here != kind[:-2]) | mark))[0]
+        self.ends = np.nonzero((here > 0) & ((here != kind[2:]) | mark))[0] + 1
+        plain = SpanHashes(low).of(self.starts, self.ends)
+        first, kinds = flag[self.starts], here[self.starts]
+        changed = np.append(0, np.cumsum((low != points) & (points != ord("ς"))))
+        end = (kinds == 3) & (first & END != 0)
+        is_number = (kinds == 2) | (first & NUMERAL != 0) | _among(plain, _listed(tuple(NUMBER_WORDS)))
+        of_unit = (kinds == 1) & ~is_number & _among(plain, _listed(tuple(UNITS)))
+        capital = (first & UPPER != 0) & (changed[self.ends] - changed[self.starts] == 1) & ~is_number & ~of_unit
+        offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        at = np.searchsorted(self.starts, offsets)
+        after_end, after_number = (np.append(True, end[:-1]), np.append(False, is_number[:-1])) if len(end) else (end, end)
+        opening = at[:-1][at[:-1] < len(end)]
+        after_end[opening], after_number[opening] = True, False
+        sign = (kinds == 3) & ~end
+        unit, name = sign | of_unit & after_number, capital & ~after_end
+        hashes = plain.copy()
+        hashes[is_number], hashes[unit], hashes[name] = _slot_hashes()
+        keep = ~end
+        self.of_text = np.append(0, np.cumsum(keep))[at]
+        self.starts, self.ends, self.hashes, self.plain = (x[keep] for x in (self.starts, self.ends, hashes, plain))
+        self.slots = (is_number | unit | name)[keep]
+
+    def text(self, first: int = 0, n: int | None = None) -> list[str]:
+        """Tokens of the source, as they are."""
+        spans = zip(self.starts[first:].tolist(), self.ends[first:].tolist()) if n is None else zip(
+            self.starts[first : first + n].tolist(), self.ends[first : first + n].tolist())
+        return [self.joined[x:y] for x, y in spans]
+
+    def kinds(self, first: int = 0, n: int | None = None) -> list[str]:
+        """Template tokens."""
+        values = self.text(first, n)
+        part = slice(first, first + len(values))
+        return [_slot_names()[h] if s else v.lower() for v, s, h in zip(values, self.slots[part].tolist(), self.hashes[part].tolist())]
+
+
+@cache
+def _slot_hashes() -> tuple[np.uint64, ...]:
+    points = np.frombuffer("".join(_SLOTS).encode("utf-32-le"), "<u4")
+    ends = np.cumsum([len(s) for s in _SLOTS])
+    return tuple(SpanHashes(points).of(np.append(0, ends[:-1]), ends))
+
+
+@cache
+def _slot_names() -> dict[int, str]:
+    return dict(zip(map(int, _slot_hashes()), _SLOTS))
 
 
 def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
-    """One hash for each window of template tokens: a polynomial in the tokens' hashes, modulo 2**64."""
-    n = len(h) - window + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    out, factor = np.zeros(n, np.uint64), 1
-    for k in range(window):
-        out += h[k : k + n] * np.uint64(factor)
-        factor = factor * _FACTOR % 2**64
-    return out ^ out >> np.uint64(29)
-
-
-def _kinds(tokens: list[str], hashes: np.ndarray, slots: np.ndarray) -> list[str]:
-    names = dict(zip((int(x) for x in _SLOT_HASHES), _SLOTS))
-    return [names[int(h)] if s else t.lower() for t, h, s in zip(tokens, hashes, slots)]
+    """One hash for each window of ``window`` tokens."""
+    starts = np.arange(max(0, len(h) - window + 1))
+    return SpanHashes(h).of(starts, starts + window)
 
 
 _WINDOW_FIELDS = "size int, hash long, at long, kinds array<string>, values array<string>"
@@ -175,21 +202,21 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
         for b in batches:
             rows, counts, found = [], [], []
             for row, text in enumerate(b.column(1).to_pylist()):
-                tokens, hashes, slots, plain = _vocabulary().read(text or "")
-                n = len(tokens)
+                read = Tokens([text or ""])
+                n = len(read.plain)
                 if not n:
                     continue
-                kinds, values = _kinds(tokens, hashes, slots), [t.lower() for t in tokens]
+                kinds, values = read.kinds(), [t.lower() for t in read.text()]
                 main = min(window, n)
                 seed = main if n <= window else min(SEED, window)
                 kept, coverable = [], set()
                 for size in {main, seed} if n >= min(MIN_TOKENS, window) else ():
-                    for k, h in enumerate(window_hashes(hashes, size).view(np.int64).tolist()):
-                        if 2 * int(slots[k : k + size].sum()) < size:
+                    for k, h in enumerate(window_hashes(read.hashes, size).view(np.int64).tolist()):
+                        if 2 * int(read.slots[k : k + size].sum()) < size:
                             kept.append((size, h, k, kinds[k : k + size], values[k : k + size]))
                             coverable.update(range(k, k + size))
                 windows = sum(x[0] == main for x in kept)
-                for k, h in enumerate(window_hashes(plain, seed).view(np.int64).tolist()):
+                for k, h in enumerate(window_hashes(read.plain, seed).view(np.int64).tolist()):
                     kept.append((-seed, h, k, values[k : k + seed], values[k : k + seed]))
                 found += kept
                 rows += [row] * len(kept)
@@ -205,50 +232,34 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
         run, f"item {sql_type(items, id_col)}, main long, windows long, tokens long, coverable long, {_WINDOW_FIELDS}")
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """Which of 2**FILTER_BITS slots the windows' hashes fall into: a filter of fixed size, whatever their number."""
-    slot = F.pmod(F.col("hash"), F.lit(1 << FILTER_BITS)) + 1
-    rows = (
-        windows.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
-        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    )
-    size = (1 << 15) // 8  # bytes of one of Spark's bitmaps
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        out[(r["bucket"] - 1) * size : r["bucket"] * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
 def document_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text_hash`` and the windows of every whole text whose hash may be one of the benchmark's."""
     spark = docs.sparkSession
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most twice ``window`` numbers
-    shared = spark.sparkContext.broadcast(_bitmap(windows))
+    shared = spark.sparkContext.broadcast(hash_filter(windows, "hash", FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, mask = shared.value, np.uint64((1 << FILTER_BITS) - 1)
-        for b in slices(batches):
-            rows, found = [], []
-            for row, text in enumerate(b.column(2).to_pylist()):
-                if not text:
-                    continue
-                tokens, hashes, slots, plain = _vocabulary().read(text)
-                for size in sizes:
-                    if size == -1 and len(tokens) > 1:
-                        continue
-                    width, exact = abs(size), size < 0
-                    all_hashes = window_hashes(plain if exact else hashes, width)
-                    slot = all_hashes & mask
-                    hits = np.nonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)[0]
-                    for k in hits.tolist():
-                        part = slice(k, k + width)
-                        values = [t.lower() for t in tokens[part]]
-                        found.append((size, int(all_hashes[k].view(np.int64)), k,
-                                      values if exact else _kinds(tokens[part], hashes[part], slots[part]), values))
-                    rows += [row] * len(hits)
-            rows = pa.array(rows, pa.int64())
+        for b in portions(batches, "text"):
+            tokens = Tokens([t or "" for t in b.column("text").to_pylist()])
+            spans = {False: SpanHashes(tokens.hashes), True: SpanHashes(tokens.plain)}
+            found, firsts = [], []
+            for size in sizes:
+                width, exact = abs(size), size < 0
+                first = spans_within(tokens.of_text, width)
+                if size == -1:
+                    first = first[np.isin(first, tokens.of_text[:-1][np.diff(tokens.of_text) == 1])]
+                hashes = spans[exact].of(first, first + width)
+                held = may_hold(shared.value, FILTER_BITS, hashes)
+                for k, h in zip(first[held].tolist(), hashes[held].view(np.int64).tolist()):
+                    values = [t.lower() for t in tokens.text(k, width)]
+                    found.append((size, h, values if exact else tokens.kinds(k, width), values))
+                firsts.append(first[held])
+            first = np.concatenate([np.empty(0, np.int64), *firsts])
+            rows = np.searchsorted(tokens.of_text, first, "right") - 1
+            found = [(size, h, at, *rest) for (size, h, *rest), at in zip(found, (first - tokens.of_text[rows]).tolist())]
+            take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(rows), b.column(1).take(rows), *_columns(found)],
+                [b.column(0).take(take), b.column(1).take(take), *_columns(found)],
                 ["id", "text_hash", "size", "hash", "at", "kinds", "values"],
             )
 
@@ -331,9 +342,10 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
                         **how) -> DataFrame:
     """``docs`` without the rows that contain a benchmark item."""
     bad = contaminated(docs, items, id_col, text_col, **how).select("id", "text_hash").distinct()
-    keyed = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    same = (keyed["__text_hash"] == bad["text_hash"]) & keyed[id_col].eqNullSafe(bad["id"])
-    return keyed.join(bad, same, "left_anti").drop("__text_hash")
+    bad = bad.select(F.col("id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(text_col))).alias("text_hash"))
+    same = (F.col("text_hash") == F.col("bad_hash")) & F.col("id").eqNullSafe(F.col("bad_id"))
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

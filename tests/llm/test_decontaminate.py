@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessera.llm import decontaminate as g
 
@@ -9,8 +11,7 @@ MIXED = "Once Bob buys 7 kg of apples and gives 7 kg of them to Bob before noon
 
 
 def kinds(text):
-    tokens, hashes, slots = g.Vocabulary().templates(text)
-    return g._kinds(tokens, hashes, slots)
+    return g.Tokens([text]).kinds()
 
 
 def test_placeholders():
@@ -19,14 +20,45 @@ def test_placeholders():
     assert kinds("") == []
 
 
-def test_vocabulary_grows_and_restarts(monkeypatch):
-    monkeypatch.setattr(g, "MEMO_WORDS", 10)
-    v = g.Vocabulary()
-    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
-    for _ in range(3):
-        tokens, hashes, _ = v.templates(" ".join(words))
-        assert tokens == words
-        assert hashes.tolist() == [g._hash(w) for w in words]
+def by_pattern(text):
+    """Template tokens by the pattern and the rules as they are written."""
+    out, before = [], "end"
+    for t in g.TOKEN.findall(text):
+        low, kind = t.lower(), "word"
+        if t in ".!?\n":
+            kind = "end"
+        elif t[0].isdigit() or low in g.NUMBER_WORDS:
+            kind = "number"
+        elif t in "$€£%":
+            kind = "sign"
+        elif low in g.UNITS:
+            kind = "unit"
+        elif t[0].isupper() and t[1:] == low[1:]:
+            kind = "capital"
+        slot = {"number": g.NUM, "sign": g.UNIT, "unit": g.UNIT if before == "number" else None,
+                "capital": g.NAME if before != "end" else None}.get(kind)
+        if kind != "end":
+            out.append((t, slot or low))
+        before = kind
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=25), st.lists(st.sampled_from(
+    ["Ann", "kg", "in", "3", "2,5", "12:30", "1..2", ".", "!", " ", " ", "\n", "five", "$", "€", "don't", "'", "’", "a_b", "Éa", "ǅ", "²", "٣", "Σίσυφος", "ΣΑΣ"]),
+    max_size=12).map("".join)), max_size=5))
+def test_tokens_equal_the_pattern(texts):
+    got = g.Tokens(texts)
+    assert len(got.of_text) == len(texts) + 1
+    for k, text in enumerate(texts):
+        first, n = int(got.of_text[k]), int(got.of_text[k + 1] - got.of_text[k])
+        assert list(zip(got.text(first, n), got.kinds(first, n))) == by_pattern(text)
+
+
+def test_hashes_do_not_depend_on_the_place():
+    a, b = g.Tokens(["Some other words. pears and 3 Plums"]), g.Tokens(["x", "PEARS and 7 Cherries"])
+    assert a.hashes[3:].tolist() == b.hashes[1:].tolist() and a.plain[3:5].tolist() == b.plain[1:3].tolist()
+    assert a.plain[5] != b.plain[3] and len(set(a.plain.tolist())) == 7
 
 
 def test_window_hash_tells_order():
@@ -48,11 +80,11 @@ def test_leaks(spark, items, monkeypatch, bound):
             (7, "these are short words"), (7, "these are short words"), (8, " ".join(ITEM.split()[:10])), (9, "9 8 7 6 5")]
     docs = spark.createDataFrame([(*x, "z") for x in docs], "doc_id long, text string, item string")
     got = sorted((r.id or -1, r.item, r.renamed) for r in g.contaminated(docs, items).collect())
-    assert [x[:2] for x in got] == [(1, 1), (2, 1), (7, 4)]
-    assert dict((x[0], x[2]) for x in got) == {1: False, 2: True, 7: False}
+    assert [x[:2] for x in got] == [(-1, 1), (1, 1), (2, 1), (7, 4)]
+    assert dict((x[0], x[2]) for x in got) == {-1: False, 1: False, 2: True, 7: False}
     kept = g.remove_contaminated(docs, items)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 4, 5, 6, 8, 9]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [3, 4, 5, 6, 8, 9]
 
 
 WORDS = [f"w{chr(97 + k)}ord" for k in range(22)]
@@ -129,3 +161,9 @@ def test_empty_tables(spark, items):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     assert g.contaminated(docs, items.limit(0)).count() == 0
     assert g.remove_contaminated(docs, items.limit(0)).count() == 1
+
+
+def test_names_that_clash(spark, items):
+    docs = spark.createDataFrame([(1, ITEM, 2, 3), (2, "clean", 4, 5)], "doc_id long, text string, text_hash int, `a.b` int")
+    out = g.remove_contaminated(docs, items)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(2, "clean", 4, 5)]
