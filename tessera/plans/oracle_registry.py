@@ -240,6 +240,17 @@ def _stream_pack(block: int = C.BLOCK, salt: int = Q.STREAM_SALT, budget: int |
     )
 
 
+def _stream_progress(every: int = Q.PROGRESS_EVERY) -> str:
+    chunks = _stream_pack(budget=1)
+    chunks = chunks[: chunks.index("SELECT source, sub, CAST(chunk_idx")]
+    return (
+        f"{chunks}, a AS (SELECT arrived, sum(count(*)) OVER (ORDER BY arrived) AS upto FROM ch GROUP BY arrived), "
+        f"m AS (SELECT unnest(generate_series({every}, (SELECT max(upto)::BIGINT FROM a), {every})) AS chunks) "
+        "SELECT (SELECT min(arrived) FROM a WHERE upto >= m.chunks) AS batch, chunks, "
+        f"chunks * {C.BLOCK} AS tokens, CAST(100.0 AS DOUBLE) * (chunks * {C.BLOCK}) / CAST({C.TARGET_TOKENS} AS DOUBLE) AS pct_of_target FROM m"
+    )
+
+
 Q_IDS = ids_sql("text")
 FUNNEL = f"SELECT lang, reason, count(*) AS n_docs FROM (SELECT lang, {R} AS reason FROM documents) GROUP BY lang, reason"
 
@@ -260,6 +271,11 @@ def oracles() -> dict[str, str]:
     mf = Q.MANIFEST
     resume_consumed = Q.RESUME_STEP * mf.grad_accum
     tokens_per_step = mf.effective_batch * mf.context
+    resume = (
+        f"{_manifest_ctes()} SELECT CAST(chunk_id AS BIGINT) AS chunk_id, CAST(epoch AS INTEGER) AS epoch, micro, step, "
+        f"CAST({resume_consumed} // nb AS BIGINT) AS resume_epoch, CAST({resume_consumed} % nb AS BIGINT) AS resume_skip "
+        f"FROM mf WHERE step > {Q.RESUME_STEP}"
+    )
     return {
         "quality_signals": _quality_signals(),
         "reject_reason": f"SELECT doc_id, {R} AS reason FROM documents",
@@ -345,11 +361,8 @@ def oracles() -> dict[str, str]:
             f"{_manifest_ctes()} SELECT CAST(chunk_id AS BIGINT) AS chunk_id, CAST(epoch AS INTEGER) AS epoch, pos, micro, "
             f"global_micro, step, step * {tokens_per_step} AS tokens_seen FROM mf"
         ),
-        "resume_point": (
-            f"{_manifest_ctes()} SELECT CAST(chunk_id AS BIGINT) AS chunk_id, CAST(epoch AS INTEGER) AS epoch, micro, step, "
-            f"CAST({resume_consumed} // nb AS BIGINT) AS resume_epoch, CAST({resume_consumed} % nb AS BIGINT) AS resume_skip "
-            f"FROM mf WHERE step > {Q.RESUME_STEP}"
-        ),
+        "resume_point": resume,
+        "resume_stored": resume,
         "val_loss_perplexity": (
             f"WITH {EVENTS_MICRO}, l AS (SELECT run_id, CAST(sum(loss) FILTER (micro_idx < {Q.E_MAX_BATCHES}) AS DOUBLE) "
             f"/ count(*) FILTER (micro_idx < {Q.E_MAX_BATCHES}) AS val_loss, count(*) FILTER (micro_idx < {Q.E_MAX_BATCHES}) AS n_batches, "
@@ -382,6 +395,9 @@ def oracles() -> dict[str, str]:
             f"CAST(r - (n - greatest(1, floor(n * {C.VAL_FRACTION}::DOUBLE))) AS BIGINT) AS pos, "
             "md5(ids_text) AS ids_md5 FROM sp WHERE split = 'val'"
         ),
+        "corpus_build_train": (
+            f"{SPLIT} SELECT CAST(chunk_id AS BIGINT) AS chunk_id, md5(ids_text) AS ids_md5 FROM sp WHERE split = 'train'"
+        ),
         "step_metrics_csv": _logged_steps(),
         "step_metrics_stream": _logged_steps(),
         "stream_tokenize": f"WITH {KEPT}, {TOKENS} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, "
@@ -389,4 +405,5 @@ def oracles() -> dict[str, str]:
         "stream_pack": _stream_pack(),
         "stream_budget": _stream_pack(budget=Q.STREAM_BUDGET),
         "stream_funnel": FUNNEL,
+        "stream_progress": _stream_progress(),
     }

@@ -28,6 +28,7 @@ from tessera.operators.tokenize import token_stats, tokenize
 from tessera.plans.corpus import budgeted_tokens, filtered_tokens, spread
 from tessera.plans.sft import split_samples
 from tessera.session import ensure_checkpoint_dir, materialize, parallelism
+from tessera.sources.io import read_manifest, read_split, write_manifest
 
 PROSE = QualityConfig(profile="prose")
 PACK = PackConfig()
@@ -48,6 +49,7 @@ STREAM_FILES = 1000  # files of one micro-batch
 STREAM_BYTES = 256 << 20  # or bytes
 STREAM_PARTS = 3  # the documents arrive in so many parts
 STREAM_BUDGET = 5  # chunks
+STREAM_COMPACT = 2  # batches
 E_MAX_BATCHES = 40  # less than some runs of the events table have
 E_BATCH = 4
 N_PROMPTS = 10
@@ -337,6 +339,15 @@ def q_resume_point(spark, sf):
     )
 
 
+def q_resume_stored(spark, sf):
+    """B6 from a stored manifest: the files of the steps before are not opened."""
+    man, n = _manifest(spark, sf)
+    path = _work_dir(spark, "manifest")
+    write_manifest(man, path, MANIFEST.effective_batch, rows_per_file=2 * MANIFEST.effective_batch)
+    rest = read_manifest(spark, path, RESUME_STEP)
+    return B.resume_from(rest, RESUME_STEP, n, MANIFEST).select("chunk_id", "epoch", "micro", "step", "resume_epoch", "resume_skip")
+
+
 # --- 2.7 evaluation and run metrics -----------------------------------------
 
 def q_val_loss_perplexity(spark, sf):
@@ -476,17 +487,27 @@ def q_spike_report(spark, sf):
 
 # --- 2.1 sinks, read back --------------------------------------------------------
 
-def q_corpus_build_val(spark, sf):
-    """S1 + S4 + S3: build the corpus into the shared folder, read the val split back (pruned)."""
+def _built_corpus(spark, sf) -> str:
+    """S1 + S4: the corpus built into a new shared folder."""
     from tessera.plans.corpus import build_corpus
-    from tessera.sources.io import read_split
 
     root = _work_dir(spark, "corpus")
     build_corpus(spark, os.path.join(sf, "documents.parquet"), root, PROSE, PACK)
-    val = read_split(spark, root, "val", ("chunk_id", "pos", "input_ids"))
+    return root
+
+
+def q_corpus_build_val(spark, sf):
+    """S1 + S4 + S3: build the corpus into the shared folder, read the val split back (pruned)."""
+    val = read_split(spark, _built_corpus(spark, sf), "val", ("chunk_id", "pos", "input_ids"))
     return val.select("chunk_id", "pos", arr_md5("input_ids").alias("ids_md5"))
 
 
+def q_corpus_build_train(spark, sf):
+    """S3: the other side, which has no stored order: an epoch's manifest gives it."""
+    train = read_split(spark, _built_corpus(spark, sf), "train", ("chunk_id", "input_ids"))
+    return train.select("chunk_id", arr_md5("input_ids").alias("ids_md5"))
+
+
 def q_step_metrics_csv(spark, sf):
     """M3 + S5: the metric rows a run logs (spikes skipped), appended as CSV and read back."""
     from tessera.sources.io import append_step_metrics, read_step_metrics
@@ -594,25 +615,36 @@ def q_stream_tokenize(spark, sf):
 
 
 def q_stream_funnel(spark, sf):
+    """The funnel of documents that arrive in parts; each batch writes the counts it changed."""
     from tessera.streaming.jobs import stream_funnel
+    from tessera.streaming.upserts import read_upserts, upsert_batches
 
-    base = _work_dir(spark, "stream_funnel")
-    out_path = os.path.join(base, "out")
-    funnel = stream_funnel(spark, os.path.join(sf, "documents.parquet"), PROSE, by=("lang",))
-
-    def write(batch_df, _epoch):
-        batch_df.write.mode("overwrite").parquet(out_path)
-
-    w = (funnel.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True))
-    key, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set(key, str(parallelism(spark)))  # state-store partitions of this new query
-    try:
-        q = w.start()
-    finally:
-        spark.conf.set(key, before)
-    q.awaitTermination()
-    return spark.read.parquet(out_path)
+    base, docs = _work_dir(spark, "stream_funnel"), table(spark, sf, "documents")
+    out, src = os.path.join(base, "out"), os.path.join(base, "src")
+    for _ in arrive(spark, docs, src, "doc_id"):
+        funnel = stream_funnel(spark, os.path.join(src, "*"), PROSE, by=("lang",), schema=docs.schema, max_bytes_per_trigger=STREAM_BYTES)
+        upsert_batches(funnel, ["lang", "reason"], out, os.path.join(base, "ckpt"), parallelism(spark),
+                       compact_every=STREAM_COMPACT).awaitTermination()
+    return read_upserts(spark, out, ["lang", "reason"], funnel.schema)
+
+
+def q_stream_progress(spark, sf):
+    """K7: what a packing stream reported while it ran, one row every ``PROGRESS_EVERY`` chunks."""
+    from tessera.streaming.jobs import run, with_pack_progress
+    from tessera.streaming.progress import ProgressTable, progress_reports, read_progress
+
+    base = _work_dir(spark, "stream_progress")
+    out, told = os.path.join(base, "out"), os.path.join(base, "progress")
+    name = f"pack_progress_{os.path.basename(base)}"
+    with ProgressTable(spark, told, name) as table_:
+        def start(packed):
+            query = run(with_pack_progress(packed, name), "stream_progress", sink="parquet", path=out,
+                        checkpoint=os.path.join(base, "ckpt"), state_partitions=parallelism(spark))
+            table_.wait(query)
+            return query
+
+        _pack_arriving(spark, sf, base, start)
+    return progress_reports(read_progress(spark, told), PackConfig(target_tokens=TARGET_TOKENS, progress_every=PROGRESS_EVERY))
 
 
 QUERIES = {
@@ -646,6 +678,7 @@ QUERIES = {
     "sft_manifest": q_sft_manifest,
     "batch_manifest": q_batch_manifest,
     "resume_point": q_resume_point,
+    "resume_stored": q_resume_stored,
     "val_loss_perplexity": q_val_loss_perplexity,
     "masked_nll": q_masked_nll,
     "completion_trim": q_completion_trim,
@@ -658,10 +691,12 @@ QUERIES = {
     "step_sample": q_step_sample,
     "spike_report": q_spike_report,
     "corpus_build_val": q_corpus_build_val,
+    "corpus_build_train": q_corpus_build_train,
     "step_metrics_csv": q_step_metrics_csv,
     "step_metrics_stream": q_step_metrics_stream,
     "stream_tokenize": q_stream_tokenize,
     "stream_pack": q_stream_pack,
     "stream_budget": q_stream_budget,
     "stream_funnel": q_stream_funnel,
+    "stream_progress": q_stream_progress,
 }

@@ -113,6 +113,26 @@ def require_built(spark: SparkSession, root: str, what: str = "dataset") -> None
         raise FileNotFoundError(f"{what} not found at {root}; run the stage that builds it first")
 
 
+def write_manifest(man: DataFrame, path: str, rows_per_step: int, rows_per_file: int = 1_000_000, if_exists: str = "error") -> None:
+    """Store a manifest in the order of its steps, a folder for each range of steps that holds about ``rows_per_file`` rows.
+
+    A range is one task's, and one file, in training order. ``from_step`` and ``to_step`` are in the folder
+    names, so a resumed run opens no file of the steps before it.
+    """
+    steps = max(1, rows_per_file // max(1, rows_per_step))
+    lo = (F.floor((F.col("step") - 1) / steps) * steps + 1).cast("long")
+    ranged = man.withColumn("from_step", lo).withColumn("to_step", (lo + (steps - 1)).cast("long"))
+    ordered = ranged.repartition("from_step").sortWithinPartitions("from_step", "to_step", "step", "global_micro", "epoch", "pos")
+    ordered.write.mode({"error": "errorifexists", "overwrite": "overwrite"}[if_exists]).partitionBy("from_step", "to_step").parquet(path)
+
+
+def read_manifest(spark: SparkSession, path: str, after_step: int = 0, schema=None) -> DataFrame:
+    """The steps after ``after_step`` of a stored manifest; ranges that end before are pruned by their folder names."""
+    r = spark.read if schema is None else spark.read.schema(schema)
+    rows = r.parquet(path).where((F.col("to_step") > after_step) & (F.col("step") > after_step))
+    return rows.drop("from_step", "to_step")
+
+
 def _metric_rows(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
                        for f in STEP_METRICS_SCHEMA.fields])

@@ -49,9 +49,9 @@ def with_pack_progress(packed: DataFrame, name: str = "pack_progress") -> DataFr
 
 
 def stream_funnel(spark: SparkSession, path: str, cfg: QualityConfig = QualityConfig(),
-                  by: tuple[str, ...] = ()) -> DataFrame:
-    """The reject funnel as a running aggregate (complete or update mode)."""
-    docs = read_corpus(spark, path, extra_cols=by, streaming=True)
+                  by: tuple[str, ...] = (), schema=None, max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """The reject funnel as a running aggregate; ``upserts.upsert_batches`` keeps it as a table (update mode)."""
+    docs = read_corpus(spark, path, extra_cols=by, streaming=True, schema=schema, max_bytes_per_trigger=max_bytes_per_trigger)
     return reject_funnel(docs, cfg, by=by)
 
 
@@ -135,7 +135,7 @@ def run_budgeted(df: DataFrame, path: str, checkpoint: str, budget: int, group_c
 
     w = (df.writeStream.outputMode("append").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True))
-    query = _start(spark, w, state_partitions)
+    query = start(spark, w, state_partitions)
 
     def watch() -> None:
         while query.isActive:
@@ -150,7 +150,7 @@ def run_budgeted(df: DataFrame, path: str, checkpoint: str, budget: int, group_c
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _start(spark: SparkSession, w, state_partitions: int | None) -> StreamingQuery:
+def start(spark: SparkSession, w, state_partitions: int | None) -> StreamingQuery:
     """Start with a state store on disk and the given number of partitions of it, fixed when a query first starts."""
     settings = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
     if state_partitions:
@@ -177,7 +177,7 @@ def append_batches(df: DataFrame, path: str, checkpoint: str, fmt: str = "parque
 
     w = (df.writeStream.outputMode("append").foreachBatch(one)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True))
-    return _start(df.sparkSession, w, None)
+    return start(df.sparkSession, w, None)
 
 
 def undo_commit(spark: SparkSession, checkpoint: str) -> None:
@@ -212,4 +212,4 @@ def run(df: DataFrame, name: str, sink: str = "memory", path: str | None = None,
         w = w.format("memory").queryName(name)
     else:
         w = w.format(sink).option("path", path)
-    return _start(spark, w, state_partitions)
+    return start(spark, w, state_partitions)
