@@ -30,7 +30,7 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, quoted, table, whole_row
 
 BROADCAST_ROWS = 1_000_000  # of a hash and a few rule numbers: some 50 MB
 
@@ -183,50 +183,54 @@ def _spans(n: int, rule: Rule, text: str, hits: str) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``__spans``: all spans of all rules, ordered by start, then by rule."""
+    """Each row of ``docs`` as ``row``, a struct, and its ``spans``: those of all rules, ordered by start, then by rule.
+
+    Rows are carried whole, so columns may have any names.
+    """
     queries = {n: trigram_query(r.pattern) for n, r in enumerate(rules)}
     indexed = {n: q for n, q in queries.items() if q != ALL}
-    row_key = F.xxhash64(F.col(id_col), F.col(text_col))
-    whole = F.coalesce(F.col(text_col), F.lit(""))
+    row_key = F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col)))
     trigrams = sorted({t for q in indexed.values() for a in q for t in a})
 
     found = None
     if indexed:
-        index = postings(docs.select(row_key.alias("key"), whole.alias("text")), trigrams).distinct()
-        found = cut(candidates(index, indexed).withColumnsRenamed({"key": "__key", "rules": "__rules"}))
+        index = postings(docs.select(row_key.alias("key"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text")), trigrams).distinct()
+        found = cut(candidates(index, indexed))
         if found.count() <= BROADCAST_ROWS:
             found = F.broadcast(found)
-    keyed = docs.withColumn("__key", row_key).withColumn("__text", whole)
-    keyed = keyed.join(found, "__key", "left") if found is not None else keyed.withColumn("__rules", F.lit(None).cast("array<int>"))
+    keyed = docs.select(row_key.alias("key"), whole_row(docs).alias("row"))
+    keyed = keyed.join(found, "key", "left") if found is not None else keyed.withColumn("rules", F.lit(None).cast("array<int>"))
 
     def hits(n: int) -> Column:
-        wanted = F.lit(True) if n not in indexed else F.coalesce(F.array_contains("__rules", n), F.lit(False))
-        return F.when(wanted, F.regexp_extract_all("__text", F.lit(rules[n].pattern), F.lit(0)))
+        wanted = F.lit(True) if n not in indexed else F.coalesce(F.array_contains("rules", n), F.lit(False))
+        return F.when(wanted, F.regexp_extract_all("text", F.lit(rules[n].pattern), F.lit(0)))
 
-    matched = keyed.select(*docs.columns, "__text", *[hits(n).alias(f"__hits{n}") for n in range(len(rules))])
-    spans = F.array_sort(F.concat(*[_spans(n, r, "__text", f"__hits{n}") for n, r in enumerate(rules)]))
-    return matched.select(*docs.columns, spans.alias("__spans"))
+    texts = keyed.select("row", "rules", F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text"))
+    matched = texts.select("row", "text", *[hits(n).alias(f"hits{n}") for n in range(len(rules))])
+    spans = F.array_sort(F.concat(*[_spans(n, r, "text", f"hits{n}") for n, r in enumerate(rules)]))
+    return matched.select("row", spans.alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str = "n_chars",
            rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every secret replaced by ``[SECRET]`` (overlapping spans by one) and the length set anew."""
-    scanned = scan(docs, id_col, text_col, rules)
-    pieces = F.expr(f"""aggregate(__spans, named_struct('at', 0L, 'out', cast(array() as array<string>)),
+    scanned = scan(docs, id_col, text_col, rules).select("row", "spans", F.col("row").getField(text_col).alias("text"))
+    pieces = F.expr("""aggregate(spans, named_struct('at', 0L, 'out', cast(array() as array<string>)),
         (acc, x) -> if(x.start >= acc.at,
           named_struct('at', x.end, 'out',
-            concat(acc.out, array(substring(`{text_col}`, cast(acc.at + 1 as int), cast(x.start - acc.at as int)), '[SECRET]'))),
+            concat(acc.out, array(substring(text, cast(acc.at + 1 as int), cast(x.start - acc.at as int)), '[SECRET]'))),
           named_struct('at', greatest(acc.at, x.end), 'out', acc.out)),
-        acc -> concat(array_join(acc.out, ''), substring(`{text_col}`, cast(acc.at + 1 as int))))""")
-    dirty = F.size("__spans") > 0
-    out = scanned.withColumn("__new", F.when(dirty, pieces).otherwise(F.col(text_col)))
-    cols = [
-        F.col("__new").alias(c) if c == text_col
-        else F.when(dirty, F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == n_chars
-        else F.col(c)
-        for c in docs.columns
-    ]
-    return out.select(*cols)
+        acc -> concat(array_join(acc.out, ''), substring(text, cast(acc.at + 1 as int))))""")
+    dirty = F.size("spans") > 0
+    out = scanned.select("row", dirty.alias("dirty"), F.when(dirty, pieces).otherwise(F.col("text")).alias("new"))
+
+    def column(c: str) -> Column:
+        old = F.col("row").getField(c)
+        if c == n_chars:
+            return F.when(F.col("dirty"), F.length("new").cast(docs.schema[c].dataType)).otherwise(old)
+        return F.col("new") if c == text_col else old
+
+    return out.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,12 +241,12 @@ def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["rule"] + 1), x["start"], x["end"])), ",")
 
     def count(n: int) -> Column:
-        return F.size(F.filter("__spans", lambda x: x["rule"] == n)).cast("long")
+        return F.size(F.filter("spans", lambda x: x["rule"] == n)).cast("long")
 
-    base = F.filter("__spans", lambda x: x["rule"] < len(BASE_RULES))
+    base = F.filter("spans", lambda x: x["rule"] < len(BASE_RULES))
     return scanned.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("__spans")).alias("spans"),
+        F.col("row.doc_id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
 
 

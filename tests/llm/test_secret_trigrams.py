@@ -91,6 +91,22 @@ def test_redact(spark):
     assert out.where("text is null").count() == 1
 
 
+@pytest.mark.parametrize("bound", [0, g.BROADCAST_ROWS])
+def test_columns_of_any_name(spark, monkeypatch, bound):
+    monkeypatch.setattr(g, "BROADCAST_ROWS", bound)
+    names = ["key", "row", "rules", "spans", "hits0", "new", "dirty", "__key", "__rules", "__text", "__spans", "__new", "a.b", "a`b", "Text 2"]
+    rows = [(1, "a token=abcdefghijklmnop", 24, *names), (None, None, None, *names), (1, "a token=abcdefghijklmnop", 24, *names), (2, "", 0, *names)]
+    types = ", ".join(["doc_id long", "text string", "n_chars int", *[f"`{n.replace('`', '``')}` string" for n in names]])
+    docs = spark.createDataFrame(rows, types)
+    out = g.redact(docs)
+    assert out.schema == docs.schema
+    want = [(1, "a [SECRET]", 10, *names)] * 2 + [(2, "", 0, *names), (None, None, None, *names)]
+    assert sorted((tuple(r) for r in out.collect()), key=lambda r: (r[0] is None, r[0])) == want
+    dotted = docs.select("text", "doc_id").withColumnsRenamed({"text": "my.text", "doc_id": "my.id"})
+    found = g.scan(dotted, "my.id", "my.text").selectExpr("row.`my.id` AS id", "size(spans) AS n").collect()
+    assert sorted((r.id or -1, r.n) for r in found) == [(-1, 0), (1, 1), (1, 1), (2, 0)]
+
+
 def test_empty_table(spark, corpus):
     d = corpus(documents=spark.createDataFrame([], "doc_id long, text string"))
     assert g.op10_secret_trigrams(spark, d).count() == 0
