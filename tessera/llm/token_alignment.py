@@ -26,6 +26,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -57,13 +58,25 @@ class Side:
     """One tokenizer's entries as bytes, with their lengths and whether a space comes first."""
 
     def __init__(self, entries: list[bytes]):
-        self.entries = entries
         self.lengths = np.array([len(e) for e in entries], np.int64)
         self.spaced = np.array([e[:1] == b" " for e in entries])
+        self.bytes = np.frombuffer(b"".join(entries), np.uint8)
+        self.first = np.cumsum(self.lengths) - self.lengths
 
-    def text(self, ids: list[int]) -> bytes:
-        entries = self.entries
-        return b"".join([entries[k] for k in ids])
+    def spells(self, ids: np.ndarray, raw: np.ndarray, block: int = 200_000) -> bool:
+        """Whether the tokens' bytes, joined, are ``raw``; a block of tokens at a time."""
+        at = 0
+        for k in range(0, len(ids), block):
+            part = ids[k : k + block]
+            got = self.bytes[_flat(self.first[part], self.lengths[part])]
+            if not np.array_equal(got, raw[at : at + len(got)]):
+                return False
+            at += len(got)
+        return at == len(raw)
+
+
+def _ids(tokens: list[int]) -> np.ndarray:
+    return np.frombuffer(array("H", tokens), np.uint16)
 
 
 class Tokenizers:
@@ -100,13 +113,13 @@ class Tokenizers:
         out.encode_special_tokens = True
         return out
 
-    def encode_a(self, text: str) -> list[int]:
+    def encode_a(self, text: str) -> np.ndarray:
         """The ranks give the ids of the file, several times faster, where Unicode versions cannot differ."""
         if _OTHER.search(text):
-            return self.a_json.encode(text, add_special_tokens=False).ids
-        return self.a_ranks.encode_ordinary(text)
+            return _ids(self.a_json.encode(text, add_special_tokens=False).ids)
+        return _ids(self.a_ranks.encode_ordinary(text))
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of A (of a space and the text) and of B (which adds the space), or None without tokens."""
         out = []
         for text, b in zip(texts, self.b_model.encode(texts, num_threads=1)):
@@ -114,8 +127,8 @@ class Tokenizers:
                 out.append(None)
                 continue
             spaced = " " + text
-            a, raw = self.encode_a(spaced), spaced.encode()
-            out.append((a, b) if self.a.text(a) == raw == self.b.text(b) else None)
+            a, b, raw = self.encode_a(spaced), _ids(b), np.frombuffer(spaced.encode(), np.uint8)
+            out.append((a, b) if self.a.spells(a, raw) and self.b.spells(b, raw) else None)
         return out
 
 
@@ -132,17 +145,33 @@ def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Grown:
     """An array that grows at its end."""
 
-    def __init__(self):
-        self.array, self.n = np.empty(1024, np.int64), 0
+    def __init__(self, kind: type = np.int64):
+        self.array, self.n = np.empty(1024, kind), 0
 
     def extend(self, values: np.ndarray) -> None:
         n = self.n + len(values)
         if n > len(self.array):
-            self.array = np.resize(self.array, 2 * n)
+            longer = np.empty(n + n // 2, self.array.dtype)
+            longer[: self.n] = self.array[: self.n]
+            self.array = longer
         self.array[self.n : n] = values
         self.n = n
 
 
+def _decimals() -> tuple[np.ndarray, np.ndarray]:
+    """The digits of every 16-bit number, from the left, with room for a sign after them; how many they are."""
+    n = np.arange(1 << 16)
+    length = 1 + sum((n >= 10**k).astype(np.int64) for k in range(1, 5))
+    digits = np.zeros((len(n), 6), np.uint8)
+    for k in range(5):
+        digits[:, k] = ord("0") + n // 10 ** np.maximum(length - 1 - k, 0) % 10
+    return digits, length
+
+
+_DIGITS, _N_DIGITS = _decimals()
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)  # odd; any two would do
+
+
 class Sequences:
     """Token ids of both sides over the same bytes, of several texts or windows in a row."""
 
@@ -150,104 +179,138 @@ class Sequences:
         self.a, self.b, self.sides = a, b, sides
         self.a_ends, self.b_ends = np.cumsum(sides.a.lengths[a]), np.cumsum(sides.b.lengths[b])
 
-    def anchors(self, firsts: np.ndarray) -> np.ndarray:
-        """Bytes at which a window starts: those of ``firsts``, and where a space-marked token of each side does."""
-        marked = []
-        for ids, ends, side in ((self.a, self.a_ends, self.sides.a), (self.b, self.b_ends, self.sides.b)):
-            marked.append((ends - side.lengths[ids])[side.spaced[ids]])
-        return np.union1d(firsts, np.intersect1d(*marked, assume_unique=True))
-
-    def tokens_from(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first token of each side that starts at the bytes ``at``, which are ends as well (or 0)."""
-        return np.searchsorted(self.a_ends, at, "right"), np.searchsorted(self.b_ends, at, "right")
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Every overlapping pair and the byte its overlap ends at: between two ends of any side lies one pair."""
-        ends = np.union1d(self.a_ends, self.b_ends)
-        return ends, _codes(self.a[np.searchsorted(self.a_ends, ends)], self.b[np.searchsorted(self.b_ends, ends)])
-
-    def groups(self) -> tuple[np.ndarray, list[str]]:
-        """Groups in order and the bytes they end at: where both sides end."""
-        both = np.intersect1d(self.a_ends, self.b_ends, assume_unique=True)
-        parts = []
-        for ids, bounds in zip((self.a, self.b), self.tokens_from(both)):
-            names, bounds = list(map(str, ids.tolist())), [0, *bounds.tolist()]
-            parts.append([names[x] if y == x + 1 else ",".join(names[x:y]) for x, y in zip(bounds, bounds[1:])])
-        return both, [f"{x}|{y}" for x, y in zip(*parts)]
+    def windows(self, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows start at ``firsts`` and where a space-marked token of each side does: their bytes, their first tokens."""
+        marks = np.zeros(int(self.a_ends[-1]) + 1, np.uint8)
+        starts = []
+        for bit, ids, ends, side in ((1, self.a, self.a_ends, self.sides.a), (2, self.b, self.b_ends, self.sides.b)):
+            starts.append(ends - side.lengths[ids])
+            marks[starts[-1][side.spaced[ids]]] |= bit
+        marks[firsts] = 3
+        return np.flatnonzero(marks == 3), *(np.flatnonzero(marks[x] == 3) for x in starts)
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes at which a token ends, whether both sides' do, and the token of each side that lies before it.
+
+        Between two of them lies one overlapping pair.
+        """
+        marks = np.zeros(int(self.a_ends[-1]) + 1, np.uint8)
+        marks[self.a_ends] = 1
+        marks[self.b_ends] |= 2
+        at = np.flatnonzero(marks)
+        marks = marks[at]
+        a_ends, b_ends = marks & 1, marks >> 1
+        return at, marks == 3, np.cumsum(a_ends, dtype=np.int64) - a_ends, np.cumsum(b_ends, dtype=np.int64) - b_ends
+
+    def written(self, a_last: np.ndarray, b_last: np.ndarray) -> tuple[str, np.ndarray]:
+        """Groups, whose last tokens are given, as one string with a ``;`` after each, and where each ends in it."""
+        n_a, n_b = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+        # a group's tokens of A stand after all earlier groups' of B, its tokens of B after its own of A
+        a_place = np.arange(len(self.a)) + np.repeat(b_last + 1 - n_b, n_a)
+        b_place = np.arange(len(self.b)) + np.repeat(a_last + 1, n_b)
+        ids, signs = np.empty(len(self.a) + len(self.b), np.uint16), np.full(len(self.a) + len(self.b), ord(","), np.uint8)
+        ids[a_place], ids[b_place] = self.a, self.b
+        signs[a_place[a_last]], signs[b_place[b_last]] = ord("|"), ord(";")
+        rows, n = _DIGITS[ids], _N_DIGITS[ids]
+        rows[np.arange(len(ids)), n] = signs
+        return rows[np.arange(6) <= n[:, None]].tobytes().decode("ascii"), np.cumsum(n + 1)[b_place[b_last]]
 
 
 class Windows:
-    """Alignments of windows by their id tuples; bounded, emptied between texts."""
+    """Alignments of windows by their id tuples; bounded, emptied between texts.
+
+    A window is looked up by a 64-bit number of its id tuples and then compared with the ids that are remembered; one whose
+    number belongs to other ids is aligned without being remembered.
+    """
 
     def __init__(self, files: dict[str, str]):
         self.tokenizers = Tokenizers(files)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple[int, int] | tuple[bytes, bytes], int] = {}
+        self.known: dict[int, int] = {}
         self.texts: list[str] = []  # each window's groups
         self.n_groups, self.n_links, self.first_link, self.links = Grown(), Grown(), Grown(), Grown()
+        self.ids = Grown(np.uint16), Grown(np.uint16)
+        self.first_id, self.n_ids = (Grown(), Grown()), (Grown(np.int32), Grown(np.int32))
         self.tokens = 0
 
-    def learn(self, keys: list, a: np.ndarray, b: np.ndarray, n_a: np.ndarray) -> None:
-        """Align new windows, whose tokens are given in a row, and remember them."""
+    def learn(self, keys: list[int], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        """Align new windows, whose tokens are given in a row, and remember them, by ``keys`` if there are any."""
         new = Sequences(a, b, self.tokenizers)
+        at, both, a_of, b_of = new.ends()
+        text, text_ends = new.written(a_of[both], b_of[both])
         ends = new.a_ends[np.cumsum(n_a) - 1]
-        link_ends, codes = new.links()
-        group_ends, groups = new.groups()
-        last_link, last_group = np.searchsorted(link_ends, ends, "right"), np.searchsorted(group_ends, ends, "right")
-        for last, sizes in ((last_group, self.n_groups), (last_link, self.n_links)):
-            sizes.extend(np.diff(last, prepend=0))
+        last_link, last_group = np.searchsorted(at, ends, "right"), np.searchsorted(at[both], ends, "right")
+        self.n_groups.extend(np.diff(last_group, prepend=0))
+        self.n_links.extend(np.diff(last_link, prepend=0))
         self.first_link.extend(self.links.n + np.concatenate([[0], last_link[:-1]]))
-        self.links.extend(codes)
+        self.links.extend(_codes(a[a_of], b[b_of]))
+        for ids, first, sizes, x, n in zip(self.ids, self.first_id, self.n_ids, (a, b), (n_a, n_b)):
+            first.extend(ids.n + np.cumsum(n) - n)
+            sizes.extend(n)
+            ids.extend(x)
         self.known.update(zip(keys, range(len(self.texts), len(self.texts) + len(keys))))
-        bounds = [0, *last_group.tolist()]
-        self.texts += [groups[x] if y == x + 1 else ";".join(groups[x:y]) for x, y in zip(bounds, bounds[1:])]
+        bounds = [0, *text_ends[last_group - 1].tolist()]
+        self.texts += [text[x : y - 1] for x, y in zip(bounds, bounds[1:])]
         self.tokens += len(a) + len(b)
 
-    def find(self, a: np.ndarray, b: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """The remembered alignment of each window; ``bounds`` are the first tokens of the windows, and the ends."""
-        (a_at, b_at), (n_a, n_b) = (x[:-1] for x in bounds), (np.diff(x) for x in bounds)
-        # up to four ids a side are one number each, others two strings of bytes: equal keys mean equal id tuples
-        short = (n_a <= 4) & (n_b <= 4)
-        numbers = []
-        for ids, at, n in ((a, a_at[short], n_a[short]), (b, b_at[short], n_b[short])):
-            number = np.zeros(len(at), np.int64)
-            for k in range(4):
-                number |= np.where(n > k, ids[np.minimum(at + k, len(ids) - 1)].astype(np.int64) + 1, 0) << 16 * k
-            numbers.append(pd.factorize(number))
-        (a_which, a_numbers), (b_which, b_numbers) = numbers
-        which, pairs = pd.factorize(a_which * len(b_numbers) + b_which)
-        a_blob, b_blob, width = a.tobytes(), b.tobytes(), a.itemsize
-        rest = np.nonzero(~short)[0]
-        spans = [(width * x[rest]).tolist() for x in (a_at, a_at + n_a, b_at, b_at + n_b)]
-        tuples = [(a_blob[i:j], b_blob[k:m]) for i, j, k, m in zip(*spans)]
-        example = np.zeros(len(pairs), np.int64)  # a window that has the numbers
-        example[which] = np.nonzero(short)[0]
-        a_pair, b_pair = np.divmod(pairs, max(1, len(b_numbers)))
-        keys = [*zip(a_numbers[a_pair].tolist(), b_numbers[b_pair].tolist()), *tuples]
-        windows = np.concatenate([example, rest])
-        known = self.known
-        new = {key: w for key, w in zip(keys, windows.tolist()) if key not in known}
-        if new:
-            at = np.array(list(new.values()))
-            self.learn(list(new), a[_flat(a_at[at], n_a[at])], b[_flat(b_at[at], n_b[at])], n_a[at])
-        found = np.array([known[key] for key in keys], np.int64)
-        out = np.empty(len(n_a), np.int64)
-        out[short] = found[: len(pairs)][which]
-        out[rest] = found[len(pairs) :]
+    def numbers(self, a: np.ndarray, b: np.ndarray, at: tuple[np.ndarray, np.ndarray], n: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """A number of each window's id tuples: polynomials of the ids of both sides, modulo 2**64."""
+        out = np.zeros(len(at[0]), np.uint64)
+        for ids, starts, sizes, factor in zip((a, b), at, n, _FACTORS):
+            powers = np.cumprod(np.full(int(sizes.max()), factor))
+            place = np.arange(len(ids)) - np.repeat(starts, sizes)
+            mixed = (ids.astype(np.uint64) + np.uint64(1)) * factor
+            mixed ^= mixed >> np.uint64(29)
+            out ^= np.add.reduceat(mixed * powers[place], starts) * factor
+            out ^= out >> np.uint64(32)
+        return out.view(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The remembered alignment of each window; ``at`` are the first tokens of the windows."""
+        n = tuple(np.diff(x, append=len(ids)) for x, ids in zip(at, (a, b)))
+        which, numbers = pd.factorize(self.numbers(a, b, at, n))
+        example = np.empty(len(numbers), np.int64)  # a window that has the number
+        example[which] = np.arange(len(which))
+        keys, known = numbers.tolist(), self.known
+        found = np.array([known.get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = len(self.texts) + np.arange(len(new))
+            self._learn_windows([keys[k] for k in new.tolist()], a, b, at, n, example[new])
+        out = found[which]
+        other = self._others(a, b, at, n, out)
+        if len(other):
+            out[other] = len(self.texts) + np.arange(len(other))
+            self._learn_windows([], a, b, at, n, other)
         return out
 
-    def align(self, ids: list[tuple[list[int], list[int]]]) -> tuple[list[int], list[int], list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def _learn_windows(self, keys: list[int], a, b, at, n, which: np.ndarray) -> None:
+        self.learn(keys, *(ids[_flat(x[which], y[which])] for ids, x, y in zip((a, b), at, n)), *(y[which] for y in n))
+
+    def _others(self, a, b, at, n, found: np.ndarray) -> np.ndarray:
+        """The windows whose ids are not those remembered."""
+        same = np.ones(len(found), bool)
+        for sizes, y in zip(self.n_ids, n):
+            same &= sizes.array[found] == y
+        equal = np.flatnonzero(same)
+        for ids, first, x, starts, y in zip(self.ids, self.first_id, (a, b), at, n):
+            starts, y = starts[equal], y[equal]
+            differ = ids.array[_flat(first.array[found[equal]], y)] != (x if len(equal) == len(found) else x[_flat(starts, y)])
+            if differ.any():
+                same[equal] &= ~np.logical_or.reduceat(differ, np.cumsum(y) - y)
+        return np.flatnonzero(~same)
+
+    def align(self, ids: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[int], list[int], list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of several texts: numbers of groups and of links, groups; each text's distinct id pairs as (text, code, how often)."""
         if self.tokens > MEMO_TOKENS:
             self.clear()
-        a, b = (np.array([k for x in ids for k in x[side]], np.uint16) for side in (0, 1))
+        a, b = (np.concatenate([x[side] for x in ids]) for side in (0, 1))
         rows = Sequences(a, b, self.tokenizers)
         firsts = np.concatenate([[0], rows.a_ends[np.cumsum([len(x[0]) for x in ids])[:-1] - 1]])
-        starts = rows.anchors(firsts)
-        bounds = tuple(np.append(x, len(y)) for x, y in zip(rows.tokens_from(starts), (a, b)))
-        at = self.find(a, b, bounds)
+        starts, *first_tokens = rows.windows(firsts)
+        at = self.find(a, b, tuple(first_tokens))
         text_of = np.searchsorted(firsts, starts, "right") - 1
         n_groups, n_links = (np.bincount(text_of, x.array[at], len(ids)).astype(np.int64).tolist() for x in (self.n_groups, self.n_links))
         cuts = [*np.searchsorted(starts, firsts).tolist(), len(starts)]

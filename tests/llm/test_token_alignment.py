@@ -141,6 +141,26 @@ def test_windows_are_words(monkeypatch):
     assert seen == [4, 2]  # each word once
 
 
+def test_windows_with_one_number(monkeypatch, pair):
+    """Windows are told apart by their ids even where all have the same number."""
+    plain, w = g.Windows(FILES), g.Windows(FILES)
+    monkeypatch.setattr(w, "numbers", lambda a, b, at, n: g.np.zeros(len(at[0]), g.np.int64))
+    ids = w.tokenizers.encode(texts())
+    for part in (ids[:1], ids, ids):
+        assert [list(x) for x in w.align(part)] == [list(x) for x in plain.align(part)]
+    assert len(w.known) == 1
+    assert plain.align(ids)[2][7] == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in brute(pair, texts()[7])[2])
+
+
+def test_spelling_is_checked_in_blocks():
+    a = g.Tokenizers(FILES).a
+    ids = g.np.array([k for k in (500, 7, 44, 7, 9000)], g.np.uint16)
+    raw = g.np.concatenate([a.bytes[a.first[k] : a.first[k] + a.lengths[k]] for k in ids])
+    for block in (1, 2, 5, 9):
+        assert a.spells(ids, raw, block)
+        assert not a.spells(ids, raw[:-1], block) and not a.spells(ids[:-1], raw, block) and not a.spells(ids[::-1], raw, block)
+
+
 def test_portions():
     cut = [["", "aa", "b", "cccccc", "d"][x] for x in g.portions(["", "aa", "b", "cccccc", "d"], 3)]
     assert cut == [["", "aa", "b"], ["cccccc"], ["d"]]
