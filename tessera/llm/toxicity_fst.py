@@ -8,13 +8,20 @@ over the symbols:
 * reported speech rewrites what stands after a reporting verb and a quotation mark, or
   after "said that" ("she called him a fool");
 * threat accepts a threat verb that an intent ("will", "going to") governs;
-* target marks a toxic symbol with a person addressed in the same clause before it.
+* target knows roles. A person named in the clause before an insult is its target ("you are an
+  idiot"), so is one addressed within two words after it ("stupid idiot, you"). The victim of a
+  threat is a person within three words after its verb ("I will kill you", "beat up his
+  brother") or an object pronoun before it ("ich werde dich töten"); the subject never is.
+  A person after the word gives an event of its own, besides the word's.
 
 What comes out are matched clause events, and a clause is worth the events it holds:
 isolated words outside the grammar's lexicon count nothing. The events of a document
 feed a logistic model that starts from hand-set weights and is fitted, with those
 weights as its prior, to a bounded sample of labelled rows; each class weighs as much as
-among all of them.
+among all of them. A single insult without a target is no matched clause: it counts only as
+``lone``, whose weight stays below the threshold; targets or a second insult make insults
+count. An event that would pass the threshold by its hand-set weight and that no sampled row holds keeps its
+distance from the bias.
 
 The insult lexicon has a fixed part and a part induced from labelled rows: word stems
 and words that occur in many different contexts of toxic rows and (almost) never in
@@ -43,7 +50,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_sample, crc_fold, cut, sampled_texts, slices, sql_type, table, whole_row, worker_memo
 
 SAMPLE = (6000, 2000)  # labelled rows of class 0 and class 1 that are learned from, at most
-MAX_LEARNED = 400  # induced lexicon entries, at most
 MIN_EVIDENCE = 14.0  # log-likelihood ratio of an induced entry: chance among some 100,000 stems is ruled out
 MAX_RATE = 0.05  # how often an entry may occur in other rows, relative to toxic rows
 STEM = (3, 8)  # lengths of induced stems; a word must go on after its stem
@@ -60,21 +66,27 @@ INSULTS = (
 ).split()
 THREATS = "kill murder hurt destroy beat strangle stab shoot burn hang crush slaughter töten umbringen tuer matar".split()
 INTENTS = "will gonna ll going want should must werde vais voy".split()
-TARGETS = "you your yours u ur youre he she they him her them his their these those people everyone du dich ihr sie tu te toi vous eres ustedes él ella".split()
-NEGATIONS = "not never isn aren wasn weren don doesn didn won wouldn cannot nicht kein keine jamais nunca".split()
+ADDRESSED = "you your yours u ur youre vous usted ustedes dir ihr euch".split()
+OBJECTS = "him them her his their everyone everybody people sie ihn elle eles".split()
+SUBJECTS = "he she they er il tu du eres these those él ella ellos".split()
+CLITICS = "dich te toi".split()  # objects that stand before the verb as well
+NEGATIONS = "not never no nobody isn aren wasn weren don doesn didn won wouldn cannot nicht kein keine niemand jamais nunca nadie".split()
 REPORTS = "said says say saying called calls calling wrote writes claimed claims reported reports quoted sagte dit dijo".split()
 
 O, I, H, T, N, R, Q, F_ = range(8)  # other, insult, threat verb, target, negation, report, quote, intent
 NI, NH, RI, RH, DH, TI, TH, J = range(8, 16)  # negated, reported, intended, targeted events; induced insult
 NJ, RJ, TJ = range(16, 19)  # the same of an induced insult
+Y, S, C = range(19, 22)  # persons: addressed, subject only, object pronoun; T is any other
+PERSONS = (T, Y, S, C)
 EVENTS = (I, TI, J, TJ, H, DH, TH, NI, NH, NJ, RI, RH, RJ)
 EVENT_NAMES = ("insult", "targeted_insult", "induced_insult", "targeted_induced", "threat_verb", "threat", "targeted_threat",
                "negated_insult", "negated_threat", "negated_induced", "reported_insult", "reported_threat", "reported_induced")
 INSULT_EVENTS = 4  # so many events at the front of EVENTS are insults that stand
 #: Hand-set weights: the bias, then for each event its presence, and for each the log of its count;
-#: last the log of the insults among 1000 words.
-PRIOR = np.array([-3.0] + [3.5, 4.0, 2.0, 2.5, 0.1, 2.0, 3.5, -0.5, -0.5, -0.5, 0.3, 0.3, 0.3]
-                 + [1.0, 1.0, 1.0, 1.0, 0.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0] + [0.0])
+#: last the log of the insults among 1000 words, and a lone insult.
+PRIOR = np.array([-3.0] + [3.5, 4.0, 2.0, 2.5, 0.1, 0.5, 5.0, -0.5, -0.5, -0.5, 0.3, 0.3, 0.3]
+                 + [1.0, 1.0, 1.0, 1.0, 0.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0] + [0.0, 1.0])
+LONE_MOST = -0.5  # bias and lone insult together are no more than this
 PRIOR_STRENGTH = 2.0
 
 WORD = re.compile(r"[^\W\d_]+|[\"“”«»„]")
@@ -123,7 +135,7 @@ def negation(reach: int = 2) -> Transducer:
     steps = {(s, N): (1, N) for s in range(reach + 2)}
     for s in range(1, reach + 2):
         after = s + 1 if s <= reach else 0
-        steps |= {(s, I): (0, NI), (s, J): (0, NJ), (s, H): (0, NH)} | {(s, x): (after, x) for x in (O, T, R, Q, F_)}
+        steps |= {(s, I): (0, NI), (s, J): (0, NJ), (s, H): (0, NH)} | {(s, x): (after, x) for x in (O, R, Q, F_, *PERSONS)}
     return Transducer(steps)
 
 
@@ -141,13 +153,32 @@ def threat(reach: int = 2) -> Transducer:
     steps = {(s, F_): (1, F_) for s in range(reach + 2)}
     for s in range(1, reach + 2):
         after = s + 1 if s <= reach else 0
-        steps |= {(s, H): (0, DH)} | {(s, x): (after, x) for x in (O, T, R, Q, N)}
+        steps |= {(s, H): (0, DH)} | {(s, x): (after, x) for x in (O, R, Q, N, *PERSONS)}
     return Transducer(steps)
 
 
-def target() -> Transducer:
-    """A person named earlier in the clause is the target of what follows."""
-    return Transducer({(0, T): (1, T), (1, I): (1, TI), (1, J): (1, TJ), (1, DH): (1, TH)})
+def target(after_threat: int = 3, after_insult: int = 2) -> Transducer:
+    """Roles of persons. A state is what was named before (0 nobody, 1 a person, 2 an object pronoun) and what is open:
+    a threat or an insult whose target may follow, and within how many words.
+    """
+    nothing = (O, 0)
+    open_ = [nothing, *((kind, n) for kind, most in ((DH, after_threat), (I, after_insult), (J, after_insult)) for n in range(1, most + 1))]
+    number = {(named, x): named * len(open_) + k for named in range(3) for k, x in enumerate(open_)}
+    steps = {}
+    for (named, (kind, left)), state in number.items():
+        for insult, targeted in ((I, TI), (J, TJ)):
+            steps[state, insult] = (number[named, nothing], targeted) if named else (number[0, (insult, after_insult)], insult)
+        steps[state, DH] = (number[named, nothing], TH) if named == 2 else (number[named, (DH, after_threat)], DH)
+        for person in PERSONS:
+            event = person
+            if kind == DH and person != S:
+                event = TH
+            elif kind in (I, J) and person == Y:
+                event = TI if kind == I else TJ
+            steps[state, person] = (number[2 if person == C or named == 2 else 1, nothing], event)
+        then = number[named, (kind, left - 1) if left > 1 else nothing]
+        steps |= {(state, x): (then, x) for x in (O, H, N, R, Q, F_, NI, NH, NJ, RI, RH, RJ)}
+    return Transducer(steps)
 
 
 @cache
@@ -160,7 +191,7 @@ class Lexicon:
 
     def __init__(self, words: tuple[str, ...] = (), stems: tuple[str, ...] = ()):
         self.words = dict.fromkeys(words, J) | dict.fromkeys(INSULTS, I)
-        for kind, group in ((H, THREATS), (T, TARGETS), (N, NEGATIONS), (R, REPORTS), (F_, INTENTS)):
+        for kind, group in ((H, THREATS), (Y, ADDRESSED), (T, OBJECTS), (S, SUBJECTS), (C, CLITICS), (N, NEGATIONS), (R, REPORTS), (F_, INTENTS)):
             self.words |= dict.fromkeys(group, kind)
         self.words |= dict.fromkeys("\"“”«»„", Q)
         self.stems = frozenset(stems)
@@ -196,10 +227,12 @@ _EVENT_AT = {e: k for k, e in enumerate(EVENTS)}
 
 
 def design(counts: np.ndarray) -> np.ndarray:
-    """Model inputs of event counts: one, presence, log count, log density."""
-    n, words = counts[:, :-1], np.maximum(counts[:, -1:], 1)
+    """Model inputs of event counts: one, presence, log count, log density, lone; a lone insult is none of the others."""
+    n, words = counts[:, :-1].copy(), np.maximum(counts[:, -1:], 1)
+    lone = (n[:, [k for k, e in enumerate(EVENTS) if e in (I, J)]].sum(axis=1) == 1) & (n[:, :INSULT_EVENTS].sum(axis=1) == 1)
+    n[lone, :INSULT_EVENTS] = 0
     density = np.log1p(1000 * n[:, :INSULT_EVENTS].sum(axis=1, keepdims=True) / words)
-    return np.concatenate([np.ones((len(n), 1)), n > 0, np.log1p(n), density], axis=1)
+    return np.concatenate([np.ones((len(n), 1)), n > 0, np.log1p(n), density, lone[:, None]], axis=1)
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, steps: int = 50, weights: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
@@ -217,6 +250,10 @@ def fit(counts: np.ndarray, labels: np.ndarray, steps: int = 50, weights: tuple[
         w = w - move * min(1.0, 3.0 / max(1e-9, np.abs(move).max()))
         if np.abs(move).max() < 1e-6:
             break
+    for k in range(len(EVENTS)):
+        if PRIOR[0] + PRIOR[1 + k] >= 0 and not x[:, 1 + k].any():
+            w[1 + k] += PRIOR[0] - w[0]
+    w[-1] = min(w[-1], LONE_MOST - w[0])
     return w
 
 
@@ -242,8 +279,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_c
     return sampled_texts(docs, picked, id_col, F.col(text_col), label)
 
 
-def induce(rows: DataFrame, max_learned: int = MAX_LEARNED) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """(words, stems) that mark toxic rows, from ``text, label``; at most ``max_learned`` of both."""
+def induce(rows: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(words, stems) that mark toxic rows, from ``text, label``; all of them: the rows are a bounded sample."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -276,9 +313,8 @@ def induce(rows: DataFrame, max_learned: int = MAX_LEARNED) -> tuple[tuple[str,
         prefixes.groupBy("stem")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("forms"))
         .where(marks & (F.col("forms") >= 3))
-        .orderBy(F.desc("toxic"), "stem").limit(max_learned)
     )
-    whole = words.where(marks).orderBy(F.desc("toxic"), "word").limit(max_learned)
+    whole = words.where(marks)
     stems = {r["stem"]: r["toxic"] for r in stems.collect()}
     # of a stem and its extensions that occur as often, the longest says the same more exactly
     longest = [s for s in stems if not any(o != s and o.startswith(s) and stems[o] >= 0.95 * stems[s] for o in stems)]
@@ -325,13 +361,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def _scored(found: DataFrame, model: Model) -> DataFrame:
-    logit = F.lit(model.weights[0])
-    for k in range(len(EVENTS)):
-        n = F.col("events")[k]
-        logit = logit + F.when(n > 0, F.lit(model.weights[1 + k]) + F.lit(model.weights[1 + len(EVENTS) + k]) * F.log1p(n)).otherwise(0.0)
     e = F.col("events")
-    density = F.log1p(1000 * sum(e[k] for k in range(INSULT_EVENTS)) / F.greatest(e[len(EVENTS)], F.lit(1)))
-    logit = logit + F.lit(model.weights[-1]) * density
+    insults = sum(e[k] for k in range(INSULT_EVENTS))
+    lone = (sum(e[_EVENT_AT[x]] for x in (I, J)) == 1) & (insults == 1)
+    density = F.log1p(1000 * insults / F.greatest(e[len(EVENTS)], F.lit(1)))
+    logit = F.lit(model.weights[0]) + F.when(lone, F.lit(model.weights[-1])).otherwise(F.lit(model.weights[-2]) * density)
+    for k in range(len(EVENTS)):
+        counts = (e[k] > 0) & ~lone if k < INSULT_EVENTS else e[k] > 0
+        weight = F.lit(model.weights[1 + k]) + F.lit(model.weights[1 + len(EVENTS) + k]) * F.log1p(e[k])
+        logit = logit + F.when(counts, weight).otherwise(0.0)
     events = F.struct(*[F.col("events")[k].alias(name) for k, name in enumerate(EVENT_NAMES)])
     return found.select("id", (1 / (1 + F.exp(-logit))).alias("score"), events.alias("events"))
 

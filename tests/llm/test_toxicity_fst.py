@@ -19,8 +19,17 @@ def events(text, **lexicon):
     ("not today. You idiot", {"targeted_insult": 1}),
     ('She said "you are an idiot"', {"reported_insult": 1}),
     ('She said "so" and you idiot', {"targeted_insult": 1}),
-    ("I will kill you", {"threat": 1}),
-    ("they will kill him", {"targeted_threat": 1}),
+    ("I will kill you", {"threat": 1, "targeted_threat": 1}),
+    ("they will kill him", {"threat": 1, "targeted_threat": 1}),
+    ("they will kill the lights", {"threat": 1}),
+    ("she will kill time while they wait", {"threat": 1}),
+    ("we are going to beat up his brother", {"threat": 1, "targeted_threat": 1}),
+    ("ich werde dich töten", {"targeted_threat": 1}),
+    ("te voy a matar", {"targeted_threat": 1}),
+    ("nobody will kill you", {"negated_threat": 1}),
+    ('he wrote "I will kill you"', {"reported_threat": 1}),
+    ("stupid, you know", {"insult": 1, "targeted_insult": 1}),
+    ("stupid weather for these people", {"insult": 1}),
     ("a kill switch", {"threat_verb": 1}),
     ("idiotx and xidiot", {}),
     ("", {}),
@@ -61,7 +70,7 @@ def test_composition_equals_the_cascade():
     rng = random.Random(5)
     parts = g.grammar().parts
     for _ in range(500):
-        symbols = [rng.choice([g.O, g.I, g.H, g.T, g.N, g.R, g.Q, g.F_, g.J]) for _ in range(rng.randint(0, 12))]
+        symbols = [rng.choice([g.O, g.I, g.H, g.T, g.N, g.R, g.Q, g.F_, g.J, g.Y, g.S, g.C]) for _ in range(rng.randint(0, 12))]
         stream = symbols
         for part in parts:
             state, out = 0, []
@@ -72,6 +81,69 @@ def test_composition_equals_the_cascade():
         assert g.grammar().run(symbols) == [e for e in stream if e in g.EVENTS]
 
 
+SENTENCES = [
+    ("stupid weather", 0),
+    ("idiot light is on again in the kitchen and I must call the garage", 0),
+    ("the trash is full", 0),
+    ("he will kill the lights", 0),
+    ("she will burn the cake", 0),
+    ("we will hang the picture", 0),
+    ("they want to destroy the old bridge", 0),
+    ("kill the process", 0),
+    ("shoot the photo at noon", 0),
+    ("nobody should hurt him", 0),
+    ("you are not an idiot", 0),
+    ('she said "you are an idiot"', 0),
+    ("he called him a fool", 0),
+    ("I will never hurt you", 0),
+    ("I will kill you", 1),
+    ("we will murder you all tonight", 1),
+    ("I am going to beat your family", 1),
+    ("ich werde dich umbringen", 1),
+    ("you are an idiot", 1),
+    ("what a stupid idiot, worthless scum", 1),
+    ("you will burn, you filthy pig", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    sf = "/root/testdata/sf0.1"
+    return g.train(*[spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")])
+
+
+def test_sentences_by_the_hand_set_weights_and_by_the_fitted(spark, trained):
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(SENTENCES)], "doc_id long, text string")
+    for model in (g.Model((), (), tuple(g.PRIOR.tolist())), trained):
+        got = {r.id: r.score for r in g.score(rows, model).collect()}
+        assert [(t, int(got[k] >= 0.5)) for k, (t, _) in enumerate(SENTENCES)] == SENTENCES
+        counts = np.array([g.Lexicon(model.words, model.stems).events(t) for t, _ in SENTENCES])
+        assert np.allclose([got[k] for k in range(len(SENTENCES))], 1 / (1 + np.exp(-g.design(counts) @ np.array(model.weights))))
+
+
+def test_held_out_figures(spark, trained):
+    sf = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{sf}/labels.parquet").where("toxic in (0, 1)").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(truth, "doc_id").where(g.crc_fold(g.F.col("doc_id")) == 0)
+    score = {r.id: r.score for r in g.score(docs, trained).collect()}
+    held = {r.doc_id: r.toxic for r in truth.collect() if r.doc_id in score}
+    toxic = [score[k] >= 0.5 for k, x in held.items() if x]
+    clean = [score[k] >= 0.5 for k, x in held.items() if not x]
+    assert np.mean(toxic) >= 0.93 and np.mean(clean) <= 0.002
+
+
+def test_an_event_no_row_holds_keeps_its_distance_from_the_bias():
+    counts = np.zeros((2000, len(g.EVENTS) + 1), np.int64)
+    counts[:, -1] = 100
+    counts[:20, 0] = 3
+    w = g.fit(counts, (np.arange(2000) < 20).astype(float))
+    assert w[0] < -4
+    alone = np.zeros((2, len(g.EVENTS) + 1), np.int64)
+    alone[0, g.EVENT_NAMES.index("targeted_threat")] = alone[1, 0] = 1
+    alone[:, -1] = 1
+    assert (g.design(alone) @ w > 0).tolist() == [True, False]  # the second is a lone insult
+
+
 def test_fit_without_one_class_keeps_the_prior():
     counts = np.zeros((3, len(g.EVENTS) + 1), np.int64)
     assert (g.fit(counts, np.zeros(3)) == g.PRIOR).all()
@@ -81,7 +153,7 @@ def test_scores_do_not_depend_on_the_caps(spark):
     rng = np.random.default_rng(4)
     labels = (np.arange(8000) % 10 == 0).astype(float)
     counts = np.zeros((8000, len(g.EVENTS) + 1), np.int64)
-    counts[:, 0] = rng.random(8000) < np.where(labels == 1, 0.7, 0.1)
+    counts[:, 0] = 2 * (rng.random(8000) < np.where(labels == 1, 0.7, 0.1))  # a lone insult has a bounded weight
     counts[:, -1] = 100
     table = spark.createDataFrame([(k, int(x)) for k, x in enumerate(labels)], "doc_id long, toxic int")
     used = {r.doc_id for r in g.usable_labels(table).collect()}
