@@ -10,7 +10,9 @@ score of their turns (ties: the lesser leaf), and each chosen path becomes one s
 The template writes ``<s>`` and then for each turn ``[INST]role[/INST]text</s>``. Inside
 roles and texts a control string gets a backslash after its first character, one more if it
 has some already; taking one away restores it, so the strings survive the round trip and
-never pass for markers. ``loss_spans`` are the places of assistant texts, in code points.
+never pass for markers. ``loss_spans`` are the places of assistant texts, in code points. Running sums
+over a conversation's turns, and cuts at them, go by blocks of about the square root of their number, so a
+very long conversation does not take quadratic time.
 
 Null text or role: empty. A null tree is a tree of its own. A parent that is not there
 counts as none, so its child is a root. Turns on a cycle, or below one, are on no path.
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, table
+from tessera.operators.prefix import global_rank, key_stats, order_bucket
 
 OPEN, HEAD, BODY, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 _CONTROL = r"(/?s>|/?INST\])"
@@ -39,12 +42,23 @@ def unescape(text: Column) -> Column:
 
 
 def thread(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-           text: str = "text") -> DataFrame:
-    """``tree, turn, parent, role, text, score`` of plain conversations: each turn answers the one before it."""
-    order = Window.partitionBy(conv).orderBy(F.col(turn).asc_nulls_last(), role, text)
-    rows = turns.select(F.col(conv).alias("tree"), F.row_number().over(order).cast("long").alias("turn"),
-                        F.col(role).alias("role"), F.col(text).alias("text"))
-    return rows.withColumn("parent", F.when(F.col("turn") > 1, F.col("turn") - 1)).withColumn("score", F.lit(0.0))
+           text: str = "text", rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """``tree, turn, parent, role, text, score`` of plain conversations: each turn answers the one before it.
+
+    Beyond ``rows_per_bucket`` rows turns are ranked in buckets of their number, so that one very long conversation is
+    spread over many tasks; only turns with one number in one conversation always meet.
+    """
+    rows = turns.select(F.col(conv).alias("tree"), F.col(turn).cast("long").alias("at"), F.col(role).alias("role"), F.col(text).alias("text"))
+    lo, hi, n = key_stats(rows, F.col("at"))
+    if n <= rows_per_bucket:
+        order = Window.partitionBy("tree").orderBy(F.col("at").asc_nulls_last(), "role", "text")
+        rows = rows.withColumn("turn", F.row_number().over(order).cast("long"))
+    else:
+        rows = rows.withColumn("at", F.coalesce("at", F.lit(hi + 1)))  # turns without a number come last
+        bucket = order_bucket(rows, F.col("at"), rows_per_bucket=rows_per_bucket, stats=(lo, hi + 1, n))
+        rows = global_rank(rows, ["at", "role", "text"], bucket, ["tree"], out="turn").withColumn("turn", F.col("turn") + 1)
+    parent = F.when(F.col("turn") > 1, F.col("turn") - 1)
+    return rows.select("tree", "turn", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def paths(nodes: DataFrame) -> DataFrame:
@@ -77,32 +91,63 @@ def paths(nodes: DataFrame) -> DataFrame:
     return path
 
 
+def _block(n: str) -> str:
+    return f"cast(ceil(sqrt({n})) as int)"
+
+
+def _totals(sizes: str) -> str:
+    """Running totals of an array, each step copying what is there: for short arrays."""
+    return (f"aggregate({sizes}, cast(array() as array<bigint>), "
+            "(acc, x) -> concat(acc, array(x + coalesce(get(acc, size(acc) - 1), 0L))))")
+
+
+def _blocks(array: str) -> str:
+    """An array as an array of blocks, as long as there are blocks."""
+    n = _block(f"size({array})")
+    return f"if(size({array}) = 0, array(), transform(sequence(0, (size({array}) - 1) div {n}), b -> slice({array}, b * {n} + 1, {n})))"
+
+
+def running_totals(sizes: str) -> Column:
+    """Running totals of a long array column: within blocks, then over the blocks' own."""
+    return F.expr(f"""transform(array({_blocks(sizes)}), blocks ->
+        flatten(zip_with(
+          transform(blocks, x -> {_totals('x')}),
+          {_totals("concat(array(0L), transform(blocks, x -> aggregate(x, 0L, (s, y) -> s + y)))")},
+          (ends, before) -> if(ends is null, array(), transform(ends, e -> e + before)))))[0]""")
+
+
 def format_paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
-    """``tree, leaf, rank, score, formatted, loss_spans`` of the ``best`` paths of each tree (None: all)."""
-    body = nodes.select(F.col("tree").alias("t"), F.col("turn").alias("x"), "score",
+    """``tree, leaf, rank, score, formatted, loss_spans`` of the ``best`` paths of each tree (None: all).
+
+    Paths are ranked by ids and scores; only the texts of chosen paths move.
+    """
+    ids = cut(nodes.select("tree", "turn", "parent", "score"))
+    rows = cut(paths(ids))
+    same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("turn") == F.col("x"))
+    scores = rows.join(ids.select(F.col("tree").alias("t"), F.col("turn").alias("x"), "score"), same)
+    scores = scores.groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
+    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    if best is not None:
+        ranked = ranked.where(F.col("rank") <= best)
+        of = ranked.select(F.col("tree").alias("t"), F.col("leaf").alias("x"))
+        rows = rows.join(of, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("x")), "left_semi")
+    body = nodes.select(F.col("tree").alias("t"), F.col("turn").alias("x"),
                         escape(F.coalesce("role", F.lit(""))).alias("role"),
                         escape(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = paths(nodes)
-    rows = rows.join(body, F.col("tree").eqNullSafe(F.col("t")) & (F.col("turn") == F.col("x")))
-    whole = rows.groupBy("tree", "leaf").agg(
-        F.avg("score").alias("score"),
-        F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("place"), "role", "text"))).alias("turns"),
-    )
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    chosen = whole.withColumn("rank", rank)
-    if best is not None:
-        chosen = chosen.where(F.col("rank") <= best)
+    whole = rows.join(body, same).groupBy("tree", "leaf").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("place"), "role", "text"))).alias("turns"))
+    ranked = ranked.select(F.col("tree").alias("t"), F.col("leaf").alias("x"), "rank", "score")
+    chosen = whole.join(ranked, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("x")))
+
+    fixed = len(HEAD) + len(BODY) + len(CLOSE)
     written = F.transform("turns", lambda x: F.concat(F.lit(HEAD), x["role"], F.lit(BODY), x["text"], F.lit(CLOSE)))
-    fixed = len(HEAD) + len(BODY)
-    spans = F.expr(f"""aggregate(turns,
-        named_struct('at', {len(OPEN)}L, 'spans', cast(array() as array<struct<start:bigint,end:bigint>>)),
-        (acc, x) -> named_struct(
-          'at', acc.at + {fixed + len(CLOSE)} + length(x.role) + length(x.text),
-          'spans', if(x.role = 'assistant',
-            concat(acc.spans, array(named_struct('start', acc.at + {fixed} + length(x.role),
-                                                 'end', acc.at + {fixed} + length(x.role) + length(x.text)))),
-            acc.spans)),
-        acc -> acc.spans)""")
+    sizes = F.transform("turns", lambda x: (F.length(x["role"]) + F.length(x["text"]) + fixed).cast("long"))
+    chosen = chosen.select("tree", "leaf", "rank", "score", "turns", sizes.alias("sizes"))
+    chosen = chosen.select("*", running_totals("sizes").alias("ends"))
+    spans = F.transform(
+        F.filter(F.arrays_zip("turns", "ends"), lambda x: x["turns"]["role"] == "assistant"),
+        lambda x: F.struct((x["ends"] + len(OPEN) - len(CLOSE) - F.length(x["turns"]["text"])).alias("start"),
+                           (x["ends"] + len(OPEN) - len(CLOSE)).alias("end")))
     return chosen.select("tree", "leaf", "rank", "score",
                          F.concat(F.lit(OPEN), F.array_join(written, "")).alias("formatted"), spans.alias("loss_spans"))
 
@@ -116,10 +161,12 @@ def read_back(formatted: Column) -> Column:
         unescape(F.substr(x, F.length(F.substring_index(x, BODY, 1)) + len(BODY) + 1)).alias("text")))
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """What stands under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda x: unescape(
-        F.substr(formatted, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))), "")
+def loss_text(formatted: str, spans: str) -> Column:
+    """What stands under the loss mask, unescaped: blocks of spans are cut out of the string first, then the spans of each."""
+    pieces = F.expr(f"""flatten(transform({_blocks(spans)}, block ->
+        transform(array(substring({formatted}, cast(block[0].start + 1 as int), cast(element_at(block, -1).end - block[0].start as int))),
+          part -> transform(block, x -> substring(part, cast(x.start - block[0].start + 1 as int), cast(x.end - x.start as int))))[0]))""")
+    return F.array_join(F.transform(pieces, unescape), "")
 
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -132,7 +179,7 @@ def op7_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     done = format_paths(thread(turns.unionByName(probe)))
     back = done.select("tree", "formatted", read_back(F.col("formatted")).alias("turns"),
-                       loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+                       loss_text("formatted", "loss_spans").alias("loss"))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
         F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -1,6 +1,8 @@
 import hashlib
+import itertools
 import random
 import re
+from unittest import mock
 
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def test_ranked_and_formatted(spark):
     rows = [(1, 1, None, "user", "q</s>", 0.0), (1, 2, 1, "assistant", "a1", 0.5), (1, 3, 1, "assistant", "a2[INST]", 0.9),
             (1, 4, 3, "user", "[\\INST]", 0.1), (2, 1, None, None, None, 0.0), (None, 1, None, "assistant", "é", 1.0)]
     out = g.format_paths(spark.createDataFrame(rows, SCHEMA)).withColumn("back", g.read_back(F.col("formatted"))) \
-        .withColumn("loss", g.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()
+        .withColumn("loss", g.loss_text("formatted", "loss_spans")).collect()
     got = {(r.tree, r.leaf): r for r in out}
     assert [(got[1, k].rank) for k in (4, 2)] == [1, 2]
     assert [tuple(x) for x in got[1, 4].back] == [("user", "q</s>"), ("assistant", "a2[INST]"), ("user", "[\\INST]")]
@@ -84,3 +86,32 @@ def test_query_equals_brute_force(spark, corpus):
 def test_empty_table(spark, corpus):
     d = corpus(conversations=spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert [r.conv_id for r in g.op7_chat_trees(spark, d).collect()] == [-1]
+
+
+def test_running_totals(spark):
+    rng = random.Random(2)
+    rows = [[rng.randint(0, 99) for _ in range(n)] for n in (*range(0, 30), 400)]
+    out = spark.createDataFrame([(r,) for r in rows], "sizes array<long>").select("sizes", g.running_totals("sizes").alias("ends")).collect()
+    assert all(r.ends == list(itertools.accumulate(r.sizes)) for r in out)
+
+
+def test_turns_ranked_in_buckets(spark):
+    rng = random.Random(4)
+    rows = [(c, rng.choice([None, *range(40)]), rng.choice("ua"), rng.choice("xyz")) for c in (1, 2, None) for _ in range(200)]
+    rows += [(3, t, "u", str(t)) for t in range(5000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    whole, split = (sorted(map(tuple, g.thread(turns, rows_per_bucket=n).collect()), key=str) for n in (10**6, 500))
+    assert whole == split and len(split) == len(rows)
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    n = 60_000
+    turns = spark.range(n).select(F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                  F.concat(F.lit("text </s> "), F.col("id")).alias("text"))
+    # the path itself is tested above; here it is given, to test what is done along it
+    path = turns.select(F.lit(7).alias("tree"), F.lit(n).cast("long").alias("leaf"), (F.col("turn") + 1).alias("turn"), (n - 1 - F.col("turn")).alias("up"))
+    with mock.patch.object(g, "paths", lambda nodes: path):
+        done = g.format_paths(g.thread(turns))
+    r = done.select(F.size("loss_spans").alias("spans"), g.loss_text("formatted", "loss_spans").alias("loss"), F.size(g.read_back(F.col("formatted"))).alias("turns")).first()
+    assert (r.spans, r.turns) == (n // 2, n)
+    assert r.loss == "".join(f"text </s> {k}" for k in range(1, n, 2))
