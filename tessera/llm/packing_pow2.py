@@ -9,7 +9,8 @@ one shape, nothing is padded and no sequence crosses documents.
 Tokenising and cutting happen in one pass without a shuffle. The tokenizer's rules never
 join characters across white space, nor letters and signs, so a worker remembers the ids of
 words, and of the runs of letters or signs within them, and hands each new run to the
-tokenizer once; both memos are bounded.
+tokenizer once, thousands of them as one text; both memos are bounded. Arrow splits the
+texts, finds the different words of a portion and puts their ids together.
 
 Null text: empty, so the document is its end id alone. Repeated rows: each packed on its
 own, under its own sequence ids. Null id: kept. Empty table: empty result. Other columns
@@ -24,21 +25,23 @@ import sys
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, sql_type, table, worker_memo
+from tessera.llm.common import portions, sql_type, table, worker_memo
 
 MAX_LENGTH = 4096
 END_ID = 2
 MEMO = 500_000  # words, and as many runs, that a worker remembers at most
 MEMO_CHARS = 48  # longer words are not remembered
-#: White space as the tokenizer's \s has it; str.split() also splits at 1C-1F, which \s does not match.
+PORTION = 4 << 20  # bytes of text whose different words are looked up together
+#: White space as the tokenizer's \s has it; Arrow also splits at 1C-1F, which \s does not match.
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
-_ODD = re.compile(r"[\x1c-\x1f]")
 #: Words whose runs can be told without the tokenizer: of Latin-1, and without its special tokens.
 _LATIN = re.compile(r"[!-~\xa1-\xff]+\Z")
 # Fixed value: the tokenizer's splitting pattern, for lower-cased Latin-1.
@@ -60,54 +63,112 @@ class Memo:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def need(self, strings: set[str]) -> set[str]:
-        """Bring what is known of ``strings`` into the young generation; return the rest."""
-        new = strings.difference(self.young)
-        if len(self.young) + len(new) > MEMO // 2:
-            self.old, self.young, new = self.young, {}, strings
-        known = new & self.old.keys()
-        self.young.update((s, self.old[s]) for s in known)
-        return new - known
-
-    def forget_long(self, strings: set[str]) -> None:
-        for s in strings:
+    def known(self, strings: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """What is known of different strings, now all of the young generation, and the places of the others."""
+        found = list(map(self.young.get, strings))
+        back = {}
+        new = []
+        for k in [k for k, x in enumerate(found) if x is None]:
+            found[k] = x = self.old.get(s := strings[k])
+            if x is None:
+                new.append(k)
+            else:
+                back[s] = x
+        if len(self.young) + len(back) + len(new) > MEMO // 2:
+            self.old, self.young = self.young, {s: x for s, x in zip(strings, found) if x is not None}
+        else:
+            self.young.update(back)
+        return found, new
+
+    def learn(self, ids: dict[str, bytes]) -> None:
+        """Keep strings that are new, the long ones apart."""
+        self.young.update(ids)
+        for s in ids:
             if len(s) > MEMO_CHARS:
                 del self.young[s]
+        if len(self.young) > MEMO // 2:  # one portion held more than the memo may
+            self.young = {}
+
+
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """Words as the tokenizer's \\s parts them, and empty ones where a text begins or ends with white space."""
+    if pc.any(pc.match_substring_regex(texts, r"[\x1c-\x1f]")).as_py():
+        return pa.array([_SPACE.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    return pc.utf8_split_whitespace(texts)
 
 
 class WordMemo:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        #: For runs joined by spaces: the same without the search for runs.
+        self.run_tokenizer = Tokenizer.from_file(path)
+        self.run_tokenizer.normalizer = normalizers.Sequence([])
+        self.run_tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocab = self.tokenizer.get_vocab()
+        self.ends_run = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_run[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.words, self.runs = Memo(), Memo()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
-        words = self.words.need(set().union(*split))
-        single, several = {}, {}  # words of one run, by far the most, and the others
-        for w in words:
-            if not _LATIN.match(w) or "<|" in w:
-                single[w] = w
+        data, at = self.joined(pa.array(texts, pa.string()))
+        return [bytes(data[a:b]) for a, b in pairwise(at.tolist())]
+
+    def joined(self, texts: pa.Array, end: bytes = b"") -> tuple[pa.Buffer | bytes, np.ndarray]:
+        """The ids of all texts, one after another and ``end`` after each; the byte at which each text's begin, and the last end.
+
+        Arrow splits the texts, finds the different words and puts the ids together; Python sees each word once.
+        """
+        split = split_words(texts)
+        words = split.flatten().dictionary_encode()
+        ids = self.of_words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ends = split.offsets.to_numpy()
+        places = np.insert(words.indices.to_numpy(), ends[1:], len(ids))  # ``end`` counts as a word more
+        out = pa.array([*ids, end], pa.binary()).take(pa.array(places))
+        at = np.frombuffer(out.buffers()[1], np.int32, len(out) + 1)
+        return out.buffers()[2] or b"", at[ends + np.arange(len(ends))]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, all different."""
+        found, places = self.words.known(words)
+        odd, single, several = [], {}, {}  # those left whole, those of one run, and the others
+        for w in map(words.__getitem__, places):
+            if w.isascii() and w.isalpha():
+                single[w] = w.lower()
+            elif not _LATIN.match(w) or "<|" in w:
+                odd.append(w)
             elif w.isalpha():
                 single[w] = w.lower()
             else:
                 several[w] = _RUN.findall(w.lower())
-        runs = self.runs.need({*single.values()}.union(*several.values()))
-        unseen = list(runs)
-        found = self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)
-        ids = self.runs.young
-        ids.update((r, pack_ids(x.ids)) for r, x in zip(unseen, found))
-        young = self.words.young
-        young.update((w, ids[r]) for w, r in single.items())
-        young.update((w, b"".join([ids[r] for r in x])) for w, x in several.items())
-        out = [b"".join([young[w] for w in words]) for words in split]
-        self.words.forget_long(words)
-        self.runs.forget_long(runs)
-        return out
+        runs = self.of_runs(list({*single.values(), *chain.from_iterable(several.values())}))
+        whole = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+        new = {w: pack_ids(x.ids) for w, x in zip(odd, whole)}
+        new.update((w, runs[r]) for w, r in single.items())
+        new.update((w, b"".join([runs[r] for r in x])) for w, x in several.items())
+        for k in places:
+            found[k] = new[words[k]]
+        self.words.learn(new)
+        return found
+
+    def of_runs(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of runs, all different; new ones are found as one text's: the last token of a run is one that ends runs."""
+        found, places = self.runs.known(runs)
+        new = {}
+        for start in range(0, len(places), 4096):
+            part = [runs[k] for k in places[start : start + 4096]]
+            encoded = self.run_tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(encoded.ids, "<u4")
+            blob, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends_run[ids]) + 4).tolist()
+            new.update(zip(part, [blob[a:b] for a, b in pairwise([0, *ends])], strict=True))
+        self.runs.learn(new)
+        return dict(zip(runs, found)) | new
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -134,24 +195,19 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_memo(("packing", tokenizer), lambda: WordMemo(tokenizer))
         lengths_of = cache(lambda rest: piece_lengths(rest, max_length))
-        for part in slices(batches, 256):
-            at, starts, lengths, totals, blobs = [], [], [], [], []
-            for row, blob in enumerate(memo.encode([t or "" for t in part.column(1).to_pylist()])):
-                blob += end
-                n = len(blob) // 4
-                full, rest = divmod(n, max_length)
-                cuts = [max_length] * full + lengths_of(rest)
-                start = 0
-                for length in cuts:
-                    blobs.append(blob[4 * start : 4 * (start + length)])
-                    starts.append(start)
-                    start += length
-                at += [row] * len(cuts)
-                lengths += cuts
-                totals += [n] * len(cuts)
+        for part in portions(batches, "text", PORTION):
+            data, at = memo.joined(part.column("text").fill_null(""), end)
+            first = at // 4
+            totals = np.diff(first)
+            cuts = [[max_length] * (n // max_length) + lengths_of(n % max_length) for n in totals.tolist()]
+            row = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
+            lengths = np.fromiter(chain.from_iterable(cuts), np.int64)
+            ends = np.cumsum(lengths)  # pieces follow one another as the ids do
+            offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), data])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int64()),
-                 pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(blobs, pa.binary())],
+                [part.column("id").take(pa.array(row)), pa.array(ends - lengths - first[row]),
+                 pa.array(lengths), pa.array(totals[row].astype(np.int64)), blobs],
                 ["id", "start", "length", "doc_tokens", "ids"],
             )
 

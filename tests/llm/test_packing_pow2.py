@@ -78,3 +78,33 @@ def test_small_limit_and_buckets(spark, tmp_path):
 def test_empty_table(spark, corpus):
     d = corpus(documents=spark.createDataFrame([], "doc_id long, text string"))
     assert g.op5_packing_pow2(spark, d).count() == 0
+
+
+def test_words_are_looked_up_once_and_runs_tokenised_together(tokenizer):
+    words = [f"{chr(97 + a)}{chr(97 + b)}{s}" for a in range(26) for b in range(26) for s in ("q", "Zé,", "'s9")]
+    texts = [" ".join(words), "", "  " + "  ".join(reversed(words)) + " ", "ab\x1cq <|endoftext|> İx"]
+    memo, seen, calls = g.WordMemo(g.tokenizer_file()), [], []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, batch, **kw):
+            calls.extend(batch)
+            return self.inner.encode_batch_fast(batch, **kw)
+
+    of_words = memo.of_words
+    memo.of_words = lambda strings: seen.extend(strings) or of_words(strings)
+    memo.tokenizer, memo.run_tokenizer = Counted(memo.tokenizer), Counted(memo.run_tokenizer)
+    assert memo.encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(seen) == len(set(seen)) == len({*words, "", "ab\x1cq", "<|endoftext|>", "İx"})
+    assert len(calls) < 10  # not one for each run
+
+
+def test_portions_do_not_change_the_pieces(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choices(["ab", "C,", "é1", "\x1d", "日本"], k=rng.choice([0, 3, 900])))) for k in range(40)]
+    docs = spark.createDataFrame([*rows, (None, None)], "doc_id long, text string").coalesce(1)
+    whole = sorted(map(str, g.digest(g.pack(docs, g.tokenizer_file(), max_length=64)).collect()))
+    monkeypatch.setattr(g, "PORTION", 1)
+    assert sorted(map(str, g.digest(g.pack(docs, g.tokenizer_file(), max_length=64)).collect())) == whole
