@@ -208,7 +208,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     texts = keyed.select("row", "rules", F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text"))
     matched = texts.select("row", "text", *[hits(n).alias(f"hits{n}") for n in range(len(rules))])
     spans = F.array_sort(F.concat(*[_spans(n, r, "text", f"hits{n}") for n, r in enumerate(rules)]))
-    return matched.select("row", spans.alias("spans"))
+    return matched.select("row", spans.alias("__spans")).select("row", F.col("__spans").alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str = "n_chars",
