@@ -22,7 +22,8 @@ item of one token is found only where it is the whole document.
 Every window of every whole text is hashed; a bitmap of fixed size (8 MB), built from the
 benchmark's hashes in Spark, drops those that cannot match before rows are made, and a
 hash join on the exact template decides. The benchmark's windows are broadcast to that
-join only while their number stays within ``BROADCAST_WINDOWS``; beyond it it shuffles.
+join only while their number stays within ``BROADCAST_WINDOWS``; beyond it it shuffles. So it
+is with the rows found, of which ``BROADCAST_FOUND`` at most are broadcast to take them out.
 
 Null or empty text matches nothing. Repeated rows: each gets its result. Null id: kept.
 Empty benchmark or documents: empty result. Ties cannot arise; every item above the share
@@ -48,6 +49,8 @@ SEED = 6  # of 14 tokens and more, one change anywhere leaves windows of 6 that
 MIN_SHARE = 0.5
 MIN_TOKENS = 4
 BROADCAST_WINDOWS = 100_000  # of about 300 bytes
+BROADCAST_FOUND = 200_000  # of an id and a hash
+SLICE = 1 << 18  # bytes of texts read at once; the arrays over them take about 90 times as much
 FILTER_BITS = 26  # the filter takes 2**26 bits: 8 MB
 
 # Units of measure and currency, and number words.
@@ -239,7 +242,7 @@ def document_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id"
     shared = spark.sparkContext.broadcast(hash_filter(windows, "hash", FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches, "text"):
+        for b in portions(batches, "text", SLICE):
             tokens = Tokens([t or "" for t in b.column("text").to_pylist()])
             spans = {False: SpanHashes(tokens.hashes), True: SpanHashes(tokens.plain)}
             found, firsts = [], []
@@ -341,11 +344,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         **how) -> DataFrame:
     """``docs`` without the rows that contain a benchmark item."""
-    bad = contaminated(docs, items, id_col, text_col, **how).select("id", "text_hash").distinct()
+    bad = cut(contaminated(docs, items, id_col, text_col, **how).select("id", "text_hash").distinct())
+    few = bad.count() <= BROADCAST_FOUND
     bad = bad.select(F.col("id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
     rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(text_col))).alias("text_hash"))
     same = (F.col("text_hash") == F.col("bad_hash")) & F.col("id").eqNullSafe(F.col("bad_id"))
-    return rows.join(bad, same, "left_anti").select("row.*")
+    return rows.join(F.broadcast(bad) if few else bad, same, "left_anti").select("row.*")
 
 
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

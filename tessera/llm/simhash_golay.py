@@ -46,6 +46,7 @@ BROADCAST_NAMES = 1_000_000  # of about 16 bytes
 MAX_BITS = 4
 SEED = 42
 TILE = 1024  # fingerprints of one side of a tile
+TASK = 1 << 13  # fingerprints whose keys one task emits and counts: about a million keys, 100 MB
 WIDTHS = (23, 23, 18)
 SHIFTS = (0, 23, 46)
 GOLAY = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -189,7 +190,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFra
     """
     if not 0 <= max_bits <= 4:
         raise ValueError("the key scheme finds pairs of at most 4 differing bits")
-    keys = fps.select("fp").mapInArrow(_keys_of, "key long, fp long")
+    # few bytes become many keys, so the number of tasks must come from the rows and not from their size
+    spread = fps.select("fp").repartition(max(1, -(-fps.count() // TASK)), "fp")
+    keys = spread.mapInArrow(_keys_of, "key long, fp long")
     groups = cut(
         keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
     )

@@ -167,3 +167,40 @@ def test_names_that_clash(spark, items):
     docs = spark.createDataFrame([(1, ITEM, 2, 3), (2, "clean", 4, 5)], "doc_id long, text string, text_hash int, `a.b` int")
     out = g.remove_contaminated(docs, items)
     assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(2, "clean", 4, 5)]
+
+
+def test_few_texts_are_read_at_once(spark, items, monkeypatch):
+    import pyarrow as pa
+
+    read, sizes = {}, []
+    monkeypatch.setattr(g, "cut", lambda df: df)
+    windows = g.benchmark_windows(items)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: read.update(run=run) or self)
+    monkeypatch.setattr(g, "hash_filter", lambda *_: np.zeros(1 << (g.FILTER_BITS - 3), np.uint8))
+    monkeypatch.setattr(type(docs), "collect", lambda self: [{"size": 8}])
+    g.document_windows(docs, windows)
+    monkeypatch.undo()
+    tokens = g.Tokens
+    monkeypatch.setattr(g, "Tokens", lambda texts: sizes.append(sum(map(len, texts))) or tokens(texts))
+    texts = ["word " * 2_000] * 200 + ["word " * 100_000]
+    batch = pa.RecordBatch.from_pydict({"id": range(201), "text_hash": range(201), "text": texts})
+    list(read["run"](iter([batch])))
+    assert sum(sizes) == sum(map(len, texts))
+    assert max(sizes[:-1]) <= 1 << 18 and sizes[-1] == len(texts[-1])
+
+
+@pytest.mark.parametrize("bound", [g.BROADCAST_FOUND, 0])
+def test_few_rows_found_move_no_texts(spark, items, monkeypatch, bound):
+    monkeypatch.setattr(g, "BROADCAST_FOUND", bound)
+    rows = [(1, RENAMED), (2, "clean words"), (2, "clean words"), (None, RENAMED), (None, "no item"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = g.remove_contaminated(docs, items)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan, "hashpartitioning" in plan) == (bound > 0, bound == 0)
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)

@@ -122,3 +122,17 @@ def test_components_without_a_broadcast(spark, monkeypatch):
     want = sorted(map(tuple, g.near_duplicates(docs).collect()))
     monkeypatch.setattr(g, "BROADCAST_NAMES", -1)
     assert sorted(map(tuple, g.near_duplicates(docs).collect())) == want
+
+
+def test_keys_are_emitted_in_many_tasks(spark, monkeypatch):
+    """Also where the fingerprints come in one partition: their keys take a hundred times as much."""
+    monkeypatch.setattr(g, "TASK", 16)
+    rng, seen = random.Random(4), []
+    fps = [rng.getrandbits(63) for _ in range(100)]
+    fps += [f ^ 5 for f in fps[:20]]
+    one = spark.createDataFrame([(f,) for f in fps], "fp long").coalesce(1)
+    emit = type(one).mapInArrow
+    monkeypatch.setattr(type(one), "mapInArrow", lambda self, *a, **k: seen.append(self) or emit(self, *a, **k))
+    found = {frozenset((r["u"], r["v"])) for r in g.links(one).collect()}
+    assert found == {frozenset((f, f ^ 5)) for f in fps[:20]}
+    assert seen[0].rdd.getNumPartitions() == 8
