@@ -9,8 +9,9 @@ one shape, nothing is padded and no sequence crosses documents.
 Tokenising and cutting happen in one pass without a shuffle. The tokenizer's rules never
 join characters across white space, nor letters and signs, so a worker remembers the ids of
 words, and of the runs of letters or signs within them, and hands each new run to the
-tokenizer once, thousands of them as one text; both memos are bounded. Arrow splits the
-texts, finds the different words of a portion and puts their ids together.
+tokenizer once, thousands of them as one text; both memos are bounded, and a word of one
+run is in the runs' only. Arrow splits the texts, finds the different words of a portion and
+puts their ids together; what it keeps of memory is given back after each portion.
 
 Null text: empty, so the document is its end id alone. Repeated rows: each packed on its
 own, under its own sequence ids. Null id: kept. Empty table: empty result. Other columns
@@ -37,7 +38,7 @@ from tessera.llm.common import portions, sql_type, table, worker_memo
 
 MAX_LENGTH = 4096
 END_ID = 2
-MEMO = 500_000  # words, and as many runs, that a worker remembers at most
+MEMO = 250_000  # words, and as many runs, that a worker remembers at most; each takes about 150 bytes
 MEMO_CHARS = 48  # longer words are not remembered
 PORTION = 4 << 20  # bytes of text whose different words are looked up together
 #: White space as the tokenizer's \s has it; Arrow also splits at 1C-1F, which \s does not match.
@@ -101,13 +102,12 @@ class WordMemo:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        #: For runs joined by spaces: the same without the search for runs.
-        self.run_tokenizer = Tokenizer.from_file(path)
-        self.run_tokenizer.normalizer = normalizers.Sequence([])
+        #: For runs joined by spaces: the same model, held once, without the search for runs.
+        self.run_tokenizer = Tokenizer(self.tokenizer.model)
         self.run_tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
@@ -135,27 +135,25 @@ class WordMemo:
         return out.buffers()[2] or b"", at[ends + np.arange(len(ends))]
 
     def of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words, all different."""
-        found, places = self.words.known(words)
-        odd, single, several = [], {}, {}  # those left whole, those of one run, and the others
-        for w in map(words.__getitem__, places):
-            if w.isascii() and w.isalpha():
-                single[w] = w.lower()
-            elif not _LATIN.match(w) or "<|" in w:
+        """Ids of words, all different; those of one run are remembered as runs only."""
+        single = [w.lower() if w.isalpha() and (w.isascii() or _LATIN.match(w)) else None for w in words]
+        others = [w for w, r in zip(words, single) if r is None]
+        found, places = self.words.known(others)
+        odd, several = [], {}  # those left whole, and those of several runs
+        for w in map(others.__getitem__, places):
+            if not _LATIN.match(w) or "<|" in w:
                 odd.append(w)
-            elif w.isalpha():
-                single[w] = w.lower()
             else:
                 several[w] = _RUN.findall(w.lower())
-        runs = self.of_runs(list({*single.values(), *chain.from_iterable(several.values())}))
+        runs = self.of_runs(list({*filter(None, single), *chain.from_iterable(several.values())}))
         whole = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
         new = {w: pack_ids(x.ids) for w, x in zip(odd, whole)}
-        new.update((w, runs[r]) for w, r in single.items())
         new.update((w, b"".join([runs[r] for r in x])) for w, x in several.items())
         for k in places:
-            found[k] = new[words[k]]
+            found[k] = new[others[k]]
         self.words.learn(new)
-        return found
+        rest = iter(found)
+        return [next(rest) if r is None else runs[r] for r in single]
 
     def of_runs(self, runs: list[str]) -> dict[str, bytes]:
         """Ids of runs, all different; new ones are found as one text's: the last token of a run is one that ends runs."""
@@ -210,6 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                  pa.array(lengths), pa.array(totals[row].astype(np.int64)), blobs],
                 ["id", "start", "length", "doc_tokens", "ids"],
             )
+            pa.default_memory_pool().release_unused()  # else the pool keeps what the largest portion took
 
     pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {sql_type(docs, id_col)}, start long, length long, doc_tokens long, ids binary"

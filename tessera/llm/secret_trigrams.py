@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from re import _constants as rc
 from re import _parser as rp
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,12 +147,14 @@ def postings(docs: DataFrame, trigrams: list[str], key: str = "key", text: str =
 def candidates(index: DataFrame, queries: dict[int, Query], key: str = "key") -> DataFrame:
     """``key, rules``: intersect the postings of every alternative, and list the rules that have one in full."""
     needs = [
-        (trigram, rule, n, len(alternative))
+        {"trigram": trigram, "rule": rule, "alternative": n, "size": len(alternative)}
         for rule, query in queries.items()
         for n, alternative in enumerate(sorted(query, key=sorted))
         for trigram in sorted(alternative)
     ]
-    needs = index.sparkSession.createDataFrame(needs, "trigram string, rule int, alternative int, size int")
+    kinds = pa.schema([("trigram", pa.string()), *((c, pa.int32()) for c in ("rule", "alternative", "size"))])
+    # as an Arrow table: a list would start Python workers, which then wait beside the next stages
+    needs = index.sparkSession.createDataFrame(pa.Table.from_pylist(needs, kinds))
     # the alternatives' trigrams are a few dozen rows, fixed by the rules
     full = (
         index.join(F.broadcast(needs), "trigram")

@@ -1,7 +1,9 @@
 import random
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -108,3 +110,28 @@ def test_portions_do_not_change_the_pieces(spark, monkeypatch):
     whole = sorted(map(str, g.digest(g.pack(docs, g.tokenizer_file(), max_length=64)).collect()))
     monkeypatch.setattr(g, "PORTION", 1)
     assert sorted(map(str, g.digest(g.pack(docs, g.tokenizer_file(), max_length=64)).collect())) == whole
+
+
+def test_memos_stay_small(tokenizer):
+    """Half a million different words and their runs took 150 bytes each, twice."""
+    rng = random.Random(3)
+    memo = g.WordMemo(g.tokenizer_file())
+    for _ in range(30):
+        words = ["".join(rng.choices("abcdeinorst", k=9)) for _ in range(10_000)]
+        ids = memo.encode([" ".join([*words, words[0].capitalize()])])[0]
+    assert ids == np.array(tokenizer.encode(" ".join([*words, words[0]]), add_special_tokens=False).ids, "<u4").tobytes()
+    assert words[0] in memo.runs.young and not {words[0], words[0].capitalize()} & memo.words.young.keys()
+    held = [d for m in (memo.words, memo.runs) for d in (m.young, m.old)]
+    assert sum(sys.getsizeof(d) + sum(sys.getsizeof(s) + sys.getsizeof(x) for s, x in d.items()) for d in held) < 50e6
+
+
+def test_memory_is_given_back_after_each_portion(spark, monkeypatch):
+    read, given = {}, []
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: read.update(run=run) or self.selectExpr("1L as length"))
+    g.pack(docs, g.tokenizer_file())
+    monkeypatch.undo()
+    monkeypatch.setattr(g, "PORTION", 10)
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: given.append(1)})())
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "text": ["some words", "more words", None]})
+    assert sum(b.num_rows for b in read["run"](iter([batch, batch]))) >= 6 and len(given) == 4

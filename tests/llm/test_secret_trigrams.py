@@ -110,3 +110,12 @@ def test_columns_of_any_name(spark, monkeypatch, bound):
 def test_empty_table(spark, corpus):
     d = corpus(documents=spark.createDataFrame([], "doc_id long, text string"))
     assert g.op10_secret_trigrams(spark, d).count() == 0
+
+
+def test_rules_trigrams_start_no_python_worker(spark):
+    index = spark.createDataFrame([(1, "abc"), (2, "abd")], "key long, trigram string")
+    found = g.candidates(index.where("key > 0"), {7: frozenset({frozenset({"abc"}), frozenset({"abd", "xyz"})})})
+    assert [(r.key, r.rules) for r in found.collect()] == [(1, [7])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "LocalRelation" in plan  # the index itself is the only one here
+    assert g.candidates(index, {}).count() == 0
