@@ -279,8 +279,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     windows = cut(benchmark_windows(items, item_id, item_text, window))
     known = windows.select("item", "main", "windows", "tokens", "coverable", "size", "hash", F.col("at").alias("item_at"), "kinds", F.col("values").alias("old"))
-    if windows.count() <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
+    # Spark takes the windows to be as few as the items, so beyond the bound it must be told to shuffle
+    known = F.broadcast(known) if windows.count() <= BROADCAST_WINDOWS else known.hint("merge")
     found = document_windows(docs, windows, id_col, text_col).withColumnRenamed("values", "new")
     matched = found.join(known, ["size", "hash", "kinds"])
     of_item = ["item", "main", "windows", "tokens", "coverable"]

@@ -43,6 +43,7 @@ from tessera.llm.common import connected_components, cut, quoted, sql_type, tabl
 
 SHINGLE_WORDS = 4
 BROADCAST_NAMES = 1_000_000  # of about 16 bytes
+BROADCAST_KEYS = 200_000  # of 24 bytes
 MAX_BITS = 4
 SEED = 42
 TILE = 1024  # fingerprints of one side of a tile
@@ -199,6 +200,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFra
     twos = groups.where("n = 2").select("u", "v").distinct()
     twos = twos.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
     larger = groups.where("n > 2").select("key", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("blocks"))
+    # Spark takes the keys to be about as large as their fingerprints, and would broadcast all of them
+    larger = F.broadcast(larger) if larger.count() <= BROADCAST_KEYS else larger.hint("merge")
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -204,3 +204,15 @@ def test_few_rows_found_move_no_texts(spark, items, monkeypatch, bound):
         assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+@pytest.mark.parametrize("bound", [g.BROADCAST_WINDOWS, 0])
+def test_windows_are_broadcast_within_their_bound_only(spark, items, corpus, monkeypatch, bound):
+    """Spark takes the windows of a stored benchmark to be as small as its items."""
+    monkeypatch.setattr(g, "BROADCAST_WINDOWS", bound)
+    stored = spark.read.parquet(corpus(benchmark=items) + "/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"Words before. {ITEM} and after"), (2, RENAMED), (3, "nothing of it")], "doc_id long, text string")
+    out = g.contaminated(docs, stored)
+    assert sorted((r.id, r.item) for r in out.collect()) == [(1, 1), (2, 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (bound > 0, bound == 0)

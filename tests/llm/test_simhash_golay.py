@@ -136,3 +136,21 @@ def test_keys_are_emitted_in_many_tasks(spark, monkeypatch):
     found = {frozenset((r["u"], r["v"])) for r in g.links(one).collect()}
     assert found == {frozenset((f, f ^ 5)) for f in fps[:20]}
     assert seen[0].rdd.getNumPartitions() == 8
+
+
+@pytest.mark.parametrize("bound", [g.BROADCAST_KEYS, -1])
+def test_the_keys_of_all_fingerprints_are_not_broadcast(spark, monkeypatch, bound):
+    """Spark takes them to be about as large as the fingerprints; only the larger groups' keys may be broadcast, while few."""
+    monkeypatch.setattr(g, "BROADCAST_KEYS", bound)
+    rng = random.Random(5)
+    fps = [rng.getrandbits(63) for _ in range(60)]
+    fps += [f ^ b for f in fps[:10] for b in (1, 2, 4)]
+    out = g.links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    groups = {f: {f} for f in fps}
+    for r in out.collect():
+        both = groups[r["u"]] | groups[r["v"]]
+        groups.update(dict.fromkeys(both, both))
+    assert {f: frozenset(x) for f, x in groups.items()} == brute_components(fps)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BuildLeft" not in plan
+    assert ("BuildRight" in plan, "SortMergeJoin" in plan) == (bound > 0, bound < 0)
